@@ -5,10 +5,11 @@ fixture views of :mod:`termlink.fixtures` are prepended as CTEs. The SQL is
 written independently of the Spark plans: plain joins, windows and
 aggregates over all pairs where the Spark side prunes.
 
-Note: DuckDB's ``jaro_similarity`` floors half the transposition count and
-works on bytes; the fixture traits are ASCII and, on these tables, no match
-decision or distance kept below the threshold differs from the real-half
-definition the Spark side uses (checked by the test-suite's brute force).
+Jaro-Winkler: DuckDB's ``jaro_similarity`` floors half the transposition
+count (and works on bytes; the fixture traits are ASCII). Its distance is
+never above the exact one, so it only prefilters pairs; the survivors get the
+exact Jaro (t = half the out-of-order matches, as the matching library the
+reference calls defines it) from a SQL fold over the characters.
 """
 
 from __future__ import annotations
@@ -39,12 +40,43 @@ def clean_ascii_sql(x: str) -> str:
             f"'\\s+', ' ', 'g')))")
 
 
-def jw_dist_sql(a: str, b: str, p: float) -> str:
+def _prefix_len_sql(a: str, b: str) -> str:
     pref = " ".join(
         f"WHEN length({a}) >= {k} AND length({b}) >= {k} AND left({a}, {k}) = left({b}, {k}) THEN {k}"
         for k in (4, 3, 2, 1))
+    return f"(CASE {pref} ELSE 0 END)"
+
+
+def jw_dist_sql(a: str, b: str, p: float) -> str:
+    """DuckDB's own Jaro (floors half the transpositions): a lower bound of
+    the exact distance, used only to discard pairs."""
     return (f"CASE WHEN {a} = {b} THEN 0.0 ELSE round((1 - jaro_similarity({a}, {b})) * "
-            f"(1 - {p} * (CASE {pref} ELSE 0 END)), 9) END")
+            f"(1 - {p} * {_prefix_len_sql(a, b)}), 9) END")
+
+
+def jaro_state_sql(a: str, b: str) -> str:
+    """Greedy Jaro matching as a fold over the positions of ``a``: the state
+    holds the used-flags of ``b`` and the matched-flags of ``a``."""
+    A, B = f"string_split({a}, '')", f"string_split({b}, '')"
+    lb = f"length({b})"
+    w = f"greatest(0, greatest(length({a}), {lb}) // 2 - 1)"
+    j = (f"coalesce(list_filter(range(greatest(1, i - {w}), least({lb}, i + {w}) + 1), "
+         f"lambda j: {B}[j] = {A}[i] AND substr(s.ub, j, 1) = '0')[1], 0)")
+    return (f"list_reduce(range(1, length({a}) + 1), lambda s, i: struct_pack(ub := CASE WHEN {j} > 0 THEN "
+            f"substr(s.ub, 1, {j} - 1) || '1' || substr(s.ub, {j} + 1) ELSE s.ub END, "
+            f"ua := s.ua || CASE WHEN {j} > 0 THEN '1' ELSE '0' END), "
+            f"struct_pack(ub := repeat('0', {lb}), ua := ''))")
+
+
+def jaro_exact_sql(a: str, b: str, st: str) -> str:
+    """Jaro from the fold state, with t = half the out-of-order matches."""
+    A, B = f"string_split({a}, '')", f"string_split({b}, '')"
+    m = f"length(replace({st}.ua, '0', ''))"
+    sa = f"list_filter({A}, lambda x, k: substr({st}.ua, k, 1) = '1')"
+    sb = f"list_filter({B}, lambda x, k: substr({st}.ub, k, 1) = '1')"
+    t = f"len(list_filter(range(1, {m} + 1), lambda k: {sa}[k] <> {sb}[k]))"
+    return (f"CASE WHEN {m} = 0 THEN 0.0 ELSE ({m} / length({a}) + {m} / length({b}) + "
+            f"({m} - {t} / 2.0) / {m}) / 3.0 END")
 
 
 def cos_sql(a: str, b: str) -> str:
@@ -73,11 +105,15 @@ def lr_ctes(sources=("rare_a", "rare_b", "rare_c"), trait2: bool = False) -> str
 
 
 def best_jw_sql(lt: str, rt: str, lk: str, rk: str, col: str, p: float, maxd: float) -> str:
-    d = jw_dist_sql(f"a.{col}", f"b.{col}", p)
+    floor_d = jw_dist_sql(f"a.{col}", f"b.{col}", p)
+    exact_d = (f"CASE WHEN x = y THEN 0.0 ELSE round((1 - {jaro_exact_sql('x', 'y', 'st')}) * "
+               f"(1 - {p} * {_prefix_len_sql('x', 'y')}), 9) END")
     return (f"SELECT {lk}, {rk}, dist FROM (SELECT *, row_number() OVER (PARTITION BY {lk} "
-            f"ORDER BY dist, {rk}) AS rn FROM (SELECT a.{lk}, b.{rk}, {d} AS dist FROM {lt} a "
-            f"JOIN {rt} b ON a.{col} IS NOT NULL AND b.{col} IS NOT NULL) WHERE dist <= {maxd}) "
-            f"WHERE rn = 1")
+            f"ORDER BY dist, {rk}) AS rn FROM (SELECT {lk}, {rk}, {exact_d} AS dist FROM ("
+            f"SELECT {lk}, {rk}, x, y, {jaro_state_sql('x', 'y')} AS st FROM ("
+            f"SELECT a.{lk}, b.{rk}, a.{col} AS x, b.{col} AS y FROM {lt} a JOIN {rt} b "
+            f"ON a.{col} IS NOT NULL AND b.{col} IS NOT NULL WHERE {floor_d} <= {maxd}))) "
+            f"WHERE dist <= {maxd}) WHERE rn = 1")
 
 
 def best_wjac_sql(lt: str, rt: str, lk: str, rk: str, col: str, maxd: float, block: str | None) -> str:
@@ -184,12 +220,13 @@ REQUESTS = """requests AS (SELECT idx, idx // 1000 AS batch, 'req-' || idx AS cu
 
 def answer_cols(content: str) -> str:
     ok = f"(starts_with({content}, '{{') AND json_valid({content}))"
-    return (f"CASE WHEN {ok} THEN json_extract_string({content}, '$.trait') END AS trait, "
-            f"CASE WHEN {ok} THEN json_extract_string({content}, '$.efo') END AS efo, "
-            f"CASE WHEN {ok} THEN json_extract_string({content}, '$.confidence') END AS confidence_raw, "
-            f"TRY_CAST(CASE WHEN {ok} THEN json_extract_string({content}, '$.confidence') END AS DOUBLE) "
-            f"AS confidence, coalesce({ok} AND (json_extract_string({content}, '$.trait') IS NOT NULL "
-            f"OR json_extract_string({content}, '$.efo') IS NOT NULL), false) AS parsed")
+    c = f"(CASE WHEN {ok} THEN {content} END)"   # never hand malformed text to the extractor
+    return (f"json_extract_string({c}, '$.trait') AS trait, "
+            f"json_extract_string({c}, '$.efo') AS efo, "
+            f"json_extract_string({c}, '$.confidence') AS confidence_raw, "
+            f"TRY_CAST(json_extract_string({c}, '$.confidence') AS DOUBLE) AS confidence, "
+            f"coalesce({ok} AND (json_extract_string({c}, '$.trait') IS NOT NULL "
+            f"OR json_extract_string({c}, '$.efo') IS NOT NULL), false) AS parsed")
 
 
 PARSED = f"""parsed AS (SELECT custom_id, {answer_cols('content')} FROM (
