@@ -22,6 +22,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Ship this module's code with the UDF (by value), so executors need no copy
+# of the package on their path.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass
+
 ROUND_DIGITS = 9
 _CELL_BUDGET = 4_000_000  # pairs * max_len cells per numpy chunk
 

@@ -28,6 +28,15 @@ from termlink.functions.text import whitespace_tokens
 
 ROUND = 9
 
+# the block scorer runs in Python workers: send this module by value
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover
+    pass
+
 
 # ---------------------------------------------------------------------------
 # embedding
