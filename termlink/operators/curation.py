@@ -88,12 +88,16 @@ def next_uncurated(selections: DataFrame, worklist: str = "worklist", key: str =
     pending = F.col("selected_efo").isNull()
     base = selections.select(F.col(worklist), F.col(key), pending.alias("__pend"),
                              F.floor(F.col(key) / F.lit(chunk)).alias("__chunk"))
-    after = Window.partitionBy(worklist, "__chunk").orderBy(key) \
-        .rowsBetween(1, Window.unboundedFollowing)
+    # "keys after me" as a running frame over the reversed order: Spark
+    # evaluates an unbounded-preceding frame incrementally, whereas a
+    # "1 following .. unbounded following" frame is recomputed per row.
+    after = Window.partitionBy(worklist, "__chunk").orderBy(F.col(key).desc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     inner = base.withColumn("__in", F.min(F.when(F.col("__pend"), F.col(key))).over(after))
     per_chunk = base.groupBy(worklist, "__chunk").agg(
         F.min(F.when(F.col("__pend"), F.col(key))).alias("__cmin"))
-    later = Window.partitionBy(worklist).orderBy("__chunk").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(worklist).orderBy(F.col("__chunk").desc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     first_all = Window.partitionBy(worklist)
     chunks = (per_chunk.withColumn("__later", F.min("__cmin").over(later))
               .withColumn("__first", F.min("__cmin").over(first_all)))

@@ -124,7 +124,7 @@ def jw_bounds(p: float, max_dist: float) -> tuple[float, float]:
     j = 1.0 - max_dist / (1.0 - 4.0 * p)
     k = 3.0 * j - 2.0
     if k <= 0.0:
-        raise ValueError("maxDist too loose for lossless pruning; use link_fuzzy_jw_bruteforce")
+        raise ValueError("maxDist too loose for lossless pruning (needs 3j - 2 > 0)")
     return 3.0 * j - 1.0, k
 
 
@@ -256,24 +256,6 @@ def link_fuzzy_jw(left: DataFrame, right: DataFrame, by: str, left_key: str, rig
     return attach_sides(best, left, right, left_key, right_key, suffixes, extra)
 
 
-def link_fuzzy_jw_bruteforce(left: DataFrame, right: DataFrame, by: str, left_key: str,
-                             right_key: str, suffixes: Sequence[str] = ("_1", "_2"),
-                             p: float = 0.1, max_dist: float = 0.05,
-                             half_transpositions: bool = True, keep_dist: bool = False) -> DataFrame:
-    """All distinct-string pairs scored (test oracle for the pruned path).
-
-    Quadratic by design — only for small fixtures and tests.
-    """
-    ls = left.select(F.col(by).alias("sl")).where(F.col("sl").isNotNull()).distinct()
-    rs = right.select(F.col(by).alias("sr")).where(F.col("sr").isNotNull()).distinct()
-    thr = round(max_dist, ROUND_DIGITS)
-    scored = (ls.crossJoin(rs).withColumn("d", jw_distance_col("sl", "sr", p, half_transpositions))
-              .where(F.col("d") <= F.lit(thr)))
-    best = best_per_left(scored, left, right, by, by, left_key, right_key)
-    extra = ["dist"] if keep_dist else []
-    return attach_sides(best, left, right, left_key, right_key, suffixes, extra)
-
-
 def jw_prune_stats(ls: DataFrame, rs: DataFrame, p: float, max_dist: float) -> dict:
     """Pair counts for the bench: all pairs vs pairs after pruning."""
     n_all = ls.count() * rs.count()
