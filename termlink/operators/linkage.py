@@ -198,8 +198,10 @@ def jw_candidates(ls: DataFrame, rs: DataFrame, p: float, max_dist: float,
     coef, k = jw_bounds(p, max_dist)
     L = ls.where(F.length("s") > 0).select("s", _band(F.length("s"), k).alias("band"))
     R = rs.where(F.length("s") > 0).select("s", _band(F.length("s"), k).alias("band"))
-    nl = {r["band"]: r["n"] for r in L.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
-    nr = {r["band"]: r["n"] for r in R.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
+    per_band = (L.select(F.lit(0).alias("side"), "band").unionAll(R.select(F.lit(1).alias("side"), "band"))
+                .groupBy("side", "band").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per band
+    nl = {r["band"]: r["n"] for r in per_band if r["side"] == 0}
+    nr = {r["band"]: r["n"] for r in per_band if r["side"] == 1}
     subs_l = {b: max(1, math.ceil(n / block_rows)) for b, n in nl.items()}
     subs_r = {b: max(1, math.ceil(n / block_rows)) for b, n in nr.items()}
 

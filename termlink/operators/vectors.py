@@ -51,13 +51,18 @@ def embed_terms_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = 64)
     """Mean-pooled one-hot hashing encoder, natively: ``(id, dim, val)`` for
     the non-zero dimensions, over the whole text of each *distinct* term.
 
-    Equal texts are embedded once (the smallest id represents the group).
+    Equal texts are embedded once, represented by their smallest id. Texts
+    never cross a shuffle: each row is tokenised where it is read, and
+    duplicates are found by grouping (md5, length) of the text — only ids,
+    digests and per-dimension counts are exchanged.
     """
-    terms = (df.where(F.col(text_col).isNotNull())
-             .groupBy(F.col(text_col).alias("__t")).agg(F.min(id_col).alias(id_col)))
-    toks = terms.select(id_col, F.explode(whitespace_tokens(F.col("__t"))).alias("tok"))
-    per_dim = toks.groupBy(id_col, hash_bucket(F.col("tok"), dim).alias("dim")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    rows = df.where(F.col(text_col).isNotNull())
+    reps = (rows.groupBy(F.md5(F.col(text_col)).alias("__h"), F.length(F.col(text_col)).alias("__n"))
+            .agg(F.min(id_col).alias(id_col)))
+    toks = rows.select(id_col, F.explode(whitespace_tokens(F.col(text_col))).alias("tok"))
+    per_dim = (toks.groupBy(id_col, hash_bucket(F.col("tok"), dim).alias("dim"))
+               .agg(F.count(F.lit(1)).alias("n"))          # map-side combined per document
+               .join(reps.select(id_col), id_col, "left_semi"))
     total = F.sum("n").over(Window.partitionBy(id_col))
     return per_dim.select(id_col, "dim", F.round(F.col("n") / total, ROUND).alias("val"))
 
@@ -77,8 +82,12 @@ def embed_terms(df: DataFrame, id_col: str, text_col: str,
     the native hashing encoder is used."""
     if encoder is None:
         return densify(embed_terms_sparse(df, id_col, text_col, dim), id_col, dim)
+    # one text per distinct (md5, length): partial aggregation keeps a single
+    # copy per map task, so only distinct texts reach the encoder tasks
     terms = (df.where(F.col(text_col).isNotNull())
-             .groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("id")))
+             .groupBy(F.md5(F.col(text_col)).alias("__h"), F.length(F.col(text_col)).alias("__n"))
+             .agg(F.min(id_col).alias("id"), F.min_by(F.col(text_col), F.col(id_col)).alias("text"))
+             .select("id", "text"))
     id_type = df.schema[id_col].dataType
 
     def run(batches):

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from termlink.fixtures import with_views
 from termlink.functions.text import BOILERPLATE_PATTERNS
-from termlink.operators.llm import PROMPT_TRAIT_TERM, SYSTEM_MESSAGE  # noqa: F401
+from termlink.operators.prompting import PROMPT_TRAIT_TERM, SYSTEM_MESSAGE  # noqa: F401
 from termlink.plans.cascade import DEFAULT_STAGES, Stage
 
 NL = "chr(10)"

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from termlink import fixtures as fx
 from termlink.functions.text import clean_ascii, clean_unicode, strip_boilerplate
 from termlink.operators import curation as cur
-from termlink.operators import llm
+from termlink.operators import prompting as llm
 from termlink.operators import profile as prof
 from termlink.operators import rows
 from termlink.operators import training as trn

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from termlink import fixtures as fx
 from termlink.operators import curation as cur
-from termlink.operators import llm
+from termlink.operators import prompting as llm
 from termlink.operators.rows import dense_row_index, dedupe_first, group_row_index
 from termlink.plans import registry as R
 
