@@ -392,6 +392,38 @@ def build() -> dict[str, str]:
                               "SELECT *, term_row % 100 AS efo_id, row_number() OVER (PARTITION BY trait_id, "
                               "term_row % 100 ORDER BY similarity DESC, term_row) AS rn FROM t) WHERE rn = 1")
 
+    def bucket(tok):
+        return f"CAST(CAST(('0x' || substr(md5({tok}), 1, 8)) AS BIGINT) % 64 AS BIGINT)"
+
+    def vec_ctes(name, src, id_col, text_col):
+        return (f"{name}_rep AS (SELECT {text_col} AS txt, min({id_col}) AS rep FROM {src} "
+                f"WHERE {text_col} IS NOT NULL GROUP BY {text_col}),\n"
+                f"{name}_dim AS (SELECT rep, {bucket('tok')} AS dim, count(*) AS n FROM (SELECT rep, "
+                f"unnest(regexp_split_to_array(txt, '\\s+')) AS tok FROM {name}_rep) WHERE tok <> '' "
+                f"GROUP BY 1, 2),\n"
+                f"{name}_vec AS (SELECT rep, dim, round(n / sum(n) OVER (PARTITION BY rep), 9) AS v "
+                f"FROM {name}_dim),\n"
+                f"{name}_nrm AS (SELECT rep, sqrt(sum(v * v)) AS nrm FROM {name}_vec GROUP BY rep)")
+
+    st = ("st0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY doc_id) AS rn "
+          "FROM studies WHERE data_type = 'phenotype' AND source <> 'ebi_catalog') WHERE rn = 1),\n"
+          "st AS (SELECT *, " + _strip_sql("trait") + " AS trait_clean FROM st0 s WHERE trait IS NOT NULL "
+          "AND NOT EXISTS (SELECT 1 FROM ignore_names i WHERE i.study_name = s.study_name))")
+    o["map_traits_to_terms"] = _w(
+        f"WITH {st},\n{vec_ctes('t', 'st', 'doc_id', 'trait_clean')},\n{vec_ctes('o', 'onto', 'id', 'term')},\n"
+        "dots AS (SELECT t.rep AS trep, o.rep AS orep, sum(t.v * o.v) AS dot FROM t_vec t JOIN o_vec o "
+        "USING (dim) GROUP BY 1, 2),\n"
+        "terms AS (SELECT onto.id, onto.term, r.rep AS orep FROM onto JOIN o_rep r ON r.txt = onto.term),\n"
+        "sims AS (SELECT tn.rep AS trep, terms.id AS efo_id, terms.term AS efo, round(CASE WHEN tn.nrm = 0 "
+        "OR onm.nrm = 0 THEN 0.0 ELSE coalesce(d.dot, 0.0) / (tn.nrm * onm.nrm) END, 9) AS similarity "
+        "FROM t_nrm tn JOIN terms ON true JOIN o_nrm onm ON onm.rep = terms.orep "
+        "LEFT JOIN dots d ON d.trep = tn.rep AND d.orep = terms.orep),\n"
+        "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trep ORDER BY similarity DESC, "
+        "efo_id) AS rank FROM sims) WHERE rank <= 20)\n"
+        "SELECT st.study_name AS trait_id, st.trait, top.efo, top.efo_id, top.similarity, top.rank "
+        "FROM st JOIN t_rep r ON r.txt = st.trait_clean JOIN top ON top.trep = r.rep",
+        "studies", "ignore_names", "onto")
+
     # 2.6 LLM
     o["candidate_bullets"] = _w(f"WITH {BULLETS}\nSELECT trait, bullets FROM bullets", "cand")
     o["build_prompts"] = _w(f"WITH {BULLETS}, {PROMPTS}\nSELECT trait, first_id, prompt FROM prompts", "cand")

@@ -24,6 +24,7 @@ from termlink.operators import vectors as vec
 from termlink.operators.jaccard import link_weighted_jaccard
 from termlink.operators.linkage import link_exact, link_fuzzy_jw, residual_anti
 from termlink.plans.cascade import link_cascade, link_many_sources, link_rare_rare
+from termlink.plans.mapping import map_traits_to_terms
 from termlink.session import staging_path
 from termlink.sources import files as io
 from termlink.streaming.selection import latest_selection_stream
@@ -328,6 +329,12 @@ def q_dedupe_candidates(spark, sf):
     return vec.dedupe_candidates(c, ("trait_id", "efo_id"), "similarity", "term_row")
 
 
+def q_map_traits_to_terms(spark, sf):
+    """The embedding route end to end (studies → cleaned traits → top-20 terms)."""
+    return map_traits_to_terms(fx.studies(spark, sf), fx.ignore_names(spark, sf), fx.onto(spark, sf),
+                               k=TOPK_TERMS)
+
+
 # ---------------------------------------------------------------------------
 # 2.6 LLM batches and answers
 # ---------------------------------------------------------------------------
