@@ -31,9 +31,25 @@ HEADLINE = [
     "rank_options",
     "latest_selection",
     "next_uncurated",
+    "map_traits_to_terms",     # embedding route end to end
 ]
 
 
+def prune_stats(spark, sf_dir):
+    """Fuzzy-join candidate pruning on the cleaned traits (not timed)."""
+    from pyspark.sql import functions as F
+
+    from termlink.operators.linkage import jw_candidates
+    from termlink.plans import registry as R
+    left = R._with_trait2(R._rare_left(spark, sf_dir)).select(F.col("trait2").alias("s")).distinct()
+    right = R._with_trait2(R._common_right(spark, sf_dir)).select(F.col("trait2").alias("s")).distinct()
+    n_all = left.count() * right.count()
+    out = {"pairs_all": n_all}
+    for p in (0.1, 0.15):
+        out[f"pairs_kept_p{p}"] = jw_candidates(left, right, p, 0.05).count()
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -44,16 +60,16 @@ def main() -> None:
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus)
     spark.range(1000).selectExpr("sum(id)").collect()   # JVM warm-up, not timed
     times: dict[str, float] = {}
-    rows: dict[str, int] = {}
     for name in names:
         t0 = time.perf_counter()
         df = QUERIES[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
-        rows[name] = None
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     out = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": sf, "cpus": cpus}
+    if os.environ.get("BENCH_PRUNE", "1") == "1":
+        out["fuzzy_pruning"] = prune_stats(spark, sf_dir)
     print(json.dumps(out))
     spark.stop()
 
