@@ -210,14 +210,14 @@ def jw_candidates(ls: DataFrame, rs: DataFrame, p: float, max_dist: float,
             if subs else F.create_map().cast("map<int,int>")
 
     def cells(df, own_subs, other_subs, own_first):
-        own = F.pmod(F.xxhash64("s"), F.coalesce(sub_map(own_subs)[F.col("band")], F.lit(1)))
+        own = F.pmod(F.xxhash64("s"), F.coalesce(F.try_element_at(sub_map(own_subs), F.col("band")), F.lit(1)))
         tagged = df.withColumn("own_sub", own.cast("int"))
         # partner bands: b-1, b, b+1, each with its number of blocks
         partner = F.explode(F.filter(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)),
                                                  lambda d: F.col("band") + d),
-                                     lambda b: F.coalesce(sub_map(other_subs)[b], F.lit(0)) > 0))
+                                     lambda b: F.coalesce(F.try_element_at(sub_map(other_subs), b), F.lit(0)) > 0))
         t = tagged.withColumn("pband", partner)
-        t = t.withColumn("psub", F.explode(F.sequence(F.lit(0), sub_map(other_subs)[F.col("pband")] - 1)))
+        t = t.withColumn("psub", F.explode(F.sequence(F.lit(0), F.try_element_at(sub_map(other_subs), F.col("pband")) - 1)))
         if own_first:
             return t.select(F.col("band").alias("bl"), F.col("own_sub").alias("ul"),
                             F.col("pband").alias("br"), F.col("psub").alias("ur"), "s")

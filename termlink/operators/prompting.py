@@ -121,7 +121,8 @@ def parse_llm_response(lines: DataFrame, value: str = "value") -> DataFrame:
     confidence). Two ``from_json`` passes: the envelope, then the answer text
     inside it. Unparseable content gives null fields (PERMISSIVE)."""
     env = F.from_json(F.col(value), ENVELOPE_SCHEMA)
-    content = env["response"]["body"]["choices"].getItem(0)["message"]["content"]
+    first = F.try_element_at(env["response"]["body"]["choices"], F.lit(1))   # null if no choice
+    content = first["message"]["content"]
     parsed = lines.where(F.length(F.col(value)) > 0).select(
         env["custom_id"].alias("custom_id"), content.alias("content"))
     return _answer_columns(parsed, "content")

@@ -71,7 +71,7 @@ def densify(sparse: DataFrame, id_col: str, dim: int) -> DataFrame:
     """(id, dim, val) → (id, vec array<double>) — groups have at most ``dim`` rows."""
     m = sparse.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("dim", "val"))).alias("m"))
     return m.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                        lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vec"))
+                                        lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0))).alias("vec"))
 
 
 def embed_terms(df: DataFrame, id_col: str, text_col: str,
