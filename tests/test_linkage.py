@@ -134,3 +134,14 @@ def test_result_invariant_to_partition_count(spark):
     key = ["study_name_rare"]
     pd.testing.assert_frame_equal(a.sort_values(key).reset_index(drop=True)[sorted(a.columns)],
                                   b.sort_values(key).reset_index(drop=True)[sorted(b.columns)])
+
+
+def test_dedupe_before_ignore_order(spark):
+    """FIXTURES.md: dedupe → ignore keeps 462 rows at sf0.01, ignore → dedupe 463."""
+    from termlink import fixtures as fx
+    from termlink.operators.rows import dedupe_first, exclude_ignored, filter_phenotype
+    from termlink.plans.mapping import prepare_traits
+    st, ig = fx.studies(spark, SF_MID), fx.ignore_names(spark, SF_MID)
+    assert prepare_traits(st, ig).count() == 462
+    other = dedupe_first(exclude_ignored(filter_phenotype(st), ig), "trait", "doc_id")
+    assert other.count() == 463
