@@ -75,12 +75,15 @@ def densify(sparse: DataFrame, id_col: str, dim: int) -> DataFrame:
 
 
 def embed_terms(df: DataFrame, id_col: str, text_col: str,
-                encoder: Callable[[pd.Series], np.ndarray] | None = None, dim: int = 64) -> DataFrame:
+                encoder: Callable[[pd.Series], np.ndarray] | None = None, dim: int = 64,
+                encoder_factory: Callable[[], Callable[[pd.Series], np.ndarray]] | None = None
+                ) -> DataFrame:
     """One vector per distinct term. ``encoder`` maps a batch of texts to an
-    (n, dim) array and is called once per Arrow batch inside ``mapInPandas``
-    (so a model is loaded once per task, not per row). Without an encoder
-    the native hashing encoder is used."""
-    if encoder is None:
+    (n, dim) array and is called once per Arrow batch inside ``mapInPandas``.
+    ``encoder_factory`` instead builds the encoder (e.g. loads a model) once
+    per task, before the task's first batch. Without either, the native
+    hashing encoder is used."""
+    if encoder is None and encoder_factory is None:
         return densify(embed_terms_sparse(df, id_col, text_col, dim), id_col, dim)
     # one text per distinct (md5, length): partial aggregation keeps a single
     # copy per map task, so only distinct texts reach the encoder tasks
@@ -91,8 +94,9 @@ def embed_terms(df: DataFrame, id_col: str, text_col: str,
     id_type = df.schema[id_col].dataType
 
     def run(batches):
+        enc = encoder_factory() if encoder_factory is not None else encoder
         for pdf in batches:
-            vecs = np.asarray(encoder(pdf["text"]), dtype=np.float64)
+            vecs = np.asarray(enc(pdf["text"]), dtype=np.float64)
             yield pd.DataFrame({"id": pdf["id"].values, "vec": list(vecs)})
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("vec", T.ArrayType(T.DoubleType()))])

@@ -40,3 +40,5 @@ def test_embedding_rows_sum_to_one_and_custom_encoder(spark):
         return np.stack([[len(t), t.count(" ")] for t in texts]).astype(float)
     out = embed_terms(d.limit(5), "doc_id", "text", encoder=enc).collect()
     assert len(out) == 5 and all(len(r.vec) == 2 for r in out)
+    out2 = embed_terms(d.limit(5), "doc_id", "text", encoder_factory=lambda: enc).collect()
+    assert sorted((r.doc_id, list(r.vec)) for r in out2) == sorted((r.doc_id, list(r.vec)) for r in out)
