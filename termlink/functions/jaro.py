@@ -92,13 +92,15 @@ def _jaro_chunk(a: list[str], b: list[str], half: bool) -> tuple[np.ndarray, np.
     return jaro, pref
 
 
-def jaro_winkler_distance(a, b, p: float = 0.1, half_transpositions: bool = True,
-                          digits: int | None = ROUND_DIGITS) -> np.ndarray:
-    """Distance for aligned sequences ``a``/``b`` of strings (None → NaN)."""
+def jaro_parts(a, b, half_transpositions: bool = True):
+    """(jaro, common prefix <= 4, equal, valid) arrays for aligned string
+    sequences; one Jaro pass, reusable for any prefix weight."""
     a = list(a)
     b = list(b)
     n = len(a)
-    out = np.full(n, np.nan)
+    jaro = np.zeros(n)
+    pref = np.zeros(n, dtype=np.int64)
+    same = np.zeros(n, dtype=bool)
     ok = np.array([x is not None and y is not None for x, y in zip(a, b)], dtype=bool)
     idx = np.nonzero(ok)[0]
     if idx.size:
@@ -113,15 +115,26 @@ def jaro_winkler_distance(a, b, p: float = 0.1, half_transpositions: bool = True
                     len(a[order[stop]]), len(b[order[stop]]), w) <= _CELL_BUDGET:
                 stop += 1
             sel = order[start:stop]
-            jaro, pref = _jaro_chunk([a[i] for i in sel], [b[i] for i in sel], half_transpositions)
-            d = (1.0 - jaro) * (1.0 - p * pref)
-            same = np.array([a[i] == b[i] for i in sel], dtype=bool)
-            d[same] = 0.0
-            out[sel] = d
+            j, pr = _jaro_chunk([a[i] for i in sel], [b[i] for i in sel], half_transpositions)
+            jaro[sel] = j
+            pref[sel] = pr
+            same[sel] = np.array([a[i] == b[i] for i in sel], dtype=bool)
             start = stop
-    if digits is not None:
-        out = np.round(out, digits)
-    return out
+    return jaro, pref, same, ok
+
+
+def _distance(parts, p: float, digits: int | None) -> np.ndarray:
+    jaro, pref, same, ok = parts
+    d = (1.0 - jaro) * (1.0 - p * pref)
+    d[same] = 0.0
+    d[~ok] = np.nan
+    return np.round(d, digits) if digits is not None else d
+
+
+def jaro_winkler_distance(a, b, p: float = 0.1, half_transpositions: bool = True,
+                          digits: int | None = ROUND_DIGITS) -> np.ndarray:
+    """Distance for aligned sequences ``a``/``b`` of strings (None → NaN)."""
+    return _distance(jaro_parts(a, b, half_transpositions), p, digits)
 
 
 def jaro_similarity(a, b, half_transpositions: bool = True) -> np.ndarray:
@@ -144,3 +157,23 @@ def jw_distance_col(a, b, p: float = 0.1, half_transpositions: bool = True) -> C
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
     return _jw(a, b)
+
+
+def jw_distances_col(a, b, ps, half_transpositions: bool = True) -> Column:
+    """Distances for several prefix weights from one Jaro pass: array<double>
+    aligned with ``ps`` (lets stages that differ only in ``p`` share scoring)."""
+    ps = [float(p) for p in ps]
+    if any(not 0.0 <= p <= 0.25 for p in ps):
+        raise ValueError("prefix weight p must lie in [0, 0.25]")
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def _jws(x: pd.Series, y: pd.Series) -> pd.Series:
+        xs = [v if isinstance(v, str) else None for v in x]
+        ys = [v if isinstance(v, str) else None for v in y]
+        parts = jaro_parts(xs, ys, half_transpositions)
+        cols = np.stack([_distance(parts, p, ROUND_DIGITS) for p in ps], axis=1)
+        return pd.Series(list(cols), dtype=object)
+
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    return _jws(a, b)

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termlink.functions.jaro import ROUND_DIGITS, jw_distance_col
+from termlink.functions.jaro import ROUND_DIGITS, jw_distance_col, jw_distances_col
 
 _EPS = 1e-9
 
@@ -258,6 +258,34 @@ def link_fuzzy_jw(left: DataFrame, right: DataFrame, by: str, left_key: str, rig
     return attach_sides(best, left, right, left_key, right_key, suffixes, extra)
 
 
+def jw_scored_pairs(left: DataFrame, right: DataFrame, by: str, settings, by_right: str | None = None,
+                    half_transpositions: bool = True) -> DataFrame:
+    """Score distinct string pairs once for several (p, maxDist) settings →
+    (sl, sr, ds) with ``ds[i]`` the distance under ``settings[i]``.
+
+    Candidates use the loosest bound (largest p and maxDist), which contains
+    the candidates of every setting; stages that differ only in settings (or
+    run on a subset of the left rows) can share the result."""
+    by_right = by_right or by
+    ps = [float(p) for p, _ in settings]
+    p_loose, d_loose = max(ps), max(float(d) for _, d in settings)
+    ls = left.select(F.col(by).alias("s")).where(F.col("s").isNotNull()).distinct()
+    rs = right.select(F.col(by_right).alias("s")).where(F.col("s").isNotNull()).distinct()
+    return (jw_candidates(ls, rs, p_loose, d_loose)
+            .withColumn("ds", jw_distances_col("sl", "sr", ps, half_transpositions)))
+
+
+def link_from_scored(scored: DataFrame, index: int, max_dist: float, left: DataFrame,
+                     right: DataFrame, by: str, left_key: str, right_key: str,
+                     suffixes: Sequence[str] = ("_1", "_2"), by_right: str | None = None,
+                     keep_dist: bool = False) -> DataFrame:
+    """Best-1 linkage of ``left`` rows from shared scored pairs (setting ``index``)."""
+    pairs = (scored.select("sl", "sr", F.try_element_at("ds", F.lit(index + 1)).alias("d"))
+             .where(F.col("d") <= F.lit(round(max_dist, ROUND_DIGITS))))
+    best = best_per_left(pairs, left, right, by, by_right or by, left_key, right_key)
+    return attach_sides(best, left, right, left_key, right_key, suffixes, ["dist"] if keep_dist else [])
+
+
 def jw_prune_stats(ls: DataFrame, rs: DataFrame, p: float, max_dist: float) -> dict:
     """Pair counts for the bench: all pairs vs pairs after pruning."""
     n_all = ls.count() * rs.count()
