@@ -351,6 +351,12 @@ def build() -> dict[str, str]:
         pairs, "l", "r", "study_name_rare", "study_name_common", ["trait", "source", "trait2"],
         ["trait", "source", "trait2"], ("_rare", "_common"), "m.dist"), "studies")
 
+    docs = (f"dl AS (SELECT doc_id AS doc_id_left, {trait2_sql('text')} AS text_clean FROM documents "
+            f"WHERE doc_id % 4 <> 1), dr AS (SELECT doc_id AS doc_id_right, {trait2_sql('text')} AS text_clean "
+            f"FROM documents WHERE doc_id % 4 = 1)")
+    o["link_weighted_jaccard_docs"] = (f"WITH {docs}\n" + best_wjac_sql(
+        "dl", "dr", "doc_id_left", "doc_id_right", "text_clean", 0.2, None))
+
     def lr0(sources, lk="study_name_rare", rk="study_name_common", right_sources=("common",),
             right_variant="common", extra=""):
         src = ", ".join(_q(s) for s in sources)

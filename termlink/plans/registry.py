@@ -275,6 +275,17 @@ def q_link_weighted_jaccard(spark, sf):
                                  ("_rare", "_common"), max_dist=0.2, block="source", keep_dist=True)
 
 
+def q_link_weighted_jaccard_docs(spark, sf):
+    """The same operator on whole documents: near-copies across two roles
+    (every document takes part: ``doc_id % 4 = 1`` on the right, the rest left)."""
+    d = fx.table(spark, sf, "documents").select("doc_id", clean_unicode(F.col("text")).alias("text_clean"))
+    left = d.where(F.col("doc_id") % 4 != 1).select(F.col("doc_id").alias("doc_id_left"), "text_clean")
+    right = d.where(F.col("doc_id") % 4 == 1).select(F.col("doc_id").alias("doc_id_right"), "text_clean")
+    m = link_weighted_jaccard(left, right, "text_clean", "doc_id_left", "doc_id_right", ("_l", "_r"),
+                              max_dist=0.2, keep_dist=True)
+    return m.select("doc_id_left", "doc_id_right", "dist")
+
+
 def q_link_cascade(spark, sf):
     return link_cascade(_rare_left(spark, sf, ("rare_a",)), _common_right(spark, sf),
                         "study_name_rare", "study_name_common", ("_rare", "_common"), block="source")
