@@ -12,12 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termlink.functions.text import ascii_title
+from termlink.session import spread_if_narrow
 
 TRAIT_CHARS = 60   # a study's trait label: the opening characters of a document
 
 
+# tables whose rows carry long texts that are cleaned / tokenised row by row
+_TEXT_TABLES = {"documents"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_if_narrow(df) if name in _TEXT_TABLES else df
 
 
 def _source(doc_id: Column) -> Column:

@@ -82,3 +82,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     loss, unlike ``localCheckpoint``) and return the truncated DataFrame."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Round-robin an input that arrives in fewer partitions than the session
+    can run at once (one small file, one row group) before CPU-heavy per-row
+    work. A scan of a large table already has more splits than cores, and is
+    returned unchanged — no extra shuffle at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
