@@ -19,6 +19,7 @@ HEADLINE = [
     "link_fuzzy_jw",
     "link_fuzzy_jw_p15",
     "link_weighted_jaccard",
+    "link_weighted_jaccard_docs",  # same operator on whole documents
     "link_exact",
     "topk_candidates",
     "dedupe_candidates",
