@@ -55,7 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Uses ``spark.checkpoint.dir`` when the cluster sets it. Only when it is
     unset *and* the master is local (tests, bench) is a scratch folder made.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: the server owns the checkpoint folder
+        return spark.conf.get(CHECKPOINT_CONF, None) or ""
     path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not path:
         current = sc.getCheckpointDir()
@@ -89,5 +92,9 @@ def spread_if_narrow(df: DataFrame) -> DataFrame:
     can run at once (one small file, one row group) before CPU-heavy per-row
     work. A scan of a large table already has more splits than cores, and is
     returned unchanged — no extra shuffle at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < target
+    except Exception:  # no RDD view (e.g. a remote session): leave the plan as is
+        return df
+    return df.repartition(target) if narrow else df
