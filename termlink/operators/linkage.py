@@ -284,11 +284,3 @@ def link_from_scored(scored: DataFrame, index: int, max_dist: float, left: DataF
              .where(F.col("d") <= F.lit(round(max_dist, ROUND_DIGITS))))
     best = best_per_left(pairs, left, right, by, by_right or by, left_key, right_key)
     return attach_sides(best, left, right, left_key, right_key, suffixes, ["dist"] if keep_dist else [])
-
-
-def jw_prune_stats(ls: DataFrame, rs: DataFrame, p: float, max_dist: float) -> dict:
-    """Pair counts for the bench: all pairs vs pairs after pruning."""
-    n_all = ls.count() * rs.count()
-    n_c = jw_candidates(ls, rs, p, max_dist).count()
-    return {"pairs_all": n_all, "pairs_pruned": n_c,
-            "kept_fraction": (n_c / n_all) if n_all else math.nan}

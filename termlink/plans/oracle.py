@@ -16,8 +16,8 @@ from __future__ import annotations
 
 from termlink.fixtures import with_views
 from termlink.functions.text import BOILERPLATE_PATTERNS
-from termlink.operators.prompting import PROMPT_TRAIT_TERM, SYSTEM_MESSAGE  # noqa: F401
-from termlink.plans.cascade import DEFAULT_STAGES, Stage
+from termlink.operators.prompting import PROMPT_TRAIT_TERM
+from termlink.plans.cascade import DEFAULT_STAGES
 
 NL = "chr(10)"
 
@@ -178,10 +178,6 @@ def cascade_sql(left_cte: str, right_cte: str, lk: str, rk: str, cols, sfx,
     return "WITH " + ",\n".join(ctes) + "\n" + sel
 
 
-def _stage_list() -> tuple[Stage, ...]:
-    return DEFAULT_STAGES
-
-
 # ---------------------------------------------------------------------------
 # prompts / answers
 # ---------------------------------------------------------------------------
