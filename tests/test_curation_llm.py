@@ -78,3 +78,13 @@ def test_token_cost_constants(spark):
     prompts = spark.range(19553).select(F.lit("x").alias("prompt"))
     r = llm.token_cost(prompts, input_tokens_estimate=500).collect()[0]
     assert abs(r.input_cost - 12.220625) < 1e-9 and abs(r.output_cost - 2.93295) < 1e-9
+
+
+def test_all_prompt_wordings_interpolate(spark):
+    cand = spark.createDataFrame([(1, "asthma", "a", 10, 0.9), (1, "asthma", "b", 11, 0.5)],
+                                 "trait_id long, trait string, efo string, efo_id long, similarity double")
+    for template in (llm.PROMPT_TRAIT_TERM, llm.PROMPT_TRAIT_TRAIT, llm.PROMPT_LOCAL):
+        p = llm.build_prompts(cand, template).collect()[0].prompt
+        assert p.count('"asthma"') >= 2          # the trait, also inside the JSON example
+        assert "- a\n- b" in p
+        assert "{{" not in p and "{trait}" not in p and "{bullets}" not in p
