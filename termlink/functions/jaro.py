@@ -2,7 +2,7 @@
 
 Spark has no Jaro function, so this is the one scorer that runs in Python.
 It is applied only to candidate pairs that survived the native pruning of
-:mod:`termlink.operators.fuzzy`, one Arrow batch at a time; inside a batch the
+:mod:`termlink.operators.linkage`, one Arrow batch at a time; inside a batch the
 pairs are scored together with numpy (one pass per character position, not
 per pair).
 
