@@ -145,3 +145,22 @@ def test_dedupe_before_ignore_order(spark):
     assert prepare_traits(st, ig).count() == 462
     other = dedupe_first(exclude_ignored(filter_phenotype(st), ig), "trait", "doc_id")
     assert other.count() == 463
+
+
+def test_cascade_with_empty_right_side_is_empty(spark):
+    """A source with no rows on the right gives an empty result, no error."""
+    from termlink.plans.cascade import link_many_sources
+    st = R._pheno(spark, SF_SMALL)
+    out = link_many_sources(st, ["rare_a", "rare_b"], "no_such_source")
+    assert out.count() == 0
+    assert "match_type" in out.columns
+
+
+def test_weighted_jaccard_empty_inputs(spark):
+    left = R._with_trait2(R._rare_left(spark, SF_SMALL))
+    right = R._with_trait2(R._common_right(spark, SF_SMALL))
+    none = right.where(F.lit(False))
+    assert link_weighted_jaccard(left, none, "trait2", "study_name_rare", "study_name_common",
+                                 block="source").count() == 0
+    assert link_weighted_jaccard(left.where(F.lit(False)), right, "trait2", "study_name_rare",
+                                 "study_name_common").count() == 0

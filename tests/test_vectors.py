@@ -42,3 +42,10 @@ def test_embedding_rows_sum_to_one_and_custom_encoder(spark):
     assert len(out) == 5 and all(len(r.vec) == 2 for r in out)
     out2 = embed_terms(d.limit(5), "doc_id", "text", encoder_factory=lambda: enc).collect()
     assert sorted((r.doc_id, list(r.vec)) for r in out2) == sorted((r.doc_id, list(r.vec)) for r in out)
+
+
+def test_topk_with_empty_side(spark):
+    a = fx.traits_vec(spark, SF_SMALL)
+    empty = fx.onto_vec(spark, SF_SMALL).where(F.lit(False))
+    assert topk_cosine(a, empty, 5).count() == 0
+    assert topk_cosine(empty, a, 5).count() == 0
