@@ -88,3 +88,14 @@ def test_all_prompt_wordings_interpolate(spark):
         assert p.count('"asthma"') >= 2          # the trait, also inside the JSON example
         assert "- a\n- b" in p
         assert "{{" not in p and "{trait}" not in p and "{bullets}" not in p
+
+
+def test_group_index_null_group_and_anti_join_keeps_nulls(spark):
+    from termlink.operators.rows import exclude_ignored
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "g string, v long")
+    out = {(r.g, r.v): r.rn for r in group_row_index(df, ["g"], ["v"], "rn", start=1).collect()}
+    assert out == {(None, 1): 1, (None, 3): 2, ("a", 2): 1}
+    names = spark.createDataFrame([("S1",), (None,), ("S2",)], "study_name string")
+    ignore = spark.createDataFrame([("S2",), (None,)], "study_name string")
+    kept = sorted((r.study_name or "") for r in exclude_ignored(names, ignore).collect())
+    assert kept == ["", "S1"]          # the null name stays, S2 goes
