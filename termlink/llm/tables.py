@@ -13,7 +13,7 @@ from termlink.session import staging_path
 
 #: Most rows in one Arrow batch of whole texts.  Bounds the memory of a Python
 #: worker; has no influence on results.
-TEXT_BATCH_ROWS = 2000
+TEXT_BATCH_ROWS = 1000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
