@@ -73,7 +73,7 @@ def _same_interval(distance: float, width: float) -> float:
 
 
 def calibrate(n: int, threshold: float, sure_at: float = 0.95, recall: float = 0.999, width: float = 2.0,
-              counted: int = 12, reach: float = 2.0, company: int = 32) -> Plan:
+              counted: int = 12, reach: float = 2.0, company: int = 256) -> Plan:
     """The plan for ``n`` vectors: cells fine enough that a vector has about ``company`` others in
     its cell by chance, and as many tables as the recall asks for."""
     far = _same_interval(math.sqrt(2), width)
