@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,9 +59,12 @@ _BLOCK = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr "
     "ul title head".split())
 _RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "noembed", "noframes", "xmp")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
+#: Raw elements that hold the rest of the page if they aren't closed.
+_SWALLOWS = frozenset("script style textarea title xmp".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _DROPPED = frozenset("head nav footer aside form menu dialog select button option fieldset".split())
 _ARTICLE = frozenset("article main".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINERS = _DROPPED | _ARTICLE | frozenset("header section div ul ol table figure body p".split())
 _BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments "
@@ -70,7 +74,10 @@ _BAD_NAMES = frozenset(
     "topbar widget widgets".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+# possessive and without "<" outside quotes, so that broken tags cost no more than their length
+_MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"""
+    r"""|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*"|'[^']*'|[^'"<>])*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""", re.S)
 _HINT = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|$|["'])""", re.I | re.S)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
@@ -102,7 +109,10 @@ def blocks(page: str) -> Iterator[Block]:
     """``(text, link characters, heading, bad container, article)`` of each block that has text."""
     held: list[str] = []
     linked: list[str] = []
-    open_tags: list[tuple[str, bool]] = []      # containers, and whether they are bad
+    # open containers: tag, whether it or one around it is bad, the same for being in an article
+    stack: list[tuple[str, bool, bool]] = []
+    depth: Counter[str] = Counter()
+    endless: set[str] = set()       # raw elements that don't end any more
     heading = False
     links = at = 0
 
@@ -110,8 +120,7 @@ def blocks(page: str) -> Iterator[Block]:
         nonlocal heading
         text = _SPACE.sub(" ", "".join(held)).strip()
         if text:
-            bad = any(b for _, b in open_tags)
-            article = any(n in _ARTICLE for n, _ in open_tags)
+            _, bad, article = stack[-1] if stack else ("", False, False)
             yield text, len(_SPACE.sub(" ", "".join(linked)).strip()), heading, bad, article
         held.clear()
         linked.clear()
@@ -124,6 +133,9 @@ def blocks(page: str) -> Iterator[Block]:
             if links:
                 linked.append(text)
 
+    def pop() -> None:
+        depth[stack.pop()[0]] -= 1
+
     n = len(page)
     while at < n:
         m = _MARKUP.search(page, at)
@@ -134,15 +146,19 @@ def blocks(page: str) -> Iterator[Block]:
         at = m.end()
         if m[0].startswith("<![CDATA["):
             held.append(m[0][9:].removesuffix("]]>"))
-        if m[2] is None:
+        name = m[2] or m[5]
+        if name is None:
             continue
-        closing, tag, attributes = bool(m[1]), m[2].lower(), m[3]
+        closing, tag, attributes = bool(m[1] or m[4]), name.lower(), (m[3] if m[2] else m[6])
         if tag in _RAW and not closing:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at) if not attributes.endswith("/") else None
-            if end:
-                at = end.end()
-            elif tag in ("script", "style", "textarea", "title", "xmp"):
-                at = n if not attributes.endswith("/") else at
+            if not attributes.endswith("/") and tag not in endless:
+                end = _RAW_END[tag].search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(tag)
+            if tag in endless and tag in _SWALLOWS:
+                break
             continue
         if tag == "a":
             links = 0 if closing else 1
@@ -155,26 +171,27 @@ def blocks(page: str) -> Iterator[Block]:
         yield from flush()
         links = 0
         if closing:
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] == tag:
-                    del open_tags[i:]
-                    break
+            if depth[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
             continue
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if tag in _HEADINGS:
             heading = True
         if tag in _ARTICLE or tag == "body":
             # navigation and the like that was left open doesn't swallow the article
-            while open_tags and open_tags[-1][0] in _DROPPED | {"header", "ul", "ol", "p"}:
-                open_tags.pop()
-        if tag in _CONTAINERS and tag not in _VOID and not attributes.endswith("/"):
-            if tag == "p" and open_tags and open_tags[-1][0] == "p":
-                open_tags.pop()
-            inside = any(name in _ARTICLE for name, _ in open_tags)
+            while stack and stack[-1][0] in _DROPPED | {"header", "ul", "ol", "p"}:
+                pop()
+        if tag in _CONTAINERS and not attributes.endswith("/"):
+            if tag == "p" and stack and stack[-1][0] == "p":
+                pop()
+            _, around, inside = stack[-1] if stack else ("", False, False)
             bad = tag in _DROPPED or tag == "header" and not inside or tag not in _ARTICLE and tag != "body" and _announces(attributes, inside)
             # comments are often articles inside an article
-            if tag == "article" and (any(b for _, b in open_tags) or inside and _announces(attributes, False)):
+            if tag == "article" and inside and _announces(attributes, False):
                 bad = True
-            open_tags.append((tag, bad))
+            stack.append((tag, around or bad, inside or tag in _ARTICLE))
+            depth[tag] += 1
     yield from flush()
 
 
