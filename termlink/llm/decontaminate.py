@@ -229,7 +229,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` without a hit.  Rows with an equal id are kept or
     dropped together; so are those with a null id."""
-    _, spans, _ = (found := hits(docs, benchmark, id_col=id_col, **options))
-    bad = (found[0].join(spans.select("row").distinct(), "row", "left_semi")
-           .select(F.col("doc_id").alias("bad_id")).distinct())
+    base, spans, _ = hits(docs, benchmark, id_col=id_col, **options)
+    # a written list of ids: Spark broadcasts it if it is small, and joins it if not
+    bad = staged(base.join(spans.select("row").distinct(), "row", "left_semi")
+                 .select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
     return docs.join(bad, docs[id_col].eqNullSafe(bad.bad_id), "left_anti")

@@ -167,10 +167,11 @@ def split_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0,
-        n_shards: int = 64, block_words: int = 64, whole_documents: bool = False, seed: int = 42,
+        n_shards: int | None = None, shard_words: int = 1 << 22, block_words: int = 64, whole_documents: bool = False, seed: int = 42,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
     """Mix ``docs`` (see the module's text).  The sources in order of code points,
-    null last, have ``weights`` in turn.  whole_documents: a document copy
+    null last, have ``weights`` in turn.  n_shards: a power of two; if None, the least
+    that keeps shards to about ``shard_words`` words.  whole_documents: a document copy
     that spans shards goes to the one it begins in as a whole, and a pass takes
     whole documents (the nearest cut), at the price of exact block counts."""
     d = staged(docs.select(
@@ -209,6 +210,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
         .drop("bucket", "b0", "w0", "first_word", "rest"), "mix-order")
 
     totals = (placed.groupBy("rank").agg((F.first("passes") * F.first("pass_blocks") + F.sum("extra")).alias("blocks")))
+    if n_shards is None:
+        words = block_words * (totals.agg(F.sum("blocks")).first()[0] or 0)
+        n_shards = 1 << max(0, -(-words // shard_words) - 1).bit_length()
     quotas = staged(split_quotas(totals, n_shards, seed), "mix-quotas")
     by_shard = W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     runs = (quotas.where("blocks > 0").join(totals.withColumnRenamed("blocks", "quota"), "rank")
@@ -257,17 +261,35 @@ def taken(m: Mix) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: the columns of ``docs`` and shard, slot, copy, first_word,
-    end_word; the text is cut to its words [first_word, end_word) with their
-    white space.  Partitioned by shard and sorted by slot."""
+    """The mix itself: the columns of ``docs`` and, last, a struct ``drawn`` (with
+    underscores after it until no column has its name) of shard, slot, copy, first_word, end_word;
+    the text is cut to its words [first_word, end_word) with their white space.
+    Partitioned by shard and sorted by slot."""
+    drawn = "drawn"
+    while drawn in docs.columns:
+        drawn += "_"
     m = mix(docs, seed=seed, id_col=id_col, text_col=text_col, **options)
-    parts = m.parts.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "shard", "slot", "copy",
-                           "first_word", "end_word")
-    own = docs.withColumn("_hash", F.xxhash64(F.lit(seed), *docs.columns)).dropDuplicates([id_col, "_hash"])
+    parts = m.parts.select(F.struct("doc_id", "hash", "shard", "slot", "copy", "first_word", "end_word").alias(drawn))
+    hashed = F.xxhash64(F.lit(seed), *[docs[c] for c in docs.columns])
+
+    def same(df: DataFrame) -> Column:
+        return docs[id_col].eqNullSafe(df[drawn]["doc_id"]) & (hashed == df[drawn]["hash"])
+
+    own = docs
+    twice = staged(m.documents.groupBy("doc_id", "hash").count().where("count > 1").select(
+        F.struct("doc_id", "hash").alias(drawn)), "mix-repeated")
+    if not twice.isEmpty():
+        # the parts of equal rows find one of them
+        own = docs.join(twice, same(twice), "left_anti").unionByName(docs.join(twice, same(twice), "left_semi").dropDuplicates())
+        hashed = F.xxhash64(F.lit(seed), *[own[c] for c in docs.columns])
+        met = own.join(parts, own[id_col].eqNullSafe(parts[drawn]["doc_id"]) & (hashed == parts[drawn]["hash"]))
+    else:
+        met = docs.join(parts, same(parts))
+    part = F.col(drawn)
     words = F.regexp_extract_all(text_col, F.lit(rf"[\x20\x09-\x0D]*{_NON_SPACE}"), F.lit(0))
-    cut = F.when((F.col("first_word") == 0) & (F.col("end_word") >= n_words(F.col(text_col))), F.col(text_col)).otherwise(
-        F.array_join(F.slice(words, (F.col("first_word") + 1).cast("int"),
-                             (F.col("end_word") - F.col("first_word")).cast("int")), ""))
-    joined = own.join(parts, own[id_col].eqNullSafe(parts["_id"]) & (own["_hash"] == parts["_hash"]))
-    return (joined.withColumn(text_col, cut).select(*docs.columns, "shard", "slot", "copy", "first_word", "end_word")
-            .repartition("shard").sortWithinPartitions("shard", "slot"))
+    cut = F.when((part["first_word"] == 0) & (part["end_word"] >= n_words(F.col(text_col))), F.col(text_col)).otherwise(
+        F.array_join(F.slice(words, (part["first_word"] + 1).cast("int"),
+                             (part["end_word"] - part["first_word"]).cast("int")), ""))
+    return (met.withColumn(text_col, cut)
+            .withColumn(drawn, F.struct(*[part[c].alias(c) for c in ("shard", "slot", "copy", "first_word", "end_word")]))
+            .repartition(part["shard"]).sortWithinPartitions(part["shard"], part["slot"]))

@@ -140,11 +140,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
     """Rows of ``docs`` that are alone in their class or its smallest doc_id;
     of repeated rows with that id one stays.  Rows whose whole class has null
     ids all stay."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    found = staged(near_duplicates(docs, id_col=id_col, **options), "classes")
+    # written lists of ids: Spark broadcasts them if they are small, and joins them if not
+    gone = staged(found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
+    twice = staged(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+                   .select(F.col("doc_id").alias(id_col)), "repeated")
     kept = docs.join(gone, id_col, "left_anti")
-    twice = (kept.groupBy(id_col).count().where("count > 1")
-             .where(F.col(id_col).isNotNull()).select(id_col))
-    once = kept.join(twice, id_col, "left_anti")
-    again = kept.join(twice, id_col, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(again)
+    if twice.isEmpty():
+        return kept
+    again = docs.join(twice, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.join(twice, id_col, "left_anti").unionByName(again)
