@@ -38,6 +38,14 @@ from termlink.llm.tables import staged
 
 Rule = tuple[str, str, str]
 
+#: A node's figures are joined to its children under so many keys, so that the children of
+#: one node, a host with most of all pages, say, are spread over so many tasks.
+_SALTS = 32
+
+
+def _under_salts(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+
 
 def host_of(url: Column) -> Column:
     raw = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
@@ -75,7 +83,8 @@ def templates(paths: DataFrame, min_children: int = 8, min_share: float = 0.05,
         child = here.where("segment is not null").groupBy("host", "template", "segment").agg(
             *[F.sum(c).alias(c) for c in ("n", "n_labelled", "n_bad")])
         node = child.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.count("*").alias("children"))
-        child = child.join(node, ["host", "template"]).withColumn(
+        child = child.withColumn("salt", F.pmod(F.xxhash64("segment"), F.lit(_SALTS)).cast("int"))
+        child = child.join(_under_salts(node), ["host", "template", "salt"]).withColumn(
             "variable", F.when(F.col("segment").rlike("[0-9]"), F.col("children") > 1).otherwise(
                 (F.col("children") >= min_children) & (F.col("n") < min_share * F.col("all_n"))))
         kept = child.where(~F.col("variable")).groupBy("host", "template").agg(
@@ -85,7 +94,7 @@ def templates(paths: DataFrame, min_children: int = 8, min_share: float = 0.05,
         differs = (F.col("n_labelled") > 0) & (F.abs(F.col("n_bad") - rate * F.col("n_labelled")) > z * spread)
         token = (F.when(F.col("variable"), _shape(F.col("segment"))).when(differs, F.col("segment"))
                  .otherwise(F.lit("+")))
-        child = (child.join(kept, ["host", "template"], "left")
+        child = (child.join(_under_salts(kept), ["host", "template", "salt"], "left")
                  .select("host", "template", "segment", token.alias("token")))
         p = staged(
             here.join(child, ["host", "template", "segment"], "left")
