@@ -83,7 +83,8 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), page_labels(spark, sf_dir), URL_RULES)
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), page_labels(spark, sf_dir), URL_RULES)
+    return judged.withColumn("purity", F.round("purity", 9))
 
 
 QUERIES = {
@@ -98,5 +99,3 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filter": op10_url_filter,
 }
-
-ORACLE: dict[str, str] = {}
