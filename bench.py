@@ -38,17 +38,19 @@ HEADLINE = [
 
 
 def prune_stats(spark, sf_dir):
-    """Fuzzy-join candidate pruning on the cleaned traits (not timed)."""
+    """Pairs of cleaned traits that meet in a unit of the fuzzy join (not timed)."""
     from pyspark.sql import functions as F
 
-    from termlink.operators.linkage import jw_candidates
+    from termlink.operators.linkage import jw_units
     from termlink.plans import registry as R
     left = R._with_trait2(R._rare_left(spark, sf_dir)).select(F.col("trait2").alias("s")).distinct()
     right = R._with_trait2(R._common_right(spark, sf_dir)).select(F.col("trait2").alias("s")).distinct()
     n_all = left.count() * right.count()
     out = {"pairs_all": n_all}
     for p in (0.1, 0.15):
-        out[f"pairs_kept_p{p}"] = jw_candidates(left, right, p, 0.05).count()
+        units = jw_units(left, right, p, 0.05).groupBy("unit", "family").agg(
+            F.sum(1 - F.col("side")).alias("l"), F.sum("side").alias("r"))
+        out[f"pairs_compared_p{p}"] = units.agg(F.sum(F.col("l") * F.col("r"))).first()[0]
     return out
 
 

@@ -11,19 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlink.functions.text import ascii_title
-from termlink.session import spread_if_narrow
+#: Numbers reserved per document for its sentences' study ids.
+STUDY_ID_STEP = 1_000_000
 
-TRAIT_CHARS = 60   # a study's trait label: the opening characters of a document
 
-
-# tables whose rows carry long texts that are cleaned / tokenised row by row
-_TEXT_TABLES = {"documents"}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    """A given table. ``partitions``: deal its rows out anew before row-wise
+    work, for a table that lies in fewer splits than there are cores."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_if_narrow(df) if name in _TEXT_TABLES else df
+    return df.repartition(partitions) if partitions else df
 
 
 def _source(doc_id: Column) -> Column:
@@ -33,30 +29,35 @@ def _source(doc_id: Column) -> Column:
 
 
 def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.col("lang") == "en")
+    """One study per sentence of every document, in all languages: the trait is
+    the whole sentence; the document's number and the sentence's place in it
+    are the key."""
+    d = table(spark, sf_dir, "documents")
     src = _source(F.col("doc_id"))
-    return d.select(
-        F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("study_name"),
-        ascii_title(F.col("text"), TRAIT_CHARS).alias("trait"),
+    sentences = d.select("doc_id", "n_chars", F.posexplode(F.split("text", r"[.!?\n]+")).alias("pos", "part"))
+    s = sentences.select("doc_id", "n_chars", "pos", F.trim("part").alias("trait")).where(F.col("trait") != "")
+    return s.select(
+        F.concat(F.lit("S"), F.col("doc_id").cast("string"), F.lit("_"), F.col("pos").cast("string")).alias("study_name"),
+        "trait",
         src.alias("source"),
         F.when(src == "common", "common").otherwise("rare_exome").alias("variant_type"),
         F.when(F.col("doc_id") % 10 == 9, "molecular").otherwise("phenotype").alias("data_type"),
         F.col("n_chars").alias("sample_size"),
-        F.col("doc_id"),
+        (F.col("doc_id") * STUDY_ID_STEP + F.col("pos")).alias("study_id"),
     )
 
 
 def studies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = studies(spark, sf_dir)
-    return (s.withColumn("trait", F.when(F.col("doc_id") % 50 == 7, F.lit(None).cast("string"))
-                         .otherwise(F.col("trait")))
-             .withColumn("source", F.when(F.col("doc_id") % 97 == 3, F.lit(None).cast("string"))
-                         .otherwise(F.col("source"))))
+    i = F.col("study_id")
+    return (s.withColumn("trait", F.when(i % 50 == 7, F.lit(None).cast("string")).otherwise(F.col("trait")))
+             .withColumn("source", F.when(i % 97 == 3, F.lit(None).cast("string")).otherwise(F.col("source"))))
 
 
 def ignore_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sentence's study of each toxic document."""
     return (table(spark, sf_dir, "labels").where(F.col("toxic") == 1)
-            .select(F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("study_name")))
+            .select(F.concat(F.lit("S"), F.col("doc_id").cast("string"), F.lit("_0")).alias("study_name")))
 
 
 def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,12 +113,20 @@ def llm_content(trait: Column, efo: Column, trait_id: Column) -> Column:
     return F.when(trait_id % 13 == 0, F.substring_index(content, ",", 2)).otherwise(content)
 
 
+def first_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best candidate of each trait (rank 1), by one aggregate."""
+    best = F.min_by(F.struct("trait", "efo", "efo_id"),
+                    F.struct(-F.round("similarity", 9), F.col("efo_id"), F.col("efo")))
+    return cand(spark, sf_dir).groupBy("trait_id").agg(best.alias("o")).select("trait_id", "o.*")
+
+
 def llm_answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch-output JSON line per ``cand`` trait, from its rank-1 option."""
-    from termlink.operators.curation import rank_options
-    top = rank_options(cand(spark, sf_dir)).where(F.col("rank") == 1)
+    top = first_options(spark, sf_dir)
     tid = F.col("trait_id")
     content = llm_content(F.col("trait"), F.col("efo"), tid)
+    # every third answer comes with white space around it, as models send it
+    content = F.when(tid % 3 == 0, F.concat(F.lit("\n "), content, F.lit(" \n"))).otherwise(content)
     envelope = F.to_json(F.struct(
         F.concat(F.lit("req-"), tid.cast("string")).alias("custom_id"),
         F.struct(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message")))
@@ -127,8 +136,7 @@ def llm_answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free-text model output: a sentence line, the JSON line, a sentence line."""
-    from termlink.operators.curation import rank_options
-    top = rank_options(cand(spark, sf_dir)).where(F.col("rank") == 1)
+    top = first_options(spark, sf_dir)
     tid = F.col("trait_id")
     content = llm_content(F.col("trait"), F.col("efo"), tid)
     return top.select(tid, F.concat(F.lit("Thinking about "), F.col("trait"), F.lit(".\n"),
@@ -141,21 +149,23 @@ def llm_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_VIEWS: dict[str, str] = {
     "studies": f"""
-        SELECT 'S' || doc_id AS study_name,
-               regexp_replace(substring(text, 1, {TRAIT_CHARS}), '[^ -~]', ' ', 'g') AS trait,
+        SELECT 'S' || doc_id || '_' || pos AS study_name, trait,
                CASE doc_id % 4 WHEN 0 THEN 'rare_a' WHEN 1 THEN 'common'
                                WHEN 2 THEN 'rare_b' ELSE 'rare_c' END AS source,
                CASE WHEN doc_id % 4 = 1 THEN 'common' ELSE 'rare_exome' END AS variant_type,
                CASE WHEN doc_id % 10 = 9 THEN 'molecular' ELSE 'phenotype' END AS data_type,
-               n_chars AS sample_size, doc_id
-        FROM documents WHERE lang = 'en'""",
+               n_chars AS sample_size, doc_id * {STUDY_ID_STEP} + pos AS study_id
+        FROM (SELECT doc_id, n_chars, pos, trim(part, ' ') AS trait
+              FROM (SELECT doc_id, n_chars, unnest(parts) AS part, unnest(range(len(parts))) AS pos
+                    FROM (SELECT doc_id, n_chars, regexp_split_to_array(text, '[.!?\\n]+') AS parts FROM documents)))
+        WHERE trait <> ''""",
     "studies_raw": """
         SELECT study_name,
-               CASE WHEN doc_id % 50 = 7 THEN NULL ELSE trait END AS trait,
-               CASE WHEN doc_id % 97 = 3 THEN NULL ELSE source END AS source,
-               variant_type, data_type, sample_size, doc_id
+               CASE WHEN study_id % 50 = 7 THEN NULL ELSE trait END AS trait,
+               CASE WHEN study_id % 97 = 3 THEN NULL ELSE source END AS source,
+               variant_type, data_type, sample_size, study_id
         FROM studies""",
-    "ignore_names": "SELECT 'S' || doc_id AS study_name FROM labels WHERE toxic = 1",
+    "ignore_names": "SELECT 'S' || doc_id || '_0' AS study_name FROM labels WHERE toxic = 1",
     "cand": """
         SELECT DISTINCT l_orderkey AS trait_id, 'trait ' || l_orderkey AS trait,
                p_name AS efo, l_partkey AS efo_id,
@@ -182,17 +192,17 @@ SQL_VIEWS: dict[str, str] = {
                ELSE json_object('custom_id', 'req-' || trait_id,
                        'response', json_object('body', json_object('choices', json_array(
                           json_object('message', json_object('content',
-                            CASE WHEN trait_id % 13 = 0 THEN
-                                   array_to_string((string_split(c, ','))[1:2], ',')
-                                 ELSE c END)))))) ::VARCHAR END AS value
-        FROM (SELECT trait_id, trait,
+                            CASE WHEN trait_id % 3 = 0 THEN chr(10) || ' ' || cut || ' ' || chr(10)
+                                 ELSE cut END)))))) ::VARCHAR END AS value
+        FROM (SELECT trait_id, CASE WHEN trait_id % 13 = 0 THEN array_to_string((string_split(c, ','))[1:2], ',')
+                                    ELSE c END AS cut FROM (SELECT trait_id, trait,
                      CASE WHEN trait_id % 11 = 0 THEN
                           json_object('trait', trait, 'efo', e, 'confidence', 'high')::VARCHAR
                           ELSE json_object('trait', trait, 'efo', e,
                                            'confidence', trait_id % 5 + 1)::VARCHAR END AS c
               FROM (SELECT trait_id, trait,
                            CASE WHEN trait_id % 7 = 0 THEN 'made up term' ELSE efo END AS e
-                    FROM rank_options WHERE rank = 1))""",
+                    FROM rank_options WHERE rank = 1)))""",
     "llm_free": """
         SELECT trait_id, 'Thinking about ' || trait || '.' || chr(10) ||
                CASE WHEN trait_id % 13 = 0 THEN array_to_string((string_split(c, ','))[1:2], ',')

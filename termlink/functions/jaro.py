@@ -1,10 +1,9 @@
 """Jaro / Jaro-Winkler distance on code points, vectorised over Arrow batches.
 
 Spark has no Jaro function, so this is the one scorer that runs in Python.
-It is applied only to candidate pairs that survived the native pruning of
-:mod:`termlink.operators.linkage`, one Arrow batch at a time; inside a batch the
-pairs are scored together with numpy (one pass per character position, not
-per pair).
+It is applied only to candidate pairs that pass the bounds of
+:mod:`termlink.operators.linkage`; pairs of similar length are scored together
+with numpy (one pass per character position, not per pair).
 
 Definition (stringdist's ``jw``): window ``max(0, floor(max(|a|,|b|)/2) - 1)``,
 greedy left-to-right matching, ``t`` = half the matched characters that are
@@ -17,10 +16,6 @@ no boost threshold. Equal strings (also two empty ones) have ``d = 0``.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Ship this module's code with the UDF (by value), so executors need no copy
 # of the package on their path.
@@ -36,58 +31,70 @@ ROUND_DIGITS = 9
 _CELL_BUDGET = 4_000_000  # pairs * max_len cells per numpy chunk
 
 
-def _codepoints(strings: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+def code_points(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All code points in a row, and the strings' lengths."""
     lens = np.fromiter((len(s) for s in strings), dtype=np.int64, count=len(strings))
-    out = np.full((len(strings), max(width, 1)), -1, dtype=np.int64)
-    if lens.sum():
-        flat = np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        rows = np.repeat(np.arange(len(strings)), lens)
-        starts = np.repeat(np.cumsum(lens) - lens, lens)
-        out[rows, np.arange(flat.size) - starts] = flat
-    return out, lens
+    return np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32), lens
+
+
+def padded_codes(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Matrices of small codes for characters, equal for equal characters, and
+    the lengths. Codes start at 2; ``a`` is padded with 0 and ``b`` with 1."""
+    flat, lens = code_points([*a, *b])
+    alphabet, codes = np.unique(flat, return_inverse=True)
+    size = len(alphabet) + 2
+    dtype = np.uint8 if size <= 1 << 8 else np.uint16 if size <= 1 << 16 else np.uint32
+    out = []
+    at = 0
+    for pad, own in ((0, lens[:len(a)]), (1, lens[len(a):])):
+        m = np.full((len(own), max(int(own.max(initial=0)), 1)), pad, dtype=dtype)
+        total = int(own.sum())
+        m[np.arange(m.shape[1])[None, :] < own[:, None]] = codes[at:at + total] + 2
+        at += total
+        out += [m, own]
+    return out[0], out[2], out[1], out[3]
 
 
 def _jaro_chunk(a: list[str], b: list[str], half: bool) -> tuple[np.ndarray, np.ndarray]:
     n = len(a)
-    wa = max((len(s) for s in a), default=0)
-    wb = max((len(s) for s in b), default=0)
-    A, la = _codepoints(a, wa)
-    B, lb = _codepoints(b, wb)
+    A, B, la, lb = padded_codes(a, b)
     window = np.maximum(0, np.maximum(la, lb) // 2 - 1)
-    jpos = np.arange(B.shape[1])[None, :]
-    b_used = np.zeros(B.shape, dtype=bool)
+    small = np.int16 if B.shape[1] < 1 << 14 else np.int32
+    jpos = np.arange(B.shape[1], dtype=small)[None, :]
+    free = np.ones(B.shape, dtype=bool)
     a_used = np.zeros(A.shape, dtype=bool)
     rows = np.arange(n)
-    for i in range(wa):
-        live = i < la
-        if not live.any():
-            break
-        lo = np.maximum(0, i - window)[:, None]
-        hi = np.minimum(lb, i + window + 1)[:, None]
-        cand = (B == A[:, i:i + 1]) & ~b_used & (jpos >= lo) & (jpos < hi) & live[:, None]
-        has = cand.any(axis=1)
+    for i in range(A.shape[1]):
+        lo = np.maximum(0, i - window)
+        hi = np.where(i < la, np.minimum(lb, i + window + 1), 0)
+        x, y = int(lo.min()), int(hi.max())
+        if y <= x:
+            continue
+        cand = B[:, x:y] == A[:, i:i + 1]
+        cand &= free[:, x:y]
+        cand &= jpos[:, x:y] >= lo.astype(small)[:, None]
+        cand &= jpos[:, x:y] < hi.astype(small)[:, None]
         first = cand.argmax(axis=1)
-        b_used[rows[has], first[has]] = True
+        has = cand[rows, first]
+        free[rows[has], x + first[has]] = False
         a_used[:, i] = has
     m = a_used.sum(axis=1)
+    b_used = ~free
     # k-th matched character of a against k-th matched character of b
-    seq_a = np.full(A.shape[1] + 1, -2, dtype=np.int64)[None, :].repeat(n, 0)
-    seq_b = np.full(A.shape[1] + 1, -2, dtype=np.int64)[None, :].repeat(n, 0)
+    mism = np.zeros(n, dtype=np.int64)
     ra, ca = np.nonzero(a_used)
-    seq_a[ra, (np.cumsum(a_used, axis=1) - 1)[ra, ca]] = A[ra, ca]
     rb, cb = np.nonzero(b_used)
-    seq_b[rb, (np.cumsum(b_used, axis=1) - 1)[rb, cb]] = B[rb, cb]
-    mism = (seq_a != seq_b).sum(axis=1)
+    np.add.at(mism, ra, A[ra, ca] != B[rb, cb])     # both in (pair, position) order, equally many a pair
     t = mism / 2.0 if half else np.floor_divide(mism, 2).astype(np.float64)
     with np.errstate(divide="ignore", invalid="ignore"):
         jaro = np.where(m > 0, (m / np.maximum(la, 1) + m / np.maximum(lb, 1)
                                 + (m - t) / np.maximum(m, 1)) / 3.0, 0.0)
-    # common prefix, at most 4
+    # common prefix, at most 4 (paddings differ)
     k = min(4, A.shape[1], B.shape[1])
     pref = np.zeros(n, dtype=np.int64)
     still = np.ones(n, dtype=bool)
     for i in range(k):
-        still &= (A[:, i] == B[:, i]) & (A[:, i] >= 0)
+        still &= A[:, i] == B[:, i]
         pref += still
     return jaro, pref
 
@@ -141,39 +148,3 @@ def jaro_similarity(a, b, half_transpositions: bool = True) -> np.ndarray:
     """Plain Jaro similarity (p = 0)."""
     return 1.0 - jaro_winkler_distance(a, b, p=0.0, half_transpositions=half_transpositions,
                                        digits=None)
-
-
-def jw_distance_col(a, b, p: float = 0.1, half_transpositions: bool = True) -> Column:
-    """Arrow-batched Pandas UDF computing the rounded Winkler distance."""
-    if not 0.0 <= p <= 0.25:
-        raise ValueError("prefix weight p must lie in [0, 0.25]")
-
-    @F.pandas_udf(T.DoubleType())
-    def _jw(x: pd.Series, y: pd.Series) -> pd.Series:
-        xs = [v if isinstance(v, str) else None for v in x]
-        ys = [v if isinstance(v, str) else None for v in y]
-        return pd.Series(jaro_winkler_distance(xs, ys, p, half_transpositions))
-
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    return _jw(a, b)
-
-
-def jw_distances_col(a, b, ps, half_transpositions: bool = True) -> Column:
-    """Distances for several prefix weights from one Jaro pass: array<double>
-    aligned with ``ps`` (lets stages that differ only in ``p`` share scoring)."""
-    ps = [float(p) for p in ps]
-    if any(not 0.0 <= p <= 0.25 for p in ps):
-        raise ValueError("prefix weight p must lie in [0, 0.25]")
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _jws(x: pd.Series, y: pd.Series) -> pd.Series:
-        xs = [v if isinstance(v, str) else None for v in x]
-        ys = [v if isinstance(v, str) else None for v in y]
-        parts = jaro_parts(xs, ys, half_transpositions)
-        cols = np.stack([_distance(parts, p, ROUND_DIGITS) for p in ps], axis=1)
-        return pd.Series(list(cols), dtype=object)
-
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    return _jws(a, b)

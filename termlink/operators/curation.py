@@ -29,10 +29,11 @@ def rank_options(cand: DataFrame, trait_id: str = "trait_id", sim: str = "simila
 
 
 def similarity_label(sim, digits: int = 0):
-    """``round(sim*100)`` + "%", half to even (R's rounding), e.g. 0.125 → 12%."""
+    """``round(sim*100, digits)`` + "%", half to even and without trailing zeros (as R
+    rounds and prints), e.g. 0.125 → 12% or, with one digit, 12.5%; 0.5 → 50%."""
     s = F.col(sim) if isinstance(sim, str) else sim
     v = F.bround(s * F.lit(100.0), digits)
-    txt = v.cast("long").cast("string") if digits == 0 else v.cast("string")
+    txt = v.cast("long").cast("string") if digits == 0 else F.regexp_replace(v.cast("string"), r"\.0+$", "")
     return F.concat(txt, F.lit("%"))
 
 
@@ -74,32 +75,29 @@ def curation_progress(selections: DataFrame) -> DataFrame:
 
 
 def next_uncurated(selections: DataFrame, worklist: str = "worklist", key: str = "trait_id",
-                   chunk: int = 1 << 20) -> DataFrame:
+                   chunk: int = 1 << 12) -> DataFrame:
     """For each trait of a worklist: the next pending trait after it (by
-    ``key``), else the worklist's first pending trait (possibly itself), else
-    null → (worklist, key, next_<key>).
-
-    Two-level scan so no worklist is sorted in one task: keys are cut into
-    chunks of ``chunk`` consecutive integer values (so at most ``chunk`` rows
-    per window partition); a window finds the next pending key inside the
-    chunk, and a window over the small per-chunk table finds the first
-    pending key of the following chunks.
+    ``key``, of any type with an order), else the worklist's first pending trait
+    (possibly itself), else null → (worklist, key, next_<key>).
+
+    Two-level scan so no worklist is sorted in one task: traits are numbered in their
+    worklist by the distributed group index and cut into chunks of ``chunk`` consecutive
+    numbers; a window finds the next pending one inside the chunk, and a window over
+    the table of chunks (``chunk`` times smaller) the first one of the following chunks.
     """
-    pending = F.col("selected_efo").isNull()
-    base = selections.select(F.col(worklist), F.col(key), pending.alias("__pend"),
-                             F.floor(F.col(key) / F.lit(chunk)).alias("__chunk"))
-    # "keys after me" as a running frame over the reversed order: Spark
+    base = (group_row_index(selections.select(worklist, key, F.col("selected_efo").isNull().alias("__pend")),
+                            [worklist], [key], "__n")
+            .withColumn("__chunk", F.floor(F.col("__n") / F.lit(chunk)))
+            .withColumn("__p", F.when(F.col("__pend"), F.struct(F.col("__n").alias("n"), F.col(key).alias("k")))))
+    # "those after me" as a running frame over the reversed order: Spark
     # evaluates an unbounded-preceding frame incrementally, whereas a
     # "1 following .. unbounded following" frame is recomputed per row.
-    after = Window.partitionBy(worklist, "__chunk").orderBy(F.col(key).desc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    inner = base.withColumn("__in", F.min(F.when(F.col("__pend"), F.col(key))).over(after))
-    per_chunk = base.groupBy(worklist, "__chunk").agg(
-        F.min(F.when(F.col("__pend"), F.col(key))).alias("__cmin"))
-    later = Window.partitionBy(worklist).orderBy(F.col("__chunk").desc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    first_all = Window.partitionBy(worklist)
-    chunks = (per_chunk.withColumn("__later", F.min("__cmin").over(later))
-              .withColumn("__first", F.min("__cmin").over(first_all)))
-    out = inner.join(chunks.select(worklist, "__chunk", "__later", "__first"), [worklist, "__chunk"])
-    return out.select(worklist, key, F.coalesce("__in", "__later", "__first").alias(f"next_{key}"))
+    after = Window.partitionBy(worklist, "__chunk").orderBy(F.col("__n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    inner = base.withColumn("__in", F.min("__p").over(after))
+    later = Window.partitionBy(worklist).orderBy(F.col("__chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = (base.groupBy(worklist, "__chunk").agg(F.min("__p").alias("__cmin"))
+              .withColumn("__later", F.min("__cmin").over(later))
+              .withColumn("__first", F.min("__cmin").over(Window.partitionBy(worklist)))
+              .select(F.col(worklist).alias("__w"), F.col("__chunk").alias("__c"), "__later", "__first"))
+    out = inner.join(chunks, inner[worklist].eqNullSafe(F.col("__w")) & (F.col("__chunk") == F.col("__c")))
+    return out.select(worklist, key, F.coalesce("__in", "__later", "__first")["k"].alias(f"next_{key}"))

@@ -4,44 +4,58 @@ Output shape follows the matching library the reference used: the two
 unique keys, then every other column of each side; a column present on both
 sides gets the side's suffix (``trait_rare`` / ``trait_common``).
 
-Fuzzy join plan (DataFrame operations; Python only in two vectorised steps):
-
-1. distinct non-null strings per side — duplicates are scored once;
-2. candidates: strings are grouped in geometric length bands (a match can
-   only span adjacent bands) and each band is hash-split into blocks of
-   bounded size; each left block meets each right block of its own and the
-   adjacent bands in one cogroup cell, where numpy applies the exact length
-   and character-count bounds below to the whole block pair at once and
-   emits only the survivors (no cross join, no pair rows before the bounds);
-3. the Arrow-batched scorer computes the distance of the survivors;
-4. best right row per left string = ``min(struct(d, right_key))`` — a hash
+Fuzzy join plan. A pair of distance ``d <= maxDist`` with ``l`` common first
+characters (4 at most) has a Jaro of at least ``J(l) = 1 - maxDist/(1 - p l)``.
+
+1. distinct non-null strings per side — duplicates are scored once; equal
+   strings are matched by an equi-join and go no further;
+2. two families of cells, each pair in one: pairs that share their first two
+   characters meet by these and a length band, under ``J(4)``; all others
+   share one character at most and meet by length band alone, under the tighter
+   ``J(1)``. Bands are a fraction of what the length bound allows; right
+   strings are listed in every band that holds lengths they can match;
+3. a cell larger than ``block_rows`` on a side is dealt to blocks, and pairs of
+   blocks are the units of work, so no task holds a large cell;
+4. inside a unit numpy bounds all pairs at once by length and by character
+   counts in groups; the pairs left are bounded by all their character
+   counts, then by how many of the left string's pairs of characters are found in place
+   (below), then scored;
+5. best right row per left string = ``min(struct(d, right_key))`` — a hash
    aggregate with partial combine, so no group is sorted in one task;
-5. join back to the left rows and the chosen right row.
-
-A character-multiset prefix filter (equi-join on rare characters) was
-measured first and dropped: with a ~100-symbol alphabet it produced more
-join rows than there are pairs.
-
-Bounds, with ``j = 1 - maxDist/(1-4p)`` (loosest case, prefix of 4):
-``m >= (3j-1)|a||b|/(|a|+|b|)`` and ``min(|a|,|b|) >= (3j-2) max(|a|,|b|)``.
+6. join back to the left rows and the chosen right row.
+
+Bounds for Jaro >= J, with ``m`` matches and ``t`` transpositions:
+
+* ``m >= m0 = (3J-1)|a||b|/(|a|+|b|)`` and ``min(|a|,|b|) >= (3J-2) max(|a|,|b|)``;
+* ``m`` is at most the common characters ``c``, counted with repeats (any grouping of
+  characters bounds it, too);
+* cut ``a`` into pairs of neighbours. A pair isn't found in ``b`` as neighbours
+  within ``max(|a|,|b|) - m0`` places only if it holds an unmatched character of
+  ``a``, or a matched one out of order, or is parted by an unmatched character of
+  ``b``: ``|a|+|b|-2m+2t`` times at most (one more if ``t`` is rounded down). With
+  ``2t <= 2m (m/|a|+m/|b|+1-3J)`` this is convex in ``m``, so it is largest at
+  ``m0`` or at ``c``.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from typing import Sequence
+from typing import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termlink.functions.jaro import ROUND_DIGITS, jw_distance_col, jw_distances_col
+from termlink.functions.jaro import ROUND_DIGITS, code_points, jaro_parts, padded_codes
 
 _EPS = 1e-9
+_GROUPS = 8                 # character groups of the first bound
+_PENDING = 50_000           # pairs that are scored together
+_CHARS = 2_000_000          # characters of such pairs, at most (a longer pair alone)
 
-# the cell filter runs in Python workers: ship this module by value
+# the cell scorer runs in Python workers: ship this module by value
 try:
     from pyspark import cloudpickle as _cp
     _cp.register_pickle_by_value(sys.modules[__name__])
@@ -118,122 +132,195 @@ def residual_anti(df: DataFrame, matched: DataFrame, key: str, matched_key: str
 # ---------------------------------------------------------------------------
 
 def jw_bounds(p: float, max_dist: float) -> tuple[float, float]:
-    """(overlap coefficient ``3j-1``, length ratio ``k = 3j-2``)."""
+    """The least Jaro of a pair with 4 common first characters and with 1."""
     if not 0.0 <= p < 0.25:
         raise ValueError("prefix weight p must lie in [0, 0.25)")
-    j = 1.0 - max_dist / (1.0 - 4.0 * p)
-    k = 3.0 * j - 2.0
-    if k <= 0.0:
+    loose, tight = 1.0 - max_dist / (1.0 - 4.0 * p), 1.0 - max_dist / (1.0 - p)
+    if 3.0 * loose - 2.0 <= 0.0:
         raise ValueError("maxDist too loose for lossless pruning (needs 3j - 2 > 0)")
-    return 3.0 * j - 1.0, k
-
-
-def _band(length: Column, k: float) -> Column:
-    """Geometric length band of ratio 1/k: matching lengths differ by at most one band."""
-    return F.floor(F.log(length.cast("double")) / F.lit(math.log(1.0 / k))).cast("int")
-
-
-def _grid_cell_filter(p: float, max_dist: float):
-    """Cogroup cell: exact length and character-count bounds for every
-    (left, right) string of the cell, vectorised; emits survivors only.
-
-    The bounds use each pair's actual common prefix ``l`` (at most 4), so
-    pairs that differ in the first character must reach Jaro ``1 - maxDist``.
-    Characters outside printable ASCII share one bucket, which can only
-    raise the overlap, so the bound stays lossless."""
-    def prep(strings):
-        cnt = np.zeros((len(strings), 97), dtype=np.int16)
-        head = np.full((len(strings), 4), -1, dtype=np.int64)
-        for i, st in enumerate(strings):
-            cp = np.frombuffer(st.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-            head[i, :min(4, cp.size)] = cp[:4]
-            codes = cp - 32
-            codes[(codes < 0) | (codes > 95)] = 96
-            np.add.at(cnt[i], codes, 1)
-        return cnt, head
-
-    def run(lft: pd.DataFrame, rgt: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"sl": pd.Series(dtype=object), "sr": pd.Series(dtype=object)})
-        if lft.empty or rgt.empty:
-            return empty
-        ls_, rs_ = list(lft["s"]), list(rgt["s"])
-        (ca, ha), (cb, hb) = prep(ls_), prep(rs_)
-        la = ca.sum(axis=1).astype(np.float64)
-        lb = cb.sum(axis=1).astype(np.float64)
-        # common prefix length (<= 4) of every pair; -1 pads never compare equal
-        same = np.ones((len(ls_), len(rs_)), dtype=bool)
-        pref = np.zeros(same.shape, dtype=np.int8)
-        for i in range(4):
-            same &= np.equal.outer(ha[:, i], hb[:, i]) & (ha[:, i] >= 0)[:, None]
-            pref += same
-        j = 1.0 - max_dist / (1.0 - p * pref)
-        coef, k = 3.0 * j - 1.0, 3.0 * j - 2.0
-        lo, hi = np.minimum.outer(la, lb), np.maximum.outer(la, lb)
-        ok = lo >= k * hi - _EPS
-        need = coef * np.outer(la, lb) / np.maximum(np.add.outer(la, lb), 1.0) - _EPS
-        overlap = np.zeros(ok.shape, dtype=np.int32)
-        used = np.nonzero((ca.sum(axis=0) > 0) & (cb.sum(axis=0) > 0))[0]
-        for x in used:
-            overlap += np.minimum.outer(ca[:, x], cb[:, x])
-        ii, jj = np.nonzero(ok & (overlap >= need))
-        if ii.size == 0:
-            return empty
-        return pd.DataFrame({"sl": np.asarray(ls_, dtype=object)[ii],
-                             "sr": np.asarray(rs_, dtype=object)[jj]})
+    return loose, tight
+
+
+def _pieces_found(a: list[str], b: list[str], reach: int) -> np.ndarray:
+    """How many of a's pairs of neighbours (places 0-1, 2-3, ...) stand in b
+    within ``reach`` places, per pair of strings."""
+    A, B, la, lb = padded_codes(a, b)
+    wide = A.shape[1] // 2
+    if wide == 0 or B.shape[1] < 2:
+        return np.zeros(len(a), dtype=np.int64)
+    x = A[:, 0:2 * wide:2].astype(np.uint32) << 16 | A[:, 1:2 * wide:2]
+    y = np.zeros((len(a), 2 * wide + 2 * reach), dtype=np.uint32)    # 0 is in no piece
+    own = (B[:, :-1].astype(np.uint32) << 16 | B[:, 1:])[:, :2 * wide + reach]
+    y[:, reach:reach + own.shape[1]] = own
+    found = np.zeros(x.shape, dtype=bool)
+    for shift in range(2 * reach + 1):
+        found |= x == y[:, shift:shift + 2 * wide:2]
+    return (found & (np.arange(wide)[None, :] < (la // 2)[:, None])).sum(axis=1)
+
+
+def _score(a: list[str], b: list[str], p: float, max_dist: float, half: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, jaro, prefix) of the aligned pairs that can be within ``max_dist``."""
+    flat, lens = code_points([*a, *b])
+    alphabet, codes = np.unique(flat, return_inverse=True)
+    width = min(len(alphabet), 512)      # further characters share columns, which only raises the overlap
+    n = len(a)
+    counts = np.bincount(np.repeat(np.arange(2 * n), lens) * width + codes % max(width, 1),
+                         minlength=2 * n * width).reshape(2 * n, width)
+    c = np.minimum(counts[:n], counts[n:]).sum(axis=1)
+    la, lb = lens[:n].astype(np.float64), lens[n:].astype(np.float64)
+    pref = np.zeros(n, dtype=np.int64)
+    for i, (x, y) in enumerate(zip(a, b)):
+        while pref[i] < 4 and pref[i] < len(x) and x[pref[i]:pref[i] + 1] == y[pref[i]:pref[i] + 1]:
+            pref[i] += 1
+    least = 1.0 - max_dist / (1.0 - p * pref)
+    keep = np.flatnonzero((c / la + c / lb + 1.0) / 3.0 >= least - _EPS)
+    if len(alphabet) < 1 << 16:
+        a0, b0, c0, j0 = la[keep], lb[keep], c[keep].astype(np.float64), least[keep] - _EPS
+        m0 = (3 * j0 - 1) * a0 * b0 / (a0 + b0)
+
+        def lost(m: np.ndarray) -> np.ndarray:
+            return a0 + b0 - 2 * m + 2 * m * (m / a0 + m / b0 + 1 - 3 * j0)
+
+        need = np.floor(a0 / 2) - np.ceil(np.maximum(lost(m0), lost(c0))) - (0 if half else 1)
+        reach = np.ceil(np.maximum(a0, b0) - m0).astype(np.int64)
+        drop = np.zeros(len(keep), dtype=bool)
+        worth = np.flatnonzero(need > 0)
+        worth = worth[np.argsort(a0[worth], kind="stable")]
+        at = 0
+        while at < len(worth):       # strings of similar length together
+            stop = at + int(np.searchsorted(a0[worth[at:]], 1.2 * a0[worth[at]] + 4, "right"))
+            some = worth[at:min(stop, at + max(1, int(_CHARS // a0[worth[stop - 1]])))]
+            found = _pieces_found([a[keep[i]] for i in some], [b[keep[i]] for i in some], int(reach[some].max()))
+            drop[some] = found < need[some]
+            at += len(some)
+        keep = keep[~drop]
+    jaro, pref4, _, _ = jaro_parts([a[i] for i in keep], [b[i] for i in keep], half)
+    return keep, jaro, pref4
+
+
+def _group_counts(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    flat, lens = code_points(strings)
+    rows = np.repeat(np.arange(len(strings)), lens)
+    return np.bincount(rows * _GROUPS + flat % _GROUPS, minlength=len(strings) * _GROUPS).reshape(-1, _GROUPS).astype(np.int32), lens
+
+
+def _unit_pairs(left: list[str], right: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs that pass the length bound and the grouped counts."""
+    (ca, la), (cb, lb) = _group_counts(left), _group_counts(right)
+    a, b = la[:, None].astype(np.float32), lb[None, :].astype(np.float32)
+    apart = np.zeros((len(left), len(right)), dtype=np.int32)
+    for g in range(_GROUPS):
+        apart += np.abs(ca[:, g, None] - cb[None, :, g])
+    # the overlap is half of what the lengths add up to beyond the difference
+    total = a + b
+    ok = total - apart >= 2 * (3 * least - 1) * a * b / total * (1 - 1e-5) - 1e-3
+    ok &= np.minimum(a, b) >= (3 * least - 2) * np.maximum(a, b) * (1 - 1e-5)
+    return np.nonzero(ok)
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str], list[str]]]:
+    """(family, left strings, right strings) of successive units of work."""
+    key, sides = None, ([], [])
+    for batch in batches:
+        unit, fam, side, text = (batch.column(i).to_pylist() for i in range(4))
+        for u, f, r, s in zip(unit, fam, side, text):
+            if (u, f) != key:
+                if key is not None:
+                    yield key[1], *sides
+                key, sides = (u, f), ([], [])
+            sides[r].append(s)
+    if key is not None:
+        yield key[1], *sides
+
+
+def _cell_scorer(p: float, max_dist: float, half: bool):
+    bounds = dict(zip((1, 0), jw_bounds(p, max_dist)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[str] = []
+        b: list[str] = []
+        chars = 0
+
+        def scored() -> pa.RecordBatch:
+            keep, jaro, pref = _score(a, b, p, max_dist, half)
+            near = jaro >= 1.0 - max_dist / (1.0 - p * pref) - 1e-6
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([a[i] for i in keep[near]], pa.string()), pa.array([b[i] for i in keep[near]], pa.string()),
+                 pa.array(jaro[near]), pa.array(pref[near].astype(np.int32))], names=["sl", "sr", "jaro", "pref"])
+            a.clear()
+            b.clear()
+            return out
+
+        for family, left, right in _units(batches):
+            if not left or not right:
+                continue
+            ii, jj = _unit_pairs(left, right, bounds[family])
+            for i, j in zip(ii.tolist(), jj.tolist()):
+                x, y = left[i], right[j]
+                # the other family has the pairs that share two characters
+                if x == y or (x[:2] == y[:2] and len(x) > 1 and len(y) > 1) != (family == 1):
+                    continue
+                a.append(x)
+                b.append(y)
+                chars += len(x) + len(y)
+                if len(a) >= _PENDING or chars >= _CHARS:
+                    yield scored()
+                    chars = 0
+        if a:
+            yield scored()
     return run
 
 
-def jw_candidates(ls: DataFrame, rs: DataFrame, p: float, max_dist: float,
-                  block_rows: int = 1024) -> DataFrame:
-    """Distinct left/right strings (column ``s``) → pairs (sl, sr) meeting
-    both bounds; lossless for ``d <= max_dist``.
-
-    Strings are put in geometric length bands; a band is hash-split into
-    blocks of about ``block_rows`` strings (the per-band counts are one row
-    per band, so collecting them is bounded). Each left block meets each
-    right block of its own and the two adjacent bands in one cogroup cell;
-    a row is replicated to the cells it takes part in, never paired row by
-    row in Spark.
-    """
-    coef, k = jw_bounds(p, max_dist)
-    L = ls.where(F.length("s") > 0).select("s", _band(F.length("s"), k).alias("band"))
-    R = rs.where(F.length("s") > 0).select("s", _band(F.length("s"), k).alias("band"))
-    per_band = (L.select(F.lit(0).alias("side"), "band").unionAll(R.select(F.lit(1).alias("side"), "band"))
-                .groupBy("side", "band").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per band
-    nl = {r["band"]: r["n"] for r in per_band if r["side"] == 0}
-    nr = {r["band"]: r["n"] for r in per_band if r["side"] == 1}
-    subs_l = {b: max(1, math.ceil(n / block_rows)) for b, n in nl.items()}
-    subs_r = {b: max(1, math.ceil(n / block_rows)) for b, n in nr.items()}
-
-    def sub_map(subs):
-        return F.create_map(*[x for b, n in sorted(subs.items()) for x in (F.lit(b), F.lit(n))]) \
-            if subs else F.create_map().cast("map<int,int>")
-
-    def cells(df, own_subs, other_subs, own_first):
-        own = F.pmod(F.xxhash64("s"), F.coalesce(F.try_element_at(sub_map(own_subs), F.col("band")), F.lit(1)))
-        tagged = df.withColumn("own_sub", own.cast("int"))
-        # partner bands: b-1, b, b+1, each with its number of blocks
-        partner = F.explode(F.filter(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)),
-                                                 lambda d: F.col("band") + d),
-                                     lambda b: F.coalesce(F.try_element_at(sub_map(other_subs), b), F.lit(0)) > 0))
-        t = tagged.withColumn("pband", partner)
-        t = t.withColumn("psub", F.explode(F.sequence(F.lit(0), F.try_element_at(sub_map(other_subs), F.col("pband")) - 1)))
-        if own_first:
-            return t.select(F.col("band").alias("bl"), F.col("own_sub").alias("ul"),
-                            F.col("pband").alias("br"), F.col("psub").alias("ur"), "s")
-        return t.select(F.col("pband").alias("bl"), F.col("psub").alias("ul"),
-                        F.col("band").alias("br"), F.col("own_sub").alias("ur"), "s")
-
-    key = ["bl", "ul", "br", "ur"]
-    lc = cells(L, subs_l, subs_r, True)
-    rc = cells(R, subs_r, subs_l, False)
-    pairs = (lc.groupBy(*key).cogroup(rc.groupBy(*key))
-             .applyInPandas(_grid_cell_filter(p, max_dist), "sl string, sr string"))
-    # two empty strings are equal (distance 0) but have no band
-    empty = (ls.where(F.col("s") == "").select(F.col("s").alias("sl"))
-             .join(rs.where(F.col("s") == "").select(F.col("s").alias("sr")),
-                   F.col("sl") == F.col("sr")))
-    return pairs.unionByName(empty)
+def jw_units(ls: DataFrame, rs: DataFrame, p: float, max_dist: float, block_rows: int = 1024) -> DataFrame:
+    """Distinct left/right strings (column ``s``) → units of work ``unit, family, side,
+    s``; each pair that can be within ``max_dist`` meets in a unit."""
+    loose, tight = jw_bounds(p, max_dist)
+
+    def listed(df: DataFrame, side: int) -> DataFrame:
+        out = []
+        for family, least, parts in ((1, loose, 2), (0, tight, 4)):
+            k = 3.0 * least - 2.0
+            step = math.log(1.0 / k) / parts
+            band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + F.lit(1e-9))
+            rows = df.where(F.length("s") > (1 if family else 0)).withColumn("n", F.length("s"))
+            # left strings in their own band; right ones where lengths from k n to n / k lie
+            bands = F.array(band) if side == 0 else F.sequence(
+                F.floor(F.log(F.col("n") * F.lit(k)) / F.lit(step) - F.lit(1e-6)),
+                F.floor(F.log(F.col("n") / F.lit(k)) / F.lit(step) + F.lit(1e-6)))
+            out.append(rows.select("s", F.lit(family).alias("family"), F.explode(bands).alias("band"),
+                                   (F.substring("s", 1, 2) if family else F.lit("")).alias("head")))
+        return out[0].unionByName(out[1]).select(
+            F.xxhash64("family", "head", "band").alias("cell"), "family", F.lit(side).alias("side"), "s")
+
+    both = listed(ls, 0).unionByName(listed(rs, 1))
+    sizes = (both.groupBy("cell", "family").agg(F.sum(1 - F.col("side")).alias("nl"), F.sum("side").alias("nr"))
+             .where("nl > 0 and nr > 0"))
+    blocks = [F.ceil(F.col(c) / block_rows).cast("int") for c in ("nl", "nr")]
+    dealt = (both.join(sizes, ["cell", "family"]).withColumn("bl", blocks[0]).withColumn("br", blocks[1])
+             .withColumn("own", F.pmod(F.xxhash64("s"), F.when(F.col("side") == 0, F.col("bl")).otherwise(F.col("br"))))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("br")).otherwise(F.col("bl")) - 1))))
+    x = F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
+    y = F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
+    return dealt.select(F.xxhash64("cell", x.cast("long"), y.cast("long")).alias("unit"), "family", "side", "s")
+
+
+def jw_scored(ls: DataFrame, rs: DataFrame, p: float, max_dist: float, half_transpositions: bool = True,
+              block_rows: int = 1024) -> DataFrame:
+    """Pairs ``sl, sr, jaro, pref`` of distinct strings (column ``s``) that are within
+    ``max_dist``, or closely beyond it."""
+    units = (jw_units(ls, rs, p, max_dist, block_rows).repartition("unit", "family")
+             .sortWithinPartitions("unit", "family", "side"))
+    pairs = units.mapInArrow(_cell_scorer(p, max_dist, half_transpositions),
+                             "sl string, sr string, jaro double, pref int")
+    equal = (ls.select(F.col("s").alias("sl")).join(rs.select(F.col("s").alias("sr")), F.col("sl") == F.col("sr"))
+             .select("sl", "sr", F.lit(1.0).alias("jaro"), F.least(F.length("sl"), F.lit(4)).alias("pref")))
+    return pairs.unionByName(equal)
+
+
+def winkler_distance(p: float) -> Column:
+    """The rounded distance of scored pairs under a prefix weight."""
+    return F.when(F.col("sl") == F.col("sr"), F.lit(0.0)).otherwise(
+        F.round((1 - F.col("jaro")) * (1 - F.lit(float(p)) * F.col("pref")), ROUND_DIGITS))
 
 
 def link_fuzzy_jw(left: DataFrame, right: DataFrame, by: str, left_key: str, right_key: str,
@@ -246,16 +333,8 @@ def link_fuzzy_jw(left: DataFrame, right: DataFrame, by: str, left_key: str, rig
     Distances are rounded to 9 places before comparing and ranking; ties go
     to the smallest right key.
     """
-    by_right = by_right or by
-    ls = left.select(F.col(by).alias("s")).where(F.col("s").isNotNull()).distinct()
-    rs = right.select(F.col(by_right).alias("s")).where(F.col("s").isNotNull()).distinct()
-    cands = jw_candidates(ls, rs, p, max_dist)
-    thr = round(max_dist, ROUND_DIGITS)
-    scored = (cands.withColumn("d", jw_distance_col("sl", "sr", p, half_transpositions))
-              .where(F.col("d") <= F.lit(thr)))
-    best = best_per_left(scored, left, right, by, by_right, left_key, right_key)
-    extra = ["dist"] if keep_dist else []
-    return attach_sides(best, left, right, left_key, right_key, suffixes, extra)
+    scored = jw_scored_pairs(left, right, by, [(p, max_dist)], by_right, half_transpositions)
+    return link_from_scored(scored, 0, max_dist, left, right, by, left_key, right_key, suffixes, by_right, keep_dist)
 
 
 def jw_scored_pairs(left: DataFrame, right: DataFrame, by: str, settings, by_right: str | None = None,
@@ -267,12 +346,10 @@ def jw_scored_pairs(left: DataFrame, right: DataFrame, by: str, settings, by_rig
     the candidates of every setting; stages that differ only in settings (or
     run on a subset of the left rows) can share the result."""
     by_right = by_right or by
-    ps = [float(p) for p, _ in settings]
-    p_loose, d_loose = max(ps), max(float(d) for _, d in settings)
     ls = left.select(F.col(by).alias("s")).where(F.col("s").isNotNull()).distinct()
     rs = right.select(F.col(by_right).alias("s")).where(F.col("s").isNotNull()).distinct()
-    return (jw_candidates(ls, rs, p_loose, d_loose)
-            .withColumn("ds", jw_distances_col("sl", "sr", ps, half_transpositions)))
+    scored = jw_scored(ls, rs, max(float(p) for p, _ in settings), max(float(d) for _, d in settings), half_transpositions)
+    return scored.select("sl", "sr", F.array(*[winkler_distance(p) for p, _ in settings]).alias("ds"))
 
 
 def link_from_scored(scored: DataFrame, index: int, max_dist: float, left: DataFrame,

@@ -22,20 +22,20 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def frame_profile(df: DataFrame) -> DataFrame:
-    """Long format (column, position, n_rows, n_null, n_distinct, n_columns).
+    """Long format (column, position, n_rows, n_null, n_distinct, n_columns), one
+    row per column, also of an empty table.
 
-    Every column is unpivoted to (column, value-as-string) and counted by
-    (column, value) — a partial-aggregated shuffle whatever the column count
-    — then folded per column. No per-column job, no driver loop."""
+    Every column is unpivoted to (column, digest of the value as a string) and counted by
+    these — a partial-aggregated shuffle whatever the column count, of digests
+    instead of whole values — then folded per column. No per-column job, no
+    driver loop."""
     cols = df.columns
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"),
-                                         F.col(c).cast("string").alias("value"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.md5(F.col(c).cast("string")).alias("value"))
                                 for i, c in enumerate(cols)])).alias("__p")
-    long = df.select(pairs).select("__p.pos", "__p.column", "__p.value")
-    per_value = long.groupBy("pos", "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return (per_value.groupBy("pos", "column")
-            .agg(F.sum("n").cast("long").alias("n_rows"),
-                 F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
-                 .cast("long").alias("n_null"),
-                 F.count("value").alias("n_distinct"))
-            .withColumn("n_columns", F.lit(len(cols)).cast("long")))
+    per_value = df.select(pairs).select("__p.*").groupBy("pos", "value").agg(F.count(F.lit(1)).alias("n"))
+    found = per_value.groupBy("pos").agg(
+        F.sum("n").alias("n_rows"), F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("n_null"),
+        F.count("value").alias("n_distinct"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "pos int, `column` string")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_rows", "n_null", "n_distinct")]
+    return names.join(found, "pos", "left").select("pos", "column", *counts, F.lit(len(cols)).cast("long").alias("n_columns"))

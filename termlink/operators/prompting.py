@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termlink.operators.rows import dense_row_index
+from termlink.operators.rows import dedupe_first, dense_row_index
 
 # Prompt wordings. Placeholders: {trait} = the trait text,
 # {bullets} = the candidate lines ("- term", one per line).
@@ -46,7 +46,9 @@ REQUEST_URL = "/v1/chat/completions"
 
 ANSWER_SCHEMA = T.StructType([T.StructField("trait", T.StringType()),
                               T.StructField("efo", T.StringType()),
+                              T.StructField("match", T.StringType()),
                               T.StructField("confidence", T.StringType())])
+JSON_SPACE = " \t\n\r"
 ENVELOPE_SCHEMA = T.StructType([
     T.StructField("custom_id", T.StringType()),
     T.StructField("response", T.StructType([T.StructField("body", T.StructType([
@@ -129,15 +131,16 @@ def parse_llm_response(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def _answer_columns(df: DataFrame, content: str) -> DataFrame:
-    ok = F.col(content).isNotNull() & F.col(content).startswith("{")
-    ans = F.when(ok, F.from_json(F.col(content), ANSWER_SCHEMA, {"mode": "PERMISSIVE"}))
+    """trait, efo or match, confidence of the answers; JSON's white space around one is allowed."""
+    text = F.trim(F.col(content), F.lit(JSON_SPACE))
+    ans = F.when(text.startswith("{"), F.from_json(text, ANSWER_SCHEMA, {"mode": "PERMISSIVE"}))
     return (df.withColumn("__a", ans)
             .withColumn("trait", F.col("__a.trait"))
             .withColumn("efo", F.col("__a.efo"))
+            .withColumn("match", F.col("__a.match"))
             .withColumn("confidence_raw", F.col("__a.confidence"))
             .withColumn("confidence", F.expr("try_cast(confidence_raw AS DOUBLE)"))
-            .withColumn("parsed", F.col("__a").isNotNull() & (F.col("__a.trait").isNotNull()
-                                                             | F.col("__a.efo").isNotNull()))
+            .withColumn("parsed", F.col("__a").isNotNull() & F.coalesce("__a.trait", "__a.efo", "__a.match").isNotNull())
             .drop("__a"))
 
 
@@ -192,14 +195,45 @@ def answer_coverage(answers: DataFrame, asked: DataFrame, col: str = "trait") ->
 
 
 def reattach_ids(answers: DataFrame, cand: DataFrame, trait: str = "trait",
-                 id_col: str = "trait_id") -> DataFrame:
-    """Left-join answers to one (id, trait) row per id by trait text,
-    null-safe (a null trait meets a null trait); a trait text carried by
+                 id_col: str = "trait_id", order: Sequence[str] = ("efo_id",)) -> DataFrame:
+    """Left-join answers to one (id, trait) row per id, the first in ``order``, by
+    trait text, null-safe (a null trait meets a null trait); a trait text carried by
     several ids fans out."""
-    ids = cand.groupBy(id_col).agg(F.min(trait).alias("__t"))
+    ids = dedupe_first(cand.select(id_col, F.col(trait).alias("__t"), *order), id_col, order).select(id_col, "__t")
     return answers.join(ids, answers[trait].eqNullSafe(ids["__t"]), "left").drop("__t")
 
 
+def csv_field(c: Column) -> Column:
+    """A CSV field: quoted if it holds a comma, a quote or a line break, quotes doubled; null is empty."""
+    quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(c.rlike(r'[",\r\n]'), quoted).otherwise(F.coalesce(c, F.lit("")))
+
+
+def few_shot_prompts(pending: DataFrame, known: DataFrame, cand: DataFrame, id_col: str = "trait_id",
+                     trait: str = "trait", term: str = "efo", term_id: str = "efo_id",
+                     order: Sequence[str] = ("trait_id",)) -> DataFrame:
+    """``id, prompt`` for each pending trait (id, trait): known mappings as a CSV
+    table, then the question.
+
+    Selection rule: of the known mappings (id, trait, term, term id) those whose term is
+    among the pending trait's candidates are shown, one per term (the first in
+    ``order``), in the order of term ids. So a prompt has as many examples as its trait has
+    candidates at most, a term that many traits chose counts once, and nothing is
+    collected. A trait without any such mapping gets the header alone."""
+    example = dedupe_first(known.select(F.col(term_id).alias("__term"), F.col(trait).alias("__trait"),
+                                        F.col(term).alias("__name"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]),
+                           "__term", [f"__o{i}" for i in range(len(order))])
+    shown = (pending.select(id_col).distinct().join(cand.select(id_col, F.col(term_id).alias("__term")).distinct(), id_col)
+             .join(example, "__term")
+             .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(
+                 F.col("__term").alias("k"), F.concat(csv_field(F.col("__trait")), F.lit(","), csv_field(F.col("__name"))).alias("line"))))
+                 .alias("__l")))
+    lines = F.coalesce(F.array_join(F.transform("__l", lambda x: F.concat(F.lit("\n"), x["line"])), ""), F.lit(""))
+    text = F.concat(F.lit("Known mappings:\ntrait,efo"), lines, F.lit('\n\nMap the trait "'), F.col(trait),
+                    F.lit('" in the same way.'))
+    return pending.select(id_col, trait).distinct().join(shown, id_col, "left").select(id_col, text.alias("prompt"))
+
+
 def token_cost(prompts: DataFrame, text: str = "prompt", input_price_per_m: float = 1.25,
                output_tokens_per_request: int = 30, output_price_per_m: float = 5.0,
                input_tokens_estimate: int | None = None) -> DataFrame:

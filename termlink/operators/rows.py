@@ -93,29 +93,33 @@ def dense_row_index(df: DataFrame, order: Sequence[str] | str, index_col: str =
                     num_partitions: int | None = None) -> DataFrame:
     """Contiguous 0-based position in a total order, without a one-partition sort.
 
-    1. range-partition on the order (bounds from sampling) and sort inside
-       each partition; tag rows with partition id and a monotonically
-       increasing id; pin that layout with a reliable checkpoint so both
-       passes below see the same rows in the same places;
+    1. range-partition the distinct order keys (bounds from sampling) and sort inside
+       each partition; tag them with partition id and a monotonically
+       increasing id; pin that layout with a reliable checkpoint (keys only,
+       no payload) so both passes below see the same rows in the same places;
     2. count rows per partition (one row per partition) and turn the counts
        into offsets — that table's size is the partition count, so it is
        safe to broadcast;
-    3. index = partition offset + position inside the partition.
+    3. index = partition offset + position inside the partition, joined back
+       to the rows by key.
     ``order`` must be a total order (add a unique tie-break column).
     """
     order = [order] if isinstance(order, str) else list(order)
+    keys = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(order)])
+    names = keys.columns
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ordered = keys.repartitionByRange(n, *names).sortWithinPartitions(*names)
     tagged = cut_lineage(ordered.withColumn("__pid", F.spark_partition_id())
                          .withColumn("__mid", F.monotonically_increasing_id()))
     per_part = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"),
                                            F.min("__mid").alias("__first"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    out = tagged.join(F.broadcast(offsets.select("__pid", "__off", "__first")), "__pid")
-    out = out.withColumn(index_col, (F.col("__off") + F.col("__mid") - F.col("__first")).cast("long"))
-    return out.drop("__pid", "__mid", "__off", "__first")
+    placed = tagged.join(F.broadcast(offsets.select("__pid", "__off", "__first")), "__pid").select(
+        *names, (F.col("__off") + F.col("__mid") - F.col("__first")).cast("long").alias(index_col))
+    cond = [df[c].eqNullSafe(placed[k]) for c, k in zip(order, names)]
+    return df.join(placed, cond).select(*[df[c] for c in df.columns], placed[index_col])
 
 
 def contains_filter(df: DataFrame, col: str, pattern: str, regex: bool = True) -> DataFrame:

@@ -7,10 +7,11 @@ Top-k plan (exact, no cross join, no broadcast of a side that grows):
 both sides are hashed into blocks of at most ~``block_rows`` rows; each
 query block meets each term block in one cogroup cell (rows are replicated
 to the cells they take part in, the standard replicated-grid layout for
-distributed matrix products). A cell is scored in numpy as one matrix
-product and emits only its per-row top-k, so at most ``k × term blocks``
-partial rows per query id reach the final ``row_number() <= k``.
-Similarities are float64, rounded to 9 places; ties go to the smaller id.
+distributed matrix products). Vectors are scaled to norm 1 before that, so a
+cell is one matrix product; it emits only its per-row top-k, so at most ``k ×
+term blocks`` partial rows per query id reach the final ``row_number() <= k``.
+Ids may be of any type that can be ordered. Similarities are float64, rounded
+to 9 places; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -47,24 +48,25 @@ def hash_bucket(tok: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long") % F.lit(dim)).cast("int")
 
 
-def embed_terms_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
-    """Mean-pooled one-hot hashing encoder, natively: ``(id, dim, val)`` for
-    the non-zero dimensions, over the whole text of each *distinct* term.
+def distinct_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text``: each distinct non-null text with its smallest id. Found by
+    (md5, length); one copy per map task reaches the shuffle."""
+    return (df.where(F.col(text_col).isNotNull())
+            .groupBy(F.md5(F.col(text_col)).alias("__h"), F.length(F.col(text_col)).alias("__n"))
+            .agg(F.min(id_col).alias("id"), F.min_by(F.col(text_col), F.col(id_col)).alias("text"))
+            .select("id", "text"))
 
-    Equal texts are embedded once, represented by their smallest id. Texts
-    never cross a shuffle: each row is tokenised where it is read, and
-    duplicates are found by grouping (md5, length) of the text — only ids,
-    digests and per-dimension counts are exchanged.
-    """
-    rows = df.where(F.col(text_col).isNotNull())
-    reps = (rows.groupBy(F.md5(F.col(text_col)).alias("__h"), F.length(F.col(text_col)).alias("__n"))
-            .agg(F.min(id_col).alias(id_col)))
-    toks = rows.select(id_col, F.explode(whitespace_tokens(F.col(text_col))).alias("tok"))
-    per_dim = (toks.groupBy(id_col, hash_bucket(F.col("tok"), dim).alias("dim"))
-               .agg(F.count(F.lit(1)).alias("n"))          # map-side combined per document
-               .join(reps.select(id_col), id_col, "left_semi"))
-    total = F.sum("n").over(Window.partitionBy(id_col))
-    return per_dim.select(id_col, "dim", F.round(F.col("n") / total, ROUND).alias("val"))
+
+def embed_terms_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = 64,
+                       digits: int | None = ROUND) -> DataFrame:
+    """Mean-pooled one-hot hashing encoder, natively: ``(id, dim, val)`` for
+    the non-zero dimensions, over the whole text of each *distinct* term,
+    under its smallest id. ``digits``: places of the values; None for all."""
+    toks = (distinct_texts(df, id_col, text_col)
+            .select(F.col("id").alias(id_col), F.explode(whitespace_tokens(F.col("text"))).alias("tok")))
+    per_dim = toks.groupBy(id_col, hash_bucket(F.col("tok"), dim).alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(id_col))
+    return per_dim.select(id_col, "dim", (share if digits is None else F.round(share, digits)).alias("val"))
 
 
 def densify(sparse: DataFrame, id_col: str, dim: int) -> DataFrame:
@@ -84,13 +86,8 @@ def embed_terms(df: DataFrame, id_col: str, text_col: str,
     per task, before the task's first batch. Without either, the native
     hashing encoder is used."""
     if encoder is None and encoder_factory is None:
-        return densify(embed_terms_sparse(df, id_col, text_col, dim), id_col, dim)
-    # one text per distinct (md5, length): partial aggregation keeps a single
-    # copy per map task, so only distinct texts reach the encoder tasks
-    terms = (df.where(F.col(text_col).isNotNull())
-             .groupBy(F.md5(F.col(text_col)).alias("__h"), F.length(F.col(text_col)).alias("__n"))
-             .agg(F.min(id_col).alias("id"), F.min_by(F.col(text_col), F.col(id_col)).alias("text"))
-             .select("id", "text"))
+        return densify(embed_terms_sparse(df, id_col, text_col, dim, digits=None), id_col, dim)
+    terms = distinct_texts(df, id_col, text_col)
     id_type = df.schema[id_col].dataType
 
     def run(batches):
@@ -134,52 +131,46 @@ def cosine_one_to_all(vectors: DataFrame, query_id, id_col: str = "id", vec_col:
                       F.round(cosine_col(F.col(vec_col), q), ROUND).alias("similarity"))
 
 
+def unit_vector(vec: Column) -> Column:
+    """The vector in double precision, scaled to norm 1; a zero vector stays."""
+    v = vec.cast("array<double>")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+
+
 def _block_topk(k: int):
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"a_id": pd.Series(dtype="int64"), "b_id": pd.Series(dtype="int64"),
-                                 "similarity": pd.Series(dtype="float64")})
-        A = np.stack(a["vec"].to_numpy()).astype(np.float64)
-        B = np.stack(b["vec"].to_numpy()).astype(np.float64)
-        na = np.sqrt((A * A).sum(axis=1))
-        nb = np.sqrt((B * B).sum(axis=1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            S = (A @ B.T) / np.outer(na, nb)
-        S[(na == 0)[:, None] | (nb == 0)[None, :]] = 0.0
-        S = np.round(S, ROUND)
-        bid = b["id"].to_numpy()
-        aid = a["id"].to_numpy()
+            return pd.DataFrame({"a_id": a["id"][:0], "b_id": b["id"][:0], "similarity": np.zeros(0)})
+        b = b.sort_values("id", kind="stable")
+        S = np.round(np.stack(a["vec"].to_numpy()) @ np.stack(b["vec"].to_numpy()).T, ROUND)
         kk = min(k, S.shape[1])
-        thr = np.partition(S, S.shape[1] - kk, axis=1)[:, S.shape[1] - kk]
-        out_a, out_b, out_s = [], [], []
-        for i in range(S.shape[0]):
-            cand = np.nonzero(S[i] >= thr[i])[0]
-            if cand.size > kk:   # ties at the k-th value: smaller id first
-                cand = cand[np.lexsort((bid[cand], -S[i, cand]))[:kk]]
-            out_a.append(np.full(cand.size, aid[i]))
-            out_b.append(bid[cand])
-            out_s.append(S[i, cand])
-        return pd.DataFrame({"a_id": np.concatenate(out_a).astype("int64"),
-                             "b_id": np.concatenate(out_b).astype("int64"),
-                             "similarity": np.concatenate(out_s)})
+        least = np.partition(S, S.shape[1] - kk, axis=1)[:, S.shape[1] - kk]
+        i, j = np.nonzero(S >= least[:, None])       # more than kk of a row where the last value is tied
+        order = np.lexsort((j, -S[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < kk], j[place < kk]
+        return pd.DataFrame({"a_id": a["id"].to_numpy()[i], "b_id": b["id"].to_numpy()[j], "similarity": S[i, j]})
     return run
 
 
 def topk_cosine(a: DataFrame, b: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec",
                 block_rows: int = 2048) -> DataFrame:
     """Exact top-k of ``b`` for every row of ``a`` by cosine → (a_id, b_id,
-    similarity, rank). Ids must be integral."""
-    na, nb = a.count(), b.count()
-    ga = max(1, math.ceil(na / block_rows))
-    gb = max(1, math.ceil(nb / block_rows))
-    A = (a.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-         .withColumn("ga", F.pmod(F.xxhash64("id"), F.lit(ga)).cast("int"))
-         .withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(gb - 1)))))
-    B = (b.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-         .withColumn("gb", F.pmod(F.xxhash64("id"), F.lit(gb)).cast("int"))
-         .withColumn("ga", F.explode(F.sequence(F.lit(0), F.lit(ga - 1)))))
-    part = (A.groupBy("ga", "gb").cogroup(B.groupBy("ga", "gb"))
-            .applyInPandas(_block_topk(k), "a_id long, b_id long, similarity double"))
+    similarity, rank), ids in their own types. Rows with a null id or vector
+    take no part."""
+    def side(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        return (df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
+                .select(F.col(id_col).alias("id"), unit_vector(F.col(vec_col)).alias("vec"))
+                .withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))))
+
+    ga, gb = (max(1, math.ceil(x.count() / block_rows)) for x in (a, b))
+    A, B = side(a, "ga", ga, "gb", gb), side(b, "gb", gb, "ga", ga)
+    schema = T.StructType([T.StructField("a_id", a.schema[id_col].dataType), T.StructField("b_id", b.schema[id_col].dataType),
+                           T.StructField("similarity", T.DoubleType())])
+    part = A.groupBy("ga", "gb").cogroup(B.groupBy("ga", "gb")).applyInPandas(_block_topk(k), schema)
     w = Window.partitionBy("a_id").orderBy(F.col("similarity").desc(), F.col("b_id"))
     return (part.withColumn("rank", F.row_number().over(w).cast("long"))
             .where(F.col("rank") <= k))

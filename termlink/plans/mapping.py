@@ -15,16 +15,16 @@ from typing import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlink.functions.text import strip_boilerplate
-from termlink.operators.rows import dedupe_first, drop_non_string, exclude_ignored, filter_phenotype
+from termlink.operators.rows import dedupe_first, drop_non_string, exclude_ignored, filter_phenotype, group_row_index
 from termlink.operators.vectors import dedupe_candidates, embed_terms, topk_cosine
 from termlink.session import cut_lineage
 
 
-def prepare_traits(studies: DataFrame, ignore: DataFrame, order_col: str = "doc_id") -> DataFrame:
+def prepare_traits(studies: DataFrame, ignore: DataFrame, order_col: str = "study_id") -> DataFrame:
     st = filter_phenotype(studies)
     st = dedupe_first(st, "trait", order_col)
     st = exclude_ignored(st, ignore)
@@ -32,37 +32,42 @@ def prepare_traits(studies: DataFrame, ignore: DataFrame, order_col: str = "doc_
     return st.withColumn("trait_clean", strip_boilerplate(F.col("trait")))
 
 
-def _spread(vectors: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Vectors computed once per distinct text (keyed by the smallest id)
-    → one vector per row id carrying that text (digest join, no text shuffle)."""
-    keyed = rows.select(F.col(id_col).alias("__id"), F.md5(F.col(text_col)).alias("__h"),
-                        F.length(F.col(text_col)).alias("__n")).where(F.col("__h").isNotNull())
-    reps = keyed.groupBy("__h", "__n").agg(F.min("__id").alias("__rep"))
-    return (keyed.join(reps, ["__h", "__n"])
-            .join(vectors.withColumnRenamed(id_col, "__rep"), "__rep")
-            .select(F.col("__id").alias("id"), "vec"))
+def expand_terms(top: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """``top``: (a_id, b_id, similarity, rank) over distinct term texts, named by their smallest
+    id. ``terms``: (id, text key columns __h, __n). → (a_id, id, similarity, rank) over all ids.
+
+    The k best ids of a trait lie in its k best texts (each of which has an id before
+    any id of a worse text), and among the k smallest ids of a text."""
+    reps = terms.groupBy("__h", "__n").agg(F.min("id").alias("b_id"))
+    few = group_row_index(terms.join(reps, ["__h", "__n"]).select("b_id", "id"), ["b_id"], ["id"], "nth").where(F.col("nth") < k)
+    w = Window.partitionBy("a_id").orderBy(F.col("similarity").desc(), F.col("id"))     # k * k rows at most
+    return (top.select("a_id", "b_id", "similarity").join(few.select("b_id", "id"), "b_id")
+            .withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+            .select("a_id", "id", "similarity", "rank"))
 
 
 def map_traits_to_terms(studies: DataFrame, ignore: DataFrame, onto: DataFrame, k: int = 20,
                         encoder: Callable[[pd.Series], np.ndarray] | None = None, dim: int = 64,
-                        order_col: str = "doc_id") -> DataFrame:
+                        order_col: str = "study_id") -> DataFrame:
     """→ (trait_id, trait, efo, efo_id, similarity, rank). ``onto`` has
-    integer ``id`` and ``term``; studies carry an integer ``order_col``.
+    ``id`` (any type) and ``term``; studies carry an ``order_col`` that is unique.
 
-    Each distinct cleaned trait and each distinct term text is embedded
-    once; the top-k runs over distinct traits against every term row, and
-    the result fans out to every study with that cleaned trait."""
+    Each distinct cleaned trait and each distinct term text is embedded and
+    scored once; the result fans out to every term id with that text and every
+    study with that cleaned trait."""
     # the prepared traits and both vector tables feed several branches
     # (sizes, top-k cells, fan-out): materialise each once
     st = cut_lineage(prepare_traits(studies, ignore, order_col))
     tv = cut_lineage(embed_terms(st, order_col, "trait_clean", encoder, dim))
-    ov = cut_lineage(_spread(embed_terms(onto, "id", "term", encoder, dim), onto, "id", "term"))
+    ov = cut_lineage(embed_terms(onto, "id", "term", encoder, dim))
     top = topk_cosine(tv.select(F.col(order_col).alias("id"), "vec"), ov, k)
+    terms = onto.where(F.col("term").isNotNull()).select("id", F.md5("term").alias("__h"), F.length("term").alias("__n"))
+    best = expand_terms(top, terms, k)
     keyed = st.select("study_name", "trait", F.col(order_col).alias("__id"),
                       F.md5("trait_clean").alias("__h"), F.length("trait_clean").alias("__n"))
     reps = keyed.groupBy("__h", "__n").agg(F.min("__id").alias("a_id"))
-    cand = (keyed.join(reps, ["__h", "__n"]).join(top, "a_id")
-            .join(onto.select(F.col("id").alias("b_id"), F.col("term").alias("efo")), "b_id")
+    cand = (keyed.join(reps, ["__h", "__n"]).join(best, "a_id")
+            .join(onto.select("id", F.col("term").alias("efo")), "id")
             .select(F.col("study_name").alias("trait_id"), "trait", "efo",
-                    F.col("b_id").alias("efo_id"), "similarity", "rank"))
+                    F.col("id").alias("efo_id"), "similarity", "rank"))
     return dedupe_candidates(cand, ("trait_id", "efo_id"), "similarity", "rank")

@@ -6,21 +6,90 @@ written independently of the Spark plans: plain joins, windows and
 aggregates over all pairs where the Spark side prunes.
 
 Jaro-Winkler: DuckDB's ``jaro_similarity`` floors half the transposition
-count (and works on bytes; the fixture traits are ASCII). Its distance is
-never above the exact one, so it only prefilters pairs; the survivors get the
-exact Jaro (t = half the out-of-order matches, as the matching library the
-reference calls defines it) from a SQL fold over the characters.
+count, so its distance is never above the exact one and it only discards
+pairs; the others get the exact Jaro (t = half the out-of-order matches, as the
+matching library the reference calls defines it) from a SQL fold over the
+characters. Nothing here is imported from the code under test but the
+fixture views.
 """
 
 from __future__ import annotations
 
+import re
+from typing import NamedTuple
+
 from termlink.fixtures import with_views
-from termlink.functions.text import BOILERPLATE_PATTERNS
-from termlink.operators.prompting import PROMPT_TRAIT_TERM
-from termlink.plans.cascade import DEFAULT_STAGES
 
 NL = "chr(10)"
 
+# The deletions of boilerplate, in order.
+DELETIONS = [
+    r"Diagnoses - main ICD10: [A-Z][0-9]+(\.[0-9]+)?\s*",
+    r"Operative procedures - main OPCS: [A-Z][0-9]+(\.[0-9]+)?\s*",
+    r"Diagnoses - secondary ICD10: [A-Z][0-9]+(\.[0-9]+)?\s*",
+    r"Operative procedures - secondary OPCS: [A-Z][0-9]+(\.[0-9]+)?\s*",
+    r"Operative procedures - main OPCS4 \([A-Z][0-9]+(\.[0-9]+)?\s*",
+    r"Operative procedures - secondary OPCS4 \([A-Z][0-9]+(\.[0-9]+)?\s*",
+    r"Non-cancer illness code, self-reported:",
+    r"Benign neoplasm:",
+    r"Malignant neoplasm:",
+    r"Operation code:",
+    r"Treatment/medication code:",
+    r"Medication use",
+    r"levels$",
+    r"Firth correction",
+    r"SPA correction",
+    r"UKB data field \d+",
+    r"Non-cancer illness code",
+    r"self reported",
+    r"^Ever had",
+    r"^NMR",
+    r"automated reading",
+    r"^ICD10 [A-Z][0-9]+(\.[0-9]+)?\s*",
+]
+
+# Prompt wordings; {trait} and {bullets} are filled in.
+WORDING_TERM = (
+    'Match the trait "{trait}" to the best EFO term from this list:\n\n{bullets}.\n\n'
+    'Return JSON: {"trait": "{trait}", "efo": "<efo term>", "confidence":<score 1-5>}.')
+WORDING_TRAIT = (
+    'This is a term used to describe a trait that I analysed in genome-wide association study: '
+    '"{trait}". These were traits used in another study listed below. Find a trait from the list '
+    'below that best matches my trait.\n\n{bullets}.\n\nI do not expect an exact match, but getting '
+    'something that is conceptually close will suffice. Return your answer in json format with the '
+    'format {"trait": "{trait}", "match": "<other trait>", "confidence":<score>}, where the '
+    '"confidence" field represents on a scale of 1-5 how closely the trait matches, where 1 is very '
+    'loose and 5 is a perfect match.')
+WORDING_LOCAL = (
+    'This is a term used to describe a trait that was analysed in genome-wide association study: '
+    '"{trait}". Find the most appropriate EFO term for this trait from the list below. I do not '
+    'expect an exact match, but getting something that is conceptually close will suffice:\n\n'
+    '{bullets}\n\nWhen you find an EFO term that is conceptually close, make sure to return the exact '
+    'efo term. Return your answer in json format with the format {"trait": "{trait}", "efo": '
+    '"<efo term>", "confidence":<score>}, where the "confidence" field represents on a scale of 1-5 '
+    'how closely the trait matches, where 1 is very loose and 5 is a perfect match.')
+
+
+class Step(NamedTuple):
+    """A step of the cascade: how, on which column, prefix weight, largest distance, and whether it
+    takes what earlier steps left over (else the same rows as the step before it)."""
+
+    tag: str
+    how: str
+    column: str
+    p: float = 0.0
+    most: float = 0.0
+    left_over: bool = True
+
+
+STEPS = [
+    Step("exact", "exact", "trait"),
+    Step("fuzzy", "jw", "trait", 0.1, 0.05),
+    Step("fuzzy2", "jw", "trait2", 0.1, 0.05),
+    Step("fuzzy3", "jw", "trait2", 0.15, 0.05),
+    Step("fuzzy4", "wjaccard", "trait2", 0.0, 0.2, False),
+]
+
 
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -47,35 +116,34 @@ def _prefix_len_sql(a: str, b: str) -> str:
     return f"(CASE {pref} ELSE 0 END)"
 
 
-def jw_dist_sql(a: str, b: str, p: float) -> str:
-    """DuckDB's own Jaro (floors half the transpositions): a lower bound of
-    the exact distance, used only to discard pairs."""
-    return (f"CASE WHEN {a} = {b} THEN 0.0 ELSE round((1 - jaro_similarity({a}, {b})) * "
-            f"(1 - {p} * {_prefix_len_sql(a, b)}), 9) END")
+# letters beyond ASCII that the documents use, renamed to single bytes for the prefilter
+LETTERS = "äéêèçßüñöóíÓÉÇÑÖÊÈÄÜÍ"
+NARROW = [n for n in range(1, 32) if n not in (9, 10, 11, 12, 13)][:len(LETTERS)]
+
 
+def narrow_sql(x: str) -> str:
+    return f"translate({x}, {_q(LETTERS)}, {' || '.join(f'chr({n})' for n in NARROW)})"
 
-def jaro_state_sql(a: str, b: str) -> str:
-    """Greedy Jaro matching as a fold over the positions of ``a``: the state
-    holds the used-flags of ``b`` and the matched-flags of ``a``."""
-    A, B = f"string_split({a}, '')", f"string_split({b}, '')"
-    lb = f"length({b})"
-    w = f"greatest(0, greatest(length({a}), {lb}) // 2 - 1)"
+
+def jaro_state_sql(lb: str) -> str:
+    """Greedy Jaro matching of the lists xa, ya as a fold over the positions of xa: the
+    state holds the used-flags of ya and the matched-flags of xa."""
+    w = f"greatest(0, greatest(len(xa), {lb}) // 2 - 1)"
     j = (f"coalesce(list_filter(range(greatest(1, i - {w}), least({lb}, i + {w}) + 1), "
-         f"lambda j: {B}[j] = {A}[i] AND substr(s.ub, j, 1) = '0')[1], 0)")
-    return (f"list_reduce(range(1, length({a}) + 1), lambda s, i: struct_pack(ub := CASE WHEN {j} > 0 THEN "
+         f"lambda j: ya[j] = xa[i] AND substr(s.ub, j, 1) = '0')[1], 0)")
+    return (f"list_reduce(range(1, len(xa) + 1), lambda s, i: struct_pack(ub := CASE WHEN {j} > 0 THEN "
             f"substr(s.ub, 1, {j} - 1) || '1' || substr(s.ub, {j} + 1) ELSE s.ub END, "
             f"ua := s.ua || CASE WHEN {j} > 0 THEN '1' ELSE '0' END), "
             f"struct_pack(ub := repeat('0', {lb}), ua := ''))")
 
 
-def jaro_exact_sql(a: str, b: str, st: str) -> str:
-    """Jaro from the fold state, with t = half the out-of-order matches."""
-    A, B = f"string_split({a}, '')", f"string_split({b}, '')"
-    m = f"length(replace({st}.ua, '0', ''))"
-    sa = f"list_filter({A}, lambda x, k: substr({st}.ua, k, 1) = '1')"
-    sb = f"list_filter({B}, lambda x, k: substr({st}.ub, k, 1) = '1')"
-    t = f"len(list_filter(range(1, {m} + 1), lambda k: {sa}[k] <> {sb}[k]))"
-    return (f"CASE WHEN {m} = 0 THEN 0.0 ELSE ({m} / length({a}) + {m} / length({b}) + "
+def jaro_exact_sql() -> str:
+    """Jaro from the fold state st, with t = half the out-of-order matches."""
+    m = "length(replace(st.ua, '0', ''))"
+    sa = "list_filter(xa, lambda x, k: substr(st.ua, k, 1) = '1')"
+    sb = "list_filter(ya, lambda x, k: substr(st.ub, k, 1) = '1')"
+    t = f"len(list_filter(list_zip({sa}, {sb}), lambda z: z[1] <> z[2]))"
+    return (f"CASE WHEN {m} = 0 THEN 0.0 ELSE ({m} / len(xa) + {m} / len(ya) + "
             f"({m} - {t} / 2.0) / {m}) / 3.0 END")
 
 
@@ -105,15 +173,29 @@ def lr_ctes(sources=("rare_a", "rare_b", "rare_c"), trait2: bool = False) -> str
 
 
 def best_jw_sql(lt: str, rt: str, lk: str, rk: str, col: str, p: float, maxd: float) -> str:
-    floor_d = jw_dist_sql(f"a.{col}", f"b.{col}", p)
-    exact_d = (f"CASE WHEN x = y THEN 0.0 ELSE round((1 - {jaro_exact_sql('x', 'y', 'st')}) * "
-               f"(1 - {p} * {_prefix_len_sql('x', 'y')}), 9) END")
-    return (f"SELECT {lk}, {rk}, dist FROM (SELECT *, row_number() OVER (PARTITION BY {lk} "
-            f"ORDER BY dist, {rk}) AS rn FROM (SELECT {lk}, {rk}, {exact_d} AS dist FROM ("
-            f"SELECT {lk}, {rk}, x, y, {jaro_state_sql('x', 'y')} AS st FROM ("
-            f"SELECT a.{lk}, b.{rk}, a.{col} AS x, b.{col} AS y FROM {lt} a JOIN {rt} b "
-            f"ON a.{col} IS NOT NULL AND b.{col} IS NOT NULL WHERE {floor_d} <= {maxd}))) "
-            f"WHERE dist <= {maxd}) WHERE rn = 1")
+    """Distinct strings of similar length are paired; DuckDB's own Jaro (which floors half the
+    transpositions, so it is never below the exact one) discards most; the rest is scored exactly.
+    It works on bytes, so the letters beyond ASCII are renamed; strings with still others pass it."""
+    j = 1 - maxd / (1 - 4 * p)
+    k = 3 * j - 2
+
+    def side(t, c, x):
+        return (f"SELECT DISTINCT {c} AS {x}, length({c}) AS n, {narrow_sql(c)} AS z FROM {t} WHERE {c} IS NOT NULL")
+
+    plain = "strlen(a.z) = a.n AND strlen(b.z) = b.n"
+    floor_d = f"(1 - jaro_similarity(a.z, b.z)) * (1 - {p} * {_prefix_len_sql('a.z', 'b.z')})"
+    exact_d = f"round((1 - {jaro_exact_sql()}) * (1 - {p} * {_prefix_len_sql('x', 'y')}), 9)"
+    return f"""SELECT {lk}, {rk}, dist FROM (
+  WITH ls AS ({side(lt, col, 'x')}), rs AS ({side(rt, col, 'y')}),
+       near AS (SELECT a.x, b.y FROM ls a JOIN rs b ON b.n >= a.n * {k} - 1e-6 AND b.n <= a.n / {k} + 1e-6
+                WHERE a.x <> b.y AND CASE WHEN {plain} THEN {floor_d} <= {maxd} + 1e-9 ELSE true END),
+       lists AS (SELECT x, y, string_split(x, '') AS xa, string_split(y, '') AS ya FROM near),
+       states AS (SELECT *, {jaro_state_sql('len(ya)')} AS st FROM lists),
+       scored AS (SELECT x, y, {exact_d} AS dist FROM states
+                  UNION ALL SELECT x, x, 0.0 FROM ls JOIN rs ON x = y)
+  SELECT a.{lk}, b.{rk}, dist, row_number() OVER (PARTITION BY a.{lk} ORDER BY dist, b.{rk}) AS rn
+  FROM scored JOIN {lt} a ON a.{col} = x JOIN (SELECT {col}, min({rk}) AS {rk} FROM {rt} GROUP BY {col}) b ON b.{col} = y
+  WHERE dist <= {maxd}) WHERE rn = 1"""
 
 
 def best_wjac_sql(lt: str, rt: str, lk: str, rk: str, col: str, maxd: float, block: str | None) -> str:
@@ -133,9 +215,16 @@ def best_wjac_sql(lt: str, rt: str, lk: str, rk: str, col: str, maxd: float, blo
               GROUP BY lt.{lk}, lt.b),
        wy AS (SELECT blocks.b, rt.{rk}, sum(w.w) AS wy FROM blocks JOIN rt ON true
               JOIN w ON w.b = blocks.b AND w.t = rt.t GROUP BY blocks.b, rt.{rk}),
-       it AS (SELECT lt.{lk}, lt.b, rt.{rk}, sum(w.w) AS i FROM lt JOIN rt ON lt.t = rt.t
-              JOIN w ON w.b = lt.b AND w.t = lt.t GROUP BY lt.{lk}, lt.b, rt.{rk}),
-       sc AS (SELECT it.{lk}, it.{rk}, round(1 - it.i / (wx.wx + wy.wy - it.i), 9) AS dist
+       -- a match shares more than the weight of all but the left string's heaviest tokens, so it shares
+       -- one of these
+       heavy AS (SELECT {lk}, b, t FROM (SELECT lt.{lk}, lt.b, lt.t, sum(w.w) OVER (PARTITION BY lt.{lk}, lt.b
+                   ORDER BY w.w, lt.t) AS rest, sum(w.w) OVER (PARTITION BY lt.{lk}, lt.b) AS total
+                 FROM lt JOIN w ON w.b = lt.b AND w.t = lt.t) WHERE rest >= {1 - maxd} * total - 1e-6),
+       cand AS (SELECT DISTINCT heavy.{lk}, heavy.b, rt.{rk} FROM heavy JOIN rt ON rt.t = heavy.t),
+       it AS (SELECT c.{lk}, c.b, c.{rk}, sum(w.w) AS i FROM cand c JOIN lt ON lt.{lk} = c.{lk} AND lt.b = c.b
+              JOIN rt ON rt.{rk} = c.{rk} AND rt.t = lt.t JOIN w ON w.b = lt.b AND w.t = lt.t
+              GROUP BY c.{lk}, c.b, c.{rk}),
+       sc AS (SELECT it.{lk}, it.{rk}, round(1 - it.i / (wx.wx + wy.wy - it.i), 9) + 0.0 AS dist
               FROM it JOIN wx ON wx.{lk} = it.{lk} AND wx.b = it.b
               JOIN wy ON wy.b = it.b AND wy.{rk} = it.{rk})
   SELECT *, row_number() OVER (PARTITION BY {lk} ORDER BY dist, {rk}) AS rn FROM sc
@@ -151,27 +240,27 @@ def suffixed_select(pairs: str, lt: str, rt: str, lk: str, rk: str, lcols, rcols
 
 
 def cascade_sql(left_cte: str, right_cte: str, lk: str, rk: str, cols, sfx,
-                stages=DEFAULT_STAGES, block: str | None = None) -> str:
+                stages=STEPS, block: str | None = None) -> str:
     """Full cascade in SQL: stage inputs as anti-joined CTEs, tagged union."""
     ctes = [left_cte, right_cte,
-            f"l2 AS (SELECT *, {trait2_sql()} AS trait2 FROM l0)",
-            f"r2 AS (SELECT *, {trait2_sql()} AS trait2 FROM r0)"]
+            f"l2 AS MATERIALIZED (SELECT *, {trait2_sql()} AS trait2 FROM l0)",
+            f"r2 AS MATERIALIZED (SELECT *, {trait2_sql()} AS trait2 FROM r0)"]
     cur = "l2"
     matched: list[str] = []
     for i, st in enumerate(stages):
-        if i > 0 and st.consumes_residual:
+        if i > 0 and st.left_over:
             keys = " UNION ALL ".join(f"SELECT {lk} FROM m{j}" for j in range(i))
-            ctes.append(f"in{i} AS (SELECT * FROM l2 WHERE {lk} NOT IN ({keys}))")
+            ctes.append(f"in{i} AS MATERIALIZED (SELECT * FROM l2 WHERE {lk} NOT IN ({keys}))")
             cur = f"in{i}"
-        if st.method == "exact":
+        if st.how == "exact":
             body = (f"SELECT a.{lk}, b.{rk} FROM {cur} a JOIN r2 b ON a.{st.column} = b.{st.column}")
-        elif st.method == "jw":
-            body = best_jw_sql(cur, "r2", lk, rk, st.column, st.params["p"], st.params["max_dist"])
+        elif st.how == "jw":
+            body = best_jw_sql(cur, "r2", lk, rk, st.column, st.p, st.most)
             body = f"SELECT {lk}, {rk} FROM ({body})"
         else:
-            body = best_wjac_sql(cur, "r2", lk, rk, st.column, st.params["max_dist"], block)
+            body = best_wjac_sql(cur, "r2", lk, rk, st.column, st.most, block)
             body = f"SELECT {lk}, {rk} FROM ({body})"
-        ctes.append(f"m{i} AS ({body})")
+        ctes.append(f"m{i} AS MATERIALIZED ({body})")
         matched.append(f"SELECT {lk}, {rk}, {_q(st.tag)} AS match_type FROM m{i}")
     pairs = " UNION ALL ".join(matched)
     sel = suffixed_select(pairs, "l2", "r2", lk, rk, cols, cols, sfx, "m.match_type")
@@ -182,32 +271,26 @@ def cascade_sql(left_cte: str, right_cte: str, lk: str, rk: str, cols, sfx,
 # prompts / answers
 # ---------------------------------------------------------------------------
 
-def prompt_sql() -> str:
-    t = PROMPT_TRAIT_TERM.replace("{{", "\x00").replace("}}", "\x01")
+def prompt_sql(wording: str = WORDING_TERM) -> str:
     pieces = []
-    import re
-    for piece in re.split(r"(\{[a-z_]+\})", t):
-        if not piece:
-            continue
-        if piece == "{trait}":
-            pieces.append("trait")
-        elif piece == "{bullets}":
-            pieces.append("bullets")
-        else:
-            lit = piece.replace("\x00", "{").replace("\x01", "}")
-            parts = lit.split("\n")
-            for k, part in enumerate(parts):
-                if part:
-                    pieces.append(_q(part))
-                if k < len(parts) - 1:
-                    pieces.append(NL)
+    for piece in re.split(r"(\{trait\}|\{bullets\}|\n)", wording):
+        if piece in ("{trait}", "{bullets}"):
+            pieces.append(piece[1:-1])
+        elif piece == "\n":
+            pieces.append(NL)
+        elif piece:
+            pieces.append(_q(piece))
     return " || ".join(pieces)
 
 
 BULLETS = f"""bullets AS (SELECT trait, string_agg('- ' || efo, {NL} ORDER BY similarity DESC, efo_id, efo)
                     AS bullets FROM cand GROUP BY trait)"""
-PROMPTS = f"""prompts AS (SELECT b.trait, f.first_id, {prompt_sql()} AS prompt FROM bullets b
-             JOIN (SELECT trait, min(trait_id) AS first_id FROM cand GROUP BY trait) f USING (trait))"""
+def prompts_sql(wording: str) -> str:
+    return (f"prompts AS (SELECT b.trait, f.first_id, {prompt_sql(wording)} AS prompt FROM bullets b "
+            "JOIN (SELECT trait, min(trait_id) AS first_id FROM cand GROUP BY trait) f USING (trait))")
+
+
+PROMPTS = prompts_sql(WORDING_TERM)
 REQUESTS = """requests AS (SELECT idx, idx // 1000 AS batch, 'req-' || idx AS custom_id,
               'gpt-4o-mini-2024-07-18' AS model, CAST(1000 AS BIGINT) AS max_tokens,
               md5(prompt) AS prompt_md5, trait, prompt
@@ -215,14 +298,16 @@ REQUESTS = """requests AS (SELECT idx, idx // 1000 AS batch, 'req-' || idx AS cu
 
 
 def answer_cols(content: str) -> str:
+    content = f"trim({content}, ' ' || chr(9) || chr(10) || chr(13))"
     ok = f"(starts_with({content}, '{{') AND json_valid({content}))"
     c = f"(CASE WHEN {ok} THEN {content} END)"   # never hand malformed text to the extractor
     return (f"json_extract_string({c}, '$.trait') AS trait, "
-            f"json_extract_string({c}, '$.efo') AS efo, "
+            f"json_extract_string({c}, '$.efo') AS efo, json_extract_string({c}, '$.match') AS match, "
             f"json_extract_string({c}, '$.confidence') AS confidence_raw, "
             f"TRY_CAST(json_extract_string({c}, '$.confidence') AS DOUBLE) AS confidence, "
             f"coalesce({ok} AND (json_extract_string({c}, '$.trait') IS NOT NULL "
-            f"OR json_extract_string({c}, '$.efo') IS NOT NULL), false) AS parsed")
+            f"OR json_extract_string({c}, '$.efo') IS NOT NULL OR json_extract_string({c}, '$.match') IS NOT NULL), "
+            f"false) AS parsed")
 
 
 PARSED = f"""parsed AS (SELECT custom_id, {answer_cols('content')} FROM (
@@ -264,7 +349,7 @@ def _boiler_input_sql() -> str:
 
 
 def _strip_sql(x: str) -> str:
-    for p in BOILERPLATE_PATTERNS:
+    for p in DELETIONS:
         x = f"regexp_replace({x}, {_q(p)}, '', 'g')"
     return clean_ascii_sql(x)
 
@@ -286,7 +371,7 @@ def build() -> dict[str, str]:
 
     # 2.1 sources and sinks
     o["scan_delimited"] = _w("SELECT study_name, trait, source, variant_type, data_type, sample_size, "
-                             "doc_id FROM studies_raw", "studies_raw")
+                             "study_id FROM studies_raw", "studies_raw")
     o["scan_ignore_list"] = _w("SELECT DISTINCT study_name FROM ignore_names", "ignore_names")
     o["stage_parquet"] = ("SELECT vec_id, label, CAST(pos AS BIGINT) AS pos, round(CAST(v AS DOUBLE), 9) AS val "
                           "FROM (SELECT vec_id, label, unnest(range(0, len(embedding))) AS pos, "
@@ -308,15 +393,14 @@ def build() -> dict[str, str]:
                                "AND source <> 'ebi_catalog'", "studies_raw")
     o["split_by_source"] = _w("SELECT study_name, source, CASE WHEN source IS NOT DISTINCT FROM 'common' "
                               "THEN 'selected' ELSE 'others' END AS part FROM studies_raw", "studies_raw")
-    o["project_rename"] = _w("SELECT study_name AS study_name_rare, trait, source FROM studies "
-                             "WHERE source = 'rare_a'", "studies")
+    o["project_rename"] = _w("SELECT study_name AS study_name_rare, trait, source FROM studies", "studies")
     o["exclude_ignored"] = _w("SELECT * FROM studies_raw s WHERE NOT EXISTS (SELECT 1 FROM ignore_names i "
                               "WHERE i.study_name = s.study_name)", "studies_raw", "ignore_names")
     o["drop_non_string"] = _w("SELECT * FROM studies_raw WHERE trait IS NOT NULL", "studies_raw")
     o["type_audit"] = _w("SELECT CASE WHEN trait IS NULL THEN 'missing' ELSE 'string' END AS kind, "
                          "count(*) AS n FROM studies_raw GROUP BY 1", "studies_raw")
-    o["dedupe_first"] = _w("SELECT study_name, trait, source, variant_type, data_type, sample_size, doc_id "
-                           "FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY doc_id) AS rn "
+    o["dedupe_first"] = _w("SELECT study_name, trait, source, variant_type, data_type, sample_size, study_id "
+                           "FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY study_id) AS rn "
                            "FROM studies_raw WHERE data_type = 'phenotype' AND source <> 'ebi_catalog') "
                            "WHERE rn = 1", "studies_raw")
     o["distinct_pairs"] = _w("SELECT DISTINCT trait_id, trait FROM cand", "cand")
@@ -372,9 +456,9 @@ def build() -> dict[str, str]:
     lcte, rcte = lr0(("rare_a",), "study_name1", "study_name2", ("rare_b",), "rare_exome", ", sample_size")
     o["link_rare_rare"] = _w(cascade_sql(lcte, rcte, "study_name1", "study_name2",
                                          ["trait", "source", "sample_size"], ("_1", "_2"),
-                                         DEFAULT_STAGES[:4], block="source"), "studies")
+                                         STEPS[:4], block="source"), "studies")
     o["reattach_ids"] = _w(f"WITH {PARSED}\nSELECT p.custom_id, p.trait, p.efo, p.confidence, i.trait_id "
-                           "FROM parsed p LEFT JOIN (SELECT trait_id, min(trait) AS t FROM cand GROUP BY trait_id) i "
+                           "FROM parsed p LEFT JOIN (SELECT trait_id, min_by(trait, efo_id) AS t FROM cand GROUP BY trait_id) i "
                            "ON p.trait IS NOT DISTINCT FROM i.t WHERE p.parsed", "cand", "llm_lines")
 
     # 2.5 vectors
@@ -403,25 +487,28 @@ def build() -> dict[str, str]:
                 f"{name}_dim AS (SELECT rep, {bucket('tok')} AS dim, count(*) AS n FROM (SELECT rep, "
                 f"unnest(regexp_split_to_array(txt, '\\s+')) AS tok FROM {name}_rep) WHERE tok <> '' "
                 f"GROUP BY 1, 2),\n"
-                f"{name}_vec AS (SELECT rep, dim, round(n / sum(n) OVER (PARTITION BY rep), 9) AS v "
+                f"{name}_vec AS (SELECT rep, dim, n / sum(n) OVER (PARTITION BY rep) AS v "
                 f"FROM {name}_dim),\n"
                 f"{name}_nrm AS (SELECT rep, sqrt(sum(v * v)) AS nrm FROM {name}_vec GROUP BY rep)")
 
-    st = ("st0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY doc_id) AS rn "
+    st = ("st0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY study_id) AS rn "
           "FROM studies WHERE data_type = 'phenotype' AND source <> 'ebi_catalog') WHERE rn = 1),\n"
           "st AS (SELECT *, " + _strip_sql("trait") + " AS trait_clean FROM st0 s WHERE trait IS NOT NULL "
           "AND NOT EXISTS (SELECT 1 FROM ignore_names i WHERE i.study_name = s.study_name))")
     o["map_traits_to_terms"] = _w(
-        f"WITH {st},\n{vec_ctes('t', 'st', 'doc_id', 'trait_clean')},\n{vec_ctes('o', 'onto', 'id', 'term')},\n"
+        f"WITH {st},\n{vec_ctes('t', 'st', 'study_id', 'trait_clean')},\n{vec_ctes('o', 'onto', 'id', 'term')},\n"
         "dots AS (SELECT t.rep AS trep, o.rep AS orep, sum(t.v * o.v) AS dot FROM t_vec t JOIN o_vec o "
         "USING (dim) GROUP BY 1, 2),\n"
         "terms AS (SELECT onto.id, onto.term, r.rep AS orep FROM onto JOIN o_rep r ON r.txt = onto.term),\n"
-        "sims AS (SELECT tn.rep AS trep, terms.id AS efo_id, terms.term AS efo, round(CASE WHEN tn.nrm = 0 "
-        "OR onm.nrm = 0 THEN 0.0 ELSE coalesce(d.dot, 0.0) / (tn.nrm * onm.nrm) END, 9) AS similarity "
-        "FROM t_nrm tn JOIN terms ON true JOIN o_nrm onm ON onm.rep = terms.orep "
-        "LEFT JOIN dots d ON d.trep = tn.rep AND d.orep = terms.orep),\n"
-        "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trep ORDER BY similarity DESC, "
-        "efo_id) AS rank FROM sims) WHERE rank <= 20)\n"
+        "sizes AS (SELECT orep, count(*) AS n FROM terms GROUP BY orep),\n"
+        # texts that fewer than 20 ids of better texts precede: no other can be among the best 20
+        "sims AS (SELECT * FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY trep ORDER BY similarity DESC "
+        "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS before FROM (SELECT tn.rep AS trep, "
+        "onm.rep AS orep, sizes.n, round(CASE WHEN tn.nrm = 0 OR onm.nrm = 0 THEN 0.0 ELSE coalesce(d.dot, 0.0) / "
+        "(tn.nrm * onm.nrm) END, 9) AS similarity FROM t_nrm tn JOIN o_nrm onm ON true JOIN sizes ON sizes.orep = onm.rep "
+        "LEFT JOIN dots d ON d.trep = tn.rep AND d.orep = onm.rep)) WHERE before < 20),\n"
+        "top AS (SELECT * FROM (SELECT trep, terms.id AS efo_id, terms.term AS efo, similarity, row_number() OVER "
+        "(PARTITION BY trep ORDER BY similarity DESC, terms.id) AS rank FROM sims JOIN terms USING (orep)) WHERE rank <= 20)\n"
         "SELECT st.study_name AS trait_id, st.trait, top.efo, top.efo_id, top.similarity, top.rank "
         "FROM st JOIN t_rep r ON r.txt = st.trait_clean JOIN top ON top.trep = r.rep",
         "studies", "ignore_names", "onto")
@@ -429,13 +516,29 @@ def build() -> dict[str, str]:
     # 2.6 LLM
     o["candidate_bullets"] = _w(f"WITH {BULLETS}\nSELECT trait, bullets FROM bullets", "cand")
     o["build_prompts"] = _w(f"WITH {BULLETS}, {PROMPTS}\nSELECT trait, first_id, prompt FROM prompts", "cand")
+    def field(x):
+        return (f"CASE WHEN regexp_matches({x}, '[\",\\r\\n]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' "
+                f"ELSE coalesce({x}, '') END")
+
     o["few_shot_prompt"] = _w(
-        f"WITH {SELECTIONS},\nex AS (SELECT 'trait,efo' || {NL} || string_agg(trait || ',' || selected_efo, {NL} "
-        "ORDER BY trait_id) AS csv FROM (SELECT * FROM selections WHERE selected_efo IS NOT NULL "
-        "ORDER BY trait_id LIMIT 5))\n"
-        f"SELECT s.trait_id, 'Known mappings:' || {NL} || ex.csv || {NL} || {NL} || 'Map the trait \"' || "
-        "s.trait || '\" in the same way.' AS prompt FROM selections s JOIN ex ON true "
+        f"WITH {SELECTIONS},\nknown AS (SELECT trait, selected_efo_id AS k, selected_efo || CASE WHEN selected_efo_id % 5 = 0 "
+        "THEN ', not otherwise specified' ELSE '' END AS efo FROM (SELECT *, row_number() OVER (PARTITION BY selected_efo_id "
+        "ORDER BY trait_id) AS rn FROM selections WHERE selected_efo IS NOT NULL) WHERE rn = 1),\n"
+        f"shown AS (SELECT c.trait_id, string_agg({NL} || {field('known.trait')} || ',' || {field('known.efo')}, '' ORDER BY k) AS lines "
+        "FROM (SELECT DISTINCT trait_id, efo_id FROM cand) c JOIN known ON k = c.efo_id GROUP BY c.trait_id)\n"
+        f"SELECT s.trait_id, 'Known mappings:' || {NL} || 'trait,efo' || coalesce(lines, '') || {NL} || {NL} || 'Map the trait \"' || "
+        "s.trait || '\" in the same way.' AS prompt FROM selections s LEFT JOIN shown USING (trait_id) "
         "WHERE s.selected_efo IS NULL", "cand", "sel_events", "rank_options")
+    for key, wording in (("build_prompts_trait_trait", WORDING_TRAIT), ("build_prompts_local", WORDING_LOCAL)):
+        o[key] = _w(f"WITH {BULLETS}, {prompts_sql(wording)}\nSELECT trait, first_id, prompt FROM prompts", "cand")
+    o["parse_trait_trait"] = _w(f"WITH {PARSED}\nSELECT custom_id, trait, efo AS match, confidence, parsed FROM parsed", "llm_lines")
+    o["answers_to_csv"] = _w(
+        f"WITH {PARSED}\nSELECT i.trait_id, p.trait, p.efo, p.confidence, p.efo IN (SELECT term FROM onto) AS valid FROM parsed p "
+        "LEFT JOIN (SELECT trait_id, min_by(trait, efo_id) AS t FROM cand GROUP BY trait_id) i "
+        "ON p.trait IS NOT DISTINCT FROM i.t WHERE p.parsed", "cand", "llm_lines", "onto")
+    o["topk_string_ids"] = (_topk("label < 5", "label >= 5", 20, "trait_id", "efo_id")
+                            .replace("SELECT vec_id AS id", "SELECT 'S' || vec_id AS id", 1)
+                            .replace("SELECT vec_id AS id", "SELECT 'EFO:' || vec_id AS id", 1))
     o["build_requests"] = _w(f"WITH {BULLETS}, {PROMPTS}, {REQUESTS}\n"
                              "SELECT idx, batch, custom_id, model, max_tokens, prompt_md5 FROM requests", "cand")
     o["parse_llm_response"] = _w(f"WITH {PARSED}\nSELECT custom_id, trait, efo, confidence, parsed FROM parsed",
@@ -472,7 +575,7 @@ def build() -> dict[str, str]:
                             "WHERE data_type = 'phenotype' GROUP BY data_type, variant_type, source", "studies_raw")
     o["value_counts"] = _w("SELECT source, count(*) AS n FROM studies_raw WHERE data_type = 'phenotype' "
                            "AND source IS NOT NULL GROUP BY source", "studies_raw")
-    cols = ["study_name", "trait", "source", "variant_type", "data_type", "sample_size", "doc_id"]
+    cols = ["study_name", "trait", "source", "variant_type", "data_type", "sample_size", "study_id"]
     o["frame_profile"] = _w(" UNION ALL ".join(
         f"SELECT {i} AS pos, '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, "
         f"count(DISTINCT {c}) AS n_distinct, CAST({len(cols)} AS BIGINT) AS n_columns FROM studies_raw"
@@ -482,7 +585,8 @@ def build() -> dict[str, str]:
     o["rank_options"] = _w("SELECT * FROM rank_options", "rank_options")
     o["similarity_label"] = _w(
         "SELECT trait_id, efo_id, CAST(CAST(round_even(similarity * 100, 0) AS BIGINT) AS VARCHAR) || '%' "
-        "AS label, CAST(round_even(similarity * 100, 1) AS VARCHAR) || '%' AS label_detail FROM cand", "cand")
+        "AS label, regexp_replace(CAST(round_even(similarity * 100, 1) AS VARCHAR), '\\.0+$', '') || '%' AS label_detail "
+        "FROM cand", "cand")
     o["resolve_rank_choice"] = _w("SELECT e.trait_id, e.rank, e.event_id, e.ts, o.efo, o.efo_id, o.similarity "
                                   "FROM sel_events e JOIN rank_options o ON o.trait_id = e.trait_id "
                                   "AND o.rank = e.rank", "sel_events", "rank_options")
@@ -502,6 +606,12 @@ def build() -> dict[str, str]:
         "min(CASE WHEN selected_efo IS NULL THEN trait_id END) OVER (PARTITION BY worklist)) AS next_trait_id "
         "FROM (SELECT *, trait_id % 10 AS worklist FROM selections)", "cand", "sel_events", "rank_options")
 
+    o["next_uncurated_string_ids"] = _w(
+        f"WITH {SELECTIONS}\nSELECT worklist, trait_id, coalesce(min(p) OVER (PARTITION BY worklist ORDER BY trait_id "
+        "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(p) OVER (PARTITION BY worklist)) AS next_trait_id "
+        "FROM (SELECT 'EFO:' || trait_id AS trait_id, CASE WHEN selected_efo IS NULL THEN 'EFO:' || trait_id END AS p, "
+        "CAST(trait_id % 3 AS VARCHAR) AS worklist FROM selections)", "cand", "sel_events", "rank_options")
+
     # 2.9 training
     pairs_where = "WHERE phenotype IS NOT NULL AND efo_term IS NOT NULL"
     o["training_pairs"] = _w(f"SELECT DISTINCT trait AS phenotype, efo AS efo_term FROM rank_options "

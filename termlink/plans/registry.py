@@ -31,7 +31,6 @@ from termlink.streaming.selection import latest_selection_stream
 
 RARE = ("rare_a", "rare_b", "rare_c")
 LEXICON = [("small", "little"), ("red", "crimson"), ("blue", "azure")]  # fixture lexicon
-FEW_SHOT_EXAMPLES = 5
 TOPK_TERMS = 20          # candidates per trait
 TOPK_OTHER = 30          # default of the cross-partition matcher
 
@@ -94,7 +93,7 @@ def q_scan_delimited(spark, sf):
     schema = T.StructType([T.StructField(n, t) for n, t in [
         ("study_name", T.StringType()), ("trait", T.StringType()), ("source", T.StringType()),
         ("variant_type", T.StringType()), ("data_type", T.StringType()),
-        ("sample_size", T.LongType()), ("doc_id", T.LongType())]])
+        ("sample_size", T.LongType()), ("study_id", T.LongType())]])
     return io.scan_delimited(spark, path, schema, sep="\t")
 
 
@@ -175,7 +174,7 @@ def q_split_by_source(spark, sf):
 
 
 def q_project_rename(spark, sf):
-    s = fx.studies(spark, sf).where(F.col("source") == "rare_a")
+    s = fx.studies(spark, sf)
     return rows.project_rename(s, {"study_name": "study_name_rare", "trait": "trait", "source": "source"})
 
 
@@ -193,7 +192,7 @@ def q_type_audit(spark, sf):
 
 def q_dedupe_first(spark, sf):
     s = rows.filter_phenotype(fx.studies_raw(spark, sf))
-    return rows.dedupe_first(s, "trait", "doc_id")
+    return rows.dedupe_first(s, "trait", "study_id")
 
 
 def q_distinct_pairs(spark, sf):
@@ -343,7 +342,7 @@ def q_dedupe_candidates(spark, sf):
 def q_map_traits_to_terms(spark, sf):
     """The embedding route end to end (studies → cleaned traits → top-20 terms)."""
     return map_traits_to_terms(fx.studies(spark, sf), fx.ignore_names(spark, sf), fx.onto(spark, sf),
-                               k=TOPK_TERMS)
+                               k=TOPK_TERMS, order_col="study_id")
 
 
 # ---------------------------------------------------------------------------
@@ -360,14 +359,42 @@ def q_build_prompts(spark, sf):
 
 def q_few_shot_prompt(spark, sf):
     sel = _selections(spark, sf)
-    examples = (sel.where(F.col("selected_efo").isNotNull())
-                .orderBy("trait_id").limit(FEW_SHOT_EXAMPLES)
-                .select("trait", "selected_efo").collect())   # bounded: FEW_SHOT_EXAMPLES rows
-    csv = "trait,efo\n" + "\n".join(f"{r['trait']},{r['selected_efo']}" for r in examples)
-    pending = sel.where(F.col("selected_efo").isNull()).select("trait_id", "trait")
-    prompt = F.concat(F.lit("Known mappings:\n"), F.lit(csv), F.lit('\n\nMap the trait "'),
-                      F.col("trait"), F.lit('" in the same way.'))
-    return pending.select("trait_id", prompt.alias("prompt"))
+    known = sel.where(F.col("selected_efo").isNotNull()).select(
+        "trait_id", "trait", F.concat("selected_efo", F.when(F.col("selected_efo_id") % 5 == 0, ", not otherwise specified")
+                                      .otherwise("")).alias("efo"), F.col("selected_efo_id").alias("efo_id"))
+    return llm.few_shot_prompts(sel.where(F.col("selected_efo").isNull()), known, fx.cand(spark, sf))
+
+
+def q_build_prompts_trait_trait(spark, sf):
+    return llm.build_prompts(fx.cand(spark, sf), llm.PROMPT_TRAIT_TRAIT)
+
+
+def q_build_prompts_local(spark, sf):
+    return llm.build_prompts(fx.cand(spark, sf), llm.PROMPT_LOCAL)
+
+
+def q_parse_trait_trait(spark, sf):
+    """Answers to the trait-trait wording name the other trait as ``match``."""
+    lines = fx.llm_answer_lines(spark, sf)
+    lines = lines.select(F.replace("value", F.lit('\\"efo\\"'), F.lit('\\"match\\"')).alias("value"))
+    return llm.parse_llm_response(lines).select("custom_id", "trait", "match", "confidence", "parsed")
+
+
+def q_answers_to_csv(spark, sf):
+    """Answers parsed, bad ones set aside, terms validated, ids attached, written and read back."""
+    kept, _ = llm.quarantine_bad_answers(_parsed(spark, sf))
+    checked = llm.validate_terms(kept.select("custom_id", "trait", "efo", "confidence"), fx.onto(spark, sf))
+    out = llm.reattach_ids(checked, fx.cand(spark, sf)).select("trait_id", "trait", "efo", "confidence", "valid")
+    path = staging_path(spark, "answers_csv")
+    io.sink_csv(out, path)
+    return io.scan_delimited(spark, path, out.schema, sep=",")
+
+
+def q_topk_string_ids(spark, sf):
+    a, b = (v.withColumn("id", F.concat(F.lit(p), F.col("id").cast("string")))
+            for v, p in ((fx.traits_vec(spark, sf), "S"), (fx.onto_vec(spark, sf), "EFO:")))
+    return vec.topk_cosine(a, b, TOPK_TERMS).select(
+        F.col("a_id").alias("trait_id"), F.col("b_id").alias("efo_id"), "similarity", "rank")
 
 
 def q_build_requests(spark, sf):
@@ -462,8 +489,7 @@ def q_latest_selection_stream(spark, sf):
     cand = fx.cand(spark, sf)
     events_dir = staging_path(spark, "sel_events")
     # the choices arrive as several files (one per day of events)
-    (fx.sel_events(spark, sf).withColumn("day", F.to_date("ts")).repartition("day")
-     .write.mode("overwrite").partitionBy("day").parquet(events_dir))
+    (fx.sel_events(spark, sf).withColumn("day", F.to_date("ts"))     .write.mode("overwrite").partitionBy("day").parquet(events_dir))
     return latest_selection_stream(spark, cand, cur.rank_options(cand), f"{events_dir}/day=*",
                                    staging_path(spark, "sel_stream"))
 
@@ -481,6 +507,12 @@ def q_next_uncurated(spark, sf):
     return cur.next_uncurated(sel, "worklist", "trait_id")
 
 
+def q_next_uncurated_string_ids(spark, sf):
+    sel = _selections(spark, sf).select(F.concat(F.lit("EFO:"), F.col("trait_id").cast("string")).alias("trait_id"), "selected_efo",
+                                        (F.col("trait_id") % 3).cast("string").alias("worklist"))
+    return cur.next_uncurated(sel, "worklist", "trait_id")
+
+
 # ---------------------------------------------------------------------------
 # 2.9 training data
 # ---------------------------------------------------------------------------

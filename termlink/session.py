@@ -21,52 +21,65 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def build_session(master: str | None = None, app: str = "termlink",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
-    """Local/test session. On a cluster, pass master=None and let
-    spark-submit decide; every option below is also a sane cluster default."""
-    cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    builder = SparkSession.builder.appName(app)
-    if master is None:
-        master = os.environ.get("SPARK_MASTER", f"local[{cpus}]")
-    builder = builder.master(master)
+    """A session with the options the operators expect.
+
+    The master, the shuffle partitions and the driver's memory are set only if
+    given: on a cluster they are the submitter's. Tests and the local bench
+    pass ``master="local[n]"``."""
+    spark = session_builder(master, app, shuffle_partitions, extra).getOrCreate()
+    if master is not None:
+        spark.sparkContext.setLogLevel("ERROR")
+        ensure_checkpoint_dir(spark)
+    return spark
+
+
+def session_builder(master: str | None = None, app: str = "termlink",
+                    shuffle_partitions: int | None = None,
+                    extra: dict | None = None) -> SparkSession.Builder:
     conf = {
-        "spark.sql.shuffle.partitions": str(shuffle_partitions or cpus),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "16g"),
         "spark.sql.ansi.enabled": "false",
     }
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master is not None and master.startswith("local"):
+        conf["spark.ui.enabled"] = "false"
+        conf["spark.ui.showConsoleProgress"] = "false"
+        conf["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", "16g")
     conf.update(extra or {})
+    builder = SparkSession.builder.appName(app)
+    if master is not None:
+        builder = builder.master(master)
     for k, v in conf.items():
         builder = builder.config(k, v)
-    spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
-    return spark
+    return builder
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared staging folder, registering it as the checkpoint dir.
 
     Uses ``spark.checkpoint.dir`` when the cluster sets it. Only when it is
-    unset *and* the master is local (tests, bench) is a scratch folder made.
+    unset *and* the master is local (tests, bench) is a scratch folder made;
+    otherwise a missing folder is an error.
     """
     try:
         sc = spark.sparkContext
-    except Exception:  # remote session: the server owns the checkpoint folder
-        return spark.conf.get(CHECKPOINT_CONF, None) or ""
+    except Exception as e:  # a remote session has no context: the folder must be in its settings
+        path = spark.conf.get(CHECKPOINT_CONF, None)
+        if not path:
+            raise RuntimeError(f"{CHECKPOINT_CONF} is not set; it must name a shared folder") from e
+        return path
     path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not path:
         current = sc.getCheckpointDir()
         if current:
             return current
-        if not sc.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set; on a cluster it must name a shared folder")
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError(f"{CHECKPOINT_CONF} is not set; on a cluster it must name a shared folder")
         path = tempfile.mkdtemp(prefix="termlink-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set(CHECKPOINT_CONF, path)
     if sc.getCheckpointDir() is None:
@@ -74,10 +87,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_RUN = f"termlink-run-{uuid.uuid4().hex[:12]}"
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this process's tables within the shared staging folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{_RUN}"
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared staging folder for a written table."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh sub-folder of this run's folder for a written table."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clean_run(spark: SparkSession) -> None:
+    """Delete every table this process has staged. For the end of a job: tables
+    derived from staged ones can't be read any more. (Checkpoints are Spark's own;
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes those.)"""
+    jvm, path = spark.sparkContext._jvm, run_folder(spark)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -85,16 +114,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     loss, unlike ``localCheckpoint``) and return the truncated DataFrame."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Round-robin an input that arrives in fewer partitions than the session
-    can run at once (one small file, one row group) before CPU-heavy per-row
-    work. A scan of a large table already has more splits than cores, and is
-    returned unchanged — no extra shuffle at scale."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        narrow = df.rdd.getNumPartitions() < target
-    except Exception:  # no RDD view (e.g. a remote session): leave the plan as is
-        return df
-    return df.repartition(target) if narrow else df

@@ -21,17 +21,20 @@ NULL_TOKENS = ("", "NA")
 
 def scan_delimited(spark: SparkSession, path: str, columns: Sequence[str] | T.StructType,
                    sep: str = "\t", header: bool = True,
-                   null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
+                   null_tokens: Sequence[str] = NULL_TOKENS, multi_line: bool = False) -> DataFrame:
     """Header CSV/TSV with declared columns. ``columns`` is either names
     (read as strings) or a StructType whose types are applied after the
-    null list with ``try_cast``-style casts."""
+    null list with ``try_cast``-style casts.
+
+    ``multi_line``: fields may hold line breaks; a file is then read by one task,
+    otherwise a large one by many."""
     if isinstance(columns, T.StructType):
         names, types = [f.name for f in columns], [f.dataType for f in columns]
     else:
         names, types = list(columns), [T.StringType()] * len(columns)
     raw_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     df = (spark.read.schema(raw_schema).option("header", header).option("sep", sep)
-          .option("multiLine", True).option("quote", '"').option("escape", '"')
+          .option("multiLine", multi_line).option("quote", '"').option("escape", '"')
           .option("nullValue", "\u0000").option("emptyValue", "").csv(path))
     out = []
     for n, t in zip(names, types):

@@ -40,6 +40,9 @@ def start_selection_stream(spark: SparkSession, events_dir: str, options: DataFr
                       *[F.col(f"p.{c}").alias(c) for c in SELECTION_COLS])
          .write.mode("append").parquet(log_dir))
 
+    # the log exists, with its types, from the start; reading it then needs no guess
+    empty = state.select("trait_id", F.lit(0).cast("long").alias("batch_id"), *[F.col(f"p.{c}").alias(c) for c in SELECTION_COLS])
+    spark.createDataFrame([], empty.schema).write.mode("append").parquet(log_dir)
     writer = (state.writeStream.outputMode("update").foreachBatch(append)
               .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -61,8 +64,4 @@ def latest_selection_stream(spark: SparkSession, cand: DataFrame, options: DataF
     q = start_selection_stream(spark, events_dir, options, f"{work_dir}/log", f"{work_dir}/ckpt")
     q.awaitTermination()
     traits = cand.select("trait_id", "trait").distinct()
-    try:
-        state = read_selection_state(spark, f"{work_dir}/log")
-    except Exception:  # no choice resolved at all: empty log folder
-        return traits.select("trait_id", "trait", *[F.lit(None).alias(c) for c in SELECTION_COLS])
-    return traits.join(state, "trait_id", "left")
+    return traits.join(read_selection_state(spark, f"{work_dir}/log"), "trait_id", "left")

@@ -1,6 +1,7 @@
 """Curation state, streaming equivalence, LLM parsing, row identity."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -24,6 +25,9 @@ def test_similarity_label_half_even(spark):
     df = spark.createDataFrame([(0.125,), (0.135,), (0.0625,)], "s double")
     got = [r[0] for r in df.select(cur.similarity_label("s")).collect()]
     assert got == ["12%", "14%", "6%"]
+    df = spark.createDataFrame([(0.12,), (0.5,), (0.1234,), (0.0625,), (1.0,)], "s double")
+    got = [r[0] for r in df.select(cur.similarity_label("s", 1)).collect()]
+    assert got == ["12%", "50%", "12.3%", "6.2%", "100%"]
 
 
 def test_next_uncurated_multi_chunk(spark):
@@ -35,6 +39,70 @@ def test_next_uncurated_multi_chunk(spark):
     assert small[1] == 2 and small[2] == 4 and small[38] == 1   # wraps to the first pending
 
 
+def test_next_uncurated_with_string_and_null_keys_of_a_worklist(spark):
+    rows = [("w", k, s) for k, s in (("EFO:10", None), ("EFO:2", "x"), ("S1", None))] + [(None, "a", "x"), ("done", "b", "x")]
+    sel = spark.createDataFrame(rows, "worklist string, trait_id string, selected_efo string")
+    got = {r.trait_id: r.next_trait_id for r in cur.next_uncurated(sel, chunk=2).collect()}
+    assert got == {"EFO:10": "S1", "EFO:2": "S1", "S1": "EFO:10", "a": None, "b": None}
+
+
+def test_stream_without_any_choice_has_typed_nulls(spark):
+    from termlink.session import staging_path
+    from termlink.streaming.selection import latest_selection_stream
+    cand = fx.cand(spark, SF_SMALL)
+    folder = staging_path(spark, "no_events")
+    fx.sel_events(spark, SF_SMALL).limit(0).write.parquet(folder)
+    got = latest_selection_stream(spark, cand, cur.rank_options(cand), folder, staging_path(spark, "no_choice"))
+    want = cur.latest_selection(cand, fx.sel_events(spark, SF_SMALL).limit(0))
+    assert got.dtypes == want.dtypes and got.count() == want.count()
+    assert got.where("selected_efo is not null").isEmpty()
+
+
+def test_stream_reports_an_unreadable_log(spark):
+    from termlink.session import staging_path
+    from termlink.streaming.selection import read_selection_state
+    with pytest.raises(Exception):
+        read_selection_state(spark, staging_path(spark, "nowhere")).collect()
+
+
+def test_profile_of_an_empty_table(spark):
+    from termlink.operators.profile import frame_profile
+    df = spark.createDataFrame([(1, "a"), (1, None), (2, "")], "x long, y string")
+    assert sorted(map(tuple, frame_profile(df).collect())) == [(0, "x", 3, 0, 2, 2), (1, "y", 3, 1, 2, 2)]
+    assert sorted(map(tuple, frame_profile(df.limit(0)).collect())) == [(0, "x", 0, 0, 0, 2), (1, "y", 0, 0, 0, 2)]
+
+
+def _answer(custom_id, content):
+    import json
+    return (json.dumps({"custom_id": custom_id, "response": {"body": {"choices": [{"message": {"content": content}}]}}}),)
+
+
+def test_answers_with_white_space_and_match(spark):
+    lines = [_answer("a", '\n {"trait": "t", "efo": "e", "confidence": 4} \n'), _answer("b", '{"trait": "t", "match": "m", "confidence": 2}'),
+             _answer("c", '{"match": "only"}'), _answer("d", 'text {"trait": "t"}')]
+    got = {r.custom_id: (r.trait, r.efo, r["match"], r.confidence, r.parsed) for r in
+           llm.parse_llm_response(spark.createDataFrame(lines, "value string")).collect()}
+    assert got == {"a": ("t", "e", None, 4.0, True), "b": ("t", None, "m", 2.0, True), "c": (None, None, "only", None, True),
+                   "d": (None, None, None, None, False)}
+
+
+def test_reattach_takes_the_first_row_of_an_id(spark):
+    cand = spark.createDataFrame([(1, "Zeta", 5), (1, "alpha", 9), (2, None, 1), (2, "late", 2)], "trait_id long, trait string, efo_id long")
+    answers = spark.createDataFrame([("Zeta",), ("alpha",), (None,)], "trait string")
+    got = {r.trait: r.trait_id for r in llm.reattach_ids(answers, cand).collect()}
+    assert got == {"Zeta": 1, "alpha": None, None: 2}
+
+
+def test_few_shot_examples_are_chosen_by_candidates_and_quoted(spark):
+    pending = spark.createDataFrame([(1, "p1"), (2, "p2")], "trait_id long, trait string")
+    known = spark.createDataFrame([(10, "a, \"b\"", "T, x", 7), (11, "later", "T, x", 7), (12, "z", "U", 8), (13, "q", "V", 9)],
+                                  "trait_id long, trait string, efo string, efo_id long")
+    cand = spark.createDataFrame([(1, 8), (1, 7), (1, 7), (1, 99), (2, 98)], "trait_id long, efo_id long")
+    got = {r.trait_id: r.prompt for r in llm.few_shot_prompts(pending, known, cand).collect()}
+    assert got == {1: 'Known mappings:\ntrait,efo\n"a, ""b""","T, x"\nz,U\n\nMap the trait "p1" in the same way.',
+                   2: 'Known mappings:\ntrait,efo\n\nMap the trait "p2" in the same way.'}
+
+
 def test_dense_index_contiguous(spark):
     s = fx.studies(spark, SF_SMALL).select("study_name")
     idx = dense_row_index(s, ["study_name"], "idx", num_partitions=5).toPandas().sort_values("study_name")

@@ -1,6 +1,7 @@
 """Pruned linkage joins against brute force computed in plain Python."""
 
 import math
+import random
 
 import pandas as pd
 import pytest
@@ -9,38 +10,74 @@ from pyspark.sql import functions as F
 from conftest import SF_MID, SF_SMALL
 from termlink.functions.jaro import jaro_winkler_distance
 from termlink.operators.jaccard import link_weighted_jaccard
-from termlink.operators.linkage import jw_bounds, link_exact, link_fuzzy_jw
+from termlink.operators.linkage import jw_bounds, jw_scored, link_exact, link_fuzzy_jw, winkler_distance
 from termlink.plans import registry as R
 
 
 def brute_jw(left: pd.DataFrame, right: pd.DataFrame, col, p, maxd):
+    """All pairs, without any bound."""
+    pairs = [(lk, l, rk, r) for lk, l in zip(left.study_name_rare, left[col]) for rk, r in zip(right.study_name_common, right[col])]
     best = {}
-    for _, l in left.iterrows():
-        if l[col] is None:
-            continue
-        cands = []
-        for _, r in right.iterrows():
-            if r[col] is None:
-                continue
-            d = jaro_winkler_distance([l[col]], [r[col]], p)[0]
-            if d <= maxd:
-                cands.append((d, r["study_name_common"]))
-        if cands:
-            best[l["study_name_rare"]] = min(cands)
+    for d, (lk, _, rk, _) in zip(jaro_winkler_distance([x[1] for x in pairs], [x[3] for x in pairs], p), pairs):
+        if d <= maxd:
+            best[lk] = min(best.get(lk, (2.0, "")), (d, rk))
     return best
 
 
 @pytest.mark.parametrize("col,p", [("trait", 0.1), ("trait2", 0.1), ("trait2", 0.15)])
 def test_fuzzy_jw_equals_bruteforce(spark, col, p):
-    left = R._with_trait2(R._rare_left(spark, SF_SMALL))
-    right = R._with_trait2(R._common_right(spark, SF_SMALL))
-    got = link_fuzzy_jw(left, right, col, "study_name_rare", "study_name_common",
+    """All pairs of the longest, the shortest and some other sentences, in all languages."""
+    left = R._with_trait2(R._rare_left(spark, SF_SMALL)).toPandas()
+    right = R._with_trait2(R._common_right(spark, SF_SMALL)).toPandas()
+    left, right = (pd.concat([d.iloc[d.trait.str.len().argsort().iloc[list(range(40)) + list(range(-25, 0))]], d.sample(90, random_state=1)])
+                   .drop_duplicates() for d in (left, right))
+    l, r = spark.createDataFrame(left), spark.createDataFrame(right)
+    got = link_fuzzy_jw(l, r, col, "study_name_rare", "study_name_common",
                         ("_rare", "_common"), p=p, keep_dist=True).toPandas()
-    exp = brute_jw(left.toPandas(), right.toPandas(), col, p, 0.05)
+    exp = brute_jw(left, right, col, p, 0.05)
     got_map = {r.study_name_rare: (r.dist, r.study_name_common) for r in got.itertuples()}
     assert got_map == exp
 
 
+@pytest.mark.parametrize("p, half", [(0.1, True), (0.15, True), (0.2, False), (0.0, True)])
+def test_scored_pairs_are_lossless_on_random_unicode(spark, p, half):
+    rng = random.Random(int(100 * p))
+    texts = set()
+    for n in (1, 2, 3, 5, 8, 13, 30, 60, 150):
+        for _ in range(12):
+            base = [rng.choice("abcdefgh éüß日本") for _ in range(n)]
+            for _ in range(6):
+                t = list(base)
+                for _ in range(rng.randrange(0, 2 + n // 8)):
+                    i = rng.randrange(len(t))
+                    what = rng.randrange(4)
+                    if what == 0:
+                        t[i] = rng.choice("abcdefgh éüß🙂")
+                    elif what == 1 and len(t) > 1:
+                        del t[i]
+                    elif what == 2:
+                        t.insert(i, rng.choice("abcß"))
+                    elif i:
+                        t[i], t[i - 1] = t[i - 1], t[i]
+                texts.add("".join(t))
+    texts = sorted(texts)
+    left, right = texts[::2] + texts[:40], texts[1::2] + texts[:40]
+    l, r = (spark.createDataFrame([(x,) for x in sorted(set(t))], "s string") for t in (left, right))
+    got = {(x.sl, x.sr): x.d for x in jw_scored(l, r, p, 0.06, half, block_rows=50).withColumn("d", winkler_distance(p)).collect()}
+    pairs = [(x, y) for x in set(left) for y in set(right)]
+    d = jaro_winkler_distance([x for x, _ in pairs], [y for _, y in pairs], p, half)
+    want = {k: v for k, v in zip(pairs, d) if v <= 0.06}
+    assert {k: v for k, v in got.items() if v <= 0.06} == pytest.approx(want)
+
+
+def test_long_and_empty_equal_strings_are_linked(spark):
+    left = [("a", "a" * 40_000), ("b", "ab" * 35_000), ("c", ""), ("d", None), ("e", "x" * 70_000)]
+    right = [("p", "a" * 40_000), ("q", "ab" * 35_000), ("r", ""), ("s", None), ("t", "x" * 70_000)]
+    got = link_fuzzy_jw(spark.createDataFrame(left, "k1 string, t string"), spark.createDataFrame(right, "k2 string, t string"),
+                        "t", "k1", "k2").select("k1", "k2").collect()
+    assert sorted(map(tuple, got)) == [("a", "p"), ("b", "q"), ("c", "r"), ("e", "t")]
+
+
 def test_jw_bounds_reject_loose_settings():
     with pytest.raises(ValueError):
         jw_bounds(0.1, 0.5)
@@ -74,15 +111,18 @@ def brute_wjaccard(left: pd.DataFrame, right: pd.DataFrame, maxd):
     return out
 
 
-def test_weighted_jaccard_equals_bruteforce(spark):
-    left = R._with_trait2(R._rare_left(spark, SF_SMALL))
-    right = R._with_trait2(R._common_right(spark, SF_SMALL))
-    got = link_weighted_jaccard(left, right, "trait2", "study_name_rare", "study_name_common",
-                                ("_rare", "_common"), max_dist=0.2, block="source",
+@pytest.mark.parametrize("common", ["", " everywhere"])
+def test_weighted_jaccard_equals_bruteforce(spark, common):
+    """Also with one token in every row."""
+    left = R._with_trait2(R._rare_left(spark, SF_SMALL)).toPandas().sample(500, random_state=2)
+    right = R._with_trait2(R._common_right(spark, SF_SMALL)).toPandas().sample(300, random_state=3)
+    left["trait2"], right["trait2"] = left.trait2 + common, right.trait2 + common
+    got = link_weighted_jaccard(spark.createDataFrame(left), spark.createDataFrame(right), "trait2", "study_name_rare",
+                                "study_name_common", ("_rare", "_common"), max_dist=0.2, block="source",
                                 keep_dist=True).toPandas()
-    exp = brute_wjaccard(left.toPandas(), right.toPandas(), 0.2)
+    exp = brute_wjaccard(left, right, 0.2)
     got_map = {r.study_name_rare: (r.dist, r.study_name_common) for r in got.itertuples()}
-    assert got_map.keys() == exp.keys()
+    assert got_map.keys() == exp.keys() and exp
     for k, (d, rk) in exp.items():
         assert got_map[k][1] == rk and abs(got_map[k][0] - d) < 1e-8
 
@@ -110,9 +150,9 @@ def test_cascade_stage_counts_match_fixture_table(spark):
              .agg(F.min(F.struct(order.alias("o"), F.col("match_type"))).alias("f"))
              .groupBy("source_rare", "f.match_type").count().collect())
     got = {(r.source_rare, r.match_type): r["count"] for r in first}
-    exp = {("rare_a", "exact"): 6, ("rare_a", "fuzzy"): 26, ("rare_a", "fuzzy2"): 2, ("rare_a", "fuzzy3"): 10,
-           ("rare_b", "exact"): 14, ("rare_b", "fuzzy"): 12, ("rare_b", "fuzzy3"): 4,
-           ("rare_c", "exact"): 10, ("rare_c", "fuzzy"): 12, ("rare_c", "fuzzy2"): 3, ("rare_c", "fuzzy3"): 6}
+    exp = {("rare_a", "exact"): 1153, ("rare_a", "fuzzy"): 54, ("rare_a", "fuzzy2"): 279, ("rare_a", "fuzzy3"): 241, ("rare_a", "fuzzy4"): 75,
+           ("rare_b", "exact"): 1197, ("rare_b", "fuzzy"): 60, ("rare_b", "fuzzy2"): 255, ("rare_b", "fuzzy3"): 290, ("rare_b", "fuzzy4"): 58,
+           ("rare_c", "exact"): 784, ("rare_c", "fuzzy"): 28, ("rare_c", "fuzzy2"): 179, ("rare_c", "fuzzy3"): 201, ("rare_c", "fuzzy4"): 40}
     assert got == exp
 
 
@@ -137,14 +177,14 @@ def test_result_invariant_to_partition_count(spark):
 
 
 def test_dedupe_before_ignore_order(spark):
-    """FIXTURES.md: dedupe → ignore keeps 462 rows at sf0.01, ignore → dedupe 463."""
+    """FIXTURES.md: dedupe → ignore keeps 24,283 rows at sf0.01, ignore → dedupe 24,284."""
     from termlink import fixtures as fx
     from termlink.operators.rows import dedupe_first, exclude_ignored, filter_phenotype
     from termlink.plans.mapping import prepare_traits
     st, ig = fx.studies(spark, SF_MID), fx.ignore_names(spark, SF_MID)
-    assert prepare_traits(st, ig).count() == 462
-    other = dedupe_first(exclude_ignored(filter_phenotype(st), ig), "trait", "doc_id")
-    assert other.count() == 463
+    assert prepare_traits(st, ig).count() == 24283
+    other = dedupe_first(exclude_ignored(filter_phenotype(st), ig), "trait", "study_id")
+    assert other.count() == 24284
 
 
 def test_cascade_with_empty_right_side_is_empty(spark):

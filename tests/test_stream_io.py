@@ -58,3 +58,73 @@ def test_csv_batches_are_full_and_ordered(spark):
     per = {r.batch: (r.n, r.lo, r.hi) for r in
            back.groupBy("batch").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).collect()}
     assert per == {0: (500, 0, 499), 1: (500, 500, 999), 2: (234, 1000, 1233)}
+
+
+def test_a_large_delimited_file_is_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "big.tsv"
+    with path.open("w") as f:
+        f.write("k\tv\n" + "".join(f"{i}\tvalue {i}\n" for i in range(200_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512k")
+    try:
+        df = io.scan_delimited(spark, str(path), ["k", "v"])
+        assert df.rdd.getNumPartitions() > 3 and df.count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_quoted_line_breaks_on_request(spark):
+    path = staging_path(spark, "breaks")
+    df = spark.createDataFrame([("a", "one\ntwo"), ("b", 'say "hi", ok')], "k string, v string")
+    io.sink_csv(df, path)
+    back = io.scan_delimited(spark, path, ["k", "v"], sep=",", multi_line=True)
+    assert {r.k: r.v for r in back.collect()} == {"a": "one\ntwo", "b": 'say "hi", ok'}
+
+
+def test_the_session_leaves_the_cluster_its_settings(monkeypatch):
+    from termlink.session import session_builder
+    monkeypatch.delenv("SPARK_MASTER", raising=False)
+    options = session_builder()._options
+    for key in ("spark.master", "spark.sql.shuffle.partitions", "spark.driver.memory", "spark.ui.enabled"):
+        assert key not in options
+    assert session_builder(master="local[2]", shuffle_partitions=3)._options["spark.sql.shuffle.partitions"] == "3"
+
+
+def test_a_remote_session_without_a_folder_is_an_error():
+    import pytest
+
+    from termlink.session import ensure_checkpoint_dir, staging_path as path_of
+
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, key, default=None):
+            return self.value or default
+
+    class Remote:
+        """A session without a context, as a remote one is."""
+
+        def __init__(self, folder=None):
+            self.conf = Conf(folder)
+
+        @property
+        def sparkContext(self):
+            raise AttributeError("no context")
+
+    with pytest.raises(RuntimeError):
+        path_of(Remote(), "x")
+    assert ensure_checkpoint_dir(Remote("s3://b/f")) == "s3://b/f" and path_of(Remote("s3://b/f"), "x").startswith("s3://b/f/")
+
+
+def test_staged_tables_can_be_cleaned_up(spark, monkeypatch):
+    import os
+
+    from termlink import session
+    monkeypatch.setattr(session, "_RUN", "termlink-run-test")
+    path = session.staging_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file://")
+    assert os.path.isdir(local) and "/termlink-run-test/" in path
+    session.clean_run(spark)
+    assert not os.path.exists(local)

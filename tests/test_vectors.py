@@ -49,3 +49,20 @@ def test_topk_with_empty_side(spark):
     empty = fx.onto_vec(spark, SF_SMALL).where(F.lit(False))
     assert topk_cosine(a, empty, 5).count() == 0
     assert topk_cosine(empty, a, 5).count() == 0
+
+
+def test_topk_keeps_string_ids_and_breaks_ties_by_id(spark):
+    a = spark.createDataFrame([("S1", [1.0, 0.0]), ("S2", [0.0, 1.0]), (None, [1.0, 1.0])], "id string, vec array<double>")
+    b = spark.createDataFrame([("EFO:2", [2.0, 0.0]), ("EFO:10", [1.0, 0.0]), ("EFO:1", [0.0, 3.0])], "id string, vec array<double>")
+    got = sorted((r.a_id, r["rank"], r.b_id, r.similarity) for r in topk_cosine(a, b, 2).collect())
+    assert got == [("S1", 1, "EFO:10", 1.0), ("S1", 2, "EFO:2", 1.0), ("S2", 1, "EFO:1", 1.0), ("S2", 2, "EFO:10", 0.0)]
+
+
+def test_mapping_with_string_ids_scores_each_text_once(spark):
+    from termlink.plans.mapping import map_traits_to_terms
+    studies = spark.createDataFrame([(f"s{i}", t, "common", "common", "phenotype", 1, i) for i, t in enumerate(["red fox", "blue sky", "red fox!"])],
+                                    "study_name string, trait string, source string, variant_type string, data_type string, sample_size long, study_id long")
+    onto = spark.createDataFrame([(f"EFO:{i}", t) for i, t in enumerate(["fox red", "sky", "fox red", "sky blue", "fox red", None])], "id string, term string")
+    got = map_traits_to_terms(studies, studies.limit(0).select("study_name"), onto, k=2).collect()
+    assert {(r.trait_id, r["rank"], r.efo_id) for r in got} == {
+        ("s0", 1, "EFO:0"), ("s0", 2, "EFO:2"), ("s1", 1, "EFO:3"), ("s1", 2, "EFO:1"), ("s2", 1, "EFO:0"), ("s2", 2, "EFO:2")}
