@@ -37,12 +37,19 @@ def code_points(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32), lens
 
 
+def small_codes(flat: np.ndarray) -> tuple[np.ndarray, int]:
+    """Code points numbered from 0 without gaps, and how many there are."""
+    present = np.zeros(int(flat.max(initial=0)) + 1, dtype=bool)
+    present[flat] = True
+    return (np.cumsum(present) - 1)[flat], int(present.sum())
+
+
 def padded_codes(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Matrices of small codes for characters, equal for equal characters, and
     the lengths. Codes start at 2; ``a`` is padded with 0 and ``b`` with 1."""
     flat, lens = code_points([*a, *b])
-    alphabet, codes = np.unique(flat, return_inverse=True)
-    size = len(alphabet) + 2
+    codes, used = small_codes(flat)
+    size = used + 2
     dtype = np.uint8 if size <= 1 << 8 else np.uint16 if size <= 1 << 16 else np.uint32
     out = []
     at = 0
@@ -57,7 +64,9 @@ def padded_codes(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np
 
 def _jaro_chunk(a: list[str], b: list[str], half: bool) -> tuple[np.ndarray, np.ndarray]:
     n = len(a)
-    A, B, la, lb = padded_codes(a, b)
+    # longest first, so that the pairs that still have an i-th character are the first ones
+    order = sorted(range(n), key=lambda i: -len(a[i]))
+    A, B, la, lb = padded_codes([a[i] for i in order], [b[i] for i in order])
     window = np.maximum(0, np.maximum(la, lb) // 2 - 1)
     small = np.int16 if B.shape[1] < 1 << 14 else np.int32
     jpos = np.arange(B.shape[1], dtype=small)[None, :]
@@ -65,26 +74,32 @@ def _jaro_chunk(a: list[str], b: list[str], half: bool) -> tuple[np.ndarray, np.
     a_used = np.zeros(A.shape, dtype=bool)
     rows = np.arange(n)
     for i in range(A.shape[1]):
-        lo = np.maximum(0, i - window)
-        hi = np.where(i < la, np.minimum(lb, i + window + 1), 0)
+        live = int(np.searchsorted(-la, -i, "left"))
+        if not live:
+            break
+        lo = np.maximum(0, i - window[:live]).astype(small)
+        hi = np.minimum(lb[:live], i + window[:live] + 1).astype(small)
         x, y = int(lo.min()), int(hi.max())
         if y <= x:
             continue
-        cand = B[:, x:y] == A[:, i:i + 1]
-        cand &= free[:, x:y]
-        cand &= jpos[:, x:y] >= lo.astype(small)[:, None]
-        cand &= jpos[:, x:y] < hi.astype(small)[:, None]
+        cand = B[:live, x:y] == A[:live, i:i + 1]
+        cand &= free[:live, x:y]
+        # only the columns that are outside some pair's window need a mask
+        x1, y1 = int(lo.max()), int(hi.min())
+        if x1 > x:
+            cand[:, :x1 - x] &= jpos[:, x:min(x1, y)] >= lo[:, None]
+        if y1 < y:
+            cand[:, max(0, y1 - x):] &= jpos[:, max(x, y1):y] < hi[:, None]
         first = cand.argmax(axis=1)
-        has = cand[rows, first]
-        free[rows[has], x + first[has]] = False
-        a_used[:, i] = has
+        has = cand[rows[:live], first]
+        free[rows[:live][has], x + first[has]] = False
+        a_used[:live, i] = has
     m = a_used.sum(axis=1)
     b_used = ~free
     # k-th matched character of a against k-th matched character of b
-    mism = np.zeros(n, dtype=np.int64)
     ra, ca = np.nonzero(a_used)
     rb, cb = np.nonzero(b_used)
-    np.add.at(mism, ra, A[ra, ca] != B[rb, cb])     # both in (pair, position) order, equally many a pair
+    mism = np.bincount(ra[A[ra, ca] != B[rb, cb]], minlength=n)     # both in (pair, position) order, equally many a pair
     t = mism / 2.0 if half else np.floor_divide(mism, 2).astype(np.float64)
     with np.errstate(divide="ignore", invalid="ignore"):
         jaro = np.where(m > 0, (m / np.maximum(la, 1) + m / np.maximum(lb, 1)
@@ -96,7 +111,8 @@ def _jaro_chunk(a: list[str], b: list[str], half: bool) -> tuple[np.ndarray, np.
     for i in range(k):
         still &= A[:, i] == B[:, i]
         pref += still
-    return jaro, pref
+    back = np.argsort(order)
+    return jaro[back], pref[back]
 
 
 def jaro_parts(a, b, half_transpositions: bool = True):

@@ -48,10 +48,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termlink.functions.jaro import ROUND_DIGITS, code_points, jaro_parts, padded_codes
+from termlink.functions.jaro import ROUND_DIGITS, code_points, jaro_parts, padded_codes, small_codes
 
 _EPS = 1e-9
 _GROUPS = 8                 # character groups of the first bound
+_FINE = 64                  # and of the second
 _PENDING = 50_000           # pairs that are scored together
 _CHARS = 2_000_000          # characters of such pairs, at most (a longer pair alone)
 
@@ -161,8 +162,8 @@ def _pieces_found(a: list[str], b: list[str], reach: int) -> np.ndarray:
 def _score(a: list[str], b: list[str], p: float, max_dist: float, half: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(positions, jaro, prefix) of the aligned pairs that can be within ``max_dist``."""
     flat, lens = code_points([*a, *b])
-    alphabet, codes = np.unique(flat, return_inverse=True)
-    width = min(len(alphabet), 512)      # further characters share columns, which only raises the overlap
+    codes, alphabet = small_codes(flat)
+    width = min(alphabet, 512)      # further characters share columns, which only raises the overlap
     n = len(a)
     counts = np.bincount(np.repeat(np.arange(2 * n), lens) * width + codes % max(width, 1),
                          minlength=2 * n * width).reshape(2 * n, width)
@@ -174,7 +175,7 @@ def _score(a: list[str], b: list[str], p: float, max_dist: float, half: bool) ->
             pref[i] += 1
     least = 1.0 - max_dist / (1.0 - p * pref)
     keep = np.flatnonzero((c / la + c / lb + 1.0) / 3.0 >= least - _EPS)
-    if len(alphabet) < 1 << 16:
+    if alphabet < 1 << 16:
         a0, b0, c0, j0 = la[keep], lb[keep], c[keep].astype(np.float64), least[keep] - _EPS
         m0 = (3 * j0 - 1) * a0 * b0 / (a0 + b0)
 
@@ -198,24 +199,41 @@ def _score(a: list[str], b: list[str], p: float, max_dist: float, half: bool) ->
     return keep, jaro, pref4
 
 
-def _group_counts(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, counts in few and in more character groups, first four characters (-1: none)."""
     flat, lens = code_points(strings)
-    rows = np.repeat(np.arange(len(strings)), lens)
-    return np.bincount(rows * _GROUPS + flat % _GROUPS, minlength=len(strings) * _GROUPS).reshape(-1, _GROUPS).astype(np.int32), lens
-
-
-def _unit_pairs(left: list[str], right: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs that pass the length bound and the grouped counts."""
-    (ca, la), (cb, lb) = _group_counts(left), _group_counts(right)
+    n, start = len(strings), np.cumsum(lens) - lens
+    small = np.int16 if lens.max(initial=0) < 1 << 14 else np.int32
+    fine = np.bincount(np.repeat(np.arange(n), lens) * _FINE + flat % _FINE, minlength=n * _FINE).reshape(n, _FINE).astype(small)
+    coarse = fine.reshape(n, _FINE // _GROUPS, _GROUPS).sum(axis=1, dtype=small)
+    head = np.full((n, 4), -1, dtype=np.int64)
+    for i in range(4):
+        has = lens > i
+        head[has, i] = flat[start[has] + i]
+    return lens, coarse, fine, head
+
+
+def _unit_pairs(left: list[str], right: list[str], family: int, least: float, p: float, max_dist: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the family's pairs that pass the length bound and the grouped counts."""
+    (la, ca, fa, ha), (lb, cb, fb, hb) = _features(left), _features(right)
     a, b = la[:, None].astype(np.float32), lb[None, :].astype(np.float32)
-    apart = np.zeros((len(left), len(right)), dtype=np.int32)
-    for g in range(_GROUPS):
+    apart = np.abs(ca[:, 0, None] - cb[None, :, 0])
+    for g in range(1, _GROUPS):
         apart += np.abs(ca[:, g, None] - cb[None, :, g])
     # the overlap is half of what the lengths add up to beyond the difference
     total = a + b
     ok = total - apart >= 2 * (3 * least - 1) * a * b / total * (1 - 1e-5) - 1e-3
     ok &= np.minimum(a, b) >= (3 * least - 2) * np.maximum(a, b) * (1 - 1e-5)
-    return np.nonzero(ok)
+    ii, jj = np.nonzero(ok)
+    for at in range(0, len(ii), 1 << 17):
+        i, j = ii[at:at + (1 << 17)], jj[at:at + (1 << 17)]
+        pref = ((ha[i] == hb[j]) & (ha[i] >= 0)).cumprod(axis=1).sum(axis=1)
+        own = (pref >= 2) == (family == 1)
+        i, j, pref = i[own], j[own], pref[own]
+        x, y = la[i], lb[j]
+        common = (x + y - np.abs(fa[i] - fb[j]).sum(axis=1, dtype=np.int64)) / 2
+        near = (common / x + common / y + 1) / 3 >= 1 - max_dist / (1 - p * pref) - _EPS
+        yield i[near], j[near]
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str], list[str]]]:
@@ -254,18 +272,17 @@ def _cell_scorer(p: float, max_dist: float, half: bool):
         for family, left, right in _units(batches):
             if not left or not right:
                 continue
-            ii, jj = _unit_pairs(left, right, bounds[family])
-            for i, j in zip(ii.tolist(), jj.tolist()):
-                x, y = left[i], right[j]
-                # the other family has the pairs that share two characters
-                if x == y or (x[:2] == y[:2] and len(x) > 1 and len(y) > 1) != (family == 1):
-                    continue
-                a.append(x)
-                b.append(y)
-                chars += len(x) + len(y)
-                if len(a) >= _PENDING or chars >= _CHARS:
-                    yield scored()
-                    chars = 0
+            for ii, jj in _unit_pairs(left, right, family, bounds[family], p, max_dist):
+                for i, j in zip(ii.tolist(), jj.tolist()):
+                    x, y = left[i], right[j]
+                    if x == y:
+                        continue
+                    a.append(x)
+                    b.append(y)
+                    chars += len(x) + len(y)
+                    if len(a) >= _PENDING or chars >= _CHARS:
+                        yield scored()
+                        chars = 0
         if a:
             yield scored()
     return run
