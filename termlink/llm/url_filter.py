@@ -124,7 +124,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], strength: floa
     hosts = shaped.groupBy("host").agg(*sums).select("host", smooth(F.lit(of_all)).alias("host_rate"))
     purity = (shaped.groupBy("host", "template").agg(*sums).join(hosts, "host")
               .select("host", "template", smooth(F.col("host_rate")).alias("purity")))
-    verdicts = (shaped.join(purity, ["host", "template"])
+    verdicts = (shaped.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(_SALTS)).cast("int"))
+                .join(_under_salts(purity), ["host", "template", "salt"])
                 .select("host", "path", "template", "purity",
                         F.when(F.col("purity") >= reject_at, "block").otherwise("allow").alias("own")))
     rule, decided = apply_rules(F.col("host"), F.col("path"), rules)
