@@ -16,7 +16,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 @pytest.fixture(scope="session")
 def spark():
     from termlink.session import build_session
-    s = build_session(master="local[4]", shuffle_partitions=4)
+    # the stricter mode: what passes in it passes without it
+    s = build_session(master="local[4]", shuffle_partitions=4, extra={"spark.sql.ansi.enabled": "true"})
     yield s
     s.stop()
 
