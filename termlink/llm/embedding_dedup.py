@@ -14,12 +14,13 @@ far pairs of few.
   value a window of ``reach`` deviations of a pair at the threshold is taken, and the
   collisions of each pair are counted over them.  Pairs that collide at least ``least``
   times are verified by their cosine in double precision.  ``least`` is calibrated: the
-  largest count that a pair at the threshold reaches with probability
-  ``recall`` (a binomial quantile).
-* *Tables.*  Their number is calibrated, too: the least that catches a pair of cosine
-  ``sure_at`` in a common cell with probability ``recall``.  A pair is counted
-  in the first table that has it in one cell and in no other, so nothing is collected to
-  tell repeats apart.
+  largest count that a pair at the threshold reaches with the probability asked for
+  (a binomial quantile).
+* *Tables.*  Their number is calibrated, too: the least that catches a pair at the
+  threshold in a common cell.  Cell and count together catch it with probability ``recall``,
+  whatever the number of vectors.  Where that takes too many tables (low thresholds), cells are coarser.
+  A pair is counted in the first table that has it in one cell and in no other, so nothing is
+  collected to tell repeats apart.
 
 Equal vectors are one representative with a number of copies.  A cell with more
 than ``cell_rows`` representatives is dealt to blocks of about this size, and pairs of blocks are tasks: no
@@ -72,23 +73,31 @@ def _same_interval(distance: float, width: float) -> float:
     return 2 * _normal_cdf(t) - 1 - 2 / (math.sqrt(2 * math.pi) * t) * (1 - math.exp(-t * t / 2))
 
 
-def calibrate(n: int, threshold: float, sure_at: float = 0.95, recall: float = 0.999, width: float = 2.0,
+def calibrate(n: int, threshold: float, sure_at: float | None = None, recall: float = 0.999, width: float = 2.0,
               counted: int = 12, reach: float = 2.0, company: int = 256) -> Plan:
     """The plan for ``n`` vectors: cells fine enough that a vector has about ``company`` others in
-    its cell by chance, and as many tables as the recall asks for."""
+    its cell by chance, and as many tables as the recall of pairs of cosine ``sure_at`` (the threshold,
+    unless given) asks for.  Cells are coarser if their tables cost less, where a vector in a table costs as
+    much as ``company`` comparisons besides those in its cell."""
+    # a pair has to pass the cells and the count
+    each = math.sqrt(recall)
     far = _same_interval(math.sqrt(2), width)
-    k = max(2, math.ceil(math.log(max(2.0, n / company)) / -math.log(far)))
-    near = _same_interval(math.sqrt(2 - 2 * sure_at), width) ** k
-    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - near)))
+    near = _same_interval(math.sqrt(2 - 2 * (threshold if sure_at is None else sure_at)), width)
+
+    def tables(k: int) -> int:
+        return 1 if near ** k >= each else math.ceil(math.log(1 - each) / math.log1p(-near ** k))
+
+    finest = max(2, math.ceil(math.log(max(2.0, n / company)) / -math.log(far)))
+    k = min(range(1, finest + 1), key=lambda k: tables(k) * (n * far ** k + company))
     edge = math.sqrt(2 - 2 * threshold)
     hit = 2 * _normal_cdf(reach) - 1
     least, tail = counted, 0.0
     while least > 0:
         tail += math.comb(counted, least) * hit ** least * (1 - hit) ** (counted - least)
-        if tail >= recall:
+        if tail >= each:
             break
         least -= 1
-    return Plan(k, tables, counted, reach * edge, least)
+    return Plan(k, tables(k), counted, reach * edge, least)
 
 
 def _directions(seed: int, dim: int, n: int) -> np.ndarray:

@@ -88,3 +88,27 @@ def test_calibration_matches_simulation():
     assert 1 - (1 - near) ** plan.tables >= 0.9
     hits = np.abs(rng.standard_normal((100_000, plan.counted)) * 0.2 ** 0.5) <= plan.window
     assert np.mean(hits.sum(axis=1) >= plan.least) >= 0.998
+
+
+@pytest.mark.parametrize("cosine", [0.9, 0.92])
+def test_recall_at_the_threshold_is_the_same_at_every_size(cosine):
+    dim, width, seed = 64, 2.0, 42
+    rng = np.random.default_rng(1)
+    x, y = (E._unit(rng.standard_normal((5_000, dim))) for _ in range(2))
+    y = E._unit(y - (x * y).sum(axis=1)[:, None] * x)
+    y = cosine * x + (1 - cosine ** 2) ** 0.5 * y
+    for n in (1_000, 100_000, 10_000_000, 1_000_000_000):
+        plan = E.calibrate(n, 0.9)
+        cells = plan.projections * plan.tables
+        shift = np.random.default_rng([seed, 0]).random(cells) * width
+        a, b = (np.floor((v @ E._aims(seed, dim, cells) + shift) / width).reshape(len(v), plan.tables, -1) for v in (x, y))
+        aim = E._aims(seed + 1, dim, plan.counted)
+        met = (a == b).all(axis=2).any(axis=1)
+        counted = (np.abs(x @ aim - y @ aim) <= plan.window).sum(axis=1) >= plan.least
+        assert np.mean(met & counted) >= 0.996, (n, plan)
+
+
+def test_calibration_at_the_ends():
+    assert E.calibrate(1_000_000, 1.0).tables == 1
+    low = E.calibrate(1_000_000, 0.5)
+    assert low.projections < E.calibrate(1_000_000, 0.9).projections
