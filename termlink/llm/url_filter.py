@@ -8,7 +8,10 @@ host.  At each node:
 * *generalise*: a child segment with a digit is variable if it has a sibling; another
   one is if it holds less than ``min_share`` of the node's URLs and the node has at
   least ``min_children`` children.  Variable segments become wildcards by shape (digits ``0``, letters ``a``, other
-  characters themselves: ``742.html`` is ``{0.a}``);
+  characters themselves: ``742.html`` is ``{0.a}``), unless their labels speak against it: a labelled
+  child whose bad rate differs from that of its wildcard's children together keeps its name.  The test
+  is the likelihood ratio (twice, chi-square) against ``z`` squared plus twice the logarithm of the number of
+  labelled children, for so many are tested and many have a label or two;
 * *merge*: of the remaining children, those whose labelled bad rate doesn't differ
   from that of all of them together by more than ``z`` standard errors become one
   branch ``+``; children that do differ keep their names.
@@ -71,6 +74,14 @@ def _shape(segment: Column) -> Column:
     return F.concat(F.lit("{"), F.regexp_replace(s, r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "a"), F.lit("}"))
 
 
+def _stands_out(n: Column, bad: Column, all_n: Column, all_bad: Column, tested: Column, z: float) -> Column:
+    """Whether ``bad`` of ``n`` labels are too many or too few at the rate ``all_bad / all_n``."""
+    def part(k: Column, of_all: Column) -> Column:
+        return F.when(k > 0, k * F.log(k / n * all_n / of_all)).otherwise(F.lit(0.0))
+
+    return 2 * (part(bad, all_bad) + part(n - bad, all_n - all_bad)) > z * z + 2 * F.log(tested)
+
+
 def templates(paths: DataFrame, min_children: int = 8, min_share: float = 0.05, z: float = 2.0,
               max_depth: int = 8) -> DataFrame:
     """``paths``: host, path (distinct), n, n_labelled, n_bad.  Adds ``template``."""
@@ -87,12 +98,19 @@ def templates(paths: DataFrame, min_children: int = 8, min_share: float = 0.05,
         child = child.join(_under_salts(node), ["host", "template", "salt"]).withColumn(
             "variable", F.when(F.col("segment").rlike("[0-9]"), F.col("children") > 1).otherwise(
                 (F.col("children") >= min_children) & (F.col("n") < min_share * F.col("all_n"))))
+        child = child.withColumn("shape", F.when(F.col("variable") & (F.col("n_labelled") > 0), _shape(F.col("segment"))))
+        # a wildcard all of whose labels are alike, or are one child's, has none that differs
+        wild = child.where("shape is not null").groupBy("host", "template", "shape").agg(
+            F.count("*").alias("m"), F.sum("n_labelled").alias("wl"), F.sum("n_bad").alias("wb")).where(
+            "m > 1 and wb > 0 and wb < wl")
+        child = child.join(_under_salts(wild), ["host", "template", "shape", "salt"], "left").withColumn(
+            "own", F.coalesce(_stands_out(F.col("n_labelled"), F.col("n_bad"), F.col("wl"), F.col("wb"), F.col("m"), z), F.lit(False)))
         kept = child.where(~F.col("variable")).groupBy("host", "template").agg(
             F.sum("n_labelled").alias("l"), F.sum("n_bad").alias("b"))
         rate = F.col("b") / F.col("l")
         spread = F.sqrt(rate * (1 - rate) * F.col("n_labelled"))
         differs = (F.col("n_labelled") > 0) & (F.abs(F.col("n_bad") - rate * F.col("n_labelled")) > z * spread)
-        token = (F.when(F.col("variable"), _shape(F.col("segment"))).when(differs, F.col("segment"))
+        token = (F.when(F.col("own"), F.col("segment")).when(F.col("variable"), _shape(F.col("segment"))).when(differs, F.col("segment"))
                  .otherwise(F.lit("+")))
         child = (child.join(_under_salts(kept), ["host", "template", "salt"], "left")
                  .select("host", "template", "segment", token.alias("token")))

@@ -112,3 +112,21 @@ def test_templates_are_judged_by_their_labels(spark):
     assert {verdict[i] for i, u in pages if "/spam/" in u} == {"block"}
     assert {verdict[i] for i, u in pages if "/spam/" not in u} == {"allow"}
     assert len({r[4] for r in got if "/spam/" in r[2]}) == 1
+
+
+def verdicts(spark, urls, bad):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(u, int(bad(u))) for u in urls], "url string, bad int")
+    return {r.url: (r.template, r.verdict) for r in url_filter.judge(pages, labels, []).join(pages, "page_id").collect()}
+
+
+def test_wildcards_keep_children_whose_labels_differ(spark):
+    letters = [f"{a}{b}" for a in "abcde" for b in "uvwxyz"]
+    small = [f"http://big.com/{s}/{w}{n}.html" for s in letters for w in "pq" for n in range(10)]
+    digits = [f"http://tens.com/{s}/{n}.html" for s in ("top10", "web2", "new7") for n in range(40)]
+    # single labels, a tenth of them bad, give no leaf a template of its own
+    mixed = [f"http://mixed.com/{n}.html" for n in range(200)]
+    got = verdicts(spark, small + digits + mixed, lambda u: "/cw/" in u or "/top10/" in u or u.endswith("3.html") and "mixed" in u)
+    assert {u for u, (_, v) in got.items() if v == "block"} == {u for u in got if "/cw/" in u or "/top10/" in u}
+    assert {t for u, (t, _) in got.items() if "mixed" in u} == {"/{0.a}"}
+    assert len({t for u, (t, _) in got.items() if "big" in u and "/cw/" not in u}) == 1
