@@ -26,8 +26,9 @@ with the rule's path.  The longest rule that fits decides alone.
 
 Edge cases: a null URL and one without ``://`` have empty host and path and fall in
 the template of that; duplicates of a URL get the same verdict; labels of URLs
-that no page has are ignored, null labels too; paths deeper than ``max_depth`` segments end
-in ``**``; an empty table gives no rows; other columns are ignored.
+that no page has are ignored, null labels too; paths of any depth are walked to their end (a level is a
+round, beyond ``_WHOLE_LEVELS`` only for paths that still have something to be told apart from); an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ Rule = tuple[str, str, str]
 #: one node, a host with most of all pages, say, are spread over so many tasks.
 _SALTS = 32
 
+#: Levels that are walked with all paths; after those, paths that are settled are set aside.
+_WHOLE_LEVELS = 8
+
 
 def _under_salts(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
@@ -82,14 +86,32 @@ def _stands_out(n: Column, bad: Column, all_n: Column, all_bad: Column, tested:
     return 2 * (part(bad, all_bad) + part(n - bad, all_n - all_bad)) > z * z + 2 * F.log(tested)
 
 
-def templates(paths: DataFrame, min_children: int = 8, min_share: float = 0.05, z: float = 2.0,
-              max_depth: int = 8) -> DataFrame:
+def _unsettled(p: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """``(open, settled)``: paths whose node has different rests of paths, and all others with
+    their whole template.  Equal rests have one child at each level, which is a branch ``+``."""
+    rest = F.array_join(F.slice("segments", depth + 1, 1 << 30), "/")
+    more = F.size("segments") > depth
+    node = p.where(more).groupBy("host", "template").agg((F.min(rest) != F.max(rest)).alias("open"))
+    p = p.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(_SALTS)).cast("int"))
+    p = staged(p.join(_under_salts(node), ["host", "template", "salt"], "left")
+               .withColumn("open", more & F.coalesce("open", F.lit(False))).drop("salt"), "url-rests")
+    ends = F.concat("template", F.repeat(F.lit("/+"), F.greatest(F.lit(0), F.size("segments") - depth)))
+    return p.where("open").drop("open"), p.where(~F.col("open")).withColumn("template", ends).drop("open")
+
+
+def templates(paths: DataFrame, min_children: int = 8, min_share: float = 0.05, z: float = 2.0) -> DataFrame:
     """``paths``: host, path (distinct), n, n_labelled, n_bad.  Adds ``template``."""
     # "/a/b" has the segments a, b; "/a/b/" has a, b and an empty one
     segments = F.slice(F.split("path", "/"), 2, 1 << 30)
     p = paths.withColumn("segments", segments).withColumn("template", F.lit(""))
     deepest = p.agg(F.max(F.size("segments"))).first()[0] or 0
-    for depth in range(min(deepest, max_depth)):
+    walked = []
+    for depth in range(deepest):
+        if depth >= _WHOLE_LEVELS:
+            p, settled = _unsettled(p, depth)
+            walked.append(settled)
+            if p.isEmpty():
+                break
         here = p.withColumn("segment", F.get("segments", F.lit(depth)))
         child = here.where("segment is not null").groupBy("host", "template", "segment").agg(
             *[F.sum(c).alias(c) for c in ("n", "n_labelled", "n_bad")])
@@ -118,8 +140,9 @@ def templates(paths: DataFrame, min_children: int = 8, min_share: float = 0.05,
             here.join(child, ["host", "template", "segment"], "left")
             .withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), "token"), F.lit(""))))
             .drop("segment", "token"), "url-templates")
-    deep = F.when(F.size("segments") > max_depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return p.withColumn("template", deep).drop("segments")
+    for settled in walked:
+        p = p.unionByName(settled)
+    return p.drop("segments")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], strength: float = 4.0, reject_at: float = 0.5,

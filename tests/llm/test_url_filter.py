@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -130,3 +131,16 @@ def test_wildcards_keep_children_whose_labels_differ(spark):
     assert {u for u, (_, v) in got.items() if v == "block"} == {u for u in got if "/cw/" in u or "/top10/" in u}
     assert {t for u, (t, _) in got.items() if "mixed" in u} == {"/{0.a}"}
     assert len({t for u, (t, _) in got.items() if "big" in u and "/cw/" not in u}) == 1
+
+
+def test_deep_paths_are_walked_to_their_end(spark):
+    rng = random.Random(5)
+    deep = "http://deep.com" + "/a" * 9
+    urls = [f"{deep}/{s}/x/{n}.html" for s in ("bad", "good", "fine") for n in range(20)]
+    got = verdicts(spark, urls, lambda u: "/bad/" in u)
+    assert {u for u, (_, v) in got.items() if v == "block"} == {u for u in urls if "/bad/" in u}
+    paths = {("h" + rng.choice("12"), "".join("/" + rng.choice(("a", "b", "1", "2x")) for _ in range(rng.randint(0, 13)))): 1 for _ in range(60)}
+    paths |= {("one", "/a" * 12 + t): 1 for t in ("", "/")} | {("alone", "/1" * 11): 1}
+    df = spark.createDataFrame([(*k, 1, 0, 0) for k in paths], "host string, path string, n long, n_labelled long, n_bad long")
+    have = {(r.host, r.path): r.template for r in url_filter.templates(df).collect()}
+    assert have == plain_templates(paths, {}, max_depth=99)
