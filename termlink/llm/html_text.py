@@ -4,8 +4,11 @@ A page is cut into blocks at block-level tags.  Each block has its text (white s
 as one space), its length, the share of its characters inside links and the
 share of stop words among its words.
 
-*First pass*, block by block: blocks in containers that announce what they are
-(navigation, page header and footer, sidebar, form, advert, notice, comments) are bad.
+*First pass*, block by block: blocks in containers that announce by tag, role or being hidden what they are
+(navigation, page header and footer, aside, form, dialog) are bad.  A class or id that names such a thing
+(``ad``, ``site-footer``) is a prior: blocks inside are bad unless they are long, hold many stop words and
+few links, which makes them good; those in an article (or main) that begins inside count as any article's.
+Names in a part with a modifier (``has-sidebar``, ``no-ads``) say nothing.
 Of the others, blocks with many link characters are bad; in an article
 element the rest is good.  Elsewhere, short blocks are undecided (bad, if they hold a
 link), and longer ones are judged by stop words: many and long is good, many or
@@ -72,6 +75,8 @@ _BAD_NAMES = frozenset(
     "newsletter notice notices overlay pager pagination paywall popup promo promos promotion promoted recommended related reply "
     "replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription teaser toolbar "
     "topbar widget widgets".split())
+#: Before a name they say that something has it or hasn't, not that it is it.
+_MODIFIERS = frozenset("has have with without no not is hide hides show shows".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 
 # possessive and without "<" outside quotes, so that broken tags cost no more than their length
@@ -83,34 +88,37 @@ _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
-Block = tuple[str, int, bool, bool, bool]
+Block = tuple[str, int, bool, bool, bool, bool]
 
 
-def _announces(attributes: str, inside: bool) -> bool:
-    """Whether class, id or role say that an element is no content.  inside: an article,
-    whose own header holds its title."""
+def _announces(attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether role or hiding say that an element is no content, and whether class or id name it
+    so.  inside: an article, whose own header holds its title."""
+    named = False
     for m in _HINT.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, named
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return True, named
         elif name == "role":
             if value.strip().lower() in _BAD_ROLES:
-                return True
-        elif any(x in _BAD_NAMES and not (inside and x in ("header", "banner", "teaser"))
-                 for x in map(str.lower, _NAME_PARTS.findall(value))):
-            return True
-    return False
+                return True, named
+        else:
+            for one in value.split():
+                parts = [x.lower() for x in _NAME_PARTS.findall(one)]
+                named = named or _MODIFIERS.isdisjoint(parts) and any(
+                    x in _BAD_NAMES and not (inside and x in ("header", "banner", "teaser")) for x in parts)
+    return False, named
 
 
 def blocks(page: str) -> Iterator[Block]:
-    """``(text, link characters, heading, bad container, article)`` of each block that has text."""
+    """``(text, link characters, heading, bad container, article, named container)`` of each block that has text."""
     held: list[str] = []
     linked: list[str] = []
-    # open containers: tag, whether it or one around it is bad, the same for being in an article
-    stack: list[tuple[str, bool, bool]] = []
+    # open containers: tag, whether it or one around it is bad, the same for being in an article and for a bad name
+    stack: list[tuple[str, bool, bool, bool]] = []
     depth: Counter[str] = Counter()
     endless: set[str] = set()       # raw elements that don't end any more
     heading = False
@@ -120,8 +128,8 @@ def blocks(page: str) -> Iterator[Block]:
         nonlocal heading
         text = _SPACE.sub(" ", "".join(held)).strip()
         if text:
-            _, bad, article = stack[-1] if stack else ("", False, False)
-            yield text, len(_SPACE.sub(" ", "".join(linked)).strip()), heading, bad, article
+            _, bad, article, named = stack[-1] if stack else ("", False, False, False)
+            yield text, len(_SPACE.sub(" ", "".join(linked)).strip()), heading, bad, article, named
         held.clear()
         linked.clear()
         heading = False
@@ -185,29 +193,37 @@ def blocks(page: str) -> Iterator[Block]:
         if tag in _CONTAINERS and not attributes.endswith("/"):
             if tag == "p" and stack and stack[-1][0] == "p":
                 pop()
-            _, around, inside = stack[-1] if stack else ("", False, False)
-            bad = tag in _DROPPED or tag == "header" and not inside or tag not in _ARTICLE and tag != "body" and _announces(attributes, inside)
+            _, around, inside, under = stack[-1] if stack else ("", False, False, False)
+            outermost = tag in _ARTICLE and not inside
+            said, named = _announces(attributes, inside) if tag not in _ARTICLE and tag != "body" else (False, False)
+            bad = tag in _DROPPED or tag == "header" and not inside or said
             # comments are often articles inside an article
-            if tag == "article" and inside and _announces(attributes, False):
-                bad = True
-            stack.append((tag, around or bad, inside or tag in _ARTICLE))
+            if tag == "article" and inside:
+                bad, named = _announces(attributes, False)
+            stack.append((tag, around or bad, inside or tag in _ARTICLE, named or under and not outermost))
             depth[tag] += 1
     yield from flush()
 
 
+def _stop_share(text: str) -> float:
+    found = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in found) / max(1, len(found))
+
+
 def _first_pass(block: Block, max_links: float, short: int, long: int, few: float, many: float) -> str:
-    text, link_chars, heading, bad, article = block
+    text, link_chars, heading, bad, article, named = block
     density = link_chars / len(text)
-    if bad or density > (0.5 if article else max_links):
+    if bad or density > (0.5 if article and not named else max_links):
         return "bad"
+    if named:
+        return "good" if len(text) >= long and _stop_share(text) >= many and "\xa9" not in text else "bad"
     if article:
         return "good"
     if "\xa9" in text:
         return "bad"
     if len(text) < short:
         return "bad" if link_chars else "short"
-    found = _WORD.findall(text.lower())
-    share = sum(w in STOP_WORDS for w in found) / max(1, len(found))
+    share = _stop_share(text)
     if share >= many:
         return "good" if len(text) >= long else "near"
     return "near" if share >= few else "bad"

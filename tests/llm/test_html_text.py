@@ -36,6 +36,23 @@ def test_rules(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-comments", "elementor-widget elementor-widget-text-editor",
+                                  "search-result", "widget"])
+def test_a_name_is_a_prior(name):
+    long = " ".join(STOPPY.split())
+    # an article inside a named container is one; long text without an article is judged by its density
+    assert html_text.main_text(f"<div class='{name}'><article><h1>Head</h1><p>{RARE}</p><p>end</p></article></div>") == \
+        f"Head\n{' '.join(RARE.split())}\nend"
+    assert html_text.main_text(f"<article><div class='{name}'><p>{STOPPY}</p></div></article>") == long
+    assert html_text.main_text(f"<div id='{name}'><p>{STOPPY}</p></div>") == long
+
+
+def test_what_a_bad_name_still_drops():
+    page = (f"<article><p>{STOPPY}</p><div class='ad'>Buy it now</div><div class='related-posts'><a href=x>{STOPPY}</a></div>"
+            f"<div id=newsletter><p>{RARE}</p></div></article><div role=search>{STOPPY}</div><aside>{STOPPY}</aside>")
+    assert html_text.main_text(page) == " ".join(STOPPY.split())
+
+
 def brute_article(page):
     """What stands in the article element of the given pages, by plain string work."""
     import html as H
