@@ -226,11 +226,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
                     (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without a hit.  Rows with an equal id are kept or
-    dropped together; so are those with a null id."""
-    base, spans, _ = hits(docs, benchmark, id_col=id_col, **options)
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without a hit, whatever other rows have their id, or none."""
+    # a hit is a matter of the text, so the id and a digest of the text tell which rows go
+    digest = F.xxhash64(docs[text_col])
+    marked = docs.select(F.struct(docs[id_col].alias("id"), digest.alias("digest")).alias("k"), docs[text_col].alias("text"))
+    base, spans, _ = hits(marked, benchmark, id_col="k", **options)
     # a written list of ids: Spark broadcasts it if it is small, and joins it if not
     bad = staged(base.join(spans.select("row").distinct(), "row", "left_semi")
-                 .select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad.bad_id), "left_anti")
+                 .select(F.col("doc_id.id").alias("bad_id"), F.col("doc_id.digest").alias("bad_digest")).distinct(), "contaminated")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad.bad_id) & (digest == bad.bad_digest), "left_anti")

@@ -67,3 +67,12 @@ def test_clashing_columns_empty_tables_and_clean(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, None}
     assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.limit(0)).collect())
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_clean_drops_rows_not_ids(spark):
+    item = " ".join(f"word{i}" for i in range(14))
+    rows = [(None, f"see {item} here"), (None, "a clean text"), (7, f"again {item}"), (7, "another clean text"), (7, None), (8, ""), (8, item), (8, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.clean(docs, items, window=10).collect()), key=str)
+    assert got == sorted([r for r in rows if "word1" not in (r[1] or "")], key=str)
