@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termlink.llm.components import components
@@ -59,17 +59,21 @@ def fingerprint_of(text: bytes, shingle: int, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row ``doc_id, fp`` (64 bits in a signed long) per row of ``docs``."""
+    """One row ``doc_id, digest, fp`` (64 bits in a signed long) per row of ``docs``; digest is a hash of the text."""
     small_text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = pc.fill_null(b.column(1), "").cast(pa.binary())
             fp = np.array([fingerprint_of(x.as_py(), shingle, seed) for x in text], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "digest", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _digest(docs[text_col]).alias("digest"))
+    return src.mapInArrow(run, "doc_id long, digest long, fp long")
+
+
+def _digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _runs(blocks: int) -> list[int]:
@@ -121,32 +125,46 @@ def links(fps: DataFrame, max_bits: int = 2, blocks: int = 5, crowd: int = 64) -
     return pairs.unionByName(met.select(F.col("fp").alias("a"), "b")).where("a != b").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, blocks: int = 5,
-                    crowd: int = 64, seed: int = 42, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """One row ``doc_id, fp, component_id`` per row of ``docs``; component_id is
-    the smallest doc_id reachable over links of at most ``max_bits`` bits."""
+def _members(docs: DataFrame, shingle: int = 3, max_bits: int = 2, blocks: int = 5, crowd: int = 64, seed: int = 42,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row ``doc_id, digest, fp, root, component_id`` per row of ``docs``; root is the class."""
     fps = staged(fingerprints(docs, shingle, seed, id_col, text_col), "simhash")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     found = components(links(classes.select("fp"), max_bits, blocks, crowd))
     rooted = classes.join(found, classes.fp == found.node, "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = rooted.join(ids, "root").select("fp", "component_id")
-    return fps.join(member, "fp").select("doc_id", "fp", "component_id")
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``docs`` that are alone in their class or its smallest doc_id;
-    of repeated rows with that id one stays.  Rows whose whole class has null
-    ids all stay."""
-    found = staged(near_duplicates(docs, id_col=id_col, **options), "classes")
-    # written lists of ids: Spark broadcasts them if they are small, and joins them if not
-    gone = staged(found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
-    twice = staged(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-                   .select(F.col("doc_id").alias(id_col)), "repeated")
-    kept = docs.join(gone, id_col, "left_anti")
+    member = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return fps.join(member, "fp").select("doc_id", "digest", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, blocks: int = 5,
+                    crowd: int = 64, seed: int = 42, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """One row ``doc_id, fp, component_id`` per row of ``docs``; component_id is
+    the smallest doc_id reachable over links of at most ``max_bits`` bits."""
+    return _members(docs, shingle, max_bits, blocks, crowd, seed, id_col, text_col).select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each class: its smallest doc_id's (of several texts of the class under that id, the
+    one of the smallest digest).  Rows whose whole class has null ids all stay.  An id whose texts are in several
+    classes is judged in each by itself."""
+    found = staged(_members(docs, id_col=id_col, text_col=text_col, **options), "classes")
+    low = found.where("doc_id = component_id")
+    several = low.groupBy("root").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first != last")
+    # written lists of ids and digests: Spark broadcasts them if they are small, and joins them if not
+    others = found.where("component_id is not null and (doc_id is null or doc_id != component_id)").select("doc_id", "digest")
+    later = low.select("root", "doc_id", "digest").distinct().join(several, "root").where("digest != first").select("doc_id", "digest")
+    gone = staged(others.unionByName(later).distinct(), "copies")
+    twice = staged(low.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest"), "repeated")
+
+    def match(left: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        ids = ids.select(F.col("doc_id").alias("listed_id"), F.col("digest").alias("listed_digest"))
+        return left.join(ids, left[id_col].cast("long").eqNullSafe(ids.listed_id) & (_digest(left[text_col]) == ids.listed_digest), how)
+
+    kept = match(docs, gone, "left_anti")
     if twice.isEmpty():
         return kept
-    again = docs.join(twice, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, id_col, "left_anti").unionByName(again)
+    again = match(kept, twice, "left_semi").withColumn("__digest", _digest(F.col(text_col)))
+    return match(kept, twice, "left_anti").unionByName(again.dropDuplicates([id_col, "__digest"]).drop("__digest"))

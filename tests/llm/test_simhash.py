@@ -90,3 +90,14 @@ def test_components_of_a_long_chain_and_a_star(spark):
     random.Random(1).shuffle(edges)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     assert got == {i: 0 for i in range(1, 301)} | {1000 + i: 1000 for i in range(1, 200)}
+
+
+def test_deduplicate_goes_by_row_not_id(spark):
+    a, b, c, d, e = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcde")
+    rows = [(1, a), (5, a), (5, b),                    # 5 is a copy of 1 and has a text of its own
+            (2, c), (2, d), (None, d),                 # 2 is the smallest of two classes, one with a null id
+            (None, c), (None, c), (None, e), (None, e),  # a class of null ids stays
+            (9, None), (9, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text or "") for r in simhash.deduplicate(docs).collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (2, c), (2, d), (None, e), (None, e), (9, "")], key=str)
