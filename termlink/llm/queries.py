@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlink.llm import (decontaminate, embedding_dedup, html_text, labelled, mixing, packing, quality, simhash, token_counts,
+from termlink.llm import (decontaminate, divergence, embedding_dedup, html_text, labelled, mixing, packing, quality, simhash, token_counts,
                           toxicity, url_filter)
 from termlink.llm.tables import table
 
@@ -87,6 +87,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("purity", F.round("purity", 9))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 QUERIES = {
     "op1_token_packing": op1_token_packing,
     "op2_source_mixing": op2_source_mixing,
@@ -98,4 +102,5 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_source_divergence": op11_source_divergence,
 }
