@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlink.llm import (decontaminate, divergence, embedding_dedup, html_text, labelled, mixing, packing, quality, simhash, token_counts,
+from termlink.llm import (alignment, decontaminate, divergence, embedding_dedup, html_text, labelled, mixing, packing, quality, simhash, token_counts,
                           toxicity, url_filter)
 from termlink.llm.tables import table
 
@@ -15,6 +15,7 @@ from termlink.llm.tables import table
 #: Vocabulary files; another file of the same kind can be given to the operators.
 VOCABULARY_JSON = "byte_bpe_50k.json"
 VOCABULARY_RANKS = "byte_bpe_50k.tiktoken"
+VOCABULARY_PIECES = "piece_bpe_32k.model"
 
 
 def op1_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +92,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), min_docs=3, top=200)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY_JSON), public_tokenizers.PATTERN,
+                            public_tokenizers.path(VOCABULARY_PIECES), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_token_packing": op1_token_packing,
     "op2_source_mixing": op2_source_mixing,
@@ -103,4 +110,5 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_source_divergence": op11_source_divergence,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
