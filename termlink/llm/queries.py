@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlink.llm import (alignment, decontaminate, divergence, embedding_dedup, html_text, labelled, mixing, packing, quality, simhash, token_counts,
-                          toxicity, url_filter)
+from termlink.llm import (alignment, decontaminate, divergence, embedding_dedup, html_text, labelled, mixing, neighbours, packing,
+                          quality, simhash, token_counts, toxicity, url_filter)
 from termlink.llm.tables import table
 
 
@@ -92,6 +92,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), min_docs=3, top=200)
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY_JSON), public_tokenizers.PATTERN,
                             public_tokenizers.path(VOCABULARY_PIECES), digest=True)
@@ -110,5 +114,6 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_source_divergence": op11_source_divergence,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }

@@ -7,6 +7,9 @@ running and nothing that was finished.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from termlink.session import staging_path
@@ -29,6 +32,36 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def successive(spark: SparkSession, name: str, keep: int = 2) -> Callable[[DataFrame], DataFrame]:
+    """``staged`` for the rounds of a loop: only the tables of the last ``keep`` rounds stay.  A round may read
+    the one before it, and nothing may read an older one."""
+    paths: list[str] = []
+
+    def put(df: DataFrame) -> DataFrame:
+        path = staging_path(spark, name)
+        df.write.parquet(path)
+        paths.append(path)
+        if len(paths) > keep:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop(0))
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        return spark.read.schema(df.schema).parquet(path)
+    return put
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go when it ends: for loops whose rounds end in written tables."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def small_text_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batch to ``TEXT_BATCH_ROWS`` if it is larger
     (or unlimited), before whole texts are handed to Python workers."""
