@@ -4,28 +4,33 @@ A page is cut into blocks at block-level tags.  Each block has its text (white s
 as one space), its length, the share of its characters inside links and the
 share of stop words among its words.
 
-*First pass*, block by block: blocks in containers that announce by tag, role or being hidden what they are
-(navigation, page header and footer, aside, form, dialog) are bad.  A class or id that names such a thing
-(``ad``, ``site-footer``) is a prior: blocks inside are bad unless they are long, hold many stop words and
-few links, which makes them good; those in an article (or main) that begins inside count as any article's.
-Names in a part with a modifier (``has-sidebar``, ``no-ads``) say nothing.
-Of the others, blocks with many link characters are bad; in an article
-element the rest is good.  Elsewhere, short blocks are undecided (bad, if they hold a
+*First pass*, block by block.  Left out are blocks in containers that announce what they are: by tag, role or being
+hidden (navigation, page header and footer, aside, form, dialog), or by a class or id that is as a whole the name
+of reader comments, related pages, adverts or consent and newsletter notices (``comments``, ``related-posts``, ``ad-slot``).
+Other such names (``sidebar``, ``widget``) are a prior: blocks inside are bad, unless one of the container's is good by its length, stop words and
+few links, which disproves the name.  Names in a part with a modifier (``has-sidebar``, ``no-ads``)
+say nothing.  An article that begins in a container of such a name isn't under it, unless good text came before.
+Of the others, blocks with many link characters are bad, short blocks are undecided (bad, if they hold a
 link), and longer ones are judged by stop words: many and long is good, many or
-some is nearly good, few is bad.
+some is nearly good, few is bad.  Inside an article element the limits are wider: only
+links throughout are bad, short blocks stay undecided, and longer ones are good with some stop words, nearly good without.
 
-*Second pass*, over the page: undecided blocks take the label of the nearest decided
+*Second pass*, over the page; blocks left out are passed over.  Undecided blocks take the label of the nearest decided
 neighbours if these agree; if they differ, the label of the side on which a
-nearly good block comes before the decided one, else bad.  Nearly good blocks
+nearly good block comes before the decided one, else bad.  Beyond the page is bad.  In an article, a paragraph, list item or the
+like, or whatever ends like a sentence, needs a good neighbour of that article on one side only; so does what
+ends like a sentence in a main element.  Nearly good blocks
 become good if a neighbour is good, else bad.  A heading that is followed by a
 good block within ``heading_reach`` characters is good if it was undecided.
 
-On a page that has no good block then, the blocks that the first pass left undecided or
-nearly good stand.  Good blocks, joined by a newline in page order, are the text.
+If no article has a good block then, the undecided and nearly good ones of articles stand; on a page
+without a good block and without these, all undecided and nearly good ones.  Good blocks, joined by a newline in page order, are the text.
+
+Both passes take time in proportion to the page.
 
 Broken markup: unclosed and stray tags are tolerated; an end tag closes the nearest
 open container of its name and what is open inside; an article start ends open navigation,
-headers and the like that were never closed around it.
+headers and the like around it if the page has fewer end tags of that kind than start tags, or none after this place.
 
 Edge cases: a null or empty page has an empty text; a page without any good block, too;
 repeated rows are extracted each; an empty table gives no rows; other columns
@@ -38,6 +43,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,6 +72,10 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
 #: Raw elements that hold the rest of the page if they aren't closed.
 _SWALLOWS = frozenset("script style textarea title xmp".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ITEMS = frozenset("li dt dd td th caption figcaption".split())
+#: Elements whose own text is running text, not a label of something.
+_FLOW = _HEADINGS | _ITEMS | frozenset("p blockquote pre".split())
+_ENDS = frozenset(".!?\u2026:;\"'\u201d\u2019\xbb\u300d\u3002\uff01\uff1f)")
 _DROPPED = frozenset("head nav footer aside form menu dialog select button option fieldset".split())
 _ARTICLE = frozenset("article main".split())
 _CONTAINERS = _DROPPED | _ARTICLE | frozenset("header section div ul ol table figure body p".split())
@@ -75,8 +85,17 @@ _BAD_NAMES = frozenset(
     "newsletter notice notices overlay pager pagination paywall popup promo promos promotion promoted recommended related reply "
     "replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription teaser toolbar "
     "topbar widget widgets".split())
+#: Those that aren't overruled by density, if the other parts of the name are of these or the next kind.
+_FINAL_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising comment comments commentlist consent cookie cookies disqus gdpr newsletter promo "
+    "promos promoted promotion recommended related replies reply respond sponsor sponsored".split())
+_NAME_FILLERS = frozenset(
+    "area article articles bar block body box card cards container content entry feed form holder inner item items link links list main news "
+    "outer page pages panel post posts section slot stories story text thread title unit wrap wrapper".split())
 #: Before a name they say that something has it or hasn't, not that it is it.
 _MODIFIERS = frozenset("has have with without no not is hide hides show shows".split())
+#: Inside an article they are parts of it.
+_TITLES = frozenset("banner header teaser widget widgets".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 
 # possessive and without "<" outside quotes, so that broken tags cost no more than their length
@@ -88,51 +107,71 @@ _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
-Block = tuple[str, int, bool, bool, bool, bool]
+class Block(NamedTuple):
+    text: str
+    #: its characters inside links
+    links: int
+    #: the element it is directly in, if that holds text by itself
+    kind: str
+    #: in a container that announces that it is no content
+    out: bool
+    #: number of the article or main element it is in, else 0
+    article: int
+    main: bool
+    #: number of the container whose name says that it is no content, else 0
+    named: int
+    #: whether the article began in such a container
+    under: bool
+
+
+class _Open(NamedTuple):
+    tag: str
+    out: bool = False
+    article: int = 0
+    main: bool = False
+    named: int = 0
+    under: bool = False
 
 
 def _announces(attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether role or hiding say that an element is no content, and whether class or id name it
-    so.  inside: an article, whose own header holds its title."""
-    named = False
+    """Whether role, hiding or a whole name say that an element is no content, and whether a part of class or id
+    does.  inside: an article, whose own header holds its title."""
+    named = final = False
     for m in _HINT.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, named
-        if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, named
+            final = True
+        elif name == "style":
+            final = final or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif name == "role":
-            if value.strip().lower() in _BAD_ROLES:
-                return True, named
-        else:
+            final = final or value.strip().lower() in _BAD_ROLES
+        elif name in ("class", "id"):
             for one in value.split():
-                parts = [x.lower() for x in _NAME_PARTS.findall(one)]
-                named = named or _MODIFIERS.isdisjoint(parts) and any(
-                    x in _BAD_NAMES and not (inside and x in ("header", "banner", "teaser")) for x in parts)
-    return False, named
+                parts = {x.lower() for x in _NAME_PARTS.findall(one)}
+                if not parts.isdisjoint(_MODIFIERS):
+                    continue
+                final = final or not parts.isdisjoint(_FINAL_NAMES) and parts <= _BAD_NAMES | _NAME_FILLERS
+                named = named or not parts.isdisjoint(_BAD_NAMES - _TITLES if inside else _BAD_NAMES)
+    return final, named
 
 
 def blocks(page: str) -> Iterator[Block]:
-    """``(text, link characters, heading, bad container, article, named container)`` of each block that has text."""
+    """The blocks that have text, in page order."""
     held: list[str] = []
     linked: list[str] = []
-    # open containers: tag, whether it or one around it is bad, the same for being in an article and for a bad name
-    stack: list[tuple[str, bool, bool, bool]] = []
+    stack = [_Open("")]
     depth: Counter[str] = Counter()
     endless: set[str] = set()       # raw elements that don't end any more
-    heading = False
-    links = at = 0
+    ends: dict[str, int] = {}
+    kind = ""
+    links = at = articles = names = 0
 
     def flush() -> Iterator[Block]:
-        nonlocal heading
         text = _SPACE.sub(" ", "".join(held)).strip()
         if text:
-            _, bad, article, named = stack[-1] if stack else ("", False, False, False)
-            yield text, len(_SPACE.sub(" ", "".join(linked)).strip()), heading, bad, article, named
+            yield Block(text, len(_SPACE.sub(" ", "".join(linked)).strip()), kind, *stack[-1][1:])
         held.clear()
         linked.clear()
-        heading = False
 
     def put(raw: str) -> None:
         if raw:
@@ -142,7 +181,14 @@ def blocks(page: str) -> Iterator[Block]:
                 linked.append(text)
 
     def pop() -> None:
-        depth[stack.pop()[0]] -= 1
+        depth[stack.pop().tag] -= 1
+
+    def closes(tag: str) -> bool:
+        """Whether each such element is closed, and one after this place."""
+        if tag not in ends:
+            last = [m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)]
+            ends[tag] = last[-1] if last and len(re.findall(rf"<{tag}(?=[\s/>])", page, re.I)) <= len(last) else -1
+        return ends[tag] > at
 
     n = len(page)
     while at < n:
@@ -178,29 +224,35 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         yield from flush()
         links = 0
+        kind = tag if tag in _FLOW and not closing else ""
         if closing:
             if depth[tag]:
-                while stack[-1][0] != tag:
+                while stack[-1].tag != tag:
                     pop()
                 pop()
             continue
-        if tag in _HEADINGS:
-            heading = True
         if tag in _ARTICLE or tag == "body":
             # navigation and the like that was left open doesn't swallow the article
-            while stack and stack[-1][0] in _DROPPED | {"header", "ul", "ol", "p"}:
+            while stack[-1].tag in _DROPPED | {"header", "ul", "ol", "p"} and not (stack[-1].tag in _DROPPED and closes(stack[-1].tag)):
                 pop()
         if tag in _CONTAINERS and not attributes.endswith("/"):
-            if tag == "p" and stack and stack[-1][0] == "p":
+            if tag == "p" and stack[-1].tag == "p":
                 pop()
-            _, around, inside, under = stack[-1] if stack else ("", False, False, False)
-            outermost = tag in _ARTICLE and not inside
-            said, named = _announces(attributes, inside) if tag not in _ARTICLE and tag != "body" else (False, False)
-            bad = tag in _DROPPED or tag == "header" and not inside or said
-            # comments are often articles inside an article
-            if tag == "article" and inside:
-                bad, named = _announces(attributes, False)
-            stack.append((tag, around or bad, inside or tag in _ARTICLE, named or under and not outermost))
+            around = stack[-1]
+            inside = around.article > 0
+            final, named = _announces(attributes, inside and tag != "article") if tag not in ("main", "body") else (False, False)
+            out = around.out or final or tag in _DROPPED or tag == "header" and not inside
+            article, main, own, under = around.article, around.main, around.named, around.under
+            if tag == "article" and inside and not main:
+                # comments are often articles inside an article
+                out = out or named
+            elif tag in _ARTICLE and (not inside or main and tag == "article"):
+                articles += 1
+                article, main, under, own = articles, tag == "main", under or own > 0 or named, 0
+            elif named and not own:
+                names += 1
+                own = names
+            stack.append(_Open(tag, out, article, main, own, under))
             depth[tag] += 1
     yield from flush()
 
@@ -210,63 +262,92 @@ def _stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in found) / max(1, len(found))
 
 
-def _first_pass(block: Block, max_links: float, short: int, long: int, few: float, many: float) -> str:
-    text, link_chars, heading, bad, article, named = block
-    density = link_chars / len(text)
-    if bad or density > (0.5 if article and not named else max_links):
-        return "bad"
-    if named:
-        return "good" if len(text) >= long and _stop_share(text) >= many and "\xa9" not in text else "bad"
-    if article:
-        return "good"
-    if "\xa9" in text:
+def _judged(b: Block, max_links: float, short: int, long: int, few: float, many: float) -> str:
+    """The first pass on one block, its container's name aside."""
+    density, in_article = b.links / len(b.text), b.article and not b.main
+    if density > (0.9 if in_article else max_links) or "\xa9" in b.text and not in_article:
         return "bad"
-    if len(text) < short:
-        return "bad" if link_chars else "short"
-    share = _stop_share(text)
+    if len(b.text) < short:
+        return "bad" if b.links and not in_article else "short"
+    share = _stop_share(b.text)
+    if in_article:
+        return "good" if share >= few and density <= 0.5 else "near"
     if share >= many:
-        return "good" if len(text) >= long else "near"
+        return "good" if len(b.text) >= long else "near"
     return "near" if share >= few else "bad"
 
 
-def _neighbour(first: list[str], i: int, step: int) -> tuple[str, bool]:
-    """The nearest decided label going by ``step``, and whether a nearly good block
-    comes before it; beyond the page is bad."""
-    near, i = False, i + step
-    while 0 <= i < len(first):
+def _first_pass(found: list[Block], max_links: float, short: int, long: int, few: float, many: float) -> list[str]:
+    strict = (max_links, short, long, few, many)
+    dense = [b._replace(article=0) for b in found]
+    # names that a good block of the container disproves
+    content = {b.named for b, d in zip(found, dense) if b.named and not b.out and len(b.text) >= long and _judged(d, *strict) == "good"}
+    label, seen = [], False
+    for b in found:
+        if b.out:
+            label.append("out")
+        elif b.named and b.named not in content:
+            label.append("bad")
+        elif b.under and seen:
+            label.append("bad")
+        else:
+            label.append(_judged(b, *strict))
+            seen = seen or label[-1] == "good" and not b.under
+    return label
+
+
+def _neighbours(found: list[Block], first: list[str], order: range) -> list[tuple[str, int, bool]]:
+    """For each block the nearest decided label before it in ``order`` and the article that is from, and whether
+    a nearly good block comes between; bad and -1 beyond the page."""
+    out = [("bad", -1, False)] * len(found)
+    label, article, near = "bad", -1, False
+    for i in order:
+        out[i] = label, article, near
         if first[i] in ("good", "bad"):
-            return first[i], near
-        near = near or first[i] == "near"
-        i += step
-    return "bad", near
+            label, article, near = first[i], found[i].article, False
+        elif first[i] == "near":
+            near = True
+    return out
 
 
-def main_text(page: str, max_links: float = 0.2, short: int = 70, long: int = 200, few: float = 0.2, many: float = 0.3,
-              heading_reach: int = 200) -> str:
-    found = list(blocks(page))
-    first = [_first_pass(b, max_links, short, long, few, many) for b in found]
+def _second_pass(found: list[Block], first: list[str], heading_reach: int) -> list[str]:
     label = list(first)
-    for i, one in enumerate(first):
-        if one in ("good", "bad"):
+    n = len(found)
+    sides = zip(_neighbours(found, first, range(n)), _neighbours(found, first, range(n - 1, -1, -1)))
+    for i, (b, one, (before, after)) in enumerate(zip(found, first, sides)):
+        if one not in ("short", "near"):
             continue
-        (before, near_before), (after, near_after) = _neighbour(first, i, -1), _neighbour(first, i, 1)
+        own = [s for s in (before, after) if s[1] == b.article > 0]
+        sentence = b.text[-1] in _ENDS
+        flows = b.kind in _HEADINGS or (sentence or bool(b.kind) and (b.kind not in _ITEMS or before in own) and not b.main)
         if one == "near":
-            label[i] = "good" if "good" in (before, after) else "bad"
-        elif before == after:
-            label[i] = before
+            label[i] = "good" if "good" in (before[0], after[0]) else "bad"
+        elif own and flows:
+            label[i] = "good" if any(s[0] == "good" for s in own) else "bad"
+        elif before[0] == after[0]:
+            label[i] = before[0]
         else:
-            label[i] = "good" if (near_before if before == "bad" else near_after) else "bad"
-    for i, b in enumerate(found):
-        if b[2] and first[i] in ("short", "near") and label[i] == "bad":
-            j, gone = i + 1, 0
-            while j < len(found) and gone <= heading_reach and label[j] != "good":
-                gone += len(found[j][0])
-                j += 1
-            if j < len(found) and gone <= heading_reach:
-                label[i] = "good"
-    if "good" not in label:
-        label = ["good" if x in ("short", "near") else x for x in first]
-    return "\n".join(b[0] for b, x in zip(found, label) if x == "good")
+            label[i] = "good" if (before if before[0] == "bad" else after)[2] else "bad"
+    gone = heading_reach + 1
+    for i in range(n - 1, -1, -1):
+        if found[i].kind in _HEADINGS and first[i] in ("short", "near") and gone <= heading_reach:
+            label[i] = "good"
+        gone = 0 if label[i] == "good" else gone + len(found[i].text)
+    return label
+
+
+def main_text(page: str, max_links: float = 0.2, short: int = 70, long: int = 200, few: float = 0.2, many: float = 0.3,
+              heading_reach: int = 200) -> str:
+    found = list(blocks(page))
+    first = _first_pass(found, max_links, short, long, few, many)
+    label = _second_pass(found, first, heading_reach)
+    stand = [x in ("short", "near") for x in first]
+    in_article = [b.article > 0 and not b.main for b in found]
+    if not any(a and x == "good" for a, x in zip(in_article, label)) and any(a and s for a, s in zip(in_article, stand)):
+        label = ["good" if a and s else x for a, s, x in zip(in_article, stand, label)]
+    elif "good" not in label:
+        label = ["good" if s else x for s, x in zip(stand, label)]
+    return "\n".join(b.text for b, x in zip(found, label) if x == "good")
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", **rules) -> DataFrame:
