@@ -10,7 +10,8 @@ bisection.  Ends found in both cut the tokens into groups; the places of two suc
 * *Chunks.*  No token of either kind reaches over a single space between two visible
   characters: A's splitting pattern begins a word there, and no piece of B has the space mark behind
   another character (checked when the model is loaded).  So a text is aligned chunk by chunk, and a chunk's
-  alignment is remembered by the worker, at most ``_HELD`` of them.
+  alignment is remembered by the worker, about ``_HELD`` of them at most.  All new chunks of about ``_PART`` characters
+  of texts are aligned together, one behind the other, and their ends gallop in step.
 * *Counts.*  Each task sums the links of each id pair; Spark adds them up.  No text or chunk is shuffled.
 * *Documents.*  A document's figures are sums over its chunks.  The counts of the ``head``
   most frequent pairs (a table of proven size) are broadcast; a document's other
@@ -26,14 +27,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,33 +42,68 @@ from termlink.llm.tables import small_text_batches, staged
 from termlink.llm.token_counts import _PLAIN, Splitter
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Characters of a text that are split at once, and alignments that a worker remembers.
-_PART, _HELD = 1 << 20, 150_000
+#: Characters of texts that are split at once, and alignments that a worker remembers.
+_PART, _HELD = 1 << 19, 300_000
 _SHIFT = 32
 
 
-def gallop(ends: list[int], end: int, at: int) -> int:
-    """The least place from ``at`` on whose value isn't below ``end``."""
-    hi, step = at, 1
-    while hi < len(ends) and ends[hi] < end:
-        at, hi, step = hi + 1, hi + step, 2 * step
-    return bisect_left(ends, end, at, min(hi, len(ends)))
-
-
-def intersect(short: list[int], long: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """``(common, spans)`` of two ascending lists with the same last end: the places of their common
-    ends, and for each token of the shorter list the first and last token of the longer one that it overlaps."""
-    common, spans = [], []
-    first = 0
-    for i, end in enumerate(short):
-        last = gallop(long, end, first)
-        spans.append((first, last))
-        if long[last] == end:
-            common.append((i, last))
-            first = last + 1
-        else:
-            first = last
-    return common, spans
+def gallop(ends: np.ndarray, wanted: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each of ``wanted`` the least place, from its place in ``at`` on, of an end that isn't below it: by steps
+    of doubling length, then by bisection of the last one.  The last end is below none."""
+    low, high = at.copy(), at.copy()
+    todo, step = np.flatnonzero(ends[high] < wanted), 1
+    while len(todo):
+        low[todo] = high[todo] + 1
+        high[todo] = np.minimum(high[todo] + step, len(ends) - 1)
+        todo, step = todo[ends[high[todo]] < wanted[todo]], 2 * step
+    todo = np.flatnonzero(low < high)
+    while len(todo):
+        middle = (low[todo] + high[todo]) >> 1
+        below = ends[middle] < wanted[todo]
+        low[todo[below]] = middle[below] + 1
+        high[todo[~below]] = middle[~below]
+        todo = todo[low[todo] < high[todo]]
+    return low
+
+
+def intersect(short: np.ndarray, long: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(common, first, last)`` of two ascending lists of ends, the last of which are equal: whether an end of the shorter
+    list is one of the longer, too, and the first and last token of the longer list that its token overlaps.
+    ``at``: places from which the longer list is searched."""
+    last = gallop(long, short, at)
+    common = long[last] == short
+    first = np.zeros_like(last)
+    # behind a common end begins the next token, else the one that holds the end goes on
+    first[1:] = last[:-1] + common[:-1]
+    return common, first, last
+
+
+def _spread(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers low[i] .. low[i] + n[i] - 1, for one i after the other."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(n) else 0) + np.repeat(low - ends + n, n)
+
+
+def _sizes(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+class _Rows:
+    """An array that grows at its end."""
+
+    def __init__(self, *shape: int) -> None:
+        self.held, self.n = np.zeros((1024, *shape), np.int64), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.n + len(rows) > len(self.held):
+            more = max(len(self.held), len(rows))
+            self.held = np.concatenate([self.held, np.zeros((more, *self.held.shape[1:]), np.int64)])
+        self.held[self.n: self.n + len(rows)] = rows
+        self.n += len(rows)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
 
 
 class Aligner(dict):
@@ -77,72 +113,143 @@ class Aligner(dict):
         super().__init__()
         self.a = Splitter(path_a, pattern)
         byte = {chr(c): b for b, c in self.a.alphabet.items()}
-        self.bytes_a = {i: bytes(map(byte.__getitem__, t)) for t, i in self.a.library.get_vocab(with_added_tokens=False).items()
-                        if all(c in byte for c in t)}
+        names = {i: t for t, i in self.a.library.get_vocab(with_added_tokens=False).items()}
+        bytes_a = [bytes(map(byte.__getitem__, names.get(i, ""))) for i in range(max(names) + 1)]
+        self.fast = self._by_ranks(path_a, pattern, bytes_a)
         self.b = b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces) or b.encode("a  b", out_type=str)[0][0] != "▁":
             raise ValueError("a model that adds a space and has no piece over the start of a word is asked for")
+        self.bytes_a = bytes_a
         self.bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.length_a, self.length_b = _sizes(self.bytes_a), _sizes(self.bytes_b)
+        self.vocabulary = n = max(len(bytes_a), len(pieces))
+        self.written = [f"{c}{i}" for c in ";,|" for i in range(n)]
         self.empty()
 
+    @staticmethod
+    def _by_ranks(path: str, pattern: str, names: list[bytes]):
+        """The same model as ranks, if its merges come in the order of their ids, else None."""
+        import json
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = {a["id"] for a in spec["added_tokens"]}
+        vocabulary = spec["model"]["vocab"]
+        merges = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if merges != sorted(set(merges)) or spec["model"].get("ignore_merges"):
+            return None
+        ranks = {t: i for i, t in enumerate(names) if t and i not in added}
+        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def empty(self) -> None:
         self.clear()
         #: tokens of A and of B, groups, links; -1 tokens of A if the bytes aren't restored
-        self.sums: list[tuple[int, int, int, int]] = []
-        self.pairs: list[list[int]] = []
+        self.sums = _Rows(4)
+        #: the pairs of the i-th alignment end at ends[i]
+        self.pairs, self.ends = _Rows(), _Rows()
         self.groups: list[str] = []
 
     def encode_a(self, text: str) -> list[int]:
-        lib = self.a.library
-        words = self.a.find(text) if not _PLAIN.search(text) else [text[i:j] for _, (i, j) in lib.pre_tokenizer.pre_tokenize_str(text)]
-        return [t.id for w in words for t in lib.model.tokenize(w.encode().decode("latin-1").translate(self.a.alphabet))]
+        if _PLAIN.search(text):
+            lib = self.a.library
+            words = [text[i:j] for _, (i, j) in lib.pre_tokenizer.pre_tokenize_str(text)]
+        elif self.fast:
+            return self.fast(text)
+        else:
+            words = self.a.find(text)
+        return [t.id for w in words for t in self.a.library.model.tokenize(w.encode().decode("latin-1").translate(self.a.alphabet))]
 
     def learn(self, chunks: list[str]) -> None:
-        for chunk, b in zip(chunks, self.b.encode(chunks, num_threads=1)):
-            raw = f" {chunk}".encode()
-            a = self.encode_a(" " + chunk)
-            parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            self[chunk] = len(self.sums)
-            if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-                self.sums.append((-1, 0, 0, 0))
-                self.pairs.append([])
-                self.groups.append("")
-                continue
-            ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
-            if len(a) <= len(b):
-                common, spans = intersect(ends_a, ends_b)
-                pairs = [a[i] << _SHIFT | b[j] for i, (lo, hi) in enumerate(spans) for j in range(lo, hi + 1)]
-            else:
-                found, spans = intersect(ends_b, ends_a)
-                common = [(i, j) for j, i in found]
-                pairs = [a[i] << _SHIFT | b[j] for j, (lo, hi) in enumerate(spans) for i in range(lo, hi + 1)]
-            groups, i, j = [], 0, 0
-            for i1, j1 in common:
-                groups.append(f"{','.join(map(str, a[i:i1 + 1]))}|{','.join(map(str, b[j:j1 + 1]))}")
-                i, j = i1 + 1, j1 + 1
-            self.sums.append((len(a), len(b), len(groups), len(pairs)))
-            self.pairs.append(pairs)
-            self.groups.append(";".join(groups))
-
-    def chunks(self, text: str) -> Iterator[list[int]]:
-        """The alignments of a text's chunks, part by part; what was remembered before may be forgotten at the
-        start of a part (the numbers then start anew)."""
-        at = 0
-        while at < len(text):
-            cut = _CUT.search(text, at + _PART)
-            end = cut.start() if cut else len(text)
-            parts = _CUT.split(text[at:end])
-            if len(self.sums) > _HELD:
+        a, b = [self.encode_a(" " + c) for c in chunks], self.b.encode(chunks, num_threads=1)
+        raw = [f" {c}".encode() for c in chunks]
+
+        def written(names: list[bytes], ids: list[list[int]]) -> bytes:
+            return b"".join(map(names.__getitem__, chain.from_iterable(ids)))
+        if not written(self.bytes_a, a) == written(self.bytes_b, b) == b"".join(raw):
+            bad = [not written(self.bytes_a, [x]) == written(self.bytes_b, [y]) == z for x, y, z in zip(a, b, raw)]
+            for i in np.flatnonzero(bad):
+                a[i], b[i] = [], []
+        else:
+            bad = [False] * len(chunks)
+        sums, pairs, sizes, groups = self.align(a, b)
+        sums[np.array(bad), 0] = -1
+        start = self.pairs.n
+        self.update(zip(chunks, range(self.sums.n, self.sums.n + len(chunks))))
+        self.sums.add(sums)
+        self.pairs.add(pairs)
+        self.ends.add(start + np.cumsum(sizes))
+        self.groups += groups
+
+    def align(self, a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Of lists of tokens by pairs, which cover the same bytes: sums, the linked pairs of ids and
+        their number by list, the groups written out (each behind a semicolon)."""
+        n_a, n_b = _sizes(a), _sizes(b)
+        ids_a = np.fromiter(chain.from_iterable(a), np.int64, n_a.sum())
+        ids_b = np.fromiter(chain.from_iterable(b), np.int64, n_b.sum())
+        if not len(ids_a):
+            return np.zeros((len(a), 4), np.int64), np.zeros(0, np.int64), np.zeros(len(a), np.int64), [""] * len(a)
+        # one list behind the other: their bounds are common ends
+        ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
+        of_a, of_b = np.repeat(np.arange(len(a)), n_a), np.repeat(np.arange(len(a)), n_b)
+        a_drives = len(ids_a) <= len(ids_b)
+        short, long, of_short, n_long = (ends_a, ends_b, of_a, n_b) if a_drives else (ends_b, ends_a, of_b, n_a)
+        common, first, last = intersect(short, long, (np.cumsum(n_long) - n_long)[of_short])
+        n = last - first + 1
+        place, partner = np.repeat(np.arange(len(short)), n), _spread(first, n)
+        link_a, link_b = (place, partner) if a_drives else (partner, place)
+        links = np.bincount(of_short, n, len(a)).astype(np.int64)
+        groups = np.bincount(of_short, common, len(a)).astype(np.int64)
+        # a group's tokens end before cut_a and cut_b
+        cut_a, cut_b = np.flatnonzero(common) + 1, last[common] + 1
+        if not a_drives:
+            cut_a, cut_b = cut_b, cut_a
+        size_a, size_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
+        in_a, in_b = np.repeat(np.arange(len(cut_a)), size_a), np.repeat(np.arange(len(cut_b)), size_b)
+        sign_a, sign_b = np.ones(len(ids_a), np.int64), np.ones(len(ids_b), np.int64)
+        sign_a[cut_a - size_a], sign_b[cut_b - size_b] = 0, 2
+        line = np.empty(len(ids_a) + len(ids_b), np.int64)
+        line[np.arange(len(ids_a)) + (cut_b - size_b)[in_a]] = sign_a * self.vocabulary + ids_a
+        line[np.arange(len(ids_b)) + cut_a[in_b]] = sign_b * self.vocabulary + ids_b
+        text = list(map(self.written.__getitem__, line.tolist()))
+        bounds = [0, *np.cumsum(n_a + n_b).tolist()]
+        return (np.stack([n_a, n_b, groups, links], axis=1), ids_a[link_a] << _SHIFT | ids_b[link_b], links,
+                ["".join(text[i:j]) for i, j in zip(bounds, bounds[1:])])
+
+    def portions(self, texts: Iterator[tuple[int, str | None]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """``(rows, ends, index)``: the alignments of the chunks of some rows' texts, those of the i-th ending before
+        ends[i].  A long text is in several portions, none of which but its first holds another row's before it.
+        What was remembered before may be forgotten at the start of a portion (the numbers then start anew)."""
+        rows: list[int] = []
+        parts: list[list[str]] = []
+        size = 0
+
+        def ready() -> tuple[list[int], np.ndarray, np.ndarray]:
+            if self.sums.n > _HELD:
                 self.empty()
-            new = [c for c in dict.fromkeys(parts) if c not in self]
+            new = [c for c in dict.fromkeys(chain.from_iterable(parts)) if c not in self]
             if new:
                 self.learn(new)
-            yield [self[c] for c in parts]
-            at = end + 1
-
-    def faithful(self, text: str) -> bool:
-        return all(self.sums[i][0] >= 0 for part in self.chunks(text) for i in set(part))
+            sizes = _sizes(parts)
+            index = np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.int64, sizes.sum())
+            out = rows[:], np.cumsum(sizes), index
+            rows.clear()
+            parts.clear()
+            return out
+
+        for row, text in texts:
+            at = 0
+            while text and at < len(text):
+                cut = _CUT.search(text, at + _PART)
+                end = cut.start() if cut else len(text)
+                rows.append(row)
+                parts.append(_CUT.split(text[at:end]))
+                size += end - at
+                at = end + 1
+                if size >= _PART:
+                    yield ready()
+                    size = 0
+        if rows:
+            yield ready()
 
 
 @lru_cache(maxsize=1)
@@ -150,53 +257,43 @@ def aligner(path_a: str, pattern: str, path_b: str) -> Aligner:
     return Aligner(path_a, pattern, path_b)
 
 
-class _Figures:
-    """Arrays over the alignments that a worker remembers, brought up to date when there are new ones."""
+class _Known:
+    """What the ``head`` tells of a worker's alignments, brought up to date when there are new ones."""
 
-    def __init__(self, known: Aligner, head: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
-        self.known, self.head = known, head
-        self.first = None
-        self.n = 0
+    def __init__(self, known: Aligner, head: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        self.known, self.head, self.of = known, head, None
 
     def renew(self) -> None:
         known = self.known
-        if self.first is not known.sums:
-            self.first, self.n = known.sums, 0
-            self.sums, self.flat, self.ptr = np.zeros((0, 6), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
-            self.rare = np.zeros(0, bool)
-        if self.n == len(known.sums):
+        if self.of is not known.sums:
+            #: best links, sum of counts, pairs that the head hasn't
+            self.of, self.sums, self.rare, self.ends = known.sums, _Rows(3), _Rows(), _Rows()
+        if self.sums.n == known.sums.n:
             return
-        new = range(self.n, len(known.sums))
-        sizes = np.array([len(known.pairs[i]) for i in new], np.int64)
-        flat = np.array([p for i in new for p in known.pairs[i]], np.int64)
-        sums = np.zeros((len(new), 6), np.int64)
-        sums[:, :4] = known.sums[self.n:]
-        rare = np.zeros(len(new), bool)
-        if self.head is not None and len(flat):
-            keys, counts, best = self.head
-            at = np.minimum(np.searchsorted(keys, flat), max(0, len(keys) - 1))
-            hit = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
-            row = np.repeat(np.arange(len(new)), sizes)
-            np.add.at(sums[:, 4], row[hit], best[at[hit]])
-            np.add.at(sums[:, 5], row[hit], counts[at[hit]])
-            rare[row[~hit]] = True
-            # only the others are joined; their places are kept
-            flat, sizes = flat[~hit], np.bincount(row[~hit], minlength=len(new))
-        self.sums = np.concatenate([self.sums, sums])
-        self.flat = np.concatenate([self.flat, flat])
-        self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(sizes)])
-        self.rare = np.concatenate([self.rare, rare])
-        self.n = len(known.sums)
-
-    def pairs(self, index: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of these alignments, and how often, summed by pair."""
-        n = self.ptr[index + 1] - self.ptr[index]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(n) else 0) + np.repeat(self.ptr[index] - ends + n, n)
-        keys, back = np.unique(self.flat[at], return_inverse=True)
-        sums = np.zeros(len(keys), np.int64)
-        np.add.at(sums, back, np.repeat(times, n))
-        return keys, sums
+        old = self.sums.n
+        ends = known.ends.all[old:]
+        start = known.ends.all[old - 1] if old else 0
+        flat = known.pairs.all[start:]
+        row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=start))
+        keys, counts, best = self.head
+        hit = np.zeros(len(flat), bool)
+        sums = np.zeros((len(ends), 3), np.int64)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+            hit = keys[at] == flat
+            np.add.at(sums[:, 0], row[hit], best[at[hit]])
+            np.add.at(sums[:, 1], row[hit], counts[at[hit]])
+        sums[:, 2] = np.bincount(row[~hit], minlength=len(ends))
+        self.ends.add(self.rare.n + np.cumsum(sums[:, 2]))
+        self.rare.add(flat[~hit])
+        self.sums.add(sums)
+
+
+def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pair, back = np.unique(keys, return_inverse=True)
+    n = np.zeros(len(pair), np.int64)
+    np.add.at(n, back, times)
+    return pair, n
 
 
 def link_counts(docs: DataFrame, path_a: str, pattern: str, path_b: str, text_col: str = "text") -> DataFrame:
@@ -205,33 +302,34 @@ def link_counts(docs: DataFrame, path_a: str, pattern: str, path_b: str, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = aligner(path_a, pattern, path_b)
-        figures = _Figures(known)
-        tally = np.zeros(0, np.int64)
-        last = known.sums
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            hit = np.flatnonzero(tally)
-            if len(hit):
-                keys, n = figures.pairs(hit, tally[hit])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
-
-        for b in batches:
-            for text in b.column(0):
-                text = text.as_py()
-                # one part is looked at once; a longer text is judged as a whole before it counts
-                if not text or (len(text) > _PART and not known.faithful(text)):
-                    continue
-                for part in known.chunks(text):
-                    if last is not known.sums:
-                        yield from emit()
-                        tally, last = np.zeros(0, np.int64), known.sums
-                    figures.renew()
-                    if len(tally) < figures.n:
-                        tally = np.concatenate([tally, np.zeros(figures.n - len(tally), np.int64)])
-                    index = np.array(part)
-                    if (figures.sums[index, 0] >= 0).all():
-                        tally += np.bincount(index, minlength=len(tally))
-        yield from emit()
+        tally, of = np.zeros(0, np.int64), known.sums
+
+        def faithful(text: str) -> bool:
+            return all((known.sums.all[index, 0] >= 0).all() for _, _, index in known.portions(iter([(0, text)])))
+
+        def texts() -> Iterator[tuple[int, str]]:
+            for b in batches:
+                for row, text in enumerate(b.column(0)):
+                    text = text.as_py()
+                    # a text of several portions counts in none if one isn't restored
+                    if text and (len(text) <= _PART or faithful(text)):
+                        yield row, text
+
+        def emit(pairs: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+            sizes = np.diff(ends, prepend=0)[: len(tally)]
+            keys, n = _summed(pairs[: sizes.sum()], np.repeat(tally, sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 0]), pa.array(n[n > 0])], names=["pair", "n"])
+
+        pairs, ends = known.pairs, known.ends
+        for _, stops, index in known.portions(texts()):
+            if of is not known.sums:
+                yield from emit(pairs.all, ends.all)
+                tally, of, pairs, ends = np.zeros(0, np.int64), known.sums, known.pairs, known.ends
+            bad = np.add.reduceat(known.sums.all[index, 0] < 0, np.append(0, stops[:-1]))
+            index = index[np.repeat(bad == 0, np.diff(stops, prepend=0))]
+            tally = np.concatenate([tally, np.zeros(known.sums.n - len(tally), np.int64)])
+            tally += np.bincount(index, minlength=len(tally))
+        yield from emit(pairs.all, ends.all)
 
     sums = staged(docs.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
                   .withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << _SHIFT) - 1))), "pair-sums")
@@ -267,43 +365,51 @@ def align(docs: DataFrame, path_a: str, pattern: str, path_b: str, head: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = aligner(path_a, pattern, path_b)
-        figures = _Figures(known, common.value)
+        more = _Known(known, common.value)
         for b in batches:
-            sums, texts, ends = np.zeros((b.num_rows, 6), np.int64), [], [0]
-            keys, times = [], []
-            for row, text in enumerate(b.column(1)):
-                text = text.as_py()
-                sha, held, own = hashlib.sha256(), [], []
-                total = np.zeros(6, np.int64)
-                for k, part in enumerate(known.chunks(text or "")):
-                    figures.renew()
-                    index = np.array(part)
-                    if (figures.sums[index, 0] < 0).any():
-                        total, held, own, k = np.zeros(6, np.int64), [], [], -1
-                        break
-                    total += figures.sums[index].sum(axis=0)
-                    line = ";".join([known.groups[i] for i in part])
+            sums, bad = np.zeros((b.num_rows, 6), np.int64), np.zeros(b.num_rows, bool)
+            sha, lines = {}, [[] for _ in range(b.num_rows)]
+            rare = [np.zeros((2, 0), np.int64)]
+            sizes = np.zeros(b.num_rows, np.int64)
+            pieces = ((row, text.as_py()) for row, text in enumerate(b.column(1)))
+            late: dict[int, list[np.ndarray]] = {}
+            for rows, stops, index in known.portions(pieces):
+                more.renew()
+                starts, at = np.append(0, stops[:-1]), np.array(rows)
+                own = known.sums.all[index]
+                bad[at] |= np.logical_or.reduceat(own[:, 0] < 0, starts)
+                sums[at, :4] += np.add.reduceat(own, starts)
+                sums[at, 4:] += np.add.reduceat(more.sums.all[index, :2], starts)
+                texts = list(map(known.groups.__getitem__, index.tolist()))
+                for row, i, j in zip(rows, starts.tolist(), stops.tolist()):
+                    line = "".join(texts[i:j])
                     if digest:
-                        sha.update((";" * (k > 0) + line).encode())
+                        # each group is written behind a semicolon, the first one without it
+                        sha.setdefault(row, hashlib.sha256()).update((line if row in late else line[1:]).encode())
                     else:
-                        held.append(line)
-                    if figures.rare[index].any():
-                        rare, n = np.unique(index[figures.rare[index]], return_counts=True)
-                        own.append(figures.pairs(rare, n))
-                sums[row] = total
-                texts.append("" if not total[0] else sha.hexdigest() if digest else ";".join(held))
-                if own:
-                    pair, back = np.unique(np.concatenate([o[0] for o in own]), return_inverse=True)
-                    n = np.zeros(len(pair), np.int64)
-                    np.add.at(n, back, np.concatenate([o[1] for o in own]))
-                    keys.append(pair)
-                    times.append(n)
-                ends.append(ends[-1] + (len(keys[-1]) if own else 0))
-            rest = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])),
-                                               pa.array(np.concatenate([np.zeros(0, np.int64), *times]))], ["pair", "times"])
+                        lines[row].append(line)
+                    late.setdefault(row, [])
+                some = np.flatnonzero(more.sums.all[index, 2])
+                if len(some):
+                    of = np.searchsorted(stops, some, "right")
+                    n = more.sums.all[index[some], 2]
+                    keys = more.rare.all[_spread(more.ends.all[index[some]] - n, n)]
+                    cuts = np.searchsorted(np.repeat(of, n), np.arange(len(rows) + 1))
+                    for k, row in enumerate(rows):
+                        if cuts[k] < cuts[k + 1]:
+                            late[row].append(keys[cuts[k]: cuts[k + 1]])
+            sums[bad] = 0
+            for row in sorted(late):
+                if late[row] and not bad[row]:
+                    own = np.concatenate(late[row])
+                    rare.append(np.stack(_summed(own, np.ones(len(own), np.int64))))
+                    sizes[row] = rare[-1].shape[1]
+            keys, times = np.concatenate(rare, axis=1)
+            rest = pa.StructArray.from_arrays([pa.array(keys), pa.array(times)], ["pair", "times"])
+            ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            out = ["" if not sums[i, 0] else sha[i].hexdigest() if digest else "".join(lines[i])[1:] for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(sums[:, c].copy()) for c in range(6)), pa.array(texts, pa.string()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)],
+                [b.column(0), *(pa.array(sums[:, c].copy()) for c in range(6)), pa.array(out, pa.string()), pa.ListArray.from_arrays(ends, rest)],
                 names=["k", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "rest"])
 
     keyed = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id")).alias("k"),

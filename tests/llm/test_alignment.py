@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from conftest import SF_SMALL
@@ -87,7 +88,7 @@ ODD = ["", None, " ", "  ", "a", " a", "a ", "a  b", "a\n b", "a \n b", "a▁b",
 
 def test_odd_texts(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "null id"), (0, "again and again"), (0, "again and again")]
-    rows += [(100, "ab" * 30_000), (101, "ab cd " * 200_000), (102, "ab cd " * 200_000 + "▁"), (103, "x " * 10 + "▁ ab cd")]
+    rows += [(100, "ab" * 30_000), (101, "ab cd " * 300_000), (102, "ab cd " * 300_000 + "▁"), (104, "▁ " + "ab cd " * 300_000), (103, "x " * 10 + "▁ ab cd")]
     docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, pair string, n int").repartition(3)
     want = brute(rows)
     assert result(docs) == want
@@ -107,24 +108,41 @@ def test_chunks_join_to_whole_texts():
         assert [i for c in chunks for i in known.b.encode(c)] == known.b.encode(text)
 
 
+def groups_of(known, text):
+    return "".join(known.groups[i] for _, _, index in known.portions(iter([(0, text)])) for i in index)
+
+
 def test_remembered_alignments_are_forgotten_in_parts(monkeypatch):
     known = alignment.Aligner(A, PATTERN, B)
     text = " ".join(f"w{i} {i}" for i in range(300))
-    whole = [known.groups[i] for p in known.chunks(text) for i in p]
+    whole = groups_of(known, text)
     monkeypatch.setattr(alignment, "_PART", 7)
     monkeypatch.setattr(alignment, "_HELD", 5)
-    assert [known.groups[i] for p in known.chunks(text) for i in p] == whole
-
-
-@given(st.sets(st.integers(1, 200)), st.sets(st.integers(1, 200)))
-def test_galloping_equals_all_pairs(x, y):
-    x, y = sorted(x | {201}), sorted(y | {201})
-    common, spans = alignment.intersect(x, y)
-    assert common == [(x.index(e), y.index(e)) for e in sorted(set(x) & set(y))]
-    starts = [0, *y]
-    for i, (lo, hi) in enumerate(spans):
-        s = x[i - 1] if i else 0
-        assert list(range(lo, hi + 1)) == [j for j in range(len(y)) if starts[j] < x[i] and y[j] > s]
+    assert groups_of(known, text) == whole and known.sums.n < 50
+
+
+def test_ranks_and_merges_agree():
+    known = alignment.Aligner(A, PATTERN, B)
+    assert known.fast is not None
+    texts = [t for t in ODD if t] + ["".join(random.Random(i).choices("abcdeimnorst ABéß19'-.", k=40)) for i in range(300)]
+    fast = [known.encode_a(t) for t in texts]
+    known.fast = None
+    assert [known.encode_a(t) for t in texts] == fast
+
+
+@given(st.lists(st.tuples(st.sets(st.integers(1, 200)), st.sets(st.integers(1, 200))), min_size=1, max_size=4))
+def test_galloping_equals_all_pairs(lists):
+    """Several lists, one behind the other."""
+    lists = [(sorted(x | {201}), sorted(y | {201})) for x, y in lists]
+    short = np.array([201 * k + e for k, (x, _) in enumerate(lists) for e in x])
+    long = np.array([201 * k + e for k, (_, y) in enumerate(lists) for e in y])
+    begin = np.cumsum([0] + [len(y) for _, y in lists])
+    common, first, last = alignment.intersect(short, long, np.repeat(begin[:-1], [len(x) for x, _ in lists]))
+    assert common.tolist() == [e in set(long.tolist()) for e in short.tolist()]
+    starts = [0, *long.tolist()]
+    for i, e in enumerate(short.tolist()):
+        s = short[i - 1] if i else 0
+        assert list(range(first[i], last[i] + 1)) == [j for j in range(len(long)) if starts[j] < e and long[j] > s]
 
 
 def test_a_hot_pair_and_many_rare_ones(spark):
