@@ -15,9 +15,9 @@ Everything here is DataFrame work (no Python in tasks).
    again, and so on to ``n_shards`` shards.  What each source gives to a left half
    is drawn from the multivariate hypergeometric law, as if the blocks
    of the node had been shuffled and cut in the middle: source by source from
-   univariate draws, each by inverting the distribution function at a
-   hashed uniform number.  Shards are equal in blocks to one, and quotas
-   add up exactly.
+   univariate draws, each a function of a hashed uniform number, at a cost that doesn't
+   grow with the node.  Shards are equal in blocks to one, and quotas
+   add up exactly.  The upper levels are one task's, the nodes of the lower ones are dealt to many.
 4. *Draws.*  Consecutive runs of each source's permuted blocks go to the shards by
    these counts: no block goes twice in one pass.  In a shard the pieces are
    shuffled by a hash (``slot``).
@@ -46,6 +46,8 @@ from pyspark.sql import functions as F
 
 from termlink.llm.tables import staged
 
+#: Levels of the splitting tree at which its nodes, two to the level, go to so many tasks.
+_SPREAD = {8: 64, 16: 1024}
 #: Hash buckets of a source, by which its blocks are numbered.
 _BUCKET_BITS = 12
 _NON_SPACE = r"[^\x20\x09-\x0D]+"
@@ -97,21 +99,42 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _ln_rise(x: Column, d: Column) -> Column:
+    """ln (x + d)! - ln x!, from the difference of the series' terms, as both logarithms may be large."""
+    z = x + 7.0
+    rising = reduce(lambda a, b: a * b, [(x + d + float(i)) / (x + float(i)) for i in range(1, 7)])
+    w = z + d
+    return (d * F.log(z) + (w - 0.5) * F.log1p(d / z) - d + 1 / (12 * w) - 1 / (12 * z)
+            - 1 / (360 * w * w * w) + 1 / (360 * z * z * z) - F.log(rising))
+
+
+#: Of the ratio of uniforms: the bounding box of a unimodal law's region, 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e).
+_BOX, _BOX_MORE = 2 * math.sqrt(2 / math.e), 3 - 2 * math.sqrt(3 / math.e)
+#: Tries of the sampler; each is taken with a chance of over a half.
+_TRIES = 128
+
+
 def hypergeometric(pop: Column, good: Column, draws: Column, u: Column) -> Column:
-    """The number of good ones among ``draws`` of ``pop`` without replacement, by
-    inverting the distribution function at ``u``.  Values more than nine standard
-    deviations and nine off the mean (chance below 1e-18) are not reached."""
+    """The number of good ones among ``draws`` of ``pop`` without replacement, a function of the
+    uniform number ``u``.
+
+    Variances below 9 by inverting the distribution function at ``u``, where values
+    more than nine standard deviations and nine off the mean (chance below 1e-18) are not
+    reached.  Others by the ratio of uniforms, with a stream of numbers hashed from ``u``: about two tries, whatever the variance
+    (the mode, if ``_TRIES`` all fail: a chance below 1e-38)."""
 
     def bounds(v: Column) -> Column:
         p, g, d = v["p"], v["g"], v["d"]
         mean = F.when(p > 0, d * g / p).otherwise(0.0)
         var = F.when(p > 1, mean * (1 - g / p) * (p - d) / (p - 1)).otherwise(0.0)
-        reach = 9 * F.sqrt(F.greatest(var, F.lit(0.0))) + 9
-        return F.struct(p.alias("p"), g.alias("g"), d.alias("d"), v["u"].alias("u"),
-                        F.greatest(F.lit(0.0), d - (p - g), F.floor(mean - reach).cast("double")).alias("low"),
-                        F.least(d, g, F.ceil(mean + reach).cast("double")).alias("high"))
-
-    def draw(v: Column) -> Column:
+        reach = 9 * F.sqrt(F.greatest(F.least(var, F.lit(9.0)), F.lit(0.0))) + 9
+        least, most = F.greatest(F.lit(0.0), d - (p - g)), F.least(d, g)
+        tight = var < 9
+        return F.struct(p.alias("p"), g.alias("g"), d.alias("d"), v["u"].alias("u"), mean.alias("mean"), var.alias("var"),
+                        F.when(tight, F.greatest(least, F.floor(mean - reach).cast("double"))).otherwise(least).alias("low"),
+                        F.when(tight, F.least(most, F.ceil(mean + reach).cast("double"))).otherwise(most).alias("high"))
+
+    def inverted(v: Column) -> Column:
         p, g, d, low = v["p"], v["g"], v["d"], v["low"]
 
         def step(s: Column, j: Column) -> Column:
@@ -127,6 +150,31 @@ def hypergeometric(pop: Column, good: Column, draws: Column, u: Column) -> Colum
             low.cast("long").alias("x"), m.alias("below"), m.alias("mass")))
         return F.aggregate(steps, start, step, lambda s: s["x"])
 
+    def rejected(v: Column) -> Column:
+        p, g, d = v["p"], v["g"], v["d"]
+        box = _BOX * F.sqrt(v["var"] + 0.5) + _BOX_MORE
+        mode = F.floor((d + 1) * (g + 1) / (p + 2)).cast("double")
+
+        def attempt(s: Column, t: Column) -> Column:
+            x = F.greatest(_uniform(v["u"], t, F.lit(1)), F.lit(2.0 ** -53))
+            z = F.floor(v["mean"] + 0.5 + s["box"] * (_uniform(v["u"], t, F.lit(2)) - 0.5) / x).cast("double")
+
+            def judged(w: Column) -> Column:
+                off, m = w["z"] - s["mode"], s["mode"]
+                # the law at z over the law at the mode
+                ratio = -(_ln_rise(m, off) + _ln_rise(g - m, -off) + _ln_rise(d - m, -off) + _ln_rise(p - g - d + m, off))
+                inside = (w["z"] >= v["low"]) & (w["z"] <= v["high"])
+                taken = F.when(inside, 2 * F.log(w["x"]) <= ratio).otherwise(False)
+                return F.struct(F.when(taken, w["z"]).otherwise(s["x"]).alias("x"), taken.alias("done"), s["mode"].alias("mode"),
+                                s["box"].alias("box"))
+            return F.when(s["done"], s).otherwise(_let(F.struct(x.alias("x"), z.alias("z")), judged))
+
+        start = F.struct(mode.alias("x"), F.lit(False).alias("done"), mode.alias("mode"), box.alias("box"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(_TRIES - 1)), start, attempt, lambda s: s["x"].cast("long"))
+
+    def draw(v: Column) -> Column:
+        return F.when(v["var"] < 9, inverted(v)).otherwise(rejected(v))
+
     numbers = F.struct(pop.cast("double").alias("p"), good.cast("double").alias("g"),
                        draws.cast("double").alias("d"), u.alias("u"))
     return _let(_let(numbers, bounds), draw)
@@ -139,12 +187,15 @@ def _uniform(*keys: Column) -> Column:
 def split_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
     """``quotas`` (rank, blocks) among ``n_shards`` (a power of two) shards: one
     row ``shard, rank, blocks`` per shard and source.  The node's counts are an
-    array by source, so a node's work is one row's, and rows double by level."""
+    array by source, so a node's work is one row's, and rows double by level; they
+    are dealt to tasks anew at the levels of ``_SPREAD``."""
     if n_shards < 1 or n_shards & (n_shards - 1):
         raise ValueError("n_shards must be a power of two")
     nodes = (quotas.agg(F.array_sort(F.collect_list(F.struct("rank", "blocks"))).alias("of"))
              .select(F.lit(0).cast("long").alias("shard"), "of"))
     for level in range(n_shards.bit_length() - 1):
+        if level in _SPREAD:
+            nodes = nodes.repartition(_SPREAD[level], "shard")
         total = F.aggregate("of", F.lit(0).cast("long"), lambda s, x: s + x["blocks"])
         start = F.struct(total.alias("pop"), F.floor(total / 2).cast("long").alias("draws"),
                          F.array().cast("array<long>").alias("out"))

@@ -53,6 +53,55 @@ def test_hypergeometric_law(spark, pop, good, draws):
         assert share.get(k, 0) == pytest.approx(law, abs=2 / n)
 
 
+def ln_law(pop, good, draws, k):
+    def ln_choose(n, r):
+        return math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
+    return ln_choose(good, k) + ln_choose(pop - good, draws - k) - ln_choose(pop, draws)
+
+
+@pytest.mark.parametrize("pop, good, draws", [(400, 150, 180), (1000, 900, 500), (5000, 60, 2500), (200_000, 100_000, 100_000),
+                                              (10 ** 6, 400, 500_000)])
+def test_law_of_larger_populations(spark, pop, good, draws):
+    """The chi-square of the counts in fifty or so bins against the law itself."""
+    n = 20_000
+    u = spark.range(n).select(mixing._uniform(F.lit(7), F.col("id")).alias("u"))
+    count = Counter({r.x: r["count"] for r in u.select(
+        mixing.hypergeometric(F.lit(pop), F.lit(good), F.lit(draws), F.col("u")).alias("x")).groupBy("x").count().collect()})
+    mean = draws * good / pop
+    sd = (mean * (1 - good / pop) * (pop - draws) / (pop - 1)) ** 0.5
+    assert min(count) >= max(0, draws - pop + good) and max(count) <= min(good, draws)
+    low, high = max(0, draws - pop + good, int(mean - 12 * sd)), min(good, draws, int(mean + 12 * sd))
+    chi, bins, want, got = 0.0, 0, 0.0, 0
+    for k in range(low, high + 1):
+        want += n * math.exp(ln_law(pop, good, draws, k))
+        got += count[k]
+        if want >= n / 60:
+            chi, bins, want, got = chi + (got - want) ** 2 / want, bins + 1, 0.0, 0
+    assert bins > 5 and chi < bins + 5 * (2 * bins) ** 0.5
+
+
+@pytest.mark.parametrize("pop", [10 ** 9, 10 ** 12, 3 * 10 ** 14])
+def test_moments_and_quantiles_of_very_large_populations(spark, pop):
+    n, good, draws = 20_000, pop // 3, pop // 2
+    u = spark.range(n).select(mixing._uniform(F.lit(9), F.col("id")).alias("u"))
+    x = sorted(r.x for r in u.select(mixing.hypergeometric(F.lit(pop), F.lit(good), F.lit(draws), F.col("u")).alias("x")).collect())
+    mean = draws * good / pop
+    sd = (mean * (1 - good / pop) * (pop - draws) / (pop - 1)) ** 0.5
+    z = [(v - mean) / sd for v in x]
+    assert abs(sum(z) / n) < 5 / n ** 0.5 and abs(sum(v * v for v in z) / n - 1) < 5 * (2 / n) ** 0.5
+    for share, quantile in ((0.02275, -2), (0.15866, -1), (0.5, 0), (0.84134, 1), (0.97725, 2)):
+        assert abs(sum(v < quantile for v in z) / n - share) < 5 * (share * (1 - share) / n) ** 0.5
+
+
+def test_many_shards_come_from_many_tasks(spark):
+    quotas = spark.createDataFrame([(0, 400_000_000), (1, 300_000_000), (2, 3_000_000), (3, 0), (4, 297_000_001)], "rank int, blocks long")
+    rows = mixing.split_quotas(quotas, 1 << 12, 3).withColumn("task", F.spark_partition_id())
+    s = rows.groupBy("shard").agg(F.sum("blocks").alias("n")).agg(F.min("n"), F.max("n"), F.count("*")).first()
+    assert s[1] - s[0] <= 1 and s[2] == 1 << 12
+    assert {r["rank"]: r.n for r in rows.groupBy("rank").agg(F.sum("blocks").alias("n")).collect()} == {r["rank"]: r.blocks for r in quotas.collect()}
+    assert rows.select("task").distinct().count() > 30
+
+
 def test_tree_keeps_quotas_and_shards_equal(spark):
     quotas = spark.createDataFrame([(0, 1000), (1, 37), (2, 0), (3, 5)], "rank int, blocks long")
     rows = mixing.split_quotas(quotas, 16, 3).collect()
