@@ -43,8 +43,9 @@ from termlink.llm.token_counts import _PLAIN, Splitter
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of texts that are split at once, and alignments that a worker remembers.
-_PART, _HELD = 1 << 19, 300_000
+_PART, _HELD = 1 << 19, 600_000
 _SHIFT = 32
+_NONE = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
 def gallop(ends: np.ndarray, wanted: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -160,45 +161,60 @@ class Aligner(dict):
         return [t.id for w in words for t in self.a.library.model.tokenize(w.encode().decode("latin-1").translate(self.a.alphabet))]
 
     def learn(self, chunks: list[str]) -> None:
-        a, b = [self.encode_a(" " + c) for c in chunks], self.b.encode(chunks, num_threads=1)
-        raw = [f" {c}".encode() for c in chunks]
-
-        def written(names: list[bytes], ids: list[list[int]]) -> bytes:
-            return b"".join(map(names.__getitem__, chain.from_iterable(ids)))
-        if not written(self.bytes_a, a) == written(self.bytes_b, b) == b"".join(raw):
-            bad = [not written(self.bytes_a, [x]) == written(self.bytes_b, [y]) == z for x, y, z in zip(a, b, raw)]
-            for i in np.flatnonzero(bad):
-                a[i], b[i] = [], []
-        else:
-            bad = [False] * len(chunks)
-        sums, pairs, sizes, groups = self.align(a, b)
+        # those without white space at an end are encoded in one go by A: nothing reaches over the spaces between them
+        plain = [c for c in chunks if c.strip() is c]
+        if _PLAIN.search(" ".join(plain)):
+            plain = [c for c in plain if not _PLAIN.search(c)]
+        known = set(plain)
+        other = [c for c in chunks if c not in known] if len(plain) < len(chunks) else []
+        line = "".join([" " + c for c in plain])
+        stops = np.cumsum(np.fromiter((len(c) for c in plain) if line.isascii() else (len(c.encode()) for c in plain), np.int64, len(plain)) + 1)
+        ids_a = np.array(self.encode_a(line) if plain else [], np.int64)
+        n_a = np.diff(np.searchsorted(np.cumsum(self.length_a[ids_a]), stops, "right"), prepend=0)
+        lists = self.b.encode(plain, num_threads=1) if plain else []
+        n_b = _sizes(lists)
+        ids_b = np.array(list(chain.from_iterable(lists)), np.int64)
+        if not self._restored(ids_a, ids_b, line):
+            other, plain = chunks, []
+            ids_a, ids_b, n_a, n_b = *_NONE, *_NONE
+        bad = [False] * len(plain)
+        for c in other:
+            a, b = np.array(self.encode_a(" " + c), np.int64), np.array(self.b.encode(c), np.int64)
+            bad.append(not self._restored(a, b, " " + c))
+            if bad[-1]:
+                a, b = _NONE
+            n_a, n_b = np.append(n_a, len(a)), np.append(n_b, len(b))
+            ids_a, ids_b = np.concatenate([ids_a, a]), np.concatenate([ids_b, b])
+        sums, pairs, sizes, groups = self.align(ids_a, n_a, ids_b, n_b)
         sums[np.array(bad), 0] = -1
         start = self.pairs.n
-        self.update(zip(chunks, range(self.sums.n, self.sums.n + len(chunks))))
+        self.update(zip([*plain, *other], range(self.sums.n, self.sums.n + len(chunks))))
         self.sums.add(sums)
         self.pairs.add(pairs)
         self.ends.add(start + np.cumsum(sizes))
         self.groups += groups
 
-    def align(self, a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """Of lists of tokens by pairs, which cover the same bytes: sums, the linked pairs of ids and
-        their number by list, the groups written out (each behind a semicolon)."""
-        n_a, n_b = _sizes(a), _sizes(b)
-        ids_a = np.fromiter(chain.from_iterable(a), np.int64, n_a.sum())
-        ids_b = np.fromiter(chain.from_iterable(b), np.int64, n_b.sum())
+    def _restored(self, ids_a: np.ndarray, ids_b: np.ndarray, text: str) -> bool:
+        raw = text.encode()
+        return (b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) == raw
+                and b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) == raw)
+
+    def align(self, ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Of token lists by pairs (one behind the other, of these lengths), which cover the same bytes: sums, the linked pairs of
+        ids and their number by list, the groups written out (each behind a semicolon)."""
         if not len(ids_a):
-            return np.zeros((len(a), 4), np.int64), np.zeros(0, np.int64), np.zeros(len(a), np.int64), [""] * len(a)
-        # one list behind the other: their bounds are common ends
+            return np.zeros((len(n_a), 4), np.int64), np.zeros(0, np.int64), np.zeros(len(n_a), np.int64), [""] * len(n_a)
+        # the lists' bounds are common ends
         ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
-        of_a, of_b = np.repeat(np.arange(len(a)), n_a), np.repeat(np.arange(len(a)), n_b)
+        of_a, of_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_a)), n_b)
         a_drives = len(ids_a) <= len(ids_b)
         short, long, of_short, n_long = (ends_a, ends_b, of_a, n_b) if a_drives else (ends_b, ends_a, of_b, n_a)
         common, first, last = intersect(short, long, (np.cumsum(n_long) - n_long)[of_short])
         n = last - first + 1
         place, partner = np.repeat(np.arange(len(short)), n), _spread(first, n)
         link_a, link_b = (place, partner) if a_drives else (partner, place)
-        links = np.bincount(of_short, n, len(a)).astype(np.int64)
-        groups = np.bincount(of_short, common, len(a)).astype(np.int64)
+        links = np.bincount(of_short, n, len(n_a)).astype(np.int64)
+        groups = np.bincount(of_short, common, len(n_a)).astype(np.int64)
         # a group's tokens end before cut_a and cut_b
         cut_a, cut_b = np.flatnonzero(common) + 1, last[common] + 1
         if not a_drives:
@@ -226,11 +242,14 @@ class Aligner(dict):
         def ready() -> tuple[list[int], np.ndarray, np.ndarray]:
             if self.sums.n > _HELD:
                 self.empty()
-            new = [c for c in dict.fromkeys(chain.from_iterable(parts)) if c not in self]
-            if new:
-                self.learn(new)
-            sizes = _sizes(parts)
-            index = np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.int64, sizes.sum())
+            chunks = list(chain.from_iterable(parts))
+            index = list(map(self.get, chunks))
+            gaps = [i for i, x in enumerate(index) if x is None]
+            if gaps:
+                self.learn(list(dict.fromkeys(map(chunks.__getitem__, gaps))))
+                for i in gaps:
+                    index[i] = self[chunks[i]]
+            sizes, index = _sizes(parts), np.array(index, np.int64)
             out = rows[:], np.cumsum(sizes), index
             rows.clear()
             parts.clear()
@@ -242,7 +261,10 @@ class Aligner(dict):
                 cut = _CUT.search(text, at + _PART)
                 end = cut.start() if cut else len(text)
                 rows.append(row)
-                parts.append(_CUT.split(text[at:end]))
+                part = text[at:end]
+                words = part.split(" ")
+                # equal lists: all white space is single spaces, and none is at an end
+                parts.append(words if words == part.split() else _CUT.split(part))
                 size += end - at
                 at = end + 1
                 if size >= _PART:
