@@ -19,8 +19,8 @@ far pairs of few.
 * *Tables.*  Their number is calibrated, too: the least that catches a pair at the
   threshold in a common cell.  Cell and count together catch it with probability ``recall``,
   whatever the number of vectors.  Where that takes too many tables (low thresholds), cells are coarser.
-  A pair is counted in the first table that has it in one cell and in no other, so nothing is
-  collected to tell repeats apart.
+  A linked pair counts in the first table that has it in one cell and in no other: the task that links it
+  works out the two vectors' cells in the earlier tables, so nothing is shipped or collected to tell repeats apart.
 
 Equal vectors are one representative with a number of copies.  A cell with more
 than ``cell_rows`` representatives is dealt to blocks of about this size, and pairs of blocks are tasks: no
@@ -104,8 +104,7 @@ def _directions(seed: int, dim: int, n: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, n))
 
 
-def _cell_links(x: np.ndarray, y: np.ndarray, keys_x: np.ndarray, keys_y: np.ndarray, table: int,
-                plan: Plan, aim: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _cell_links(x: np.ndarray, y: np.ndarray, plan: Plan, aim: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the linked pairs between two blocks of a cell."""
     px, py = x @ aim, y @ aim
     count = np.zeros((len(x), len(y)), dtype=np.uint8)
@@ -121,9 +120,6 @@ def _cell_links(x: np.ndarray, y: np.ndarray, keys_x: np.ndarray, keys_y: np.nda
         np.add.at(runs, (each, high), -1)
         count[:, order] += np.cumsum(runs[:, :-1], axis=1, dtype=np.int8).view(np.uint8)
     i, j = np.nonzero(count >= plan.least)
-    if table:
-        first = ~(keys_x[i, :table] == keys_y[j, :table]).any(axis=1)
-        i, j = i[first], j[first]
     keep = np.zeros(len(i), dtype=bool)
     for a in range(0, len(i), 1 << 14):
         s = slice(a, a + (1 << 14))
@@ -131,6 +127,29 @@ def _cell_links(x: np.ndarray, y: np.ndarray, keys_x: np.ndarray, keys_y: np.nda
     return i[keep], j[keep]
 
 
+def _cells_of(x: np.ndarray, plan: Plan, width: float, seed: int) -> np.ndarray:
+    """The cell of each vector (rows of norm 1) in each table.  The projections are sums of whole numbers that
+    are exact in double precision, so that every task finds the same."""
+    cells = plan.projections * plan.tables
+    shift = np.random.default_rng([seed, 0]).random(cells) * width
+    whole = np.rint(x * 2.0 ** 20) @ np.rint(_aims(seed, x.shape[1], cells) * 2.0 ** 20)
+    at = np.floor((whole * 2.0 ** -40 + shift) / width).astype(np.int64)
+    return _folded(at.reshape(-1, plan.projections), x.shape[1]).reshape(len(x), plan.tables)
+
+
+def _met_before(v: np.ndarray, i: np.ndarray, j: np.ndarray, table: int, plan: Plan, width: float, seed: int) -> np.ndarray:
+    """Whether the vectors i and j share a cell of an earlier table."""
+    out = np.zeros(len(i), dtype=bool)
+    if table and len(i):
+        some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        keys = np.concatenate([_cells_of(v[some[a: a + 1024]], plan, width, seed)[:, :table] for a in range(0, len(some), 1024)])
+        at_i, at_j = at[: len(i)], at[len(i):]
+        for a in range(0, len(i), 1 << 14):
+            s = slice(a, a + (1 << 14))
+            out[s] = (keys[at_i[s]] == keys[at_j[s]]).any(axis=1)
+    return out
+
+
 def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of pairs of numbers."""
     up: dict[int, int] = {}
@@ -169,25 +188,20 @@ def links(classes: DataFrame, threshold: float, plan: Plan, cell_rows: int = 102
           seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """``(sums, edges)``: sums ``class, n`` of the copies of linked vectors (partial, by task); edges
     ``a, b`` with the components of all links."""
-    cells = plan.projections * plan.tables
-
     dtype = "<f4" if classes.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.random.default_rng([seed, 0]).random(cells) * width
         for b in batches:
             raw, out = [], []
             for v in b.column(1):
                 x = v.values.to_numpy(zero_copy_only=False).astype(dtype)
                 raw.append(x.tobytes())
-                at = np.floor((_unit(x[None, :])[0] @ _aims(seed, len(x), cells) + shift) / width).astype(np.int64)
-                out.append(_folded(at.reshape(plan.tables, plan.projections), len(x)))
+                out.append(_cells_of(_unit(x[None, :]), plan, width, seed)[0])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(raw, pa.binary()), b.column(2), pa.array([k.tobytes() for k in out], pa.binary()),
-                 pa.array(out, pa.list_(pa.int32()))], names=["class", "v", "copies", "keys", "cells"])
+                [b.column(0), pa.array(raw, pa.binary()), b.column(2), pa.array(out, pa.list_(pa.int32()))], names=["class", "v", "copies", "cells"])
 
     keyed = staged(classes.select("class", "v", "copies").mapInArrow(
-        keys, "class long, v binary, copies long, keys binary, cells array<int>"), "vector-keys")
+        keys, "class long, v binary, copies long, cells array<int>"), "vector-keys")
     listed = keyed.select("class", F.posexplode("cells").alias("table", "cell"))
     sizes = listed.groupBy("table", "cell").count().where("count > 1")
     blocks = F.ceil(F.col("count") / cell_rows)
@@ -208,17 +222,18 @@ def links(classes: DataFrame, threshold: float, plan: Plan, cell_rows: int = 102
                 own = np.flatnonzero(dims == size)
                 v = _unit(np.frombuffer(b"".join([part["v"][i] for i in own.tolist()]), dtype).reshape(len(own), -1))
                 dim = v.shape[1]
-                k, mine = part["keys"][own], part["mine"][own]
+                mine = part["mine"][own]
                 a, b = np.flatnonzero(mine == left), np.flatnonzero(mine == right)
                 aim = _aims(seed + 1, dim, plan.counted)
                 for s in range(0, len(a), 512):
                     # a part of the block at a time: the counts of 512 by cell_rows pairs
                     rows = a[s: s + 512]
-                    i, j = _cell_links(v[rows], v[b], k[rows], k[b], table, plan, aim, threshold)
-                    i, j = own[rows[i]], own[b[j]]
+                    i, j = _cell_links(v[rows], v[b], plan, aim, threshold)
+                    i, j = rows[i], b[j]
                     if left == right:
                         i, j = i[i < j], j[i < j]
-                    found.append((i, j))
+                    new = ~_met_before(v, i, j, table, plan, width, seed)
+                    found.append((own[i[new]], own[j[new]]))
             i = np.concatenate([f[0] for f in found])
             j = np.concatenate([f[1] for f in found])
             if not len(i):
@@ -233,7 +248,7 @@ def links(classes: DataFrame, threshold: float, plan: Plan, cell_rows: int = 102
                 pa.array([None] * len(hit) + [t[1] for t in tree], pa.int64()),
                 pa.array(np.concatenate([n[hit].astype(np.int64), np.zeros(rows - len(hit), np.int64)]))], names=["a", "b", "n"])
 
-    out = staged(dealt.select("table", "cell", "x", "y", "mine", "class", "v", "copies", "keys")
+    out = staged(dealt.select("table", "cell", "x", "y", "mine", "class", "v", "copies")
                  .mapInArrow(compare, "a long, b long, n long"), "vector-links")
     return out.where("b is null").select(F.col("a").alias("class"), "n"), out.where("b is not null").select("a", "b")
 
@@ -272,8 +287,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int,
     def part() -> dict:
         t = pa.Table.from_batches(held)
         return {"class": t["class"].to_numpy(), "copies": t["copies"].to_numpy(), "mine": t["mine"].to_numpy(),
-                "v": t["v"].to_pylist(),
-                "keys": np.frombuffer(b"".join(t["keys"].to_pylist()), np.int32).reshape(t.num_rows, -1)}
+                "v": t["v"].to_pylist()}
 
     for b in batches:
         k = np.stack([b.column(i).to_numpy() for i in range(4)], axis=1)
@@ -307,5 +321,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     known = c.join(ids, "root").select("class", "n_links", "component_id")
     return rows.join(known, "class", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("class").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).cast("long").alias("component_id"),
+        F.when(F.col("class").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

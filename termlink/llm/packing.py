@@ -24,7 +24,7 @@ Each row holds its part of the matrix and what an attention kernel needs:
 
 Edge cases: null and empty texts have no ids and appear in no row; a null
 doc_id is carried as null; repeated rows are packed as often as they
-occur; an empty table gives no row; extra columns are ignored.
+occur; ids keep their type; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,11 +40,17 @@ from pyspark.sql import DataFrame
 
 from termlink.llm.tables import small_text_batches
 
+#: ID stands for the type of the documents' ids.
 SCHEMA = ("shard int, pack long, n_tokens int, n_segments int, id_bytes int, input_ids binary, "
-          "position_ids binary, cu_seqlens array<int>, doc_ids array<long>, parts array<int>")
-_ARROW = pa.schema([("shard", pa.int32()), ("pack", pa.int64()), ("n_tokens", pa.int32()), ("n_segments", pa.int32()),
-                    ("id_bytes", pa.int32()), ("input_ids", pa.binary()), ("position_ids", pa.binary()),
-                    ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32()))])
+          "position_ids binary, cu_seqlens array<int>, doc_ids array<ID>, parts array<int>")
+
+
+def _arrow(id_type: pa.DataType) -> pa.Schema:
+    return pa.schema([("shard", pa.int32()), ("pack", pa.int64()), ("n_tokens", pa.int32()), ("n_segments", pa.int32()),
+                      ("id_bytes", pa.int32()), ("input_ids", pa.binary()), ("position_ids", pa.binary()),
+                      ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(id_type)), ("parts", pa.list_(pa.int32()))])
+
+
 _EMIT = 256
 
 
@@ -108,13 +114,13 @@ def encoder(path: str, pattern: str):
 
 
 def _packed(parts: list[tuple[int | None, int, np.ndarray]], length: int, dtype: str, pad: int,
-            shard: int, pack: int) -> Iterator[pa.RecordBatch]:
+            shard: int, pack: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Batches of packed rows of a block of segments (doc_id, part, ids)."""
     full = [[i] for i, p in enumerate(parts) if len(p[2]) == length]
     rest = [i for i, p in enumerate(parts) if len(p[2]) < length]
     rows = full + [[rest[i] for i in r] for r in best_fit([len(parts[i][2]) for i in rest], length)]
     for at in range(0, len(rows), _EMIT):
-        out: dict[str, list] = {n: [] for n in _ARROW.names}
+        out: dict[str, list] = {n: [] for n in schema.names}
         for r in rows[at: at + _EMIT]:
             ids = np.full(length, pad, dtype=dtype)
             positions = np.zeros(length, dtype="<u4")
@@ -124,12 +130,12 @@ def _packed(parts: list[tuple[int | None, int, np.ndarray]], length: int, dtype:
                 ids[ends[-1]: ends[-1] + len(x)] = x
                 positions[ends[-1]: ends[-1] + len(x)] = np.arange(len(x))
                 ends.append(ends[-1] + len(x))
-            for name, value in zip(_ARROW.names, (
+            for name, value in zip(schema.names, (
                     shard, pack, ends[-1], len(r), ids.itemsize, ids.tobytes(), positions.tobytes(), ends,
                     [parts[i][0] for i in r], [parts[i][1] for i in r])):
                 out[name].append(value)
             pack += 1
-        yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
+        yield pa.RecordBatch.from_pydict(out, schema=schema)
 
 
 def pack(docs: DataFrame, vocabulary: str, pattern: str, length: int = 2048, end_id: int | None = 50256,
@@ -147,7 +153,9 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, length: int = 2048, end
         shard = TaskContext.get().partitionId()
         parts: list[tuple[int | None, int, np.ndarray]] = []
         held = done = 0
+        schema = _arrow(pa.int64())
         for b in batches:
+            schema = _arrow(b.column(0).type)
             for doc_id, text in zip(b.column(0), b.column(1)):
                 text = text.as_py()
                 if not text:
@@ -158,10 +166,11 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, length: int = 2048, end
                 parts += [(doc_id.as_py(), n, ids[i: i + length]) for n, i in enumerate(range(0, len(ids), length))]
                 held += len(ids)
                 if held >= block_tokens:
-                    for out in _packed(parts, length, dtype, pad_id, shard, done):
+                    for out in _packed(parts, length, dtype, pad_id, shard, done, schema):
                         done += out.num_rows
                         yield out
                     parts, held = [], 0
-        yield from _packed(parts, length, dtype, pad_id, shard, done)
+        yield from _packed(parts, length, dtype, pad_id, shard, done, schema)
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, SCHEMA)
+    own = docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text")
+    return own.mapInArrow(run, SCHEMA.replace("ID", own.schema["doc_id"].dataType.simpleString()))

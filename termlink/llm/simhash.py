@@ -68,8 +68,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42,
             fp = np.array([fingerprint_of(x.as_py(), shingle, seed) for x in text], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "digest", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _digest(docs[text_col]).alias("digest"))
-    return src.mapInArrow(run, "doc_id long, digest long, fp long")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _digest(docs[text_col]).alias("digest"))
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, digest long, fp long")
 
 
 def _digest(text: Column) -> Column:
@@ -161,7 +161,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def match(left: DataFrame, ids: DataFrame, how: str) -> DataFrame:
         ids = ids.select(F.col("doc_id").alias("listed_id"), F.col("digest").alias("listed_digest"))
-        return left.join(ids, left[id_col].cast("long").eqNullSafe(ids.listed_id) & (_digest(left[text_col]) == ids.listed_digest), how)
+        return left.join(ids, left[id_col].eqNullSafe(ids.listed_id) & (_digest(left[text_col]) == ids.listed_digest), how)
 
     kept = match(docs, gone, "left_anti")
     if twice.isEmpty():

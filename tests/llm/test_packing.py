@@ -72,3 +72,9 @@ def test_repeated_rows_and_ties(spark):
     docs = spark.createDataFrame([(1, "same words here")] * 5, "doc_id long, text string")
     got = packing.pack(docs.coalesce(1), RANKS, PATTERN, length=16).collect()
     assert sum(len(r.doc_ids) for r in got) == 5
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "some text"), ("b", "more text"), (None, "x")], "doc_id string, text string")
+    rows = packing.pack(docs.coalesce(1), RANKS, PATTERN, length=8).collect()
+    assert sorted((d for r in rows for d in r.doc_ids), key=str) == [None, "a", "b"]

@@ -101,3 +101,14 @@ def test_deduplicate_goes_by_row_not_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(((r.doc_id, r.text or "") for r in simhash.deduplicate(docs).collect()), key=str)
     assert got == sorted([(1, a), (5, b), (2, c), (2, d), (None, e), (None, e), (9, "")], key=str)
+
+
+def test_ids_of_any_type(spark):
+    texts = ["one two three four five six"] * 3 + ["something else entirely here now"] + ["one two three four five six"]
+    kept = {}
+    for kind, ids in (("long", [1, 2, 3, 4, None]), ("string", ["a", "b", "c", "d", None])):
+        docs = spark.createDataFrame(list(zip(ids, texts)), f"doc_id {kind}, text string")
+        found = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+        assert found == {(ids[0], ids[0]), (ids[1], ids[0]), (ids[2], ids[0]), (ids[3], ids[3]), (None, ids[0])}
+        kept[kind] = sorted(ids.index(r.doc_id) for r in simhash.deduplicate(docs).collect())
+    assert kept["long"] == kept["string"] == [0, 3]
