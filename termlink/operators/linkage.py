@@ -16,8 +16,8 @@ characters (4 at most) has a Jaro of at least ``J(l) = 1 - maxDist/(1 - p l)``.
    strings are listed in every band that holds lengths they can match;
 3. a cell larger than ``block_rows`` on a side is dealt to blocks, and pairs of
    blocks are the units of work, so no task holds a large cell;
-4. inside a unit numpy bounds all pairs at once by length and by character
-   counts in groups; the pairs left are bounded by all their character
+4. inside a unit strings are sorted by a further contrast, and numpy bounds the pairs
+   within its reach at once by length and by character counts in groups; the pairs left are bounded by all their character
    counts, then by how many of the left string's pairs of characters are found in place
    (below), then scored;
 5. best right row per left string = ``min(struct(d, right_key))`` — a hash
@@ -29,6 +29,9 @@ Bounds for Jaro >= J, with ``m`` matches and ``t`` transpositions:
 * ``m >= m0 = (3J-1)|a||b|/(|a|+|b|)`` and ``min(|a|,|b|) >= (3J-2) max(|a|,|b|)``;
 * ``m`` is at most the common characters ``c``, counted with repeats (any grouping of
   characters bounds it, too);
+* so the L1 distance of their character counts, a metric, is ``T = |a|+|b|-2 m0`` at most. A contrast, the
+  number of characters of one set less that of another one, differs by no more than that distance: neither do
+  two strings' contrasts differ by more than ``T``. Any sets keep all pairs; those taken vary most in a sample;
 * cut ``a`` into pairs of neighbours. A pair isn't found in ``b`` as neighbours
   within ``max(|a|,|b|) - m0`` places only if it holds an unmatched character of
   ``a``, or a matched one out of order, or is parted by an unmatched character of
@@ -51,8 +54,12 @@ from pyspark.sql import functions as F
 from termlink.functions.jaro import ROUND_DIGITS, code_points, jaro_parts, padded_codes, small_codes
 
 _EPS = 1e-9
+_RINGS = 2                  # contrasts by which strings are dealt; a further one sorts them inside a unit
+_SAMPLE = 2048              # strings that the contrasts are chosen by
+_ALPHABET = 256
 _GROUPS = 8                 # character groups of the first bound
 _FINE = 64                  # and of the second
+_STRIP = 128                # left strings that are bounded together
 _PENDING = 50_000           # pairs that are scored together
 _CHARS = 2_000_000          # characters of such pairs, at most (a longer pair alone)
 
@@ -213,23 +220,78 @@ def _features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return lens, coarse, fine, head
 
 
-def _unit_pairs(left: list[str], right: list[str], family: int, least: float, p: float, max_dist: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def contrasts(strings: DataFrame, n: int = _RINGS + 1) -> list[tuple[str, str]]:
+    """``n`` pairs of sets of characters: the numbers of the one less those of the other vary most, by the
+    signs of the principal components of a sample's character counts.
+
+    The sample (column ``s``, the ``_SAMPLE`` least by hash of up to 1,000 characters) has no influence on results."""
+    from collections import Counter
+
+    rows = (strings.where((F.length("s") > 0) & (F.length("s") <= 1000)).select(F.xxhash64("s").alias("h"), "s")
+            .orderBy("h", "s").limit(_SAMPLE).collect())
+    texts = [r.s for r in rows]
+    common = [c for c, _ in Counter("".join(texts)).most_common(_ALPHABET) if ord(c) < 1 << 16]
+    column = {c: i for i, c in enumerate(common)}
+    counts = np.zeros((len(texts), len(common)))
+    for i, t in enumerate(texts):
+        for c, k in Counter(t).items():
+            if c in column:
+                counts[i, column[c]] = k
+    if not counts.any():
+        return [("", "")] * n
+    size = np.sqrt(np.maximum(counts.sum(axis=1, keepdims=True), 1))
+    parts = np.linalg.svd(counts / size - size * (counts.sum(axis=0) / counts.sum()), full_matrices=False)[2]
+    out = []
+    for v in parts[:n]:
+        heavy = np.abs(v) >= np.quantile(np.abs(v), 0.4)
+        out.append(tuple("".join(c for c, x, h in zip(common, v, heavy) if h and x * sign > 0) for sign in (1, -1)))
+    return out + [("", "")] * (n - len(out))
+
+
+def _contrast(sets: tuple[str, str]) -> Column:
+    plus, minus = sets
+    return F.length(F.translate("s", minus, "")) - F.length(F.translate("s", plus, ""))
+
+
+def _contrast_of(strings: list[str], sets: tuple[str, str]) -> np.ndarray:
+    flat, lens = code_points(strings)
+    weight = np.zeros(1 << 16, dtype=np.int64)
+    for chars, w in zip(sets, (1, -1)):
+        weight[[ord(c) for c in chars]] = w
+    w = np.where(flat < 1 << 16, weight[np.minimum(flat, (1 << 16) - 1)], 0)
+    return np.diff(np.concatenate([[0], np.cumsum(w)])[np.concatenate([[0], np.cumsum(lens)])])
+
+
+def _unit_pairs(left: list[str], right: list[str], family: int, least: float, p: float, max_dist: float,
+                sets: tuple[str, str] = ("", "")) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of the family's pairs that pass the length bound and the grouped counts."""
     (la, ca, fa, ha), (lb, cb, fb, hb) = _features(left), _features(right)
-    a, b = la[:, None].astype(np.float32), lb[None, :].astype(np.float32)
-    apart = np.abs(ca[:, 0, None] - cb[None, :, 0])
-    for g in range(1, _GROUPS):
-        apart += np.abs(ca[:, g, None] - cb[None, :, g])
-    # the overlap is half of what the lengths add up to beyond the difference
-    total = a + b
-    ok = total - apart >= 2 * (3 * least - 1) * a * b / total * (1 - 1e-5) - 1e-3
-    ok &= np.minimum(a, b) >= (3 * least - 2) * np.maximum(a, b) * (1 - 1e-5)
-    ii, jj = np.nonzero(ok)
-    for at in range(0, len(ii), 1 << 17):
-        i, j = ii[at:at + (1 << 17)], jj[at:at + (1 << 17)]
+    own, other = _contrast_of(left, sets), _contrast_of(right, sets)
+    in_left, in_right = np.argsort(own, kind="stable"), np.argsort(other, kind="stable")
+    sorted_right = other[in_right]
+    # T is at most so much of the longer length
+    reach = 3 * (1 - least) * max(la.max(), lb.max()) + 1e-6
+    for at in range(0, len(left), _STRIP):
+        rows = in_left[at:at + _STRIP]
+        lo = np.searchsorted(sorted_right, own[rows[0]] - reach, "left")
+        hi = np.searchsorted(sorted_right, own[rows[-1]] + reach, "right")
+        cols = in_right[lo:hi]
+        if not len(cols):
+            continue
+        a, b = la[rows, None].astype(np.float32), lb[None, cols].astype(np.float32)
+        x, y = ca[rows], cb[cols]
+        apart = np.abs(x[:, 0, None] - y[None, :, 0])
+        for g in range(1, _GROUPS):
+            apart += np.abs(x[:, g, None] - y[None, :, g])
+        # the overlap is half of what the lengths add up to beyond the difference
+        total = a + b
+        ok = total - apart >= 2 * (3 * least - 1) * a * b / total * (1 - 1e-5) - 1e-3
+        ok &= np.minimum(a, b) >= (3 * least - 2) * np.maximum(a, b) * (1 - 1e-5)
+        ii, jj = np.nonzero(ok)
+        i, j = rows[ii], cols[jj]
         pref = ((ha[i] == hb[j]) & (ha[i] >= 0)).cumprod(axis=1).sum(axis=1)
-        own = (pref >= 2) == (family == 1)
-        i, j, pref = i[own], j[own], pref[own]
+        mine = (pref >= 2) == (family == 1)
+        i, j, pref = i[mine], j[mine], pref[mine]
         x, y = la[i], lb[j]
         common = (x + y - np.abs(fa[i] - fb[j]).sum(axis=1, dtype=np.int64)) / 2
         near = (common / x + common / y + 1) / 3 >= 1 - max_dist / (1 - p * pref) - _EPS
@@ -251,7 +313,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str],
         yield key[1], *sides
 
 
-def _cell_scorer(p: float, max_dist: float, half: bool):
+def _cell_scorer(p: float, max_dist: float, half: bool, sets: tuple[str, str]):
     bounds = dict(zip((1, 0), jw_bounds(p, max_dist)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +334,7 @@ def _cell_scorer(p: float, max_dist: float, half: bool):
         for family, left, right in _units(batches):
             if not left or not right:
                 continue
-            for ii, jj in _unit_pairs(left, right, family, bounds[family], p, max_dist):
+            for ii, jj in _unit_pairs(left, right, family, bounds[family], p, max_dist, sets):
                 for i, j in zip(ii.tolist(), jj.tolist()):
                     x, y = left[i], right[j]
                     if x == y:
@@ -288,14 +350,17 @@ def _cell_scorer(p: float, max_dist: float, half: bool):
     return run
 
 
-def jw_units(ls: DataFrame, rs: DataFrame, p: float, max_dist: float, block_rows: int = 1024) -> DataFrame:
+def jw_units(ls: DataFrame, rs: DataFrame, p: float, max_dist: float, rings: list[tuple[str, str]] | None = None,
+             block_rows: int = 1024) -> DataFrame:
     """Distinct left/right strings (column ``s``) → units of work ``unit, family, side,
-    s``; each pair that can be within ``max_dist`` meets in a unit."""
+    s``; each pair that can be within ``max_dist`` meets in a unit. ``rings``: contrasts."""
+    if rings is None:
+        rings = contrasts(ls.unionByName(rs), _RINGS)
     loose, tight = jw_bounds(p, max_dist)
 
     def listed(df: DataFrame, side: int) -> DataFrame:
         out = []
-        for family, least, parts in ((1, loose, 2), (0, tight, 4)):
+        for family, least, parts in ((1, loose, 2), (0, tight, 2)):
             k = 3.0 * least - 2.0
             step = math.log(1.0 / k) / parts
             band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + F.lit(1e-9))
@@ -304,10 +369,23 @@ def jw_units(ls: DataFrame, rs: DataFrame, p: float, max_dist: float, block_rows
             bands = F.array(band) if side == 0 else F.sequence(
                 F.floor(F.log(F.col("n") * F.lit(k)) / F.lit(step) - F.lit(1e-6)),
                 F.floor(F.log(F.col("n") / F.lit(k)) / F.lit(step) + F.lit(1e-6)))
-            out.append(rows.select("s", F.lit(family).alias("family"), F.explode(bands).alias("band"),
-                                   (F.substring("s", 1, 2) if family else F.lit("")).alias("head")))
-        return out[0].unionByName(out[1]).select(
-            F.xxhash64("family", "head", "band").alias("cell"), "family", F.lit(side).alias("side"), "s")
+            used = [] if family else rings
+            rows = rows.select("s", "n", *[_contrast(r).alias(f"f{i}") for i, r in enumerate(used)], F.explode(bands).alias("band"))
+            low, top = (F.exp((F.col("band") + x) * F.lit(step)) for x in (0, 1))
+            width = F.greatest(F.lit(1.0), F.ceil(F.lit(1 - k) * top).cast("double"))
+
+            def most_apart(a: Column) -> Column:
+                return a + F.col("n") - 2 * F.lit(3 * least - 1) * a * F.col("n") / (a + F.col("n"))    # noqa: B023
+
+            # T is convex in the left length, so largest at an end of those that the band and the string admit
+            reach = F.greatest(most_apart(F.greatest(low, F.lit(k) * F.col("n"))), most_apart(F.least(top, F.col("n") / F.lit(k)))) + F.lit(1e-3)
+            for i in range(len(used)):
+                ring = F.array(F.floor(F.col(f"f{i}") / width)) if side == 0 else F.sequence(
+                    F.floor((F.col(f"f{i}") - reach) / width), F.floor((F.col(f"f{i}") + reach) / width))
+                rows = rows.withColumn(f"r{i}", F.explode(ring))
+            out.append(rows.select("s", F.lit(family).alias("family"), F.lit(side).alias("side"), F.xxhash64(
+                F.lit(family), F.substring("s", 1, 2) if family else F.lit(""), "band", *[f"r{i}" for i in range(len(used))]).alias("cell")))
+        return out[0].unionByName(out[1]).select("cell", "family", "side", "s")
 
     both = listed(ls, 0).unionByName(listed(rs, 1))
     sizes = (both.groupBy("cell", "family").agg(F.sum(1 - F.col("side")).alias("nl"), F.sum("side").alias("nr"))
@@ -325,9 +403,10 @@ def jw_scored(ls: DataFrame, rs: DataFrame, p: float, max_dist: float, half_tran
               block_rows: int = 1024) -> DataFrame:
     """Pairs ``sl, sr, jaro, pref`` of distinct strings (column ``s``) that are within
     ``max_dist``, or closely beyond it."""
-    units = (jw_units(ls, rs, p, max_dist, block_rows).repartition("unit", "family")
+    *rings, inner = contrasts(ls.unionByName(rs))
+    units = (jw_units(ls, rs, p, max_dist, rings, block_rows).repartition("unit", "family")
              .sortWithinPartitions("unit", "family", "side"))
-    pairs = units.mapInArrow(_cell_scorer(p, max_dist, half_transpositions),
+    pairs = units.mapInArrow(_cell_scorer(p, max_dist, half_transpositions, inner),
                              "sl string, sr string, jaro double, pref int")
     equal = (ls.select(F.col("s").alias("sl")).join(rs.select(F.col("s").alias("sr")), F.col("sl") == F.col("sr"))
              .select("sl", "sr", F.lit(1.0).alias("jaro"), F.least(F.length("sl"), F.lit(4)).alias("pref")))

@@ -70,6 +70,34 @@ def test_scored_pairs_are_lossless_on_random_unicode(spark, p, half):
     assert {k: v for k, v in got.items() if v <= 0.06} == pytest.approx(want)
 
 
+def _compared(ls, rs, p):
+    """The share of all pairs that meet in a unit."""
+    from termlink.operators.linkage import contrasts, jw_units
+    units = jw_units(ls, rs, p, 0.05, contrasts(ls.unionByName(rs))[:-1])
+    met = units.groupBy("unit", "family").agg(F.sum(1 - F.col("side")).alias("l"), F.sum("side").alias("r")).agg(F.sum(F.col("l") * F.col("r")))
+    return met.first()[0] / (ls.count() * rs.count())
+
+
+@pytest.mark.parametrize("p", [0.1, 0.15])
+def test_few_pairs_meet(spark, p):
+    ls, rs = (df.select(F.col("trait").alias("s")).where("s is not null").distinct() for df in (R._rare_left(spark, SF_MID), R._common_right(spark, SF_MID)))
+    assert _compared(ls, rs, p) < 0.065
+
+
+def test_contrasts_keep_every_pair_whatever_the_sets(spark, monkeypatch):
+    from termlink.operators import linkage
+    monkeypatch.setattr(linkage, "contrasts", lambda strings: [("a", "b"), ("bc", "ea"), ("ab", "")])
+    rng = random.Random(8)
+    texts = {"".join(rng.choices("abcde", [5, 3, 1, 1, 1], k=rng.randint(8, 14))) for _ in range(300)}
+    texts |= {t[:i] + t[i + 1:] for t in sorted(texts) for i in (0, 5)}
+    texts = sorted(texts)
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = {(x.sl, x.sr) for x in jw_scored(df, df, 0.1, 0.05).withColumn("d", winkler_distance(0.1)).where("d <= 0.05").collect()}
+    pairs = [(x, y) for x in texts for y in texts]
+    d = jaro_winkler_distance([x for x, _ in pairs], [y for _, y in pairs], 0.1)
+    assert got == {k for k, v in zip(pairs, d) if v <= 0.05}
+
+
 def test_long_and_empty_equal_strings_are_linked(spark):
     left = [("a", "a" * 40_000), ("b", "ab" * 35_000), ("c", ""), ("d", None), ("e", "x" * 70_000)]
     right = [("p", "a" * 40_000), ("q", "ab" * 35_000), ("r", ""), ("s", None), ("t", "x" * 70_000)]
