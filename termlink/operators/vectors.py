@@ -3,29 +3,36 @@
 Vectors live in a keyed ``DataFrame(id, vec array<float|double>)`` — never
 aligned by position.
 
-Top-k plan (exact, no cross join, no broadcast of a side that grows):
-both sides are hashed into blocks of at most ~``block_rows`` rows; each
-query block meets each term block in one cogroup cell (rows are replicated
-to the cells they take part in, the standard replicated-grid layout for
-distributed matrix products). Vectors are scaled to norm 1 before that, so a
-cell is one matrix product; it emits only its per-row top-k, so at most ``k ×
-term blocks`` partial rows per query id reach the final ``row_number() <= k``.
+Top-k plan (exact, no cross join). Vectors are scaled to norm 1. What follows depends on the
+measured size of ``b``:
+
+* up to ``broadcast_bytes`` it is one matrix that each task has; a batch of query vectors is one
+  matrix product, and nothing is shuffled;
+* beyond, ``b`` is cut into balls: each vector goes to the nearest of some of its own vectors (centres, a
+  sample of bounded size), and a ball's radius is the largest angle in it. *First pass:* a query
+  visits its nearest balls until they hold k vectors, whose k-th best similarity is a floor. *Second pass:*
+  it visits those others that can hold a better vector: by the triangle
+  inequality none is nearer than its angle to the centre less the radius. Queries and balls are dealt to blocks of
+  ``block_rows``, pairs of which are the units of work; each emits its per-row top-k, and at most
+  ``k`` rows a unit and query reach the final ``row_number() <= k``.
+
 Ids may be of any type that can be ordered. Similarities are float64, rounded
 to 9 places; ties go to the smaller id.
 """
 
 from __future__ import annotations
 
-import math
-from typing import Callable
+from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termlink.functions.text import whitespace_tokens
+from termlink.session import cut_lineage
 
 ROUND = 9
 
@@ -138,42 +145,166 @@ def unit_vector(vec: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
 
 
+def _best(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's ``k`` largest values, largest first, ties by column."""
+    kk = min(k, S.shape[1])
+    least = np.partition(S, S.shape[1] - kk, axis=1)[:, S.shape[1] - kk]
+    i, j = np.nonzero(S >= least[:, None])       # more than kk of a row where the last value is tied
+    order = np.lexsort((j, -S[i, j], i))
+    i, j = i[order], j[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < kk], j[place < kk]
+
+
 def _block_topk(k: int):
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"a_id": a["id"][:0], "b_id": b["id"][:0], "similarity": np.zeros(0)})
         b = b.sort_values("id", kind="stable")
         S = np.round(np.stack(a["vec"].to_numpy()) @ np.stack(b["vec"].to_numpy()).T, ROUND)
-        kk = min(k, S.shape[1])
-        least = np.partition(S, S.shape[1] - kk, axis=1)[:, S.shape[1] - kk]
-        i, j = np.nonzero(S >= least[:, None])       # more than kk of a row where the last value is tied
-        order = np.lexsort((j, -S[i, j], i))
-        i, j = i[order], j[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        i, j = i[place < kk], j[place < kk]
+        i, j = _best(S, k)
         return pd.DataFrame({"a_id": a["id"].to_numpy()[i], "b_id": b["id"].to_numpy()[j], "similarity": S[i, j]})
     return run
 
 
+def _matrix(vecs: pa.Array) -> np.ndarray:
+    """The rows of a list column of equal lengths."""
+    return vecs.flatten().to_numpy(zero_copy_only=False).reshape(len(vecs), -1)
+
+
+def _against_all(ids: pa.Array, matrix: np.ndarray, k: int):
+    """Top-k of a batch against one matrix, whose rows come in the order of ``ids``."""
+    rows = max(1, _PRODUCTS // max(1, len(ids)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                S = np.round(_matrix(b.column(1)) @ matrix.T, ROUND)
+                i, j = _best(S, k)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(i)), ids.take(pa.array(j)), pa.array(S[i, j]),
+                     pa.array(np.arange(len(i)) - np.searchsorted(i, i) + 1)], names=["a_id", "b_id", "similarity", "rank"])
+    return run
+
+
+class Balls:
+    """``b`` (columns id, vec; unit or zero vectors) in balls round some of its own vectors; zero vectors are a
+    ball of their own, which is at a right angle to everything."""
+
+    def __init__(self, b: DataFrame, n: int, block_rows: int) -> None:
+        self.block_rows = block_rows
+        self.spark = spark = b.sparkSession
+        picked = (b.where(F.exists("vec", lambda x: x != 0)).select(F.xxhash64("id").alias("h"), "vec").orderBy("h")
+                  .limit(min(MOST_BALLS, max(1, -(-n // block_rows)))).collect())
+        centres = np.array([r.vec for r in picked]) if picked else np.zeros((0, 1))
+        shared = spark.sparkContext.broadcast(centres)
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                v = _matrix(x.column(1))
+                near = v @ shared.value.T if len(shared.value) else np.zeros((len(v), 0))
+                ball = near.argmax(axis=1) if near.shape[1] else np.zeros(len(v), np.int64)
+                angle = np.arccos(np.clip(near[np.arange(len(v)), ball], -1, 1)) if near.shape[1] else np.zeros(len(v))
+                zero = ~v.any(axis=1)
+                ball[zero], angle[zero] = len(shared.value), 0.0
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(ball.astype(np.int32)), pa.array(angle)], names=["id", "vec", "ball", "angle"])
+
+        self.id_type = b.schema["id"].dataType.simpleString()
+        self.rows = cut_lineage(b.select("id", "vec").mapInArrow(assign, f"id {self.id_type}, vec array<double>, ball int, angle double"))
+        # MOST_BALLS + 1 rows at most
+        found = {r.ball: (r.n, r.radius) for r in self.rows.groupBy("ball").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
+        self.sizes = np.array([found.get(i, (0, 0.0))[0] for i in range(len(centres) + 1)])
+        radius = np.array([found.get(i, (0, 0.0))[1] for i in range(len(centres) + 1)])
+        self.shared = spark.sparkContext.broadcast((centres, self.sizes, radius))
+
+    def visits(self, a: DataFrame, k: int, second: bool) -> DataFrame:
+        """``id, vec, ball``: the balls that the rows of ``a`` visit in the first pass, or (column ``floor`` added)
+        in the second."""
+        shared = self.shared
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres, sizes, radius = shared.value
+            for whole in batches:
+                rows = max(1, _PRODUCTS // len(sizes))
+                for x in (whole.slice(at, rows) for at in range(0, whole.num_rows, rows)):
+                    v = _matrix(x.column(1))
+                    angle = np.full((len(v), len(sizes)), np.pi / 2)
+                    if len(centres):
+                        angle[:, :-1] = np.arccos(np.clip(v @ centres.T, -1, 1))
+                    angle[:, sizes == 0] = np.inf
+                    order = np.argsort(angle, axis=1, kind="stable")
+                    held = np.cumsum(sizes[order], axis=1)
+                    visited = np.zeros(angle.shape, bool)
+                    np.put_along_axis(visited, order, held - sizes[order] < k, axis=1)
+                    visited &= sizes > 0
+                    if second:
+                        # a ball of zero vectors holds similarities of 0 only
+                        best = np.cos(np.maximum(0.0, np.where(np.isinf(angle), np.pi, angle) - radius - 1e-7))
+                        best[:, -1] = 0.0
+                        visited = ~visited & (sizes > 0) & (best >= x.column(2).to_numpy()[:, None] - 1e-8)
+                    i, ball = np.nonzero(visited)
+                    yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(i)), x.column(1).take(pa.array(i)), pa.array(ball.astype(np.int32))],
+                                                     names=["id", "vec", "ball"])
+        kind = a.schema["id"].dataType.simpleString()
+        return a.select("id", "vec", *(["floor"] if second else [])).mapInArrow(run, f"id {kind}, vec array<double>, ball int")
+
+    def best(self, visits: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+        """The ``k`` best of each visited block of a ball, per query."""
+        asked = visits.groupBy("ball").agg(F.ceil(F.count("*") / self.block_rows).cast("int").alias("na"))
+        held = self.spark.createDataFrame([(i, -(-int(n) // self.block_rows)) for i, n in enumerate(self.sizes) if n], "ball int, nb int")
+        cells = asked.join(held, "ball")
+
+        def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+            return (df.join(cells, "ball").withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"n{own}")).cast("int"))
+                    .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1))).select("ball", "a", "b", "id", "vec"))
+        keys = ["ball", "a", "b"]
+        return (dealt(visits, "a", "b").groupBy(*keys).cogroup(dealt(self.rows, "b", "a").groupBy(*keys))
+                .applyInPandas(lambda key, x, y: _block_topk(k)(x, y), schema))
+
+
+#: Centres at most; one query vector's angles to all of them are found at once.
+MOST_BALLS = 1024
+#: Similarities that a task holds at once.
+_PRODUCTS = 1 << 21
+
+
 def topk_cosine(a: DataFrame, b: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec",
-                block_rows: int = 2048) -> DataFrame:
+                block_rows: int = 2048, broadcast_bytes: int = 64 << 20, work: dict | None = None) -> DataFrame:
     """Exact top-k of ``b`` for every row of ``a`` by cosine → (a_id, b_id,
     similarity, rank), ids in their own types. Rows with a null id or vector
-    take no part."""
-    def side(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+    take no part. ``work``: is told the similarities computed by balls and those of all pairs."""
+    def units(df: DataFrame) -> DataFrame:
         return (df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
-                .select(F.col(id_col).alias("id"), unit_vector(F.col(vec_col)).alias("vec"))
-                .withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int"))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))))
-
-    ga, gb = (max(1, math.ceil(x.count() / block_rows)) for x in (a, b))
-    A, B = side(a, "ga", ga, "gb", gb), side(b, "gb", gb, "ga", ga)
-    schema = T.StructType([T.StructField("a_id", a.schema[id_col].dataType), T.StructField("b_id", b.schema[id_col].dataType),
-                           T.StructField("similarity", T.DoubleType())])
-    part = A.groupBy("ga", "gb").cogroup(B.groupBy("ga", "gb")).applyInPandas(_block_topk(k), schema)
+                .select(F.col(id_col).alias("id"), unit_vector(F.col(vec_col)).alias("vec")))
+
+    A, B = units(a), units(b)
+    n, dim = B.agg(F.count("*"), F.max(F.size("vec"))).first()
+    a_type, b_type = a.schema[id_col].dataType, b.schema[id_col].dataType
+    columns = [T.StructField("a_id", a_type), T.StructField("b_id", b_type), T.StructField("similarity", T.DoubleType())]
+    if n * (dim or 0) * 8 <= broadcast_bytes:
+        held = B.orderBy("id").toArrow().combine_chunks() if n else None
+        ids = held["id"].combine_chunks() if n else pa.array([])
+        matrix = _matrix(held["vec"].combine_chunks()) if n else np.zeros((0, 1))
+        out = T.StructType([*columns, T.StructField("rank", T.LongType())])
+        return (A if n else A.limit(0)).mapInArrow(_against_all(ids, matrix, k), out)
+    balls = Balls(B, n, block_rows)
+    A, schema = cut_lineage(A), T.StructType(columns)
     w = Window.partitionBy("a_id").orderBy(F.col("similarity").desc(), F.col("b_id"))
-    return (part.withColumn("rank", F.row_number().over(w).cast("long"))
-            .where(F.col("rank") <= k))
+
+    def ranked(part: DataFrame) -> DataFrame:
+        return part.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+    first = balls.visits(A, k, False)
+    near = cut_lineage(balls.best(first, k, schema))
+    floor = ranked(near).groupBy(F.col("a_id").alias("id")).agg(
+        F.when(F.count("*") >= k, F.min("similarity")).otherwise(-2.0).alias("floor"))
+    more = balls.visits(A.join(floor, "id"), k, True)
+    if work is not None:
+        sizes = balls.spark.createDataFrame([(i, int(m)) for i, m in enumerate(balls.sizes)], "ball int, m long")
+        work["products"] = first.select("ball").unionByName(more.select("ball")).join(sizes, "ball").agg(F.sum("m")).first()[0]
+        work["all"] = A.count() * n
+    return ranked(near.unionByName(balls.best(more, k, schema)))
 
 
 def dedupe_candidates(df: DataFrame, keys=("trait_id", "efo_id"), sim: str = "similarity",

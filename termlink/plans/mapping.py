@@ -1,6 +1,6 @@
 """Trait → vocabulary mapping, the embedding route of the reference:
 
-studies → phenotype filter → first study per trait → ignore list → non-null
+studies → data type filter → first study per trait → ignore list → non-null
 → boilerplate stripped → one vector per distinct cleaned trait and per term
 → exact top-k terms per trait → best row per (trait, term id).
 
@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlink.functions.text import strip_boilerplate
-from termlink.operators.rows import dedupe_first, drop_non_string, exclude_ignored, filter_phenotype, group_row_index
+from termlink.operators.rows import dedupe_first, drop_non_string, exclude_ignored, group_row_index
 from termlink.operators.vectors import dedupe_candidates, embed_terms, topk_cosine
 from termlink.session import cut_lineage
 
 
 def prepare_traits(studies: DataFrame, ignore: DataFrame, order_col: str = "study_id") -> DataFrame:
-    st = filter_phenotype(studies)
+    # by data type alone: this route also takes studies of any source, and of none
+    st = studies.where(F.col("data_type") == "phenotype")
     st = dedupe_first(st, "trait", order_col)
     st = exclude_ignored(st, ignore)
     st = drop_non_string(st, "trait")

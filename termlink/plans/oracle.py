@@ -492,7 +492,7 @@ def build() -> dict[str, str]:
                 f"{name}_nrm AS (SELECT rep, sqrt(sum(v * v)) AS nrm FROM {name}_vec GROUP BY rep)")
 
     st = ("st0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY study_id) AS rn "
-          "FROM studies WHERE data_type = 'phenotype' AND source <> 'ebi_catalog') WHERE rn = 1),\n"
+          "FROM studies_raw WHERE data_type = 'phenotype') WHERE rn = 1),\n"
           "st AS (SELECT *, " + _strip_sql("trait") + " AS trait_clean FROM st0 s WHERE trait IS NOT NULL "
           "AND NOT EXISTS (SELECT 1 FROM ignore_names i WHERE i.study_name = s.study_name))")
     o["map_traits_to_terms"] = _w(
@@ -511,7 +511,7 @@ def build() -> dict[str, str]:
         "(PARTITION BY trep ORDER BY similarity DESC, terms.id) AS rank FROM sims JOIN terms USING (orep)) WHERE rank <= 20)\n"
         "SELECT st.study_name AS trait_id, st.trait, top.efo, top.efo_id, top.similarity, top.rank "
         "FROM st JOIN t_rep r ON r.txt = st.trait_clean JOIN top ON top.trep = r.rep",
-        "studies", "ignore_names", "onto")
+        "studies_raw", "ignore_names", "onto")
 
     # 2.6 LLM
     o["candidate_bullets"] = _w(f"WITH {BULLETS}\nSELECT trait, bullets FROM bullets", "cand")

@@ -341,7 +341,7 @@ def q_dedupe_candidates(spark, sf):
 
 def q_map_traits_to_terms(spark, sf):
     """The embedding route end to end (studies → cleaned traits → top-20 terms)."""
-    return map_traits_to_terms(fx.studies(spark, sf), fx.ignore_names(spark, sf), fx.onto(spark, sf),
+    return map_traits_to_terms(fx.studies_raw(spark, sf), fx.ignore_names(spark, sf), fx.onto(spark, sf),
                                k=TOPK_TERMS, order_col="study_id")
 
 

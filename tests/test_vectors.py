@@ -11,7 +11,9 @@ from termlink.operators.vectors import cosine_one_to_all, embed_terms, topk_cosi
 def test_topk_equals_bruteforce_with_small_blocks(spark):
     a = fx.traits_vec(spark, SF_SMALL)
     b = fx.onto_vec(spark, SF_SMALL)
-    got = topk_cosine(a, b, 7, block_rows=64).toPandas()      # many cells
+    got = topk_cosine(a, b, 7, block_rows=64, broadcast_bytes=0).toPandas()      # many balls
+    whole = topk_cosine(a, b, 7).toPandas()
+    assert sorted(map(tuple, got.to_numpy())) == sorted(map(tuple, whole.to_numpy()))
     A = a.toPandas(); B = b.toPandas()
     MA = np.stack(A.vec.to_numpy()).astype(float); MB = np.stack(B.vec.to_numpy()).astype(float)
     S = np.round((MA @ MB.T) / np.outer(np.linalg.norm(MA, axis=1), np.linalg.norm(MB, axis=1)), 9)
@@ -44,11 +46,39 @@ def test_embedding_rows_sum_to_one_and_custom_encoder(spark):
     assert sorted((r.doc_id, list(r.vec)) for r in out2) == sorted((r.doc_id, list(r.vec)) for r in out)
 
 
+def test_balls_are_exact_and_skip_work(spark):
+    """Clusters, copies, zero vectors and ties by id, in string ids; a ball of more than a block."""
+    r = np.random.default_rng(2)
+    centres = r.standard_normal((12, 8))
+    x = np.concatenate([centres[r.integers(0, 12, 400)] + 0.05 * r.standard_normal((400, 8)), np.tile(centres[0], (150, 1)), np.zeros((6, 8))])
+    ids = [f"B{i}" for i in r.permutation(len(x))]
+    y = np.concatenate([centres + 0.02 * r.standard_normal(centres.shape), r.standard_normal((20, 8)), np.zeros((2, 8))])
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id string, vec array<double>")
+    a = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "id long, vec array<double>")
+    norm = [np.where(np.linalg.norm(m, axis=1, keepdims=True) > 0, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300), 0) for m in (y, x)]
+    S = np.round(norm[0] @ norm[1].T, 9)
+    for k in (5, 40, 1000):
+        work = {}
+        got = topk_cosine(a, b, k, block_rows=24, broadcast_bytes=0, work=work)
+        want = {i: sorted(zip(-S[i], ids))[:k] for i in range(len(y))}
+        have = {}
+        for row in got.collect():
+            have.setdefault(row.a_id, {})[row["rank"]] = row.b_id
+        for i in want:
+            top = [have[i][n + 1] for n in range(len(have[i]))]
+            assert len(top) == min(k, len(x))
+            place = {v: n for n, v in enumerate(ids)}
+            assert np.allclose([S[i, place[t]] for t in top], [-s for s, _ in want[i]], atol=2e-9)
+        assert k > 5 or work["products"] < 0.6 * work["all"]
+        assert work["products"] <= work["all"]
+
+
 def test_topk_with_empty_side(spark):
     a = fx.traits_vec(spark, SF_SMALL)
     empty = fx.onto_vec(spark, SF_SMALL).where(F.lit(False))
     assert topk_cosine(a, empty, 5).count() == 0
     assert topk_cosine(empty, a, 5).count() == 0
+    assert topk_cosine(a, empty, 5, broadcast_bytes=-1).count() == topk_cosine(empty, a, 5, broadcast_bytes=0).count() == 0
 
 
 def test_topk_keeps_string_ids_and_breaks_ties_by_id(spark):
@@ -58,6 +88,16 @@ def test_topk_keeps_string_ids_and_breaks_ties_by_id(spark):
     assert got == [("S1", 1, "EFO:10", 1.0), ("S1", 2, "EFO:2", 1.0), ("S2", 1, "EFO:1", 1.0), ("S2", 2, "EFO:10", 0.0)]
 
 
+def test_mapping_takes_studies_of_any_source_and_of_none(spark):
+    from termlink.plans.mapping import map_traits_to_terms
+    studies = spark.createDataFrame([("s0", "red fox", None, "common", "phenotype", 1, 0), ("s1", "blue sky", "ebi_catalog", "common", "phenotype", 1, 1),
+                                     ("s2", "grey", "x", "common", "gene", 1, 2)],
+                                    "study_name string, trait string, source string, variant_type string, data_type string, sample_size long, study_id long")
+    onto = spark.createDataFrame([(1, "sky"), (2, "fox")], "id long, term string")
+    got = map_traits_to_terms(studies, studies.limit(0).select("study_name"), onto, k=1).collect()
+    assert {(r.trait_id, r.efo_id) for r in got} == {("s0", 2), ("s1", 1)}
+
+
 def test_mapping_with_string_ids_scores_each_text_once(spark):
     from termlink.plans.mapping import map_traits_to_terms
     studies = spark.createDataFrame([(f"s{i}", t, "common", "common", "phenotype", 1, i) for i, t in enumerate(["red fox", "blue sky", "red fox!"])],
