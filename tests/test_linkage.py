@@ -232,3 +232,28 @@ def test_weighted_jaccard_empty_inputs(spark):
                                  block="source").count() == 0
     assert link_weighted_jaccard(left.where(F.lit(False)), right, "trait2", "study_name_rare",
                                  "study_name_common").count() == 0
+
+
+def made_sides(sources, n, seed=5):
+    """A token in every row, short texts, near copies; the left side in so many sources."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+
+    def text():
+        t = ["the", *rng.choices(words, weights=[1 / (i + 1) for i in range(60)], k=rng.randint(0, 7))]
+        return " ".join(t)
+    base = [text() for _ in range(n)]
+    left = pd.DataFrame([(f"l{i}", rng.choice(base) + rng.choice(["", "", " extra"]), f"s{rng.randrange(sources)}") for i in range(n)],
+                        columns=["study_name_rare", "trait2", "source"])
+    right = pd.DataFrame([(f"r{i}", t, "common") for i, t in enumerate(base)], columns=["study_name_common", "trait2", "source"])
+    return left, right
+
+
+@pytest.mark.parametrize("sources, n, heavy", [(1, 150, 10), (4, 150, 3), (1000, 400, 20)])
+def test_weighted_jaccard_with_a_token_in_every_row_and_many_sources(spark, monkeypatch, sources, n, heavy):
+    from termlink.operators import jaccard
+    monkeypatch.setattr(jaccard, "_HEAVY", heavy)       # frequent tokens' joins are split
+    left, right = made_sides(sources, n)
+    got = link_weighted_jaccard(spark.createDataFrame(left), spark.createDataFrame(right), "trait2", "study_name_rare", "study_name_common",
+                                ("_rare", "_common"), max_dist=0.2, block="source", keep_dist=True).toPandas()
+    assert {r.study_name_rare: (r.dist, r.study_name_common) for r in got.itertuples()} == brute_wjaccard(left, right, 0.2)
