@@ -49,6 +49,7 @@ FROM v LEFT JOIN n USING (vec_id) JOIN (SELECT a AS vec_id, min(b) AS component_
 
 
 def _url_filter(depth: int = 8) -> str:
+    # the given paths have five segments at most
     host = f"translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), '{UPPER}', '{LOWER}')"
     path = "regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's')"
     ctes = [
@@ -65,11 +66,19 @@ def _url_filter(depth: int = 8) -> str:
             f"c{d} AS (SELECT host, t, s[{d + 1}] AS seg, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM p{d} WHERE len(s) > {d} GROUP BY 1, 2, 3)",
             f"v{d} AS (SELECT *, CASE WHEN regexp_matches(seg, '[0-9]') THEN kids > 1 ELSE kids >= 8 AND n < 0.05 * total END AS variable "
             f"FROM (SELECT *, sum(n) OVER (PARTITION BY host, t) AS total, count(*) OVER (PARTITION BY host, t) AS kids FROM c{d}))",
-            f"t{d} AS (SELECT host, t, seg, CASE WHEN variable THEN '{{' || regexp_replace(regexp_replace(seg, '[0-9]+', '0', 'g'), "
-            "'[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 'a', 'g') || '}' WHEN l > 0 AND abs(b - rate * l) > 2 * sqrt(rate * (1 - rate) * l) "
-            "THEN seg ELSE '+' END AS token FROM (SELECT *, CASE WHEN sum(l) FILTER (NOT variable) OVER (PARTITION BY host, t) > 0 THEN "
+            f"w{d} AS (SELECT *, CASE WHEN variable THEN '{{' || regexp_replace(regexp_replace(seg, '[0-9]+', '0', 'g'), "
+            "'[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 'a', 'g') || '}' END AS shape, variable AND l > 0 AS tested "
+            f"FROM v{d})",
+            f"x{d} AS (SELECT *, count(*) FILTER (tested) OVER g AS m, sum(l) FILTER (tested) OVER g AS wl, sum(b) FILTER (tested) OVER g AS wb "
+            f"FROM w{d} WINDOW g AS (PARTITION BY host, t, shape))",
+            # twice the log likelihood ratio
+            f"y{d} AS (SELECT *, tested AND m > 1 AND wb > 0 AND wb < wl AND 2 * (CASE WHEN b > 0 THEN b * ln(b / l * wl / wb) ELSE 0 END + "
+            f"CASE WHEN l > b THEN (l - b) * ln((l - b) / l * wl / (wl - wb)) ELSE 0 END) > 4 + 2 * ln(m) AS own FROM x{d})",
+            f"t{d} AS (SELECT host, t, seg, CASE WHEN own THEN seg WHEN variable THEN shape WHEN l > 0 AND abs(b - rate * l) > "
+            "2 * sqrt(rate * (1 - rate) * l) THEN seg ELSE '+' END AS token FROM (SELECT *, "
+            "CASE WHEN sum(l) FILTER (NOT variable) OVER (PARTITION BY host, t) > 0 THEN "
             "sum(b) FILTER (NOT variable) OVER (PARTITION BY host, t) / sum(l) FILTER (NOT variable) OVER (PARTITION BY host, t) END AS rate "
-            f"FROM v{d}))",
+            f"FROM y{d}))",
             f"p{d + 1} AS (SELECT p.host, p.path, p.n, p.l, p.b, p.s, p.t || coalesce('/' || token, '') AS t FROM p{d} p "
             f"LEFT JOIN t{d} ON t{d}.host = p.host AND t{d}.t = p.t AND t{d}.seg = p.s[{d + 1}])"]
     ctes += [

@@ -26,19 +26,20 @@ with the rule's path.  The longest rule that fits decides alone.
 
 Edge cases: a null URL and one without ``://`` have empty host and path and fall in
 the template of that; duplicates of a URL get the same verdict; labels of URLs
-that no page has are ignored, null labels too; paths of any depth are walked to their end (a level is a
-round, beyond ``_WHOLE_LEVELS`` only for paths that still have something to be told apart from); an empty
-table gives no rows; other columns are ignored.
+that no page has are ignored, null labels too; paths of any depth are walked to their end (a round takes a
+node's paths behind all segments that they share and over one branching, so there are as many rounds as branchings on
+the way to a path, whatever its depth); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termlink.llm.tables import staged
+from termlink.llm.tables import staged, successive
 
 Rule = tuple[str, str, str]
 
@@ -46,9 +47,6 @@ Rule = tuple[str, str, str]
 #: one node, a host with most of all pages, say, are spread over so many tasks.
 _SALTS = 32
 
-#: Levels that are walked with all paths; after those, paths that are settled are set aside.
-_WHOLE_LEVELS = 8
-
 
 def _under_salts(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
@@ -86,34 +84,43 @@ def _stands_out(n: Column, bad: Column, all_n: Column, all_bad: Column, tested:
     return 2 * (part(bad, all_bad) + part(n - bad, all_n - all_bad)) > z * z + 2 * F.log(tested)
 
 
-def _unsettled(p: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """``(open, settled)``: paths whose node has different rests of paths, and all others with
-    their whole template.  Equal rests have one child at each level, which is a branch ``+``."""
-    rest = F.array_join(F.slice("segments", depth + 1, 1 << 30), "/")
-    more = F.size("segments") > depth
-    node = p.where(more).groupBy("host", "template").agg((F.min(rest) != F.max(rest)).alias("open"))
-    p = p.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(_SALTS)).cast("int"))
-    p = staged(p.join(_under_salts(node), ["host", "template", "salt"], "left")
-               .withColumn("open", more & F.coalesce("open", F.lit(False))).drop("salt"), "url-rests")
-    ends = F.concat("template", F.repeat(F.lit("/+"), F.greatest(F.lit(0), F.size("segments") - depth)))
-    return p.where("open").drop("open"), p.where(~F.col("open")).withColumn("template", ends).drop("open")
+def _shared(a: Column, b: Column) -> Column:
+    """How many first elements two arrays share."""
+    n = F.least(F.size(a), F.size(b))
+    differs = F.array_position(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x == y), False)
+    return F.when(differs > 0, differs - 1).otherwise(n).cast("int")
+
+
+def _jumped(p: DataFrame) -> DataFrame:
+    """The paths behind the segments that all longer paths of their node share: single children, which are branches ``+``.
+
+    The node's longest path is the measure: paths that part from it stop the jump there, paths that end on it don't."""
+    longest = p.groupBy("host", "template").agg(F.max(F.struct(F.size("rest").alias("n"), "rest")).alias("longest"))
+    here = p.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(_SALTS)).cast("int")).join(
+        _under_salts(longest.select("host", "template", F.col("longest.rest").alias("longest"))), ["host", "template", "salt"])
+    here = here.withColumn("shared", _shared(F.col("rest"), F.col("longest")))
+    parts = here.groupBy("host", "template").agg(
+        F.min(F.when(F.col("shared") < F.size("rest"), F.col("shared"))).alias("parts"))
+    jump = F.least(F.coalesce("parts", F.size("rest")), F.size("rest"))
+    return (here.drop("longest", "shared").join(_under_salts(parts), ["host", "template", "salt"])
+            .withColumn("template", F.concat("template", F.repeat(F.lit("/+"), jump)))
+            .withColumn("rest", F.slice("rest", jump + 1, F.greatest(F.lit(0), F.size("rest") - jump))).drop("parts", "salt"))
 
 
 def templates(paths: DataFrame, min_children: int = 8, min_share: float = 0.05, z: float = 2.0) -> DataFrame:
     """``paths``: host, path (distinct), n, n_labelled, n_bad.  Adds ``template``."""
     # "/a/b" has the segments a, b; "/a/b/" has a, b and an empty one
-    segments = F.slice(F.split("path", "/"), 2, 1 << 30)
-    p = paths.withColumn("segments", segments).withColumn("template", F.lit(""))
-    deepest = p.agg(F.max(F.size("segments"))).first()[0] or 0
-    walked = []
-    for depth in range(deepest):
-        if depth >= _WHOLE_LEVELS:
-            p, settled = _unsettled(p, depth)
-            walked.append(settled)
-            if p.isEmpty():
-                break
-        here = p.withColumn("segment", F.get("segments", F.lit(depth)))
-        child = here.where("segment is not null").groupBy("host", "template", "segment").agg(
+    rest = F.slice(F.split("path", "/"), 2, 1 << 30)
+    put, ended = successive(paths.sparkSession, "url-templates"), []
+    p = paths.withColumn("rest", rest).withColumn("template", F.lit(""))
+    while True:
+        p = put(_jumped(p))
+        ended.append(staged(p.where(F.size("rest") == 0).drop("rest"), "url-ended"))
+        p = p.where(F.size("rest") > 0)
+        if p.isEmpty():
+            break
+        here = p.withColumn("segment", F.get("rest", F.lit(0)))
+        child = here.groupBy("host", "template", "segment").agg(
             *[F.sum(c).alias(c) for c in ("n", "n_labelled", "n_bad")])
         node = child.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.count("*").alias("children"))
         child = child.withColumn("salt", F.pmod(F.xxhash64("segment"), F.lit(_SALTS)).cast("int"))
@@ -136,13 +143,10 @@ def templates(paths: DataFrame, min_children: int = 8, min_share: float = 0.05,
                  .otherwise(F.lit("+")))
         child = (child.join(_under_salts(kept), ["host", "template", "salt"], "left")
                  .select("host", "template", "segment", token.alias("token")))
-        p = staged(
-            here.join(child, ["host", "template", "segment"], "left")
-            .withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), "token"), F.lit(""))))
-            .drop("segment", "token"), "url-templates")
-    for settled in walked:
-        p = p.unionByName(settled)
-    return p.drop("segments")
+        p = (here.join(child, ["host", "template", "segment"])
+             .withColumn("template", F.concat("template", F.lit("/"), "token"))
+             .withColumn("rest", F.slice("rest", 2, 1 << 30)).drop("segment", "token"))
+    return reduce(DataFrame.unionByName, ended)
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], strength: float = 4.0, reject_at: float = 0.5,

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -23,7 +24,20 @@ def rule_of(host, path):
     return max(fit)[1:] if fit else (None, None)
 
 
-def plain_templates(paths, marks, min_children=8, min_share=0.05, z=2.0, max_depth=8):
+def shape_of(s):
+    return "{" + re.sub(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "a", re.sub("[0-9]+", "0", s)) + "}"
+
+
+def stands_out(c, group, z):
+    """The likelihood ratio test of one child's labels against its wildcard's."""
+    n, bad = sum(x[1] for x in group), sum(x[2] for x in group)
+    if len(group) < 2 or not 0 < bad < n:
+        return False
+    ratio = sum(k * math.log(k / c[1] * n / of) for k, of in ((c[2], bad), (c[1] - c[2], n - bad)) if k)
+    return 2 * ratio > z * z + 2 * math.log(len(group))
+
+
+def plain_templates(paths, marks, min_children=8, min_share=0.05, z=2.0, max_depth=99):
     """The tree, node by node, in plain Python.  paths: (host, path) -> pages; marks: -> (labelled, bad)."""
     segs = {k: k[1].split("/")[1:] for k in paths}
     tpl = {k: "" for k in paths}
@@ -41,10 +55,13 @@ def plain_templates(paths, marks, min_children=8, min_share=0.05, z=2.0, max_dep
             var = {s: len(kids) > 1 if re.search("[0-9]", s) else len(kids) >= min_children and c[0] < min_share * total for s, c in kids.items()}
             lab = sum(c[1] for s, c in kids.items() if not var[s])
             bad = sum(c[2] for s, c in kids.items() if not var[s])
+            wild = defaultdict(list)
+            for s, c in kids.items():
+                if var[s] and c[1]:
+                    wild[shape_of(s)].append(c)
             for s, c in kids.items():
                 if var[s]:
-                    shape = re.sub(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "a", re.sub("[0-9]+", "0", s))
-                    token[node, s] = "{" + shape + "}"
+                    token[node, s] = s if c[1] and stands_out(c, wild[shape_of(s)], z) else shape_of(s)
                 else:
                     r = bad / lab if lab else 0
                     token[node, s] = s if c[1] and abs(c[2] - r * c[1]) > z * (r * (1 - r) * c[1]) ** 0.5 else "+"
@@ -144,3 +161,36 @@ def test_deep_paths_are_walked_to_their_end(spark):
     df = spark.createDataFrame([(*k, 1, 0, 0) for k in paths], "host string, path string, n long, n_labelled long, n_bad long")
     have = {(r.host, r.path): r.template for r in url_filter.templates(df).collect()}
     assert have == plain_templates(paths, {}, max_depth=99)
+
+
+def test_generated_trees_with_labels_equal_the_plain_walk(spark):
+    rng = random.Random(9)
+    paths, marks = {}, {}
+    for _ in range(500):
+        host = rng.choice(["big", "big", "h2"])
+        depth = rng.randint(0, 6)
+        path = "".join("/" + rng.choice([rng.choice("abcdefghij"), f"{rng.choice('xyz')}{rng.randint(0, 30)}", "same"]) for _ in range(depth))
+        if rng.random() < 0.2:
+            path = "/same" * rng.randint(3, 9) + path
+        paths[host, path] = rng.randint(1, 4)
+        if rng.random() < 0.7:
+            n = rng.randint(1, 12)
+            marks[host, path] = (n, n if "/a" in path or "x1" in path else rng.choice([0, 0, 1]))
+    df = spark.createDataFrame([(*k, v, *marks.get(k, (0, 0))) for k, v in paths.items()], "host string, path string, n long, n_labelled long, n_bad long")
+    have = {(r.host, r.path): r.template for r in url_filter.templates(df).collect()}
+    want = plain_templates(paths, marks)
+    assert have == want
+    # both rules fire
+    assert any(re.search(r"/x1\d*(/|$)", t) for t in want.values()) and any("{" in t for t in want.values())
+
+
+def test_shared_segments_cost_no_rounds(spark, monkeypatch):
+    rounds = []
+    jumped = url_filter._jumped
+    monkeypatch.setattr(url_filter, "_jumped", lambda p: rounds.append(1) or jumped(p))
+    trap = "/a/b" * 500
+    # two that part at the end, and a chain of paths that each end on the next one
+    paths = [("h", trap + "/x"), ("h", trap + "/y"), ("h", trap + "/y/z")] + [("chain", "/c" * n) for n in range(1, 200, 7)]
+    df = spark.createDataFrame([(*k, 1, 0, 0) for k in paths], "host string, path string, n long, n_labelled long, n_bad long")
+    have = {(r.host, r.path): r.template for r in url_filter.templates(df).collect()}
+    assert have == plain_templates({k: 1 for k in paths}, {}, max_depth=2000) and len(rounds) <= 3
