@@ -40,8 +40,10 @@ from termlink.llm.embedding_dedup import representatives
 from termlink.llm.tables import shuffles_dropped, staged, successive
 
 _NODE = "id long, space long, code binary, scale float, rest float"
-#: Rows that a task compares at a time at least, and pairs of a query and a node at most.
-_ROWS, _NEAR = 4096, 512
+#: Rows that a task handles at a time.
+_ROWS = 4096
+#: Copies of an entry node in the search.
+_COPIES = 16
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,13 +111,19 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.
         yield from ready(True)
 
 
-def _meet(keys: int, emitted: int) -> Callable:
-    """Compares the members of each group; rows: keys, id, code, scale, rest, least (what a neighbour has to beat), fresh."""
+def _meet(keys: int, emitted: int, crowd: int | None = None) -> Callable:
+    """Compares the members of each group; rows: keys, id, code, scale, rest, least (what a neighbour has to beat), fresh.
+    Rows out: a, b, s; with ``crowd`` also the first key, -1 and the size of groups larger than that."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in _grouped(batches, keys):
             data, at = _bytes(t.column(keys + 1))
             ids, scale, rest, least, fresh = (t.column(keys + c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4, 5))
             a, b, s = [], [], []
+            if crowd is not None:
+                big = np.flatnonzero(np.diff(cuts) > crowd)
+                a.append(t.column(0).to_numpy()[cuts[big]])
+                b.append(np.full(len(big), -1))
+                s.append(np.diff(cuts)[big].astype(np.float32))
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi - lo < 2 or not fresh[lo:hi].any():
                     continue
@@ -139,11 +147,52 @@ def _meet(keys: int, emitted: int) -> Callable:
     return run
 
 
-def _listed(near: Column, k: int, old: Column | None = None) -> Column:
-    """The k best of an array of (s, id), marked fresh if not in ``old``."""
-    best = F.slice(F.sort_array(near, asc=False), 1, k)
-    fresh = (lambda x: ~F.array_contains(old, x["id"])) if old is not None else (lambda x: F.lit(True))
-    return F.transform(best, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"), fresh(x).alias("fresh")))
+_GRAPH = f"{_NODE}, near array<struct<s:float,id:long,fresh:boolean>>, sent long"
+_NEAR_TYPE = pa.list_(pa.struct([("s", pa.float32()), ("id", pa.int64()), ("fresh", pa.bool_())]))
+
+
+def _first_of(group: np.ndarray, other: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Positions of one entry for each (group, other), the one with the least ``later``."""
+    order = np.lexsort((later, other, group))
+    g, o = group[order], other[order]
+    return order[np.append(True, (g[1:] != g[:-1]) | (o[1:] != o[:-1]))[: len(order)]]
+
+
+def _merge(k: int) -> Callable:
+    """Each node's ``k`` best out of its list and its new pairs.  Rows sorted by id, the node's first: id, other (null for the
+    node, -1: how many were sent to it), s, space, code, scale, rest, near."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _grouped(batches, 1):
+            t = t.slice(0, cuts[-1])
+            node = pa.array(cuts[:-1])
+            other, s = t.column(1), t.column(2)
+            group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            pair = np.flatnonzero(pc.greater_equal(other, 0).fill_null(False).to_numpy(zero_copy_only=False))
+            size = np.flatnonzero(pc.less(other, 0).fill_null(False).to_numpy(zero_copy_only=False))
+            sent = np.bincount(group[size], s.take(pa.array(size)).to_numpy(zero_copy_only=False), len(cuts) - 1).astype(np.int64)
+            old = t.column(7).take(node)
+            flat = old.flatten()
+            ids = np.concatenate([flat.field(1).to_numpy(), other.take(pa.array(pair)).to_numpy(zero_copy_only=False).astype(np.int64)])
+            near = np.concatenate([flat.field(0).to_numpy(), s.take(pa.array(pair)).to_numpy(zero_copy_only=False).astype(np.float32)])
+            of = np.concatenate([np.repeat(np.arange(len(node)), old.value_lengths().to_numpy()), group[pair]])
+            fresh = np.arange(len(ids)) >= len(flat)
+            one = _first_of(of, ids, fresh)
+            one = one[np.lexsort((ids[one], -near[one], of[one]))]
+            place = np.arange(len(one)) - np.searchsorted(of[one], of[one])
+            one = one[place < k]
+            ends = np.append(0, np.cumsum(np.bincount(of[one], minlength=len(node)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+                [pa.array(near[one]), pa.array(ids[one]), pa.array(fresh[one])], fields=list(_NEAR_TYPE.value_type)))
+            yield pa.RecordBatch.from_arrays([t.column(0).take(node), *(t.column(c).take(node) for c in (3, 4, 5, 6)), lists, pa.array(sent)],
+                                             names=["id", "space", "code", "scale", "rest", "near", "sent"])
+    return run
+
+
+def _merged(graph: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    new = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "s")
+    own = graph.select("id", F.lit(None).cast("long").alias("other"), F.lit(None).cast("float").alias("s"), "space", "code", "scale", "rest", "near")
+    return (own.unionByName(new, allowMissingColumns=True).repartition("id").sortWithinPartitions("id", F.col("other").asc_nulls_first())
+            .mapInArrow(_merge(k), _GRAPH))
 
 
 def _least(k: int) -> Column:
@@ -194,32 +243,23 @@ def _first_blocks(nodes: DataFrame, entries, n: int, trees: int, leaf: int, emit
             .mapInArrow(_meet(4, emitted), "a long, b long, s float"))
 
 
-def _gained(pairs: DataFrame) -> DataFrame:
-    # a node is in as many groups as its list is long, and gains a bounded number in each
-    return pairs.groupBy(F.col("a").alias("id")).agg(F.collect_set(F.struct("s", F.col("b").alias("id"))).alias("gained"))
-
-
 def build_graph(nodes: DataFrame, entries, k: int, trees: int, leaf: int, rounds: int, emitted: int, block: int, settled: float,
                 seed: int) -> DataFrame:
-    """``id, space, code, scale, rest, near`` (s, id, fresh; nearest first): each node's ``k`` nearest found."""
-    spark = nodes.sparkSession
-    put = successive(spark, "graph")
+    """``id, space, code, scale, rest, near, sent``: each node's ``k`` nearest found (near: s, id, fresh; nearest first)."""
+    put = successive(nodes.sparkSession, "graph")
     n = nodes.count()
-    first = _gained(_first_blocks(nodes, entries, n, trees, leaf, emitted, seed))
-    nothing = F.array().cast("array<struct<s:float,id:long>>")
-    graph = put(nodes.join(first, "id", "left").select(*nodes.columns, _listed(F.coalesce("gained", nothing), k).alias("near")))
+    graph = put(_merged(nodes.withColumn("near", F.array().cast("array<struct<s:float,id:long,fresh:boolean>>")),
+                        _first_blocks(nodes, entries, n, trees, leaf, emitted, seed), k))
     for r in range(rounds):
-        edges = graph.select(F.col("id").alias("member"), F.explode("near").alias("x")).select("member", F.col("x.id").alias("place"))
-        crowded = staged(edges.groupBy("place").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1"), "graph-crowded")
+        # places that many were sent to in the round before
+        crowded = staged(graph.where(F.col("sent") > block).select(
+            F.col("id").alias("place"), F.ceil(F.col("sent") / block).alias("blocks")), "graph-crowded")
         sent = (graph.select("id", "code", "scale", "rest", _least(k).alias("least"), F.explode("near").alias("x"))
                 .withColumn("place", F.col("x.id")).join(crowded, "place", "left")
                 .withColumn("salt", F.pmod(F.xxhash64("id", F.lit(r)), F.coalesce("blocks", F.lit(1))))
                 .repartition("place", "salt").sortWithinPartitions("place", "salt", "id")
                 .select("place", "salt", "id", "code", "scale", "rest", "least", F.col("x.fresh").alias("fresh")))
-        gained = _gained(sent.mapInArrow(_meet(2, emitted), "a long, b long, s float"))
-        old = F.transform("near", lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))
-        graph = put(graph.join(gained, "id", "left").select(
-            *nodes.columns, _listed(F.array_union(old, F.coalesce("gained", nothing)), k, F.col("near.id")).alias("near")))
+        graph = put(_merged(graph, sent.mapInArrow(_meet(2, emitted, block // 2), "a long, b long, s float"), k))
         new = graph.agg(F.sum(F.size(F.filter("near", lambda x: x["fresh"])))).first()[0]
         if not new or new < settled * k * n:
             break
@@ -227,41 +267,75 @@ def build_graph(nodes: DataFrame, entries, k: int, trees: int, leaf: int, rounds
 
 
 def _visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows: query, space, code, scale, least, near (id, code, scale): the nodes nearer than ``least``."""
-    def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        near = b.column(5)
-        n = near.value_lengths().to_numpy()
+    """Rows sorted by node, the node's own first: id, query (null for the node), space, code, scale, least, near (id, code,
+    scale); rows out: the nodes nearer to a query than ``least``."""
+    for t, cuts in _grouped(batches, 1):
+        own, own_at = _bytes(t.column(3))
+        near = t.column(6)
         flat = near.flatten()
         data, at = _bytes(flat.field(1))
-        own, own_at = _bytes(b.column(2))
-        if len(np.unique(np.diff(own_at))) > 1 or len(np.unique(np.diff(at))) > 1:
-            if b.num_rows > 1:
-                for i in range(b.num_rows):
-                    yield from one(b.slice(i, 1))
-                return
-        if not len(flat):
-            return
-        row = np.repeat(np.arange(b.num_rows), n)
-        kind = np.float32 if at[1] - at[0] < 1024 else np.float64
-        x = data[at[0]: at[-1]].reshape(len(flat), -1).astype(kind)
-        q = own[own_at[0]: own_at[-1]].reshape(b.num_rows, -1).astype(kind)
-        s = (np.einsum("ij,ij->i", x, q[row]) * (flat.field(2).to_numpy() * b.column(3).to_numpy()[row])).astype(np.float32)
-        hit = s > b.column(4).to_numpy()[row]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(b.column(0).to_numpy()[row[hit]]), pa.array(b.column(1).to_numpy()[row[hit]]),
-             pa.array(flat.field(0).to_numpy()[hit]), pa.array(s[hit])], names=["query", "space", "id", "s"])
-
-    for b in batches:
-        for lo in range(0, b.num_rows, _NEAR):
-            yield from one(b.slice(lo, _NEAR))
+        ends = np.append(0, np.cumsum(near.value_lengths().fill_null(0).to_numpy()))
+        ids, scales = flat.field(0).to_numpy(), flat.field(2).to_numpy()
+        query, space = (t.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+        scale, least = (t.column(c).to_numpy(zero_copy_only=False).astype(np.float32) for c in (4, 5))
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for lo, hi in zip(cuts, cuts[1:]):
+            a, b = ends[lo], ends[lo + 1]
+            if hi - lo < 2 or a == b:
+                continue
+            kind = np.float32 if at[a + 1] - at[a] < 1024 else np.float64
+            x = data[at[a]: at[b]].reshape(b - a, -1).astype(kind)
+            for i in range(lo + 1, hi, _ROWS):
+                j = min(hi, i + _ROWS)
+                q = own[own_at[i]: own_at[j]].reshape(j - i, -1).astype(kind)
+                s = ((q @ x.T) * np.outer(scale[i:j], scales[a:b])).astype(np.float32)
+                r, c = np.nonzero(s > least[i:j, None])
+                for held, values in zip(out, (query[i + r].astype(np.int64), space[i + r].astype(np.int64), ids[a + c], s[r, c])):
+                    held.append(values)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query", "space", "id", "s"])
+
+
+_STATE = "query long, space long, code binary, scale float, beam array<struct<s:float,id:long>>, done array<long>, next array<long>"
+_BEAM_TYPE = pa.list_(pa.struct([("s", pa.float32()), ("id", pa.int64())]))
+
+
+def _step(beam: int, visited: int) -> Callable:
+    """A query's beam with what its visits found, and its next visits.  Rows sorted by query and space, the state's
+    first: query, space, id (null for the state), s, code, scale, beam, done, next."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _grouped(batches, 2):
+            head = pa.array(cuts[:-1])
+            ids = t.column(2).fill_null(-1).to_numpy()
+            s = t.column(3).fill_null(0).to_numpy().astype(np.float32)
+            old, done, gone = (t.column(c).take(head) for c in (6, 7, 8))
+            beams, dones, nexts = [], [], []
+            for g, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                was = old[g].values
+                own = np.concatenate([was.field(1).to_numpy(), ids[lo + 1: hi]])
+                near = np.concatenate([was.field(0).to_numpy(), s[lo + 1: hi]])
+                one = np.unique(own, return_index=True)[1]
+                one = one[np.lexsort((own[one], -near[one]))][:beam]
+                seen = np.concatenate([done[g].values.to_numpy(), gone[g].values.to_numpy()])
+                beams.append(pa.StructArray.from_arrays([pa.array(near[one]), pa.array(own[one])], ["s", "id"]))
+                dones.append(seen)
+                nexts.append(own[one][~np.isin(own[one], seen)][:visited])
+
+            def lists(parts: list, flat: pa.Array) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays(
+                [*(t.column(c).take(head) for c in (0, 1, 4, 5)), lists(beams, pa.concat_arrays(beams)),
+                 lists(dones, pa.array(np.concatenate(dones))), lists(nexts, pa.array(np.concatenate(nexts)))],
+                names=["query", "space", "code", "scale", "beam", "done", "next"])
+    return run
 
 
 def search(graph: DataFrame, queries: DataFrame, entries, beam: int, visited: int, max_rounds: int = 1000) -> DataFrame:
     """``query, space, beam`` (s, id; nearest first) of each query and space of its length.
 
-    queries: ``query, code, scale, own`` (an array of (s, id, space) to start from)."""
+    queries: ``query, code, scale, own`` (an array of (s, id, space) to start from).  The entries are visited first where a
+    query has no own start in a space."""
     spark = graph.sparkSession
-    plain = "array<struct<s:float,id:long>>"
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,40 +346,42 @@ def search(graph: DataFrame, queries: DataFrame, entries, beam: int, visited: in
                     if space // 4096 != len(q):
                         continue
                     s = ((x.astype(np.float64) @ q) * (scales * np.float32(scale))).astype(np.float32)
-                    start = {int(i): float(v) for i, v in zip(ids, s)} | {o["id"]: o["s"] for o in own if o["space"] == space}
-                    best = sorted(((v, i) for i, v in start.items()), reverse=True)[:beam]
-                    out.append((query, space, code, scale, [{"s": v, "id": i} for v, i in best]))
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.float32()),
-                 pa.array(cols[4], pa.list_(pa.struct([("s", pa.float32()), ("id", pa.int64())])))], names=["query", "space", "code", "scale", "beam"])
+                    mine = {o["id"]: o["s"] for o in own if o["space"] == space}
+                    best = sorted(((v, i) for i, v in ({int(i): float(v) for i, v in zip(ids, s)} | mine).items()), reverse=True)[:beam]
+                    out.append((query, space, code, scale, [{"s": v, "id": i} for v, i in best], [], [*mine] or [i for _, i in best[:visited]]))
+            cols = list(zip(*out)) if out else [[]] * 7
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.float32(), _BEAM_TYPE, pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, types)],
+                                             names=["query", "space", "code", "scale", "beam", "done", "next"])
 
     codes = graph.select(F.col("id").alias("other"), F.col("code").alias("other_code"), F.col("scale").alias("other_scale"))
-    roads = staged(graph.select("id", F.explode("near.id").alias("other")).join(codes, "other").groupBy("id").agg(
-        F.collect_list(F.struct(F.col("other").alias("id"), F.col("other_code").alias("code"), F.col("other_scale").alias("scale"))).alias("near")),
-        "graph-roads")
-
-    def to_visit(beam_col: Column, done: Column) -> Column:
-        return F.slice(F.filter(F.transform(beam_col, lambda x: x["id"]), lambda i: ~F.array_contains(done, i)), 1, visited)
-
+    near = F.collect_list(F.struct(F.col("other").alias("id"), F.col("other_code").alias("code"), F.col("other_scale").alias("scale")))
+    roads = staged(graph.select("id", F.explode("near.id").alias("other")).join(codes, "other").groupBy("id").agg(near.alias("near")), "graph-roads")
+    # the entries are where all queries without an own start begin: their rows are copied, and those queries dealt to the copies
+    hot = sorted({int(i) for ids, *_ in entries.value.values() for i in ids})
+    crowd = spark.createDataFrame([(i, _COPIES) for i in hot], "id long, copies int") if hot else None
+
+    def copies(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(crowd), "id", "left") if crowd is not None else df.withColumn("copies", F.lit(1))
+    roads = copies(roads).withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
     put = successive(spark, "beams")
-    none = F.array().cast("array<long>")
-    state = put(queries.select("query", "code", "scale", "own")
-                .mapInArrow(enter, f"query long, space long, code binary, scale float, beam {plain}")
-                .withColumn("done", none).withColumn("next", to_visit(F.col("beam"), none)))
+    state = put(queries.select("query", "code", "scale", "own").mapInArrow(enter, _STATE))
     for _ in range(max_rounds):
         active = state.where(F.size("next") > 0)
         if active.isEmpty():
             break
         least = F.when(F.size("beam") >= beam, F.element_at("beam", -1)["s"]).otherwise(-3.0).cast("float")
-        asked = active.select("query", "space", "code", "scale", least.alias("least"), F.explode("next").alias("id"))
-        seen = (asked.join(roads, "id").select("query", "space", "code", "scale", "least", "near")
-                .mapInArrow(_visit, "query long, space long, id long, s float"))
-        gained = seen.groupBy("query", "space").agg(F.collect_set(F.struct("s", "id")).alias("gained"))
-        both = F.array_union("beam", F.coalesce("gained", F.array().cast(plain)))
-        state = put(state.join(gained, ["query", "space"], "left")
-                    .withColumn("beam", F.slice(F.sort_array(both, asc=False), 1, beam)).withColumn("done", F.concat("done", "next"))
-                    .withColumn("next", to_visit(F.col("beam"), F.col("done"))).drop("gained"))
+        asked = copies(active.select("query", "space", "code", "scale", least.alias("least"), F.explode("next").alias("id")))
+        asked = asked.withColumn("salt", F.pmod(F.xxhash64("query"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+        met = (roads.unionByName(asked, allowMissingColumns=True).repartition("id", "salt")
+               .sortWithinPartitions("id", "salt", F.col("query").asc_nulls_first())
+               .select(F.xxhash64("id", "salt").alias("id"), "query", "space", "code", "scale", "least", "near"))
+        seen = met.mapInArrow(_visit, "query long, space long, id long, s float")
+        both = (state.withColumn("id", F.lit(None).cast("long")).withColumn("s", F.lit(None).cast("float"))
+                .unionByName(seen, allowMissingColumns=True).repartition("query", "space")
+                .sortWithinPartitions("query", "space", F.col("id").asc_nulls_first())
+                .select("query", "space", "id", "s", "code", "scale", "beam", "done", "next"))
+        state = put(both.mapInArrow(_step(beam, visited), _STATE))
     return state.select("query", "space", "beam")
 
 
@@ -330,7 +406,7 @@ def _query_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", near: int = 48,
             trees: int = 6, leaf: int = 64, rounds: int = 12, emitted: int = 16, block: int = 256, settled: float = 0.02, entries: int = 256,
-            beam: int = 128, visited: int = 32, seed: int = 42) -> DataFrame:
+            beam: int = 128, visited: int = 64, seed: int = 42) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found of each row that ``is_query`` (a condition on
     ``vec_id``) holds for.  ``near``: neighbours of a node of the graph."""
     spark = vectors.sparkSession
