@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -127,12 +128,17 @@ def _cell_links(x: np.ndarray, y: np.ndarray, plan: Plan, aim: np.ndarray, thres
     return i[keep], j[keep]
 
 
+@lru_cache(maxsize=4)
+def _grid(seed: int, dim: int, cells: int, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cells' directions, in whole numbers, and offsets."""
+    return np.rint(_directions(seed, dim, cells) * 2.0 ** 20), np.random.default_rng([seed, 0]).random(cells) * width
+
+
 def _cells_of(x: np.ndarray, plan: Plan, width: float, seed: int) -> np.ndarray:
     """The cell of each vector (rows of norm 1) in each table.  The projections are sums of whole numbers that
     are exact in double precision, so that every task finds the same."""
-    cells = plan.projections * plan.tables
-    shift = np.random.default_rng([seed, 0]).random(cells) * width
-    whole = np.rint(x * 2.0 ** 20) @ np.rint(_aims(seed, x.shape[1], cells) * 2.0 ** 20)
+    aims, shift = _grid(seed, x.shape[1], plan.projections * plan.tables, width)
+    whole = np.rint(x * 2.0 ** 20) @ aims
     at = np.floor((whole * 2.0 ** -40 + shift) / width).astype(np.int64)
     return _folded(at.reshape(-1, plan.projections), x.shape[1]).reshape(len(x), plan.tables)
 
