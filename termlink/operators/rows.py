@@ -71,9 +71,9 @@ def type_audit(df: DataFrame, col: str = "trait") -> DataFrame:
 def dedupe_first(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] | str) -> DataFrame:
     """Keep the first row per key in the given order; a null key is a value.
 
-    Written as ``min_by`` over a struct so the work is a hash aggregate with
-    map-side partial aggregation: a key holding a third of all rows is
-    combined in every map task instead of being sorted in one.
+    Written as ``min_by`` over a struct, which is combined in the map tasks: a
+    key holding a third of all rows leaves one row in each instead of being sorted in
+    one place. (A sort aggregate, since rows may hold strings.)
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, str) else list(order)
