@@ -257,3 +257,23 @@ def test_weighted_jaccard_with_a_token_in_every_row_and_many_sources(spark, monk
     got = link_weighted_jaccard(spark.createDataFrame(left), spark.createDataFrame(right), "trait2", "study_name_rare", "study_name_common",
                                 ("_rare", "_common"), max_dist=0.2, block="source", keep_dist=True).toPandas()
     assert {r.study_name_rare: (r.dist, r.study_name_common) for r in got.itertuples()} == brute_wjaccard(left, right, 0.2)
+
+
+def test_a_common_value_is_joined_in_many_tasks(spark, monkeypatch):
+    from termlink.operators import linkage
+    monkeypatch.setattr(linkage, "_GRID", 8)
+    texts = ["x"] * 60 + [f"t{i}" for i in range(20)] + [None, None]
+    left = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k1 int, t string")
+    right = spark.createDataFrame([(i, t) for i, t in enumerate(texts[20:])], "k2 int, t string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = link_exact(left, right, "t", "k1", "k2").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.k1, r.k2) for r in rows) == sorted(
+        (i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[20:]) if a is not None and a == b)
+    assert len({r.task for r in rows if r.t_1 == "x"}) > 1
