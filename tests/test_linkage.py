@@ -285,3 +285,38 @@ def test_exact_matched_has_one_row_a_left_row(spark):
     right = spark.createDataFrame([(i, "x" if i < 50 else None) for i in range(60)], "k2 int, t string")
     got = exact_matched(left, right, "t", "k1", "k2").select("k1", "k2").collect()
     assert sorted(map(tuple, got)) == [(i, 0) for i in range(30)]
+
+
+def test_best_pairs_are_the_nearest_of_all(spark):
+    from termlink.operators.linkage import jw_scored_pairs
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcdefgh ", k=n)) for n in (6, 9, 20, 70, 130, 300) for _ in range(6)]
+    texts = set(base)
+    for t in base:
+        for _ in range(8):
+            i = rng.randrange(len(t))
+            texts.add(t[:i] + rng.choice("abcz") + t[i + 1:])
+    texts = sorted(texts)
+    left, right = texts[::2], texts[1::2]
+    settings = [(0.1, 0.05), (0.15, 0.05)]
+    l, r = (spark.createDataFrame([(x,) for x in t], "s string") for t in (left, right))
+    got = jw_scored_pairs(l, r, "s", settings).collect()
+    pairs = [(x, y) for x in left for y in right]
+    for i, (p, limit) in enumerate(settings):
+        want, found = {}, {}
+        for (x, y), d in zip(pairs, jaro_winkler_distance([x for x, _ in pairs], [y for _, y in pairs], p)):
+            if d <= limit:
+                want.setdefault(x, {}).setdefault(float(d), set()).add(y)
+        for row in got:
+            if row.ds[i] <= limit:
+                found.setdefault(row.sl, {}).setdefault(row.ds[i], set()).add(row.sr)
+        assert {x: (min(d), d[min(d)]) for x, d in found.items()} == {x: (min(d), d[min(d)]) for x, d in want.items()}
+
+
+def test_copies_of_strings_do_not_grow_with_the_cells(spark):
+    """A cell of some thousand strings is one unit: none is sent to as many blocks as the other side has thousands."""
+    from termlink.operators.linkage import jw_units
+    left, right = ([(f"{w}{i:04d}",) for i in range(3000)] for w in ("xq", "yq"))
+    l, r = (spark.createDataFrame(t, "s string") for t in (left, right))
+    units = jw_units(l, r, 0.1, 0.05, [("", ""), ("", "")]).where("family = 0")
+    assert units.where("side = 0").count() == 3000
