@@ -320,3 +320,14 @@ def test_copies_of_strings_do_not_grow_with_the_cells(spark):
     l, r = (spark.createDataFrame(t, "s string") for t in (left, right))
     units = jw_units(l, r, 0.1, 0.05, [("", ""), ("", "")]).where("family = 0")
     assert units.where("side = 0").count() == 3000
+
+
+def test_cascade_stores_no_pairs_of_exact_copies(spark, monkeypatch):
+    from termlink.plans import cascade
+    stored = []
+    monkeypatch.setattr(cascade, "cut_lineage", lambda df: stored.append(df.count()) or df.localCheckpoint())
+    left = spark.createDataFrame([(f"a{i}", "copied text" if i < 60 else f"other text {i}") for i in range(64)], "k1 string, trait string")
+    right = spark.createDataFrame([(f"b{i}", "copied text" if i < 50 else f"other text {i + 10}x") for i in range(54)], "k2 string, trait string")
+    out = cascade.link_cascade(left, right, "k1", "k2", ("_1", "_2"), cascade.DEFAULT_STAGES[:2])
+    assert {r.match_type: r["count"] for r in out.groupBy("match_type").count().collect()} == {"exact": 3000, "fuzzy": 4}
+    assert max(stored) <= 64
