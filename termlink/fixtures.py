@@ -61,15 +61,15 @@ def ignore_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    # copies go before the join and by the tables' own columns, of which all others are functions
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name").distinct()
     return (li.join(p, li.l_partkey == p.p_partkey)
               .select(F.col("l_orderkey").alias("trait_id"),
                       F.concat(F.lit("trait "), F.col("l_orderkey").cast("string")).alias("trait"),
                       F.col("p_name").alias("efo"),
                       F.col("l_partkey").alias("efo_id"),
-                      ((F.col("l_partkey") % 128).cast("double") / F.lit(128.0)).alias("similarity"))
-              .distinct())
+                      ((F.col("l_partkey") % 128).cast("double") / F.lit(128.0)).alias("similarity")))
 
 
 def onto(spark: SparkSession, sf_dir: str) -> DataFrame:

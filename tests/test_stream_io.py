@@ -128,3 +128,13 @@ def test_staged_tables_can_be_cleaned_up(spark, monkeypatch):
     assert os.path.isdir(local) and "/termlink-run-test/" in path
     session.clean_run(spark)
     assert not os.path.exists(local)
+
+
+def test_candidates_drop_copies_before_the_join(spark, tmp_path):
+    from termlink import fixtures as fx
+    spark.createDataFrame([(1, 5), (1, 5), (2, 5), (2, 6), (3, None)], "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(5, "a"), (5, "a"), (5, "b"), (6, None)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    df = fx.cand(spark, str(tmp_path))
+    assert sorted((r.trait_id, r.efo_id, r.efo or "") for r in df.collect()) == [(1, 5, "a"), (1, 5, "b"), (2, 5, "a"), (2, 5, "b"), (2, 6, "")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
