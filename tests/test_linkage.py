@@ -331,3 +331,24 @@ def test_cascade_stores_no_pairs_of_exact_copies(spark, monkeypatch):
     out = cascade.link_cascade(left, right, "k1", "k2", ("_1", "_2"), cascade.DEFAULT_STAGES[:2])
     assert {r.match_type: r["count"] for r in out.groupBy("match_type").count().collect()} == {"exact": 3000, "fuzzy": 4}
     assert max(stored) <= 64
+
+
+def test_weighted_jaccard_lists_only_what_can_match(spark, monkeypatch):
+    """Strings with too little in common with the other side leave no token list, and a copied text leaves one."""
+    from termlink.operators import jaccard
+    stored = {}
+    plain = jaccard.stage_parquet
+
+    def spy(df, path):
+        out = plain(df, path)
+        stored[path.rsplit("/", 1)[-1].rsplit("-", 1)[0]] = out.count()
+        return out
+    monkeypatch.setattr(jaccard, "stage_parquet", spy)
+    long = " ".join(f"w{i}" for i in range(3000))
+    left = pd.DataFrame([(f"L{i}", f"a{i} b{i} c{i} both", "s") for i in range(50)] + [(f"M{i}", long + " x", "s") for i in range(20)],
+                        columns=["study_name_rare", "trait2", "source"])
+    right = pd.DataFrame([("R0", "d e f both", "c"), ("R1", long, "c"), ("R2", long, "c")], columns=["study_name_common", "trait2", "source"])
+    got = link_weighted_jaccard(spark.createDataFrame(left), spark.createDataFrame(right), "trait2", "study_name_rare",
+                                "study_name_common", block="source").collect()
+    assert {(r.study_name_rare, r.study_name_common) for r in got} == {(f"M{i}", "R1") for i in range(20)}
+    assert stored["jaccard_left_lists"] == stored["jaccard_right_lists"] == stored["jaccard_pairs"] == 1
