@@ -138,3 +138,23 @@ def test_candidates_drop_copies_before_the_join(spark, tmp_path):
     assert sorted((r.trait_id, r.efo_id, r.efo or "") for r in df.collect()) == [(1, 5, "a"), (1, 5, "b"), (2, 5, "a"), (2, 5, "b"), (2, 6, "")]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
+
+
+def test_csv_batches_are_one_file_in_order_from_rows_made_once(spark):
+    path = staging_path(spark, "batches_once")
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+    df = spark.range(20_300).select((F.col("id") * 7919 % 20_300).alias("k")).repartition(6).mapInArrow(count, "k long")
+    io.sink_csv_batches(df, path, ["k"], 500)
+    assert made.value <= 2 * 20_300          # once for the ranges' bounds, once for the rows
+    back = (spark.read.option("header", True).schema("k long, batch long").csv(path)
+            .select("k", "batch", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).collect())
+    files = {}
+    for r in sorted(back, key=lambda r: r.at):
+        files.setdefault((r.batch, r.file), []).append(r.k)
+    assert {b: ks for (b, _), ks in files.items()} == {b: list(range(b * 500, min(20_300, b * 500 + 500))) for b in range(41)}
+    assert len(files) == 41
