@@ -38,11 +38,18 @@ def expand_terms(top: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     id. ``terms``: (id, text key columns __h, __n). → (a_id, id, similarity, rank) over all ids.
 
     The k best ids of a trait lie in its k best texts (each of which has an id before
-    any id of a worse text), and among the k smallest ids of a text."""
+    any id of a worse text), and among the k smallest ids of a text. A text that k ids or more
+    of better texts precede has none of them, and is dropped before ids are attached."""
     reps = terms.groupBy("__h", "__n").agg(F.min("id").alias("b_id"))
     few = group_row_index(terms.join(reps, ["__h", "__n"]).select("b_id", "id"), ["b_id"], ["id"], "nth").where(F.col("nth") < k)
+    few = cut_lineage(few.select("b_id", "id"))
+    held = few.groupBy("b_id").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("a_id").orderBy(F.col("similarity").desc())       # with the ids of equally good texts
+    before = F.sum("n").over(upto) - F.sum("n").over(Window.partitionBy("a_id", "similarity"))
+    near = (top.select("a_id", "b_id", "similarity").join(held, "b_id").withColumn("before", before)
+            .where(F.col("before") < k).select("a_id", "b_id", "similarity"))
     w = Window.partitionBy("a_id").orderBy(F.col("similarity").desc(), F.col("id"))     # k * k rows at most
-    return (top.select("a_id", "b_id", "similarity").join(few.select("b_id", "id"), "b_id")
+    return (near.join(few, "b_id")
             .withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
             .select("a_id", "id", "similarity", "rank"))
 

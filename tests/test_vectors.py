@@ -106,3 +106,22 @@ def test_mapping_with_string_ids_scores_each_text_once(spark):
     got = map_traits_to_terms(studies, studies.limit(0).select("study_name"), onto, k=2).collect()
     assert {(r.trait_id, r["rank"], r.efo_id) for r in got} == {
         ("s0", 1, "EFO:0"), ("s0", 2, "EFO:2"), ("s1", 1, "EFO:3"), ("s1", 2, "EFO:1"), ("s2", 1, "EFO:0"), ("s2", 2, "EFO:2")}
+
+
+def test_ids_are_attached_only_to_texts_that_can_be_chosen(spark, monkeypatch):
+    from termlink.plans import mapping
+    k, texts, ids = 5, 5, 8
+    top = spark.createDataFrame([(a, b * ids, 1.0 - (b // 2) / 10, b + 1) for a in range(30) for b in range(texts)],
+                                "a_id long, b_id long, similarity double, rank long")
+    terms = spark.createDataFrame([(b * ids + i, f"h{b}", 1) for b in range(texts) for i in range(ids)], "id long, __h string, __n int")
+    joined, plain = [], type(top).join
+
+    def spy(self, other, *args, **kw):
+        if set(self.columns) == {"a_id", "b_id", "similarity"} and set(other.columns) == {"b_id", "id"}:
+            joined.append(self.count())
+        return plain(self, other, *args, **kw)
+    monkeypatch.setattr(type(top), "join", spy)
+    got = sorted(tuple(r) for r in mapping.expand_terms(top, terms, k).collect())
+    # two texts are equally good and best; the smaller ids are those of the first
+    assert got == [(a, i, 1.0, i + 1) for a in range(30) for i in range(k)]
+    assert joined == [30 * 2]
