@@ -279,6 +279,44 @@ def test_a_common_value_is_joined_in_many_tasks(spark, monkeypatch):
     assert len({r.task for r in rows if r.t_1 == "x"}) > 1
 
 
+@pytest.mark.parametrize("copies", [2, 64])
+def test_a_common_value_is_shuffled_a_bounded_number_of_times(spark, monkeypatch, copies):
+    from termlink.operators import linkage
+    monkeypatch.setattr(linkage, "_GRID", 2)
+    monkeypatch.setattr(linkage, "_COPIES", copies)
+    left = spark.createDataFrame([(i, "x") for i in range(50)], "k1 int, t string")
+    right = spark.createDataFrame([(i, "x") for i in range(30)], "k2 int, t string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = link_exact(left, right, "t", "k1", "k2")
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    made, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Generate":
+            made.append(node.metrics().apply("numOutputRows").value())
+    assert sorted((r.k1, r.k2) for r in rows) == [(i, j) for i in range(50) for j in range(30)]
+    assert sorted(made) == sorted([50 * min(copies, 15), 30 * min(copies, 25)])
+
+
+def test_exact_members_are_the_pairs_with_a_row_a_member(spark):
+    from termlink.operators.linkage import exact_members
+    # keys are neither unique nor there in all rows: classes come from the texts
+    left = spark.createDataFrame([(i % 7 or None, t) for i, t in enumerate(["x"] * 40 + ["y"] * 10 + ["l", None])], "k1 int, t string")
+    right = spark.createDataFrame([(i % 5 or None, t) for i, t in enumerate(["x"] * 30 + ["y"] * 20 + ["r", None])], "k2 int, t string")
+    a, b = exact_members(left, right, "t")
+    assert a.columns == ["k1", "t", "class"] and b.columns == ["k2", "t", "class"]
+    assert a.count() == 50 and b.count() == 50 and {r["class"] for r in a.collect()} == {r["class"] for r in b.collect()}
+
+    def pairs(df):
+        return sorted((str(r.k1), str(r.k2), r.t_1, r.t_2) for r in df.collect())
+    got, want = pairs(link_exact(a, b, "class", "k1", "k2")), pairs(link_exact(left, right, "t", "k1", "k2"))
+    assert got == want and len(got) == 40 * 30 + 10 * 20
+
+
 def test_exact_matched_has_one_row_a_left_row(spark):
     from termlink.operators.linkage import exact_matched
     left = spark.createDataFrame([(i, "x" if i < 30 else f"l{i}") for i in range(40)], "k1 int, t string")

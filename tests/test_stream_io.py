@@ -158,3 +158,22 @@ def test_csv_batches_are_one_file_in_order_from_rows_made_once(spark):
         files.setdefault((r.batch, r.file), []).append(r.k)
     assert {b: ks for (b, _), ks in files.items()} == {b: list(range(b * 500, min(20_300, b * 500 + 500))) for b in range(41)}
     assert len(files) == 41
+
+
+def test_the_csv_of_matches_has_a_line_a_member(spark, tmp_path, monkeypatch):
+    from termlink.plans import registry as R
+    odd = ["Same line", "NA", 'say "hi", ok', "tab\tand \\ slash", "carriage\rreturn", "ends with one\r", "caf\u00e9 \u2028 line"]
+    texts = {i: "\n".join([*odd, f"only {i}"]) for i in range(80)}
+    (spark.createDataFrame([(i, t, len(t)) for i, t in texts.items()], "doc_id long, text string, n_chars int")
+     .write.parquet(str(tmp_path / "documents.parquet")))
+    monkeypatch.setattr(R, "staging_path", lambda spark, name: str(tmp_path / name))
+    rows = R.QUERIES["sink_csv"](spark, str(tmp_path)).collect()
+    kind = {0: "rare_a", 2: "rare_b", 3: "rare_c"}
+    docs = [i for i in texts if i % 10 != 9]
+    read = {"NA": None}                                  # the null list of scan_delimited
+    want = [(f"S{a}_{k}", read.get(t, t), kind[a % 4], f"S{b}_{k}", read.get(t, t), "common")
+            for a in docs if a % 4 != 1 for b in docs if b % 4 == 1 for k, t in enumerate(odd)]
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want))
+    lines = (spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(str(tmp_path / "matches_csv"))
+             .where(~F.col("value").startswith("study_name")).count())
+    assert lines == len(docs) * len(odd)                 # 7 * 72; pairs are 7 * 56 * 16
