@@ -125,3 +125,25 @@ def test_ids_are_attached_only_to_texts_that_can_be_chosen(spark, monkeypatch):
     # two texts are equally good and best; the smaller ids are those of the first
     assert got == [(a, i, 1.0, i + 1) for a in range(30) for i in range(k)]
     assert joined == [30 * 2]
+
+
+def test_mapping_shuffles_neither_vectors_nor_candidates(spark, monkeypatch):
+    """Nothing but the traits themselves goes through an exchange; a study name on two rows is deduped, an id of two texts told once."""
+    from termlink.plans import mapping
+    cols = "study_name string, trait string, source string, variant_type string, data_type string, sample_size long, study_id long"
+    texts = ["red fox", "blue sky", "red fox!", "fox red red", "...", "sky", None]
+    studies = spark.createDataFrame([("s1" if i == 1 else f"s{i - i % 2 if i == 5 else i}", t, "x", "common", "phenotype", 1, i) for i, t in enumerate(texts)], cols)
+    onto = spark.createDataFrame([(0, "fox red"), (1, "sky"), (2, "fox red"), (3, "sky blue"), (4, "fox red"), (4, "sky"), (5, None)], "id long, term string")
+    none = studies.limit(0).select("study_name")
+    got = mapping.map_traits_to_terms(studies.where("study_id != 5"), none, onto, k=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]       # the distinct terms, before they are broadcast
+    assert len(moved) == 1 and "Scan ExistingRDD" not in plan[:plan.index("BroadcastExchange")]
+    monkeypatch.setattr(mapping, "fits_whole", lambda *a: False)
+    want = mapping.map_traits_to_terms(studies, none, onto, k=4)
+    monkeypatch.undo()
+    have = mapping.map_traits_to_terms(studies, none, onto, k=4)
+    key = ["trait_id", "trait", "efo_id", "similarity", "rank"]
+    assert want.columns == have.columns
+    rows = [sorted(map(tuple, df.select(key).collect())) for df in (have, want)]
+    assert rows[0] == rows[1] and len({r[:3:2] for r in rows[0]}) == len(rows[0])
