@@ -1,5 +1,6 @@
 """Jaro-Winkler scorer: fixed values and properties."""
 
+import pytest
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,3 +63,23 @@ def test_batch_equals_single():
     batch = jaro_winkler_distance(a, b, 0.15)
     single = np.array([jaro_winkler_distance([x], [y], 0.15)[0] for x, y in zip(a, b)])
     assert np.array_equal(batch, single)
+
+
+def test_long_strings_are_matched_by_bits(monkeypatch):
+    """Strings of hundreds of characters don't take the way that is quadratic in the length; both ways agree."""
+    import random
+
+    from termlink.functions import jaro
+    r = random.Random(3)
+    a = ["".join(r.choice("abcde é漢") for _ in range(r.randint(200, 1500))) for _ in range(120)]
+    b = [x[::-1] if i % 3 == 0 else "".join(c for c in x if r.random() < 0.95) for i, x in enumerate(a)]
+    with monkeypatch.context() as m:
+        m.setattr(jaro, "_BIT_CHARS", 0)
+        want = jaro.jaro_parts(a, b)
+    with monkeypatch.context() as m:
+        m.setattr(jaro, "_matched", lambda *x: pytest.fail("quadratic"))
+        got = jaro.jaro_parts(a, b)
+        m.setattr(jaro, "_BIT_WORDS", 1 << 14)      # in slices
+        m.setattr(jaro, "_BIT_LEAST", 1)
+        sliced = jaro.jaro_parts(a, b)
+    assert all((x == y).all() and (x == z).all() for x, y, z in zip(want, got, sliced))
