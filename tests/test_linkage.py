@@ -390,3 +390,34 @@ def test_weighted_jaccard_lists_only_what_can_match(spark, monkeypatch):
                                 "study_name_common", block="source").collect()
     assert {(r.study_name_rare, r.study_name_common) for r in got} == {(f"M{i}", "R1") for i in range(20)}
     assert stored["jaccard_left_lists"] == stored["jaccard_right_lists"] == stored["jaccard_pairs"] == 1
+
+
+def test_fuzzy_units_in_rounds_give_all_pairs_and_their_disk_back(spark, tmp_path, monkeypatch):
+    """The same pairs in one round as in many, with many blocks; no round shuffles much more than its share."""
+    import random
+
+    from termlink.operators import linkage
+    r = random.Random(5)
+    words = ["blood", "pressure", "heart", "rate", "left", "right", "asthma", "diabetes", "type", "weight"]
+    base = [" ".join(r.choice(words) for _ in range(r.randint(1, 5))) for _ in range(150)]
+    left, right = (list({t if r.random() < .5 else t[:r.randint(1, len(t))] + "x" + t[-2:] for t in base for _ in range(3)}) for _ in range(2))
+    ls, rs = (spark.createDataFrame([(t,) for t in x], "s string") for x in (left, right))
+    monkeypatch.setattr(linkage, "_ROUND_X", 0)
+    copies = linkage._cell_sizes(linkage._listed(ls, rs, 0.15, 0.05), 16).agg(F.sum("bytes")).first()[0]
+    rounds, dealt = [], linkage._dealt
+
+    def spy(both, sizes, part=0, parts=1):
+        out = dealt(both, sizes, part, parts)
+        rounds.append((parts, out.count()))
+        return out
+    monkeypatch.setattr(linkage, "_dealt", spy)
+    got = []
+    for size in (copies, copies / 6):
+        rounds.clear()
+        rows = linkage.jw_scored(ls, rs, 0.15, 0.05, block_rows=16, round_bytes=size).collect()
+        assert len(rows) == len(set(rows))
+        got.append((sorted(rows), rounds[:]))
+    (one, whole), (many, parts) = got
+    assert one == many and len(one) > 100
+    assert [n for n, _ in whole] == [1] and len(parts) == parts[0][0] >= 6
+    assert sum(n for _, n in parts) == whole[0][1] and max(n for _, n in parts) < whole[0][1] / 2
